@@ -15,7 +15,7 @@ FIELD_TYPE = (
     r"^\s*(?:(?:@[\w.]+\s*)*(?:late|final|const|static|required|covariant)\s+)*"
     r"([\w<>\[\]\{\},?().\s]+?)\s+[\w$]+\s*(?:=.*)?\z"
 )
-MODIFIERS = r"\b(?:static|external|async|sync|factory|late|final|const|required)\b\s*"
+MODIFIERS = r"(?<!\w)(?:static|external|async|sync|factory|late|final|const|required)(?!\w)\s*"
 RETURN_CHARS = r"[\w<>{}\[\]\s.,?()]"
 _DEFAULT = r"\s*(?:=.*)?\z"
 PARAM_THIS = r"(?s)^(required\s+)?this\.([\w$]+)" + _DEFAULT
@@ -55,10 +55,10 @@ def split_list(text: Column) -> Column:
 # --- class headers -------------------------------------------------------------------
 def class_relations(detail: Column) -> Column:
     """Struct of three name arrays read from a class header."""
-    header = F.regexp_replace(detail, r"(\bclass\s+[\w$]+\s*)" + _ANGLES, "$1")
+    header = F.regexp_replace(detail, r"((?<!\w)class\s+[\w$]+\s*)" + _ANGLES, "$1")
 
     def clause(keyword: str) -> Column:
-        pattern = rf"(?s)\b{keyword}\s+(.+?)\s*(?=\b(?:extends|with|implements)\s|\{{|\z)"
+        pattern = rf"(?s)(?<!\w){keyword}\s+(.+?)\s*(?=(?<!\w)(?:extends|with|implements)\s|\{{|\z)"
         return F.coalesce(split_list(F.regexp_extract(header, pattern, 1)), F.array().cast("array<string>"))
 
     return F.struct(
@@ -93,22 +93,42 @@ def field_type(detail: Column) -> Column:
     return strip(_extract(detail, FIELD_TYPE, 1))
 
 
+def _let(value: Column, body) -> Column:
+    """Bind a value that `body` uses more than once, so that it is computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _between(text: Column, opening: str, closing: str) -> Column:
+    """Struct of the text before the first opening mark and inside up to the last closing mark; null without both."""
+    start = F.instr(text, opening)
+    end = F.length(text) - F.instr(F.reverse(text), closing) + 1
+    found = (start > 0) & text.contains(closing) & (end > start)
+    return F.when(found, F.struct(
+        F.substring(text, F.lit(1), start - 1).alias("before"),
+        F.substring(text, start + 1, end - start - 1).alias("inside"),
+        F.substring(text, start, F.length(text)).alias("tail"),
+    ))
+
+
 def parameter_blocks(detail: Column) -> Column:
     """Struct of the required, optional and named parts of a parameter list."""
-    whole = strip(F.regexp_extract(detail, r"(?s)\((.*)\)", 1))
-    before = F.substring_index(whole, "{", 1)
-    open_at, close_from = F.instr(whole, "{"), F.instr(F.reverse(whole), "}")
-    close_at = F.when(close_from > 0, F.length(whole) - close_from + 1).otherwise(0)
-    has_named = (open_at > 0) & (close_at > open_at) & ~F.substring_index(before, "[", -1).contains("}")
-    named = F.when(has_named, F.substring(whole, open_at + 1, close_at - open_at - 1)).otherwise(F.lit(""))
-    head = F.when(has_named, strip(before)).otherwise(whole)
-    square = F.instr(head, "[")
-    square_from = F.instr(F.reverse(head), "]")
-    square_end = F.when(square_from > 0, F.length(head) - square_from + 1).otherwise(0)
-    has_optional = (square > 0) & (square_end > square) & ~F.substring(head, square, F.length(head)).contains("{")
-    optional = F.when(has_optional, F.substring(head, square + 1, square_end - square - 1)).otherwise(F.lit(""))
-    required = F.when(has_optional, F.substring(head, F.lit(1), square - 1)).otherwise(head)
-    return F.struct(required.alias("required"), optional.alias("optional"), named.alias("named"))
+    def positional(head: Column, named: Column) -> Column:
+        def build(cut: Column) -> Column:
+            has = cut.isNotNull() & ~cut["tail"].contains("{")
+            return F.struct(
+                F.when(has, cut["before"]).otherwise(head).alias("required"),
+                F.when(has, cut["inside"]).otherwise(F.lit("")).alias("optional"), named.alias("named"))
+        return _let(_between(head, "[", "]"), build)
+
+    def split(whole: Column) -> Column:
+        def build(cut: Column) -> Column:
+            has = cut.isNotNull() & ~F.substring_index(cut["before"], "[", -1).contains("}")
+            parts = F.struct(F.when(has, strip(cut["before"])).otherwise(whole).alias("head"),
+                             F.when(has, cut["inside"]).otherwise(F.lit("")).alias("named"))
+            return _let(parts, lambda x: positional(x["head"], x["named"]))
+        return _let(_between(whole, "{", "}"), build)
+
+    return _let(strip(F.regexp_extract(detail, r"(?s)\((.*)\)", 1)), split)
 
 
 def _one_param(piece: Column, named: bool, optional: bool) -> Column:
@@ -121,38 +141,52 @@ def _one_param(piece: Column, named: bool, optional: bool) -> Column:
             F.lit(opt).alias("is_optional_positional"),
         )
 
+    def own(name: Column) -> Column:
+        return param(name, F.concat(F.lit("self_field:"), name), F.regexp_extract(piece, PARAM_THIS, 1) != "", False)
+
     def typed(pattern: str) -> Column:
         required = F.regexp_extract(piece, pattern, 1) == "required"
         return param(F.regexp_extract(piece, pattern, 3), F.regexp_extract(piece, pattern, 2), required, optional)
 
-    own = F.regexp_extract(piece, PARAM_THIS, 2)
-    bare = F.regexp_extract(piece, PARAM_BARE, 1)
-    marked = piece.startswith("required ")
-    bare_is_type = F.lit(named or optional) | bare.rlike(BARE_IS_TYPE)
+    def bare(text: Column) -> Column:
+        marked = piece.startswith("required ")
+        shown_as_type = F.lit(named or optional) | text.rlike(BARE_IS_TYPE)
+        return F.when(text != "", F.when(shown_as_type, param(no_text, text, marked, optional)).otherwise(
+            param(text, F.lit("dynamic"), marked, optional)))
+
     return (
-        F.when(own != "", param(own, F.concat(F.lit("self_field:"), own),
-                                F.regexp_extract(piece, PARAM_THIS, 1) != "", False))
+        F.when(piece.rlike(PARAM_THIS), _let(F.regexp_extract(piece, PARAM_THIS, 2), own))
         .when(piece.rlike(PARAM_FUNCTION), typed(PARAM_FUNCTION))
         .when(piece.rlike(PARAM_TYPED), typed(PARAM_TYPED))
-        .when((bare != "") & bare_is_type, param(no_text, bare, marked, optional))
-        .when(bare != "", param(bare, F.lit("dynamic"), marked, optional))
+        .otherwise(_let(F.regexp_extract(piece, PARAM_BARE, 1), bare))
     )
 
 
+def _until_unreadable(read: Column) -> Column:
+    broken = F.array_position(F.transform(read, lambda p: p.isNull()), True)
+    return F.when(broken > 0, F.slice(read, F.lit(1), (broken - 1).cast("int"))).otherwise(read)
+
+
 def parameters(detail: Column) -> Column:
     """Ordered parameter structs; each block ends at its first unreadable entry."""
-    blocks = parameter_blocks(detail)
+    def block(text: Column, named: bool, optional: bool) -> Column:
+        return _let(F.transform(split_list(text), lambda p: _one_param(p, named, optional)), _until_unreadable)
 
-    def block(name: str, named: bool, optional: bool) -> Column:
-        read = F.transform(split_list(blocks.getField(name)), lambda p: _one_param(p, named, optional))
-        broken = F.array_position(F.transform(read, lambda p: p.isNull()), True)
-        return F.when(broken > 0, F.slice(read, F.lit(1), (broken - 1).cast("int"))).otherwise(read)
+    def read(blocks: Column) -> Column:
+        every = F.concat(block(blocks["required"], False, False), block(blocks["optional"], False, True),
+                         block(blocks["named"], True, False))
+        return F.transform(every, lambda p, i: F.struct(
+            (i + 1).alias("pos"), p["name"].alias("name"), p["type"].alias("type"), p["is_named"].alias("is_named"),
+            p["is_required"].alias("is_required"), p["is_optional_positional"].alias("is_optional_positional"),
+        ))
 
-    every = F.concat(block("required", False, False), block("optional", False, True), block("named", True, False))
-    return F.transform(every, lambda p, i: F.struct(
-        (i + 1).alias("pos"), p["name"].alias("name"), p["type"].alias("type"), p["is_named"].alias("is_named"),
-        p["is_required"].alias("is_required"), p["is_optional_positional"].alias("is_optional_positional"),
-    ))
+    return _let(parameter_blocks(detail), read)
+
+
+def constructor_parameters(detail: Column) -> Column:
+    """`parameters`, or every `this.x` when the list could not be read but starts with `({this.`."""
+    return _let(parameters(detail), lambda read: F.when(
+        (F.size(read) == 0) & detail.rlike(r"^\s*\(\s*\{\s*this\.[\w$]+"), own_field_params(detail, True)).otherwise(read))
 
 
 def own_field_params(text: Column, named: bool | None) -> Column:
@@ -166,11 +200,6 @@ def own_field_params(text: Column, named: bool | None) -> Column:
     ))
 
 
-def constructor_fallback(detail: Column) -> Column:
-    """Parameters of a constructor whose list could not be read but starts with `({this.`."""
-    return F.when(detail.rlike(r"^\s*\(\s*\{\s*this\.[\w$]+"), own_field_params(detail, True))
-
-
 def _not_void(t: Column) -> Column:
     return F.when(F.lower(t) != "void", t)
 

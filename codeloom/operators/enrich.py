@@ -50,86 +50,78 @@ def _class_key(name):
 
 def attach_relations(symbols: DataFrame) -> DataFrame:
     """Add `relations` to class symbols, found by file and class name without type arguments."""
+    is_class = F.col("kind") == KIND_CLASS
     declared = (
-        symbols.filter((F.col("kind") == KIND_CLASS) & (F.col("detail") != ""))
+        symbols.filter(is_class & (F.col("detail") != ""))
         .select(*FILE_KEYS, _class_key(F.col("name")).alias("class_name"), "ord",
                 sig.class_relations(F.col("detail")).alias("relations"))
         .groupBy(*FILE_KEYS, "class_name").agg(F.max_by("relations", "ord").alias("relations"))
     )
-    is_class = F.col("kind") == KIND_CLASS
-    classes = (
-        symbols.filter(is_class).withColumn("class_name", _class_key(F.col("name")))
+    return (
+        symbols.withColumn("class_name", _class_key(F.col("name")))
         .join(declared, [*FILE_KEYS, "class_name"], "left").drop("class_name")
+        .withColumn("relations", F.when(is_class, F.col("relations")))
     )
-    others = symbols.filter(~is_class)
-    return classes.unionByName(others, allowMissingColumns=True)
 
 
 def detail_evidence(symbols: DataFrame) -> DataFrame:
     """Add what the detail text tells: detail_type, detail_params, detail_return."""
     detail, name, kind = F.col("detail"), F.col("name"), F.col("kind")
     field = sig.is_field(kind)
-    called = (detail != "") & ~field & detail.rlike(r"(?s)\(.*\)")
-    params = F.when(called, sig.parameters(detail))
+    called = ~field & detail.rlike(r"(?s)\(.*\)")
     ctor = kind == KIND_CONSTRUCTOR
     return (
         symbols
-        .withColumn("detail_type", F.when(field & (detail != ""), sig.field_type(detail)))
-        .withColumn("detail_params", params)
-        .withColumn("detail_params", F.when(
-            ctor & (F.size("detail_params") == 0),
-            F.coalesce(sig.constructor_fallback(detail), F.col("detail_params"))).otherwise(F.col("detail_params")))
+        .withColumn("detail_type", F.when(field, sig.field_type(detail)))
+        .withColumn("detail_params", F.when(called & ctor, sig.constructor_parameters(detail))
+                    .when(called, sig.parameters(detail)))
         .withColumn("detail_return", F.when(called & ~ctor, sig.return_type(detail, name)))
     )
 
 
+def _no_params(c: str):
+    return F.coalesce(F.size(c), F.lit(0)) <= 0
+
+
 def hover_evidence(symbols: DataFrame, hovers: DataFrame) -> DataFrame:
     """Add hover_type, hover_return, hover_params for symbols the detail left open."""
-    kind, name = F.col("kind"), F.col("name")
-    no_params = F.coalesce(F.size("detail_params"), F.lit(0)) <= 0
-    needs = F.col("sel_rng").isNotNull() & (
-        (sig.is_field(kind) & F.col("detail_type").isNull())
-        | (sig.is_plain_callable(kind) & F.col("detail_return").isNull())
-        | ((kind == KIND_CONSTRUCTOR) & no_params)
+    kind, name, text = F.col("kind"), F.col("name"), F.col("hover")
+    answers = (
+        hovers.filter(F.size("contents") > 0)
+        .groupBy(*FILE_KEYS, F.col("line").alias("_l"), F.col("character").alias("_c"))
+        .agg(F.min(F.array_join("contents", "\n")).alias("hover"))
     )
-    text = F.col("hover")
-    answers = hovers.select(
-        *FILE_KEYS, F.col("line").alias("_l"), F.col("character").alias("_c"),
-        F.array_join("contents", "\n").alias("hover"))
-    answers = answers.groupBy(*FILE_KEYS, "_l", "_c").agg(F.min("hover").alias("hover"))
-    open_rows = (
-        symbols.filter(needs)
-        .withColumn("_l", F.col("sel_rng.sl")).withColumn("_c", F.col("sel_rng.sc"))
+    return (
+        symbols.withColumn("_l", F.col("sel_rng.sl")).withColumn("_c", F.col("sel_rng.sc"))
         .join(answers, [*FILE_KEYS, "_l", "_c"], "left").drop("_l", "_c")
-        .withColumn("hover_type", F.when(sig.is_field(kind), sig.hover_field_type(text, name)))
-        .withColumn("hover_return", F.when(sig.is_plain_callable(kind), sig.hover_return_type(text, name)))
-        .withColumn("hover_params", F.when(kind == KIND_CONSTRUCTOR, sig.own_field_params(text, None)))
+        .withColumn("hover_type", F.when(
+            sig.is_field(kind) & F.col("detail_type").isNull(), sig.hover_field_type(text, name)))
+        .withColumn("hover_return", F.when(
+            sig.is_plain_callable(kind) & F.col("detail_return").isNull(), sig.hover_return_type(text, name)))
+        .withColumn("hover_params", F.when(
+            (kind == KIND_CONSTRUCTOR) & _no_params("detail_params"), sig.own_field_params(text, None)))
         .drop("hover")
     )
-    return open_rows.unionByName(symbols.filter(~F.coalesce(needs, F.lit(False))), allowMissingColumns=True)
 
 
 def source_evidence(symbols: DataFrame, files: DataFrame) -> DataFrame:
     """Add source_type and source_return for fields and callables still without a type."""
     kind, name, snippet = F.col("kind"), F.col("name"), F.col("snippet")
-    needs = F.coalesce(F.col("sel_rng").isNotNull() & (
-        (sig.is_field(kind) & F.coalesce("detail_type", "hover_type").isNull())
-        | (sig.is_plain_callable(kind) & F.coalesce("detail_return", "hover_return").isNull())
-    ), F.lit(False))
-    found = (
-        join_file_lines(symbols.filter(needs), files)
-        .withColumn("snippet", snippet_before(F.col("lines"), F.col("sel_rng.sl"))).drop("lines")
-        .withColumn("source_type", F.when(sig.is_field(kind), sig.snippet_field_type(snippet, name)))
-        .withColumn("source_return", F.when(sig.is_plain_callable(kind), sig.snippet_return_type(snippet, name)))
+    open_field = sig.is_field(kind) & F.coalesce("detail_type", "hover_type").isNull()
+    open_call = sig.is_plain_callable(kind) & F.coalesce("detail_return", "hover_return").isNull()
+    return (
+        join_file_lines(symbols, files)
+        .withColumn("snippet", F.when(open_field | open_call, snippet_before(F.col("lines"), F.col("sel_rng.sl"))))
+        .drop("lines")
+        .withColumn("source_type", F.when(open_field, sig.snippet_field_type(snippet, name)))
+        .withColumn("source_return", F.when(open_call, sig.snippet_return_type(snippet, name)))
         .drop("snippet")
     )
-    return found.unionByName(symbols.filter(~needs), allowMissingColumns=True)
 
 
 def settle_evidence(symbols: DataFrame) -> DataFrame:
     """One value per fact, in the order detail, hover, source text."""
-    params = F.when(F.size("detail_params") > 0, F.col("detail_params")).otherwise(
-        F.coalesce(F.when(F.size("hover_params") > 0, F.col("hover_params")), F.col("detail_params")))
+    params = F.when(_no_params("detail_params"), F.coalesce("hover_params", "detail_params")).otherwise(F.col("detail_params"))
     return (
         symbols
         .withColumn("resolved_type", F.coalesce("detail_type", "hover_type", "source_type"))

@@ -9,6 +9,7 @@ from codeloom.functions.symbols import kind_name
 from codeloom.operators import edges as E, nodes as N, packages as P
 from codeloom.operators.enrich import enrich, slice_bodies
 from codeloom.operators.graph import with_degrees
+from codeloom.session import cut_lineage
 from codeloom.sources.packages import uri_path
 
 
@@ -31,7 +32,8 @@ def layered(symbols: DataFrame) -> DataFrame:
 
 def build_graph(symbols: DataFrame, files: DataFrame, hovers: DataFrame, refs: DataFrame, packages: DataFrame) -> CodeGraph:
     """symbols come from `flatten_trees`; the other tables follow the schemas."""
-    known = layered(enrich(symbols, files, hovers))
+    # every later step reads the enriched symbols, so they are computed once and kept
+    known = cut_lineage(layered(cut_lineage(enrich(symbols, files, hovers))))
     # first symbol makes the node, last symbol is what edges are read from
     nodes = N.first_wins(N.node_rows(known), ["project_id", "node_id"], "ord")
     current = N.last_wins(

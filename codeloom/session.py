@@ -12,6 +12,8 @@ def configure(spark: SparkSession) -> SparkSession:
     # split a hot join key even where the split costs another exchange downstream
     spark.conf.set("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    # plans are built from many small expressions; keep the call-site capture of each one short
+    spark.conf.set("spark.sql.stackTracesInDataFrameContext", "1")
     return spark
 
 
@@ -23,6 +25,8 @@ def local_session(cpus: str = "*", app: str = "codeloom") -> SparkSession:
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.driver.memory", "16g")
         .config("spark.sql.session.timeZone", "UTC")
+        # a static setting: no call-site capture per expression, which costs seconds on wide plans
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
