@@ -36,14 +36,18 @@ BARE_IS_TYPE = (
 )
 ANNOTATION = r"@\w+(?:\([^)]*\))?"
 # word runs are bounded so that the matcher cannot recurse without limit on prose
-_WORDS = r"(?:\w+\s+){0,500}"
+_WORDS = r"(?:\w++\s++){0,500}"
+
+
+def _let(value: Column, body) -> Column:
+    """Bind a value that `body` uses more than once, so that it is computed once."""
+    return F.transform(F.array(value), body)[0]
 
 
 def _extract(text: Column, pattern: Column | str, group: int) -> Column:
     """regexp_extract that also takes a pattern column and yields null for no match."""
     pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
-    found = F.call_function("regexp_extract", text, pattern, F.lit(group))
-    return F.when(found != "", found)
+    return _let(F.call_function("regexp_extract", text, pattern, F.lit(group)), lambda f: F.when(f != "", f))
 
 
 def split_list(text: Column) -> Column:
@@ -93,11 +97,6 @@ def field_type(detail: Column) -> Column:
     return strip(_extract(detail, FIELD_TYPE, 1))
 
 
-def _let(value: Column, body) -> Column:
-    """Bind a value that `body` uses more than once, so that it is computed once."""
-    return F.transform(F.array(value), body)[0]
-
-
 def _between(text: Column, opening: str, closing: str) -> Column:
     """Struct of the text before the first opening mark and inside up to the last closing mark; null without both."""
     start = F.instr(text, opening)
@@ -201,7 +200,7 @@ def own_field_params(text: Column, named: bool | None) -> Column:
 
 
 def _not_void(t: Column) -> Column:
-    return F.when(F.lower(t) != "void", t)
+    return _let(t, lambda x: F.when(F.lower(x) != "void", x))
 
 
 def return_type(detail: Column, name: Column) -> Column:
@@ -222,22 +221,24 @@ def hover_return_type(text: Column, name: Column) -> Column:
     return _not_void(strip(_extract(text, pattern, 1)))
 
 
-def _drop_annotations(t: Column) -> Column:
-    return strip(F.regexp_replace(t, ANNOTATION, ""))
+def _last_type(head: Column) -> Column:
+    """What stands at the end of a text after its annotations and leading plain words."""
+    pattern = rf"(?:{ANNOTATION}\s*)*(?:static\s+)?{_WORDS}(.++)\z"
+    return strip(F.regexp_replace(_extract(head, pattern, 1), ANNOTATION, ""))
+
+
+def _text_before(snippet: Column, name: Column, lead: str, tail: str) -> Column:
+    """Text in front of the first place where the name is followed by `tail`."""
+    pattern = F.concat(F.lit(r"(?s)^(.*?\S)\s+" + lead), escape_regex(name), F.lit(tail))
+    return F.when(snippet.contains(name), _extract(snippet, pattern, 1))
 
 
 def snippet_field_type(snippet: Column, name: Column) -> Column:
-    pattern = F.concat(
-        F.lit(rf"(?:{ANNOTATION}\s*)*{_WORDS}(.+?)\s+"), escape_regex(name), F.lit(r"\s*(?:;|=)"),
-    )
-    return _drop_annotations(_extract(snippet, pattern, 1))
+    return _last_type(_text_before(snippet, name, "", r"\s*(?:;|=)"))
 
 
 def snippet_return_type(snippet: Column, name: Column) -> Column:
-    pattern = F.concat(
-        F.lit(rf"(?:{ANNOTATION}\s*)*(?:static\s+)?{_WORDS}(.+?)\s+(?:get\s+)?"), escape_regex(name), F.lit(r"\s*\("),
-    )
-    return _not_void(_drop_annotations(_extract(snippet, pattern, 1)))
+    return _not_void(_last_type(_text_before(snippet, name, r"(?:get\s+)?", r"\s*\(")))
 
 
 def is_constructor(kind: Column) -> Column:

@@ -38,10 +38,10 @@ def slice_bodies(symbols: DataFrame, files: DataFrame) -> DataFrame:
 def with_basics(symbols: DataFrame) -> DataFrame:
     """Access and SDK flag; symbols without a selection range stay as they are."""
     known = F.col("sel_rng").isNotNull()
-    return (
-        symbols.withColumn("access", F.when(known, access(F.col("name"))))
-        .withColumn("is_sdk", F.when(known, is_sdk_uri(F.col("file_uri"))))
-    )
+    return symbols.withColumns({
+        "access": F.when(known, access(F.col("name"))),
+        "is_sdk": F.when(known, is_sdk_uri(F.col("file_uri"))),
+    })
 
 
 def _class_key(name):
@@ -70,13 +70,11 @@ def detail_evidence(symbols: DataFrame) -> DataFrame:
     field = sig.is_field(kind)
     called = ~field & detail.rlike(r"(?s)\(.*\)")
     ctor = kind == KIND_CONSTRUCTOR
-    return (
-        symbols
-        .withColumn("detail_type", F.when(field, sig.field_type(detail)))
-        .withColumn("detail_params", F.when(called & ctor, sig.constructor_parameters(detail))
-                    .when(called, sig.parameters(detail)))
-        .withColumn("detail_return", F.when(called & ~ctor, sig.return_type(detail, name)))
-    )
+    return symbols.withColumns({
+        "detail_type": F.when(field, sig.field_type(detail)),
+        "detail_params": F.when(called & ctor, sig.constructor_parameters(detail)).when(called, sig.parameters(detail)),
+        "detail_return": F.when(called & ~ctor, sig.return_type(detail, name)),
+    })
 
 
 def _no_params(c: str):
@@ -92,15 +90,17 @@ def hover_evidence(symbols: DataFrame, hovers: DataFrame) -> DataFrame:
         .agg(F.min(F.array_join("contents", "\n")).alias("hover"))
     )
     return (
-        symbols.withColumn("_l", F.col("sel_rng.sl")).withColumn("_c", F.col("sel_rng.sc"))
-        .join(answers, [*FILE_KEYS, "_l", "_c"], "left").drop("_l", "_c")
-        .withColumn("hover_type", F.when(
-            sig.is_field(kind) & F.col("detail_type").isNull(), sig.hover_field_type(text, name)))
-        .withColumn("hover_return", F.when(
-            sig.is_plain_callable(kind) & F.col("detail_return").isNull(), sig.hover_return_type(text, name)))
-        .withColumn("hover_params", F.when(
-            (kind == KIND_CONSTRUCTOR) & _no_params("detail_params"), sig.own_field_params(text, None)))
-        .drop("hover")
+        symbols.withColumns({"_l": F.col("sel_rng.sl"), "_c": F.col("sel_rng.sc")})
+        .join(answers, [*FILE_KEYS, "_l", "_c"], "left")
+        .withColumns({
+            "hover_type": F.when(
+                sig.is_field(kind) & F.col("detail_type").isNull(), sig.hover_field_type(text, name)),
+            "hover_return": F.when(
+                sig.is_plain_callable(kind) & F.col("detail_return").isNull(), sig.hover_return_type(text, name)),
+            "hover_params": F.when(
+                (kind == KIND_CONSTRUCTOR) & _no_params("detail_params"), sig.own_field_params(text, None)),
+        })
+        .drop("hover", "_l", "_c")
     )
 
 
@@ -112,10 +112,11 @@ def source_evidence(symbols: DataFrame, files: DataFrame) -> DataFrame:
     return (
         join_file_lines(symbols, files)
         .withColumn("snippet", F.when(open_field | open_call, snippet_before(F.col("lines"), F.col("sel_rng.sl"))))
-        .drop("lines")
-        .withColumn("source_type", F.when(open_field, sig.snippet_field_type(snippet, name)))
-        .withColumn("source_return", F.when(open_call, sig.snippet_return_type(snippet, name)))
-        .drop("snippet")
+        .withColumns({
+            "source_type": F.when(open_field, sig.snippet_field_type(snippet, name)),
+            "source_return": F.when(open_call, sig.snippet_return_type(snippet, name)),
+        })
+        .drop("lines", "snippet")
     )
 
 
@@ -123,10 +124,11 @@ def settle_evidence(symbols: DataFrame) -> DataFrame:
     """One value per fact, in the order detail, hover, source text."""
     params = F.when(_no_params("detail_params"), F.coalesce("hover_params", "detail_params")).otherwise(F.col("detail_params"))
     return (
-        symbols
-        .withColumn("resolved_type", F.coalesce("detail_type", "hover_type", "source_type"))
-        .withColumn("return_type", F.coalesce("detail_return", "hover_return", "source_return"))
-        .withColumn("params", params)
+        symbols.withColumns({
+            "resolved_type": F.coalesce("detail_type", "hover_type", "source_type"),
+            "return_type": F.coalesce("detail_return", "hover_return", "source_return"),
+            "params": params,
+        })
         .drop("detail_type", "hover_type", "source_type", "detail_return", "hover_return", "source_return",
               "detail_params", "hover_params")
     )

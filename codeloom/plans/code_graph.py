@@ -24,18 +24,20 @@ class CodeGraph:
 
 def layered(symbols: DataFrame) -> DataFrame:
     """Enriched symbols with their architectural layer."""
-    return N.with_layers(
-        symbols.withColumn("key", F.col("node_id")).withColumn("parent_key", F.col("parent_node_id"))
-        .withColumn("bases", lowered_relations(F.col("relations")))
-    ).drop("key", "parent_key", "bases")
+    keyed = symbols.withColumns({
+        "key": F.col("node_id"), "parent_key": F.col("parent_node_id"),
+        "bases": lowered_relations(F.col("relations")),
+    })
+    return N.with_layers(keyed).drop("key", "parent_key", "bases")
 
 
 def build_graph(symbols: DataFrame, files: DataFrame, hovers: DataFrame, refs: DataFrame, packages: DataFrame) -> CodeGraph:
     """symbols come from `flatten_trees`; the other tables follow the schemas."""
-    # every later step reads the enriched symbols, so they are computed once and kept
-    known = cut_lineage(layered(cut_lineage(enrich(symbols, files, hovers))))
+    # enriched symbols, nodes and edges between symbols are each read by several later steps,
+    # so each is computed once and kept in the checkpoint folder
+    known = layered(cut_lineage(enrich(symbols, files, hovers)))
     # first symbol makes the node, last symbol is what edges are read from
-    nodes = N.first_wins(N.node_rows(known), ["project_id", "node_id"], "ord")
+    nodes = cut_lineage(N.first_wins(N.node_rows(known), ["project_id", "node_id"], "ord"))
     current = N.last_wins(
         known.select("project_id", "node_id", "ord", "file_uri", "name", "kind", "rng", "sel_rng", "relations"),
         ["project_id", "node_id"], "ord")
@@ -57,10 +59,10 @@ def build_graph(symbols: DataFrame, files: DataFrame, hovers: DataFrame, refs: D
         files.select("project_id", "file_uri", uri_path(F.col("file_uri")).alias("path")), packages)
     placed = P.assign_containers(nodes, sources)
     every = placed.unionByName(P.container_nodes(packages), allowMissingColumns=True)
-    edges = E.union_edges([
+    edges = cut_lineage(E.union_edges([
         E.relation_edges(relations, nodes), E.call_edges(mentioned, named),
         E.read_edges(refs, owners, passive, mentioned),
-    ], nodes)
+    ], nodes))
     packaged = every.select("project_id", "node_id", F.col("source.package_name").alias("package"))
     edges = E.union_edges([edges, P.package_edges(edges, packaged)], every)
     return CodeGraph(known, with_degrees(every, edges), edges, bodies, sources)
