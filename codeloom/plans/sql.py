@@ -179,6 +179,6 @@ ORDER_LAKE = """orows AS (SELECT o_orderkey AS k, o_custkey AS c, 'p' || ((o_ord
     UNION ALL SELECT DISTINCT project_id, 'project_root', 'package_container', 'utility', NULL, 'project' FROM packs),
   deps AS (SELECT DISTINCT e.project_id, CASE WHEN s.package IS NULL THEN 'project_root' ELSE 'package_container:' || s.package END AS source,
       'package_container:' || t.package AS target, 'USES_AS_TYPE' AS label
-    FROM core e JOIN onode s ON s.project_id = e.project_id AND s.node_id = e.source JOIN onode t ON t.project_id = e.project_id AND t.node_id = e.target
+    FROM core e JOIN onode s ON s.node_id = e.source JOIN onode t ON t.node_id = e.target
     WHERE t.package IS NOT NULL AND (s.package IS NULL OR s.package <> t.package)),
   alledges AS (SELECT * FROM core UNION ALL SELECT * FROM deps)"""
