@@ -21,7 +21,7 @@ def relation_edges(relations: DataFrame, nodes: DataFrame) -> DataFrame:
         "project_id", "source", label.alias("edge_label"),
         F.trim(F.substring_index("target_name", "<", 1)).alias("label"))
     return wanted.join(first_class_by_label(nodes), ["project_id", "label"]).select(
-        "project_id", "source", F.col("class_id").alias("target"), F.col("edge_label").alias("label"))
+        "project_id", "source", F.col("class_id").alias("target"), F.col("edge_label").alias("label")).distinct()
 
 
 def mentions(bodies: DataFrame) -> DataFrame:
@@ -38,12 +38,13 @@ def call_edges(mentioned: DataFrame, symbols: DataFrame) -> DataFrame:
     """CALLS edges: every mentioned name to every method or function of that name.
 
     An equi-join on (project, name); only ids travel. symbols(project_id, node_id, name, kind name).
+    Both sides are distinct and an id holds one name, so no pair can come twice.
     """
     targets = symbols.filter(F.col("kind").isin("method", "function")).select(
         "project_id", "name", F.col("node_id").alias("target")).distinct()
     return (
         mentioned.join(targets, ["project_id", "name"]).filter(F.col("source") != F.col("target"))
-        .select("project_id", "source", "target", F.lit("CALLS").alias("label")).distinct()
+        .select("project_id", "source", "target", F.lit("CALLS").alias("label"))
     )
 
 
@@ -121,10 +122,14 @@ def admit(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     )
 
 
-def union_edges(parts: list[DataFrame], nodes: DataFrame) -> DataFrame:
-    """All producers behind one admission, with a stable id."""
+def union_edges(parts: list[DataFrame]) -> DataFrame:
+    """Union of producers that take both ends from the node table, with a stable id.
+
+    Each producer gives distinct rows under labels of its own, so only self loops are left to drop
+    and the edges, the largest table, need no shuffle here. Edges from elsewhere go through `admit`.
+    """
     every = reduce(DataFrame.unionByName, [p.select(*EDGE_KEYS) for p in parts])
-    return admit(every, nodes).select(*EDGE_KEYS, edge_id().alias("edge_id"))
+    return every.filter(F.col("source") != F.col("target")).withColumn("edge_id", edge_id())
 
 
 def edge_id():

@@ -8,6 +8,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from codeloom.session import spread
+
 
 _SCHEMAS: dict = {}
 
@@ -152,7 +154,8 @@ def part_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def part_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One member symbol per order line, below the class of its part."""
     ok, ln, sk = F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_suppkey")
-    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey", "l_extendedprice")
+    lines = spread(table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_suppkey", "l_partkey", "l_extendedprice"))
     owners = part_classes(spark, sf_dir).select(
         "project_id", "file_uri", "part", F.col("name").alias("parent_name"), F.col("kind").alias("parent_kind"))
     kind = (
@@ -215,9 +218,13 @@ def _order_cols() -> dict[str, Column]:
             "content": reduce(lambda a, b: F.concat(a, F.lit("\n"), b), lines), "send_line": send_line}
 
 
+def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"))
+
+
 def order_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey")
-    return table(spark, sf_dir, "orders").select(
+    return _orders(spark, sf_dir).select(
         order_project(k).alias("project_id"), order_uri(k).alias("file_uri"),
         text("lib/f", k % 10, "/order_", k, ".dart").alias("rel_path"), _order_cols()["content"].alias("content"))
 
@@ -252,7 +259,7 @@ def order_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(",\"selectionRange\":"), F.to_json(_rng(2, 6, 2, 10)),
         F.lit(",\"children\":["), F.array_join(members, ","), F.lit("]}]"))
     status = F.when(k % 97 == 0, "error").when(k % 50 == 0, "empty").otherwise("ok")
-    return table(spark, sf_dir, "orders").select(
+    return _orders(spark, sf_dir).select(
         order_project(k).alias("project_id"), order_uri(k).alias("file_uri"), status.alias("status"),
         F.when(status == "error", "no answer").when(status == "empty", "[]").otherwise(whole).alias("tree"))
 
@@ -261,7 +268,7 @@ def order_hovers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hover answers for the `send` methods; those of odd files are empty."""
     k, x = F.col("o_orderkey"), _order_cols()
     answer = F.array(F.concat(F.lit("```dart\nFuture<Hub> "), x["send"], F.lit("()\n```")), F.lit("docs"))
-    return table(spark, sf_dir, "orders").select(
+    return _orders(spark, sf_dir).select(
         order_project(k).alias("project_id"), order_uri(k).alias("file_uri"),
         F.lit(10).alias("line"), F.lit(7).alias("character"),
         F.when(k % 2 == 0, answer).otherwise(F.array().cast("array<string>")).alias("contents"))
@@ -271,7 +278,7 @@ def order_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recorded references to the field of a file: from its own load method and from half its number's."""
     k = F.col("o_orderkey")
     users = F.array(k, F.floor(k / 2))
-    return table(spark, sf_dir, "orders").select(k, F.explode(users).alias("user")).select(
+    return _orders(spark, sf_dir).select(k, F.explode(users).alias("user")).select(
         order_project(k).alias("project_id"), order_uri(k).alias("target_uri"),
         F.lit(3).alias("target_line"), F.lit(8).alias("target_char"),
         order_uri(F.col("user")).alias("ref_uri"), F.lit(8).alias("ref_line"), F.lit(11).alias("ref_char"))
@@ -294,7 +301,7 @@ def code_text(c: Column) -> Column:
 
 
 def code_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")).select(
         "doc_id", "lang", F.col("source").alias("project_id"), text("doc:", F.col("doc_id")).alias("file_uri"),
         F.when(F.col("doc_id") % 2 == 0, "method").otherwise("function").alias("kind"),
         code_text(F.col("text")).alias("code"))

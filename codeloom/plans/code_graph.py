@@ -62,9 +62,9 @@ def build_graph(symbols: DataFrame, files: DataFrame, hovers: DataFrame, refs: D
     edges = cut_lineage(E.union_edges([
         E.relation_edges(relations, nodes), E.call_edges(mentioned, named),
         E.read_edges(refs, owners, passive, mentioned),
-    ], nodes))
+    ]))
     packaged = every.select("project_id", "node_id", F.col("source.package_name").alias("package"))
-    edges = E.union_edges([edges, P.package_edges(edges, packaged)], every)
+    edges = E.union_edges([edges, P.package_edges(edges, packaged)])
     return CodeGraph(known, with_degrees(every, edges), edges, bodies, sources)
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from codeloom.functions import text as T
 from codeloom.operators import edges as E, enrich as R, semantics as M, views as V
 from codeloom.plans import bindings as B
+from codeloom.session import spread
 from codeloom.sources.messages import choose_language
 from codeloom.sources.sinks import sanitize_strings
 
@@ -14,7 +15,7 @@ SECTIONS = ["responsibilities", "decisions", "validations", "collaborations"]
 
 
 def escaped_text(spark, d):
-    return B.table(spark, d, "documents").select("doc_id", F.md5(T.escape_regex(F.col("text"))).alias("digest"))
+    return spread(B.table(spark, d, "documents").select("doc_id", "text")).select("doc_id", F.md5(T.escape_regex(F.col("text"))).alias("digest"))
 
 
 def cleaned_source(spark, d):
@@ -32,7 +33,7 @@ def _with_controls(c):
 
 def sanitized_text(spark, d):
     safe = T.sanitize_json(_with_controls(F.col("text")))
-    return B.table(spark, d, "documents").select("doc_id", F.md5(safe).alias("digest"), F.length(safe).alias("n_chars"))
+    return spread(B.table(spark, d, "documents").select("doc_id", "text")).select("doc_id", F.md5(safe).alias("digest"), F.length(safe).alias("n_chars"))
 
 
 def sanitized_turns(spark, d):
@@ -86,7 +87,7 @@ def page_links(spark, d):
 
 
 def page_calls(spark, d):
-    pages = B.table(spark, d, "pages").select(
+    pages = spread(B.table(spark, d, "pages").select("page_id", "html")).select(
         F.lit("web").alias("project_id"), F.col("page_id").alias("source"), F.col("html").alias("body"))
     return E.mentions(pages).select(F.col("source").alias("page_id"), "name")
 

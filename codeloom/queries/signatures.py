@@ -135,7 +135,7 @@ def inheritance_edges(spark, d):
         "project_id", F.col("node_id").alias("source"), F.explode(sig.relation_rows(F.col("relations"))).alias("r"),
     ).select("project_id", "source", "r.*")
     nodes = classes.select("project_id", "node_id", F.col("name").alias("label"), F.lit("class").alias("kind"), "ord")
-    return E.relation_edges(relations, nodes).distinct()
+    return E.relation_edges(relations, nodes)
 
 
 def resolved_types(spark, d):
