@@ -7,14 +7,18 @@ from codeloom.session import cut_lineage
 
 
 def with_degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Add in_degree and out_degree; edge ends that are not nodes count for nobody."""
-    def count(side: str, out: str) -> DataFrame:
-        return edges.groupBy("project_id", F.col(side).alias("node_id")).agg(F.count("*").alias(out))
-    return (
-        nodes.join(count("target", "in_degree"), ["project_id", "node_id"], "left")
-        .join(count("source", "out_degree"), ["project_id", "node_id"], "left")
-        .fillna(0, ["in_degree", "out_degree"])
+    """Add in_degree and out_degree; edge ends that are not nodes count for nobody.
+
+    Both counts come from one pass over the edges and one aggregate, folded before the shuffle.
+    """
+    def end(side: str, coming: int):
+        return F.struct(F.col(side).alias("node_id"), F.lit(coming).alias("coming"), F.lit(1 - coming).alias("leaving"))
+    counts = (
+        edges.select("project_id", F.explode(F.array(end("source", 0), end("target", 1))).alias("e"))
+        .groupBy("project_id", "e.node_id").agg(
+            F.sum("e.coming").alias("in_degree"), F.sum("e.leaving").alias("out_degree"))
     )
+    return nodes.join(counts, ["project_id", "node_id"], "left").fillna(0, ["in_degree", "out_degree"])
 
 
 def edge_breakdown(edges: DataFrame) -> DataFrame:
@@ -88,13 +92,14 @@ def _walk(traces: DataFrame, links: DataFrame, hops: int, cut_every: int, grow)
 def neighbourhood(nodes: DataFrame, edges: DataFrame, focus: DataFrame) -> DataFrame:
     """Members, predecessors and successors of every focus(project_id, node_id), one row each."""
     f = focus.select("project_id", F.col("node_id").alias("focus")).distinct()
-    members = nodes.select("project_id", F.col("parent").alias("focus"), F.col("node_id").alias("other")).withColumn(
-        "role", F.lit("member"))
-    before = edges.select("project_id", F.col("target").alias("focus"), F.col("source").alias("other")).withColumn(
-        "role", F.lit("predecessor"))
-    after = edges.select("project_id", F.col("source").alias("focus"), F.col("target").alias("other")).withColumn(
-        "role", F.lit("successor"))
-    every = members.unionByName(before).unionByName(after)
+    members = nodes.select("project_id", F.col("parent").alias("focus"), F.lit("member").alias("role"),
+                           F.col("node_id").alias("other"))
+
+    def seen(focus: str, role: str, other: str):
+        return F.struct(F.col(focus).alias("focus"), F.lit(role).alias("role"), F.col(other).alias("other"))
+    around = edges.select("project_id", F.explode(F.array(
+        seen("target", "predecessor", "source"), seen("source", "successor", "target"))).alias("e")).select("project_id", "e.*")
+    every = members.unionByName(around)
     return every.join(f, ["project_id", "focus"], "left_semi").select("project_id", "focus", "role", "other").distinct()
 
 

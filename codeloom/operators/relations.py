@@ -26,12 +26,17 @@ def focus_relations(verbed: DataFrame) -> DataFrame:
 
     One row per (focus, verb, partner edge): partner lists of busy nodes stay rows, never one array.
     """
-    def seen(focus: str, partner: str) -> DataFrame:
-        return verbed.select(
-            "project_id", F.col(focus).alias("focus"), F.col(f"{focus}_label").alias("focus_label"), "verb",
-            "label_class", "edge_ord", F.col(partner).alias("partner"), F.col(f"{partner}_label").alias("partner_label"))
-    return seen("source", "target").unionByName(seen("target", "source")).filter(
-        F.col("focus_label") != F.col("partner_label"))
+    def seen(focus: str, partner: str):
+        return F.struct(
+            F.col(focus).alias("focus"), F.col(f"{focus}_label").alias("focus_label"),
+            F.col(partner).alias("partner"), F.col(f"{partner}_label").alias("partner_label"))
+    # both views of an edge come from one pass over the joined edges
+    return (
+        verbed.filter(F.col("source_label") != F.col("target_label"))
+        .select("project_id", "verb", "label_class", "edge_ord",
+                F.explode(F.array(seen("source", "target"), seen("target", "source"))).alias("e"))
+        .select("project_id", "verb", "label_class", "edge_ord", "e.*")
+    )
 
 
 def verb_groups(relations: DataFrame) -> DataFrame:

@@ -5,10 +5,11 @@ from functools import reduce
 from pyspark.sql import functions as F
 
 from codeloom.functions import text as T
-from codeloom.operators import edges as E, enrich as R, semantics as M, views as V
+from codeloom.functions.detectors import condition_count, switch_count
+from codeloom.operators import edges as E, enrich as R, graph as G, semantics as M, views as V
 from codeloom.plans import bindings as B
 from codeloom.session import spread
-from codeloom.sources.messages import choose_language
+from codeloom.sources.messages import builtin_messages, choose_language, with_template
 from codeloom.sources.sinks import sanitize_strings
 
 SECTIONS = ["responsibilities", "decisions", "validations", "collaborations"]
@@ -82,6 +83,15 @@ def node_imports(spark, d):
     return V.node_imports(placed, V.file_imports(_doc_files(spark, d)))
 
 
+def import_roles(spark, d):
+    """Imports of each document split into the project's own and external packages."""
+    projects = B.table(spark, d, "documents").select(F.col("source").alias("project_id")).distinct()
+    own = F.length("project_id") == 4
+    packages = projects.select("project_id", F.lit("for_kit").alias("name"), F.when(own, "custom").otherwise("third_party").alias("type"))
+    nodes = B.code_documents(spark, d).select("project_id", "file_uri", F.col("file_uri").alias("node_id"))
+    return G.package_uses(V.node_imports(nodes, V.file_imports(_doc_files(spark, d))), packages)
+
+
 def page_links(spark, d):
     return B.table(spark, d, "pages").select("page_id", F.explode(T.link_targets(F.col("html"))).alias("target"))
 
@@ -106,7 +116,6 @@ def profile_counts(spark, d):
 
 
 def decision_counts(spark, d):
-    from codeloom.functions.detectors import condition_count, switch_count
     code = F.col("code")
     return B.code_documents(spark, d).select(
         "doc_id", condition_count(code).alias("n_conditions"), switch_count(code).alias("n_switches"))
@@ -122,7 +131,6 @@ def nation_phrases(spark, d):
 
 def event_messages(spark, d):
     """Unknown keys stand for themselves."""
-    from codeloom.sources.messages import builtin_messages, with_template
     key = F.when(F.col("event_type") == "click", "verb.calls").when(
         F.col("event_type") == "view", "decisions.businessCases").otherwise(F.concat(F.lit("event."), F.col("event_type")))
     rows = B.table(spark, d, "events").withColumn("message", key)
@@ -225,6 +233,9 @@ QUERIES = {
         unnest(list_distinct(regexp_extract_all(code, 'import\\s+[''"]package:(\\w+)/', 1))) AS package FROM docs"""),
     "node_imports": (node_imports, f"""WITH {DOCS} SELECT project_id, 'node:' || doc_id AS node_id,
         unnest(list_distinct(regexp_extract_all(code, 'import\\s+[''"]package:(\\w+)/', 1))) AS package FROM docs JOIN labels USING (doc_id)"""),
+    "import_roles": (import_roles, f"""WITH {DOCS}, i AS (SELECT project_id, file_uri AS node_id,
+          unnest(list_distinct(regexp_extract_all(code, 'import\\s+[''"]package:(\\w+)/', 1))) AS package FROM docs)
+        SELECT project_id, node_id, package, CASE WHEN package = 'for_kit' AND length(project_id) = 4 THEN 'own_import' ELSE 'external_import' END AS role FROM i"""),
     "page_links": (page_links, """SELECT page_id, unnest(list_distinct(regexp_extract_all(html, '<a href="([^"]*)"', 1))) AS target FROM pages"""),
     "page_calls": (page_calls, f"""WITH c AS (SELECT page_id, {_HTML_CLEAN} AS clean FROM pages)
         SELECT DISTINCT page_id, unnest(regexp_extract_all(clean, '\\b(\\w[\\w$.]*)\\s*\\(', 1)) AS name FROM c
