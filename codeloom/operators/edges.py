@@ -25,13 +25,12 @@ def relation_edges(relations: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def mentions(bodies: DataFrame) -> DataFrame:
-    """bodies(project_id, source, body) -> distinct (project_id, source, name) called in the cleaned text."""
+    """bodies(project_id, source, body), one per source -> (project_id, source, name) called in the cleaned text.
+
+    The names of a body are made distinct inside its row, so the mentions need no shuffle.
+    """
     tokens = call_tokens(strip_comments_and_strings(F.col("body")))
-    return (
-        bodies.filter(F.col("body") != "")
-        .select("project_id", "source", F.explode(tokens).alias("name"))
-        .distinct()
-    )
+    return bodies.filter(F.col("body") != "").select("project_id", "source", F.explode(tokens).alias("name"))
 
 
 def call_edges(mentioned: DataFrame, symbols: DataFrame) -> DataFrame:

@@ -43,7 +43,8 @@ def build_graph(symbols: DataFrame, files: DataFrame, hovers: DataFrame, refs: D
         ["project_id", "node_id"], "ord")
     bodies = slice_bodies(
         E.executables(current).select("project_id", "file_uri", "node_id", "kind", "rng", "sel_rng"), files)
-    mentioned = E.mentions(bodies.select("project_id", F.col("node_id").alias("source"), "body"))
+    # calls and reads both ask for the mentions; the bodies behind them are sliced and scanned once
+    mentioned = cut_lineage(E.mentions(bodies.select("project_id", F.col("node_id").alias("source"), "body")))
     relations = current.select(
         "project_id", F.col("node_id").alias("source"), F.explode(relation_rows(F.col("relations"))).alias("r"),
     ).select("project_id", "source", "r.*")
