@@ -1,5 +1,6 @@
 """Session settings and lineage cutting."""
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +13,8 @@ def configure(spark: SparkSession) -> SparkSession:
     # split a hot join key even where the split costs another exchange downstream
     spark.conf.set("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    # Python tasks hold one batch of whole texts at a time
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
     # plans are built from many small expressions; keep the call-site capture of each one short
     spark.conf.set("spark.sql.stackTracesInDataFrameContext", "1")
     return spark
@@ -25,6 +28,8 @@ def local_session(cpus: str = "*", app: str = "codeloom") -> SparkSession:
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.driver.memory", "16g")
         .config("spark.sql.session.timeZone", "UTC")
+        # checkpoints go once nothing refers to them
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         # a static setting: no call-site capture per expression, which costs seconds on wide plans
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()
@@ -33,17 +38,25 @@ def local_session(cpus: str = "*", app: str = "codeloom") -> SparkSession:
     return configure(spark)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir; all executors and the driver see it.
+
+    Only a session that runs in one process may go without the setting; it gets a folder of its own.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="codeloom-checkpoint-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder the cluster names in spark.checkpoint.dir."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
+    """Reliable checkpoint in the shared folder."""
+    sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not sc.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-            folder = tempfile.mkdtemp(prefix="codeloom-checkpoint-")
-        sc.setCheckpointDir(folder)
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
