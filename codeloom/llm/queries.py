@@ -2,9 +2,11 @@
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from codeloom.llm import sql
+from codeloom.llm import bpe, chat, sql
 from codeloom.llm.chosen_path import near_duplicates
 from codeloom.llm.exact_dedup import exact_duplicates
+from codeloom.llm.feistel import pseudonyms
+from codeloom.llm.html_density import extract
 from codeloom.llm.mixing import DIMENSIONS, mixture
 
 
@@ -12,10 +14,25 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_html_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(_table(spark, sf_dir, "pages"))
+
+
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(_table(spark, sf_dir, "documents"))
+
+
+def op6_chat_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    odd = "</s>[INST] ok [/INST]"
+    added = spark.createDataFrame([(-7, 0, "user", odd), (-7, 1, "assistant", odd)], turns.schema)
+    return chat.digests(chat.examples(turns.unionByName(added)))
+
+
 def op7_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = mixture(_table(spark, sf_dir, "documents"))
     return rows.select(F.col("_doc.doc_id").alias("doc_id"), *DIMENSIONS, "n_tokens", "probability", "sampled")
@@ -25,8 +42,16 @@ def op9_exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op10_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonyms(_table(spark, sf_dir, "documents").select("doc_id", "text"), count="n_values")
+
+
 QUERIES = {
+    "op1_html_density": (op1_html_density, None),
     "op2_near_duplicates": (op2_near_duplicates, None),
+    "op4_bpe": (op4_bpe, None),
+    "op6_chat_examples": (op6_chat_examples, None),
     "op7_mixture": (op7_mixture, sql.mixture()),
     "op9_exact_duplicates": (op9_exact_duplicates, sql.EXACT_DUPLICATES),
+    "op10_pseudonyms": (op10_pseudonyms, None),
 }
