@@ -3,11 +3,13 @@
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from codeloom.llm import bpe, chat, sql
+from codeloom.llm.ball_tree import top_k
 from codeloom.llm.chosen_path import near_duplicates
 from codeloom.llm.exact_dedup import exact_duplicates
 from codeloom.llm.feistel import pseudonyms
 from codeloom.llm.html_density import extract
 from codeloom.llm.mixing import DIMENSIONS, mixture
+from codeloom.llm.weak_labels import quality
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +24,10 @@ def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op3_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_table(spark, sf_dir, "documents"))
 
@@ -38,6 +44,11 @@ def op7_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("_doc.doc_id").alias("doc_id"), *DIMENSIONS, "n_tokens", "probability", "sampled")
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = quality(_table(spark, sf_dir, "documents"))
+    return rows.select(F.col("_doc.doc_id").alias("doc_id"), "n_words", "label", "score", "kept")
+
+
 def op9_exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -49,9 +60,11 @@ def op10_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_html_density": (op1_html_density, None),
     "op2_near_duplicates": (op2_near_duplicates, None),
+    "op3_top_k": (op3_top_k, sql.TOP_K),
     "op4_bpe": (op4_bpe, None),
     "op6_chat_examples": (op6_chat_examples, None),
     "op7_mixture": (op7_mixture, sql.mixture()),
+    "op8_quality": (op8_quality, None),
     "op9_exact_duplicates": (op9_exact_duplicates, sql.EXACT_DUPLICATES),
     "op10_pseudonyms": (op10_pseudonyms, None),
 }

@@ -63,6 +63,11 @@ def _spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.flatnonzero(starts), np.flatnonzero(ends) + 1
 
 
+def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First byte and end of every word of all texts."""
+    return _spans(data, offsets) if len(data) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
 def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words in order, and for each text where its words begin (one more entry at the end)."""
     data, offsets = buffers(texts)
