@@ -8,6 +8,7 @@ from codeloom.llm.chosen_path import near_duplicates
 from codeloom.llm.exact_dedup import exact_duplicates
 from codeloom.llm.feistel import pseudonyms
 from codeloom.llm.html_density import extract
+from codeloom.llm.log_bloom import scores
 from codeloom.llm.mixing import DIMENSIONS, mixture
 from codeloom.llm.weak_labels import quality
 
@@ -32,6 +33,10 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_table(spark, sf_dir, "documents"))
 
 
+def op5_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scores(_table(spark, sf_dir, "documents"))
+
+
 def op6_chat_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     odd = "</s>[INST] ok [/INST]"
@@ -62,6 +67,7 @@ QUERIES = {
     "op2_near_duplicates": (op2_near_duplicates, None),
     "op3_top_k": (op3_top_k, sql.TOP_K),
     "op4_bpe": (op4_bpe, None),
+    "op5_lm_scores": (op5_lm_scores, None),
     "op6_chat_examples": (op6_chat_examples, None),
     "op7_mixture": (op7_mixture, sql.mixture()),
     "op8_quality": (op8_quality, None),
