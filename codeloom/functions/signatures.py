@@ -3,14 +3,9 @@
 from pyspark.sql import Column, functions as F
 
 from codeloom.functions.text import base_type_name, escape_regex, strip  # noqa: F401
-from codeloom.schemas import KIND_CONSTRUCTOR, KIND_FIELD, KIND_FUNCTION, KIND_METHOD, KIND_PROPERTY
+from codeloom.schemas import KIND_FIELD, KIND_FUNCTION, KIND_METHOD, KIND_PROPERTY
 
 # --- fixed values: patterns ----------------------------------------------------------
-_ANGLES = r"<(?:[^<>]++|<(?:[^<>]++|<[^<>]*+>)*+>)*+>"
-# one entry of a comma list; commas inside brackets of any kind do not end it
-LIST_ENTRY = (
-    r"(?:[^,<>()\[\]{}]++|" + _ANGLES + r"|\((?:[^()]++|\([^()]*+\))*+\)|\[[^\[\]]*+\]|\{[^{}]*+\}|[<>()\[\]{}])++"
-)
 FIELD_TYPE = (
     r"^\s*(?:(?:@[\w.]+\s*)*(?:late|final|const|static|required|covariant)\s+)*"
     r"([\w<>\[\]\{\},?().\s]+?)\s+[\w$]+\s*(?:=.*)?\z"
@@ -35,8 +30,20 @@ BARE_IS_TYPE = (
     r"(?i)[<>?()]|Function|^void\z|^dynamic\z|^Never\z|^Null\z|^Object\z|^bool\z|^int\z|^double\z|^num\z|^String\z"
 )
 ANNOTATION = r"@\w+(?:\([^)]*\))?"
-# word runs are bounded so that the matcher cannot recurse without limit on prose
-_WORDS = r"(?:\w++\s++){0,500}"
+HOVER_FIELD = r"```dart\s*(?:[\w\s]+\s)?(.+?)\s+"
+HOVER_RETURN = (r"```dart\s*(?:static\s+)?(.+?)\s+(?:get\s+)?[\"'`]?", r"[\"'`]?\s*\(")
+SNIPPET_FIELD_TAIL = r"\s*(?:;|=)"
+SNIPPET_RETURN = (r"(?:get\s+)?", r"\s*\(")
+
+# --- comma lists ---------------------------------------------------------------------
+# what is inside brackets is masked one character by one, from the innermost pairs outwards
+_NO_BRACKET = r"[^()<>\[\]{}]"
+_PAIRS = [(r"\(", r"\)", "\ue000", "\ue001"), ("<", ">", "\ue002", "\ue003"), (r"\[", r"\]", "\ue004", "\ue005"),
+          (r"\{", r"\}", "\ue006", "\ue007")]
+_OPENED = "(?:" + "|".join(rf"{o}(?={_NO_BRACKET}*{c})" for o, c, _, _ in _PAIRS) + ")"
+_INNER_COMMA = rf"({_OPENED}|\G(?!\A))([^,()<>\[\]{{}}]*),"
+_INNER_EXTENDS = rf"({_OPENED}|\G(?!\A))({_NO_BRACKET}*?)(?<!\w)extends(?!\w)"
+_COMMA, _EXTENDS = "\ue008", "\ue009"
 
 
 def _let(value: Column, body) -> Column:
@@ -50,20 +57,37 @@ def _extract(text: Column, pattern: Column | str, group: int) -> Column:
     return _let(F.call_function("regexp_extract", text, pattern, F.lit(group)), lambda f: F.when(f != "", f))
 
 
+def _masked(text: Column, pattern: str, mark: str) -> Column:
+    """Brackets in pairs, and what `pattern` finds inside them, replaced by marks; any depth."""
+    def step(t: Column, _) -> Column:
+        t = F.regexp_replace(t, pattern, "$1$2" + mark)
+        for opening, closing, left, right in _PAIRS:
+            t = F.regexp_replace(t, f"{opening}({_NO_BRACKET}*){closing}", left + "$1" + right)
+        return t
+    deepest = F.length(text) - F.length(F.translate(text, "(<[{", ""))
+    return F.when(deepest > 0, F.aggregate(F.sequence(F.lit(1), F.greatest(deepest, F.lit(1))), text, step)).otherwise(text)
+
+
+def _unmasked(text: Column) -> Column:
+    marks = "".join(left + right for _, _, left, right in _PAIRS)
+    return F.replace(F.translate(text, marks + _COMMA, "()<>[]{},"), F.lit(_EXTENDS), F.lit("extends"))
+
+
 def split_list(text: Column) -> Column:
-    """Top-level comma split, entries trimmed, empty ones dropped."""
-    parts = F.transform(F.regexp_extract_all(text, F.lit(LIST_ENTRY), 0), strip)
+    """Top-level comma split, entries trimmed, empty ones dropped. Unpaired brackets are plain characters."""
+    parts = F.transform(F.split(_masked(text, _INNER_COMMA, _COMMA), ","), lambda p: strip(_unmasked(p)))
     return F.filter(parts, lambda p: p != "")
 
 
 # --- class headers -------------------------------------------------------------------
 def class_relations(detail: Column) -> Column:
     """Struct of three name arrays read from a class header."""
-    header = F.regexp_replace(detail, r"((?<!\w)class\s+[\w$]+\s*)" + _ANGLES, "$1")
+    # an `extends` between brackets bounds a type parameter and starts no clause
+    header = _masked(detail, _INNER_EXTENDS, _EXTENDS)
 
     def clause(keyword: str) -> Column:
-        pattern = rf"(?s)(?<!\w){keyword}\s+(.+?)\s*(?=(?<!\w)(?:extends|with|implements)\s|\{{|\z)"
-        return F.coalesce(split_list(F.regexp_extract(header, pattern, 1)), F.array().cast("array<string>"))
+        pattern = rf"(?s)(?<!\w){keyword}\s+(.+?)\s*(?=(?<!\w)(?:extends|with|implements)\s|[{{\ue006]|\z)"
+        return F.coalesce(split_list(_unmasked(F.regexp_extract(header, pattern, 1))), F.array().cast("array<string>"))
 
     return F.struct(
         clause("extends").alias("extends"),
@@ -203,28 +227,37 @@ def _not_void(t: Column) -> Column:
     return _let(t, lambda x: F.when(F.lower(x) != "void", x))
 
 
-def return_type(detail: Column, name: Column) -> Column:
+def return_type(detail: Column, name: Column, keep_void: bool = False) -> Column:
+    """`keep_void` shows a declared void as such; otherwise it is null like an unknown type."""
     bare = strip(F.regexp_replace(F.regexp_replace(detail, r"@[\w.]+\s*", ""), MODIFIERS, ""))
     pattern = F.concat(F.lit(rf"^({RETURN_CHARS}+?)\s+"), escape_regex(name), F.lit(r"\s*\("))
-    return _not_void(strip(_extract(bare, pattern, 1)))
+    found = strip(_extract(bare, pattern, 1))
+    return found if keep_void else _not_void(found)
 
 
 def hover_field_type(text: Column, name: Column) -> Column:
-    pattern = F.concat(F.lit(r"```dart\s*(?:[\w\s]+\s)?(.+?)\s+"), escape_regex(name))
-    return strip(_extract(text, pattern, 1))
+    return strip(_extract(text, F.concat(F.lit(HOVER_FIELD), escape_regex(name)), 1))
 
 
-def hover_return_type(text: Column, name: Column) -> Column:
-    pattern = F.concat(
-        F.lit(r"```dart\s*(?:static\s+)?(.+?)\s+(?:get\s+)?[\"'`]?"), escape_regex(name), F.lit(r"[\"'`]?\s*\("),
-    )
-    return _not_void(strip(_extract(text, pattern, 1)))
+def hover_return_type(text: Column, name: Column, keep_void: bool = False) -> Column:
+    found = strip(_extract(text, F.concat(F.lit(HOVER_RETURN[0]), escape_regex(name), F.lit(HOVER_RETURN[1])), 1))
+    return found if keep_void else _not_void(found)
 
 
 def _last_type(head: Column) -> Column:
-    """What stands at the end of a text after its annotations and leading plain words."""
-    pattern = rf"(?:{ANNOTATION}\s*)*(?:static\s+)?{_WORDS}(.++)\z"
-    return strip(F.regexp_replace(_extract(head, pattern, 1), ANNOTATION, ""))
+    """The type at the end of a text: its last line, without the plain words in front of the type.
+
+    Words are left out where the line is not indented, or where the line before it ends in a word or an
+    annotation; an indented line after other text keeps its modifiers.
+    """
+    def read(line: Column) -> Column:
+        before = F.substring(head, F.lit(1), F.length(head) - F.length(line) - 1)
+        goes_on = before.rlike(r"(?:\w|@\w+\([^)]*\))\s*\z")
+        bare = F.regexp_replace(strip(line), rf"^(?:{ANNOTATION}\s*)+", "")
+        typed = _extract(bare, r"\w*+[^\w\s].*\z|\w+\z", 0)
+        shown = F.when(~goes_on & line.rlike(r"^\s"), line).otherwise(typed)
+        return strip(F.regexp_replace(shown, ANNOTATION, ""))
+    return _let(F.substring_index(head, "\n", -1), read)
 
 
 def _text_before(snippet: Column, name: Column, lead: str, tail: str) -> Column:
@@ -234,15 +267,12 @@ def _text_before(snippet: Column, name: Column, lead: str, tail: str) -> Column:
 
 
 def snippet_field_type(snippet: Column, name: Column) -> Column:
-    return _last_type(_text_before(snippet, name, "", r"\s*(?:;|=)"))
+    return _last_type(_text_before(snippet, name, "", SNIPPET_FIELD_TAIL))
 
 
 def snippet_return_type(snippet: Column, name: Column) -> Column:
-    return _not_void(_last_type(_text_before(snippet, name, r"(?:get\s+)?", r"\s*\(")))
-
+    return _not_void(_last_type(_text_before(snippet, name, *SNIPPET_RETURN)))
 
-def is_constructor(kind: Column) -> Column:
-    return kind == KIND_CONSTRUCTOR
 
 
 def is_plain_callable(kind: Column) -> Column:

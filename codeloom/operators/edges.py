@@ -2,14 +2,15 @@
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from codeloom.functions.symbols import is_executable
 from codeloom.functions.text import call_tokens, strip_comments_and_strings
 from codeloom.operators.nodes import first_class_by_label
 
 EDGE_KEYS = ["project_id", "source", "target", "label"]
-LINE_BUCKET = 64
+#: block sizes of line ranges: 1 to 2**LEVELS lines
+LEVELS = 31
 # fixed values: order of the producers inside one source node
 _RELATION_LABELS = {"extends": "EXTENDS", "implements": "IMPLEMENTS"}
 
@@ -39,14 +40,45 @@ def call_edges(mentioned: DataFrame, symbols: DataFrame) -> DataFrame:
     An equi-join on (project, name); only ids travel. symbols(project_id, node_id, name, kind name).
     Both sides are distinct and an id holds one name, so no pair can come twice.
     """
-    targets = symbols.filter(F.col("kind").isin("method", "function")).select(
-        "project_id", "name", F.col("node_id").alias("target")).distinct()
+    targets = callable_names(symbols)
     return (
-        mentioned.join(targets, ["project_id", "name"]).filter(F.col("source") != F.col("target"))
+        known_mentions(mentioned, targets).join(targets, ["project_id", "name"])
+        .filter(F.col("source") != F.col("target"))
         .select("project_id", "source", "target", F.lit("CALLS").alias("label"))
     )
 
 
+def callable_names(symbols: DataFrame) -> DataFrame:
+    """(project_id, name, target) of every method and function."""
+    return symbols.filter(F.col("kind").isin("method", "function")).select(
+        "project_id", "name", F.col("node_id").alias("target")).distinct()
+
+
+def known_mentions(mentioned: DataFrame, targets: DataFrame) -> DataFrame:
+    """Mentions of names that some callable has; keywords and other words stay behind, before anything is paired."""
+    return mentioned.join(targets.select("project_id", "name").distinct(), ["project_id", "name"], "left_semi")
+
+
+def call_degrees(mentioned: DataFrame, symbols: DataFrame) -> DataFrame:
+    """(project_id, node_id, in_degree, out_degree) of the CALLS edges, from counts per name, without the pairs.
+
+    An id holds one name, so no pair of (caller, target) comes twice; a call of a symbol to itself is none.
+    """
+    targets = callable_names(symbols)
+    known = known_mentions(mentioned, targets)
+    names = ["project_id", "name"]
+    callers = known.groupBy(*names).agg(F.count("*").alias("n_callers"))
+    homonyms = targets.groupBy(*names).agg(F.count("*").alias("n_targets"))
+    own = known.join(targets.withColumnRenamed("target", "source"), [*names, "source"], "left_semi").select(
+        "project_id", F.col("source").alias("node_id"), F.lit(1).alias("own"))
+    coming = targets.join(callers, names).select("project_id", F.col("target").alias("node_id"), F.col("n_callers").alias("coming"))
+    leaving = known.join(homonyms, names).select("project_id", F.col("source").alias("node_id"), F.col("n_targets").alias("leaving"))
+    both = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [coming, leaving, own])
+    return both.fillna(0, ["coming", "leaving", "own"]).groupBy("project_id", "node_id").agg(
+        (F.sum("coming") - F.sum("own")).alias("in_degree"), (F.sum("leaving") - F.sum("own")).alias("out_degree")).filter(
+        "in_degree > 0 OR out_degree > 0")
+
+
 def call_fanout(mentioned: DataFrame, symbols: DataFrame) -> DataFrame:
     """Callers and targets per name without building the pairs: what `call_edges` will cost."""
     targets = symbols.filter(F.col("kind").isin("method", "function")).groupBy("project_id", "name").agg(
@@ -57,31 +89,43 @@ def call_fanout(mentioned: DataFrame, symbols: DataFrame) -> DataFrame:
     )
 
 
+def _dyadic(lo: Column, hi: Column) -> Column:
+    """[lo, hi] as aligned blocks of 2**level lines: an array of (level, block), at most two per level."""
+    def pieces(k: Column) -> Column:
+        size = F.call_function("shiftleft", F.lit(1).cast("bigint"), k)
+        left, right = F.floor((lo + size - 1) / size), F.floor((hi + 1) / size)  # whole blocks inside, right one excluded
+        def piece(at: Column) -> Column:
+            return F.struct(k.alias("level"), at.alias("block"))
+        return F.array(
+            F.when((left < right) & (left % 2 == 1), piece(left)),
+            F.when((right % 2 == 1) & (left + left % 2 < right), piece(right - 1)))
+    every = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(LEVELS)), pieces))
+    return F.filter(every, lambda x: x.isNotNull())
+
+
 def line_owners(callables: DataFrame, points: DataFrame) -> DataFrame:
     """First callable, in order, whose lines contain a point.
 
     callables(project_id, file_uri, node_id, ord, sl, el), points(project_id, file_uri, line).
-    Ranges are cut at buckets of 64 lines and equal pieces keep their first owner, so one bucket
-    meets at most 64 lines with 64 * 65 / 2 pieces however many ranges or points a file has.
+    A range becomes at most two aligned blocks per power of two, whatever its length, and equal blocks keep
+    their first owner; a point asks once for each block size that its file has.
     """
-    sl, el, b = F.col("sl"), F.col("el"), F.col("bucket")
-    size = LINE_BUCKET
-    rank = F.struct("ord", "node_id")
+    sl, el = F.col("sl").cast("bigint"), F.col("el").cast("bigint")
+    keys = ["project_id", "file_uri"]
     pieces = (
         callables.filter((sl >= 0) & (sl <= el))
-        .withColumn("bucket", F.explode(F.sequence(F.floor(sl / size), F.floor(el / size))))
-        .withColumn("lo", F.greatest(sl - b * size, F.lit(0)))
-        .withColumn("hi", F.least(el - b * size, F.lit(size - 1)))
-        .groupBy("project_id", "file_uri", "bucket", "lo", "hi").agg(F.min(rank).alias("owner"))
+        .select(*keys, "ord", "node_id", F.explode(_dyadic(sl, el)).alias("p"))
+        .groupBy(*keys, "p.level", "p.block").agg(F.min(F.struct("ord", "node_id")).alias("owner"))
     )
-    at = F.col("line") - b * size
+    levels = pieces.groupBy(*keys).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), "level")).alias("levels"))
+    used = F.filter(F.sequence(F.lit(0), F.lit(LEVELS)),
+                    lambda k: F.call_function("shiftright", F.col("levels"), k).bitwiseAND(1) == 1)
+    asked = points.select(*keys, "line").distinct().join(levels, keys).select(*keys, "line", F.explode(used).alias("level"))
+    asked = asked.withColumn("block", F.call_function("shiftright", F.col("line").cast("bigint"), F.col("level")))
     return (
-        points.select("project_id", "file_uri", "line").distinct()
-        .withColumn("bucket", F.floor(F.col("line") / size))
-        .join(pieces, ["project_id", "file_uri", "bucket"])
-        .filter((F.col("lo") <= at) & (at <= F.col("hi")))
-        .groupBy("project_id", "file_uri", "line").agg(F.min("owner").alias("owner"))
-        .select("project_id", "file_uri", "line", F.col("owner.node_id").alias("node_id"))
+        asked.join(pieces, [*keys, "level", "block"])
+        .groupBy(*keys, "line").agg(F.min("owner").alias("owner"))
+        .select(*keys, "line", F.col("owner.node_id").alias("node_id"))
     )
 
 

@@ -73,7 +73,7 @@ def detail_evidence(symbols: DataFrame) -> DataFrame:
     return symbols.withColumns({
         "detail_type": F.when(field, sig.field_type(detail)),
         "detail_params": F.when(called & ctor, sig.constructor_parameters(detail)).when(called, sig.parameters(detail)),
-        "detail_return": F.when(called & ~ctor, sig.return_type(detail, name)),
+        "detail_return": F.when(called & ~ctor, sig.return_type(detail, name, keep_void=True)),
     })
 
 
@@ -96,7 +96,7 @@ def hover_evidence(symbols: DataFrame, hovers: DataFrame) -> DataFrame:
             "hover_type": F.when(
                 sig.is_field(kind) & F.col("detail_type").isNull(), sig.hover_field_type(text, name)),
             "hover_return": F.when(
-                sig.is_plain_callable(kind) & F.col("detail_return").isNull(), sig.hover_return_type(text, name)),
+                sig.is_plain_callable(kind) & F.col("detail_return").isNull(), sig.hover_return_type(text, name, keep_void=True)),
             "hover_params": F.when(
                 (kind == KIND_CONSTRUCTOR) & _no_params("detail_params"), sig.own_field_params(text, None)),
         })
@@ -123,10 +123,12 @@ def source_evidence(symbols: DataFrame, files: DataFrame) -> DataFrame:
 def settle_evidence(symbols: DataFrame) -> DataFrame:
     """One value per fact, in the order detail, hover, source text."""
     params = F.when(_no_params("detail_params"), F.coalesce("hover_params", "detail_params")).otherwise(F.col("detail_params"))
+    # a void that detail or hover declares settles the question; the type itself is none
+    returned = F.coalesce("detail_return", "hover_return", "source_return")
     return (
         symbols.withColumns({
             "resolved_type": F.coalesce("detail_type", "hover_type", "source_type"),
-            "return_type": F.coalesce("detail_return", "hover_return", "source_return"),
+            "return_type": F.when(F.lower(returned) != "void", returned),
             "params": params,
         })
         .drop("detail_type", "hover_type", "source_type", "detail_return", "hover_return", "source_return",

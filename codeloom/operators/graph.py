@@ -21,6 +21,18 @@ def with_degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.join(counts, ["project_id", "node_id"], "left").fillna(0, ["in_degree", "out_degree"])
 
 
+def degree_ranks(counted: DataFrame) -> DataFrame:
+    """Add degree and its rank within the project, equal degrees sharing one.
+
+    Nodes are first folded to one row per degree, so the running count goes over few rows, not over all nodes.
+    """
+    rows = counted.withColumn("degree", F.col("in_degree") + F.col("out_degree"))
+    above = Window.partitionBy("project_id").orderBy(F.desc("degree")).rowsBetween(Window.unboundedPreceding, -1)
+    ranks = rows.groupBy("project_id", "degree").agg(F.count("*").alias("_n")).withColumn(
+        "rank", F.coalesce(F.sum("_n").over(above), F.lit(0)) + 1).drop("_n")
+    return rows.join(ranks, ["project_id", "degree"])
+
+
 def edge_breakdown(edges: DataFrame) -> DataFrame:
     return edges.groupBy("project_id", "label").agg(F.count("*").alias("n_edges"))
 
@@ -35,8 +47,8 @@ def graph_totals(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def flow_links(edges: DataFrame, label: str, at: str, to: str, hops: int = FLOW_HOPS) -> DataFrame:
     """Ordered neighbours of every node, as many as a trace can ever look at.
 
-    A trace has seen at most 2 * hops nodes before any step, so its first unseen neighbour is
-    among the first 2 * hops + 1 distinct ones; nothing beyond them can be chosen.
+    A trace holds at most 2 * hops + 1 nodes, its end among them, so its first unseen neighbour is
+    among the first 2 * hops + 2 distinct ones; nothing beyond them can be chosen.
     """
     first = (
         edges.filter(F.col("label") == label)
@@ -44,7 +56,7 @@ def flow_links(edges: DataFrame, label: str, at: str, to: str, hops: int = FLOW_
     )
     w = Window.partitionBy("project_id", "at").orderBy("ord", "to")
     return (
-        first.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= 2 * hops + 1)
+        first.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= 2 * hops + 2)
         .groupBy("project_id", "at").agg(
             F.transform(F.array_sort(F.collect_list(F.struct("rank", "to"))), lambda x: x["to"]).alias("links"))
     )
@@ -54,10 +66,10 @@ def trace_flow(edges: DataFrame, starts: DataFrame, hops: int = FLOW_HOPS, cut_e
     """Greedy trace of every start at once: writers backwards, then readers forwards.
 
     edges(project_id, edge_ord, source, target, label), starts(project_id, start) ->
-    (project_id, start, path). Each hop is one equi-join of the open traces with the link table;
+    (project_id, start, path, complete); `complete` is false where `hops` ended a walk that could go on. Each hop is one equi-join of the open traces with the link table;
     finished traces leave at each checkpoint.
     """
-    open_ = starts.select("project_id", "start", F.array("start").alias("path"))
+    open_ = starts.select("project_id", "start", F.array("start").alias("path"), F.lit(True).alias("complete"))
     open_ = _walk(open_, flow_links(edges, "WRITES_TO", "target", "source", hops), hops, cut_every,
                   lambda path, nxt: F.concat(F.array(nxt), path))
     return _walk(open_, flow_links(edges, "READS_FROM", "source", "target", hops), hops, cut_every,
@@ -65,7 +77,7 @@ def trace_flow(edges: DataFrame, starts: DataFrame, hops: int = FLOW_HOPS, cut_e
 
 
 def _walk(traces: DataFrame, links: DataFrame, hops: int, cut_every: int, grow) -> DataFrame:
-    cols = ["project_id", "start", "path"]
+    cols = ["project_id", "start", "path", "complete"]
     # a finished trace asks for a node that cannot exist, different for each, so none pile up
     nowhere = F.concat(F.lit("\u0000"), F.col("start"))
     links = cut_lineage(links)
@@ -77,7 +89,7 @@ def _walk(traces: DataFrame, links: DataFrame, hops: int, cut_every: int, grow)
             state.join(links, ["project_id", "at"], "left").withColumn("nxt", unseen)
             .select("project_id", "start",
                     F.when(F.col("nxt").isNull(), F.col("path")).otherwise(grow(F.col("path"), F.col("nxt"))).alias("path"),
-                    F.coalesce("nxt", nowhere).alias("at"))
+                    "complete", F.coalesce("nxt", nowhere).alias("at"))
         )
         if hop % cut_every == 0 or hop == hops:
             state = cut_lineage(state)
@@ -86,7 +98,11 @@ def _walk(traces: DataFrame, links: DataFrame, hops: int, cut_every: int, grow)
             state = state.filter(F.col("at") != nowhere)
             if hop == hops or state.isEmpty():
                 break
-    return done.unionByName(state.select(*cols))
+    # walks that are still open look once more: is there anywhere left to go?
+    more = F.exists("links", lambda n: ~F.array_contains(F.col("path"), n))
+    left = state.join(links, ["project_id", "at"], "left").withColumn(
+        "complete", F.col("complete") & ~F.coalesce(more, F.lit(False)))
+    return done.unionByName(left.select(*cols))
 
 
 def neighbourhood(nodes: DataFrame, edges: DataFrame, focus: DataFrame) -> DataFrame:

@@ -47,7 +47,7 @@ def verb_groups(relations: DataFrame) -> DataFrame:
         F.min_by("partner_label", rank).alias("first_partner"))
 
 
-def narrate(rows: DataFrame, messages: DataFrame, lang: str, source: str, target: str, verb: str, out: str) -> DataFrame:
+def narrate(rows: DataFrame, messages: DataFrame | dict, lang: str, source: str, target: str, verb: str, out: str) -> DataFrame:
     """Sentence about one relation."""
     def bold(c: str):
         return F.concat(F.lit("<strong>"), F.col(c), F.lit("</strong>"))
@@ -56,8 +56,11 @@ def narrate(rows: DataFrame, messages: DataFrame, lang: str, source: str, target
         out, format_message(F.col("_template"), bold(source), bold(target))).drop("_key", "_template")
 
 
-def relation_summaries(groups: DataFrame, messages: DataFrame, lang: str = "en") -> DataFrame:
-    """One text per focus and verb: a sentence for one partner, a count for several."""
+def relation_summaries(groups: DataFrame, messages: dict, lang: str = "en") -> DataFrame:
+    """One text per focus and verb: a sentence for one partner, a count for several.
+
+    messages is a catalogue as `builtin_messages` gives it; its texts become literals of the plan.
+    """
     told = narrate(groups, messages, lang, "focus_label", "first_partner", "verb", "_one")
     told = with_template(told, messages, lang, "verb", "_verb")
     told = with_template(told.withColumn("_many", F.lit("details.multipleComponents")), messages, lang, "_many", "_t")

@@ -1,25 +1,17 @@
 """Adapters that read the analytics tables as code-graph inputs.
 
 Each adapter maps rows to nodes, edges, symbols or files one by one; none groups a table by hand
-and none leaves rows out. Every derived text is a function of its own row.
+and none leaves rows out, but for `order_packages`, which leaves one folder in ten without a package.
+Every derived text is a function of its own row.
 """
 
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from codeloom.session import spread
-
-
-_SCHEMAS: dict = {}
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Read a table; its schema is asked for once per path, each asking being a job of its own."""
-    path = f"{sf_dir}/{name}.parquet"
-    if path not in _SCHEMAS:
-        _SCHEMAS[path] = spark.read.parquet(path).schema
-    return spark.read.schema(_SCHEMAS[path]).parquet(path)
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def text(*parts) -> Column:
@@ -121,6 +113,10 @@ SIGNATURES = [
     "(qty)",
     "(List<int>)",
     "(final int a, covariant Base b,)",
+    "(Map<A, B<C, D<E, F<G, H>>>> m, int z)",
+    "({this.qty = const [[1, 2], [3]], int y = 2, required Map<int, Set<int>> k = const {1: {2, 3}, 4: {}}})",
+    "(void Function(int Function(String Function(int, int), int)) cb, [int z = f(g(1, 2), 3)])",
+    "({this.qty #, this.state})",
 ]
 
 
@@ -154,8 +150,8 @@ def part_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def part_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One member symbol per order line, below the class of its part."""
     ok, ln, sk = F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_suppkey")
-    lines = spread(table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_linenumber", "l_suppkey", "l_partkey", "l_extendedprice"))
+    lines = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_suppkey", "l_partkey", "l_extendedprice")
     owners = part_classes(spark, sf_dir).select(
         "project_id", "file_uri", "part", F.col("name").alias("parent_name"), F.col("kind").alias("parent_kind"))
     kind = (
@@ -219,7 +215,7 @@ def _order_cols() -> dict[str, Column]:
 
 
 def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
 
 
 def order_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -235,8 +231,8 @@ def _rng(sl, sc, el, ec) -> Column:
     return F.struct(pos(sl, sc).alias("start"), pos(el, ec).alias("end"))
 
 
-def order_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Symbol dump of every order file; some files are empty, some failed."""
+def order_trees(spark: SparkSession, sf_dir: str, failing: bool = False) -> DataFrame:
+    """Symbol dump of every order file; on request some are empty and some failed."""
     k, x = F.col("o_orderkey"), _order_cols()
 
     def sym(name, detail, kind, rng, sel, children=None):
@@ -258,7 +254,7 @@ def order_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("\",\"kind\":5,\"range\":"), F.to_json(_rng(2, 0, 11, 1)),
         F.lit(",\"selectionRange\":"), F.to_json(_rng(2, 6, 2, 10)),
         F.lit(",\"children\":["), F.array_join(members, ","), F.lit("]}]"))
-    status = F.when(k % 97 == 0, "error").when(k % 50 == 0, "empty").otherwise("ok")
+    status = F.when(k % 97 == 0, "error").when(k % 50 == 0, "empty").otherwise("ok") if failing else F.lit("ok")
     return _orders(spark, sf_dir).select(
         order_project(k).alias("project_id"), order_uri(k).alias("file_uri"), status.alias("status"),
         F.when(status == "error", "no answer").when(status == "empty", "[]").otherwise(whole).alias("tree"))
@@ -301,7 +297,7 @@ def code_text(c: Column) -> Column:
 
 
 def code_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")).select(
+    return table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text").select(
         "doc_id", "lang", F.col("source").alias("project_id"), text("doc:", F.col("doc_id")).alias("file_uri"),
         F.when(F.col("doc_id") % 2 == 0, "method").otherwise("function").alias("kind"),
         code_text(F.col("text")).alias("code"))
@@ -337,6 +333,7 @@ def supplier_configs(spark: SparkSession, sf_dir: str) -> DataFrame:
         text('{"name":"dev_', k, '","rootUri":"file:///pub/dev%20', k, '"},{"name":"norooturi"},'),
         text('{"name":"core_', k, '","rootUri":"file:///opt/dart-sdk/pkg/', k, '"},'),
         text('{"name":"path_', k, '","rootUri":"file:///other/path_', k, '","version":""},'),
+        text('{"name":"c++(', k, '","rootUri":"file:///odd/cpp"},{"name":"a.b+', k, '","rootUri":"file:///odd/dots"},'),
         text('{"name":"flutter_', F.col("s_nationkey"), '","rootUri":"file:///pub/fl"}'))
     return table(spark, sf_dir, "supplier").select(
         text("s", k).alias("project_id"), text("/work/s", k, "/.dart_tool").alias("config_dir"),
@@ -347,7 +344,7 @@ def supplier_projects(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("s_suppkey")
     spec = F.concat(
         F.lit("name: shop\ndependencies:\n  "), text("path_", k), F.lit(":\n    path: ../path\n"),
-        F.when(k % 2 == 0, text("dev_dependencies:\n  lints: 1\n  dev_", k, ": ^1.0\n")).otherwise(""))
+        F.when(k % 2 == 0, text("dev_dependencies:\n  lints: 1\n  dev_", k, ": ^1.0\n  c++(", k, ": 1\n  aXb+", k, ": 1\n")).otherwise(""))
     return table(spark, sf_dir, "supplier").select(
         text("s", k).alias("project_id"), text("/work/s", k).alias("root"), spec.alias("root_spec"))
 

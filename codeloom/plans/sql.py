@@ -77,8 +77,14 @@ def flow_sql(ctes: str, starts: str, edges: str = "edges") -> str:
     UNION ALL
     SELECT project_id, start, nxt, list_concat(path, [nxt]), hop + 1 FROM (
       SELECT f.*, list_filter(fwd.nbrs, lambda x: NOT list_contains(f.path, x))[1] AS nxt
-      FROM f JOIN fwd ON fwd.project_id = f.project_id AND fwd.here = f.here WHERE hop < 10) WHERE nxt IS NOT NULL)
-SELECT project_id, start, array_to_string(first(path ORDER BY hop DESC), '>') AS path FROM f GROUP BY project_id, start"""
+      FROM f JOIN fwd ON fwd.project_id = f.project_id AND fwd.here = f.here WHERE hop < 10) WHERE nxt IS NOT NULL),
+  finished AS (SELECT project_id, start, first(path ORDER BY hop DESC) AS path FROM f GROUP BY project_id, start)
+SELECT e.project_id, e.start, array_to_string(e.path, '>') AS path,
+  NOT (len(b_end.path) > 10 AND coalesce(len(list_filter(back.nbrs, lambda x: NOT list_contains(b_end.path, x))) > 0, false))
+    AND NOT (len(e.path) - len(b_end.path) >= 10 AND coalesce(len(list_filter(fwd.nbrs, lambda x: NOT list_contains(e.path, x))) > 0, false)) AS complete
+FROM finished e JOIN b_end ON b_end.project_id = e.project_id AND b_end.start = e.start
+LEFT JOIN back ON back.project_id = e.project_id AND back.here = b_end.path[1]
+LEFT JOIN fwd ON fwd.project_id = e.project_id AND fwd.here = e.path[len(e.path)]"""
 
 
 # --- part classes with order-line members --------------------------------------------
@@ -110,7 +116,7 @@ def _part_lake() -> str:
       CASE ln WHEN 1 THEN CASE WHEN sk % 2 = 0 THEN parent_name ELSE parent_name || '.named' END
         WHEN 2 THEN 'ship_' || sk WHEN 3 THEN {_at(b.METHOD_NAMES, 'ok')} WHEN 4 THEN 'calc_' || sk
         WHEN 5 THEN {_at(b.FIELD_NAMES, 'ok')} WHEN 6 THEN 'prop_' || (ok % 5) ELSE 'ship_' || (sk + 1) END AS name FROM keyed),
-  members AS (SELECT *, ok % 8 AS shape, {_at(b.FIELD_TYPES, 'ok')} AS ftype, {_at(b.RETURN_TYPES, 'sk')} AS rtype,
+  members AS (SELECT *, ok % {len(b.SIGNATURES)} AS shape, {_at(b.FIELD_TYPES, 'ok')} AS ftype, {_at(b.RETURN_TYPES, 'sk')} AS rtype,
       CASE WHEN kind IN (7, 8) THEN '@Doc late final ' || {_at(b.FIELD_TYPES, 'ok')} || ' ' || name
         WHEN kind = 9 THEN {_at(b.SIGNATURES, 'ok')}
         ELSE {_at(b.RETURN_TYPES, 'sk')} || ' ' || name || {_at(b.SIGNATURES, 'ok')} END AS detail,
@@ -131,7 +137,12 @@ SIGNATURE_PARAMS = """params(shape, pos, name, type, is_named, is_required, is_o
     (3, 1, 'cb', 'void Function(int, String)', false, false, false), (3, 2, 'x', 'Foo<Bar>', true, true, false),
     (5, 1, 'qty', 'dynamic', false, false, false),
     (6, 1, NULL, 'List<int>', false, false, false),
-    (7, 1, 'a', 'final int', false, false, false), (7, 2, 'b', 'Base', false, false, false))"""
+    (7, 1, 'a', 'final int', false, false, false), (7, 2, 'b', 'Base', false, false, false),
+    (8, 1, 'm', 'Map<A, B<C, D<E, F<G, H>>>>', false, false, false), (8, 2, 'z', 'int', false, false, false),
+    (9, 1, 'qty', 'self_field:qty', true, false, false), (9, 2, 'y', 'int', true, false, false), (9, 3, 'k', 'Map<int, Set<int>>', true, true, false),
+    (10, 1, 'cb', 'void Function(int Function(String Function(int, int), int))', false, false, false), (10, 2, 'z', 'int', false, false, true),
+    (11, 1, 'qty', 'self_field:qty', true, false, false), (11, 2, 'state', 'self_field:state', true, false, false))"""
+# the last shape can only be read as the own fields of a constructor
 
 # --- order files ---------------------------------------------------------------------
 ORDER_LAKE = """orows AS (SELECT o_orderkey AS k, o_custkey AS c, 'p' || ((o_orderkey // 60) % 20) AS project_id,
@@ -144,7 +155,7 @@ ORDER_LAKE = """orows AS (SELECT o_orderkey AS k, o_custkey AS c, 'p' || ((o_ord
       '  void send_' || k || '() { var s = ''ünï ' || chr(128512) || ' ''; await load_' || third || '(1); hub.send_' || half || '(); }' AS send_line,
       '    if (a.isEmpty) { return new Box(a); } /* skip_' || c || '(1) */' AS line6,
       '    emit(load_' || sixth || '(a)); track("send_' || c || '(x)");' AS line7,
-      '    return item_' || (c % 10) || '(a).value;' AS line8 FROM orows WHERE status = 'ok'),
+      '    return item_' || (c % 10) || '(a).value;' AS line8 FROM orows),
   osym AS (
     SELECT project_id, file_uri, k, c, '0' AS path, 1 AS depth, cname AS name, 5 AS kind, header AS detail, '2:0-11:1' AS rng, '2:6-2:10' AS sel,
       NULL::VARCHAR AS parent_name, 'class' AS prefix, ''::VARCHAR AS body FROM okrows
@@ -182,3 +193,17 @@ ORDER_LAKE = """orows AS (SELECT o_orderkey AS k, o_custkey AS c, 'p' || ((o_ord
     FROM core e JOIN onode s ON s.node_id = e.source JOIN onode t ON t.node_id = e.target
     WHERE t.package IS NOT NULL AND (s.package IS NULL OR s.package <> t.package)),
   alledges AS (SELECT * FROM core UNION ALL SELECT * FROM deps)"""
+
+# --- supplier package manifests ------------------------------------------------------
+MANIFEST = """man AS (
+    SELECT s_suppkey AS k, s_nationkey AS n, 's' || s_suppkey AS project_id, unnest([
+      {'o': 0, 'name': 'http_' || s_suppkey, 'uri': 'file:///pub/http_' || s_suppkey, 'path': '/pub/http_' || s_suppkey, 'v': '1.' || (s_suppkey % 9)},
+      {'o': 1, 'name': 'own_' || s_suppkey, 'uri': '../modules/./own_' || s_suppkey || '/', 'path': '/work/s' || s_suppkey || '/modules/own_' || s_suppkey, 'v': 'unknown'},
+      {'o': 2, 'name': 'flutter', 'uri': 'file:///sdk/flutter', 'path': '/sdk/flutter', 'v': '3'},
+      {'o': 4, 'name': 'dev_' || s_suppkey, 'uri': 'file:///pub/dev%20' || s_suppkey, 'path': '/pub/dev ' || s_suppkey, 'v': 'unknown'},
+      {'o': 6, 'name': 'core_' || s_suppkey, 'uri': 'file:///opt/dart-sdk/pkg/' || s_suppkey, 'path': '/opt/dart-sdk/pkg/' || s_suppkey, 'v': 'unknown'},
+      {'o': 7, 'name': 'path_' || s_suppkey, 'uri': 'file:///other/path_' || s_suppkey, 'path': '/other/path_' || s_suppkey, 'v': 'unknown'},
+      {'o': 8, 'name': 'c++(' || s_suppkey, 'uri': 'file:///odd/cpp', 'path': '/odd/cpp', 'v': 'unknown'},
+      {'o': 9, 'name': 'a.b+' || s_suppkey, 'uri': 'file:///odd/dots', 'path': '/odd/dots', 'v': 'unknown'},
+      {'o': 10, 'name': 'flutter_' || s_nationkey, 'uri': 'file:///pub/fl', 'path': '/pub/fl', 'v': 'unknown'}]) AS p, s_name FROM supplier),
+  typed AS (SELECT *, CASE WHEN p.o IN (1, 7) OR (p.o IN (4, 8) AND k % 2 = 0) THEN 'custom' WHEN p.o IN (2, 10) THEN 'flutter_official' WHEN p.o = 6 THEN 'sdk' ELSE 'third_party' END AS type FROM man)"""

@@ -6,8 +6,9 @@ from codeloom.functions.symbols import is_relevant_package, kind_name
 from codeloom.operators import checks, edges as E, enrich as R, nodes as N, views as V
 from codeloom.plans import bindings as B
 from codeloom.plans.code_graph import build_graph
-from codeloom.plans.sql import ORDER_LAKE
+from codeloom.plans.sql import MANIFEST, ORDER_LAKE
 from codeloom.sources.files import load_status as status_counts
+from codeloom.sources.packages import classify, read_package_configs
 from codeloom.sources.symbols import flatten_trees, link_parents
 
 
@@ -26,7 +27,7 @@ def flat_symbols(spark, d):
 
 
 def load_status(spark, d):
-    return status_counts(B.order_trees(spark, d))
+    return status_counts(B.order_trees(spark, d, failing=True))
 
 
 def symbol_bodies(spark, d):
@@ -80,7 +81,8 @@ def line_owners(spark, d):
     callables = lines.select(
         project, uri, B.text(F.col("l_orderkey"), ":", F.col("l_linenumber"), ":", F.col("l_partkey")).alias("node_id"),
         F.struct("l_orderkey", "l_linenumber", "l_partkey").alias("ord"), lo.alias("sl"),
-        (lo + F.col("l_linenumber") * 40).alias("el"))
+        # some ranges never end
+        F.when(F.col("l_orderkey") % 500 == 0, 2147483647).otherwise(lo + F.col("l_linenumber") * 40).alias("el"))
     points = lines.select(project, uri, (F.col("l_partkey") % 400).cast("int").alias("line"))
     return E.line_owners(callables, points)
 
@@ -112,7 +114,8 @@ def provenance_counts(spark, d):
 
 
 def relevant_packages(spark, d):
-    pkgs = B.order_packages(spark, d)
+    """Of the classified supplier manifests; framework and SDK packages are among them."""
+    pkgs = classify(read_package_configs(B.supplier_configs(spark, d)), B.supplier_projects(spark, d))
     return pkgs.filter(is_relevant_package(F.col("name"), F.col("type"))).select("project_id", "name", "type")
 
 
@@ -161,7 +164,7 @@ QUERIES = {
     "flat_symbols": (flat_symbols, f"""WITH {ORDER_LAKE}, up AS (SELECT file_uri, path, node_id, name, kind FROM oid)
         SELECT o.project_id, o.node_id, o.path, o.depth, o.name, o.kind, o.detail, o.rng, o.sel,
           CASE WHEN u.name IS NOT NULL THEN o.file_uri || '#' || u.name || '#' || u.kind END AS parent_uid, u.node_id AS parent_node_id
-        FROM oid o LEFT JOIN up u ON u.file_uri = o.file_uri AND u.path = regexp_replace(o.path, '\\.[0-9]+$', '') AND o.depth > 1"""),
+        FROM oid o LEFT JOIN up u ON u.file_uri = o.file_uri AND u.path = CASE WHEN o.depth > 1 THEN regexp_replace(o.path, '\\.[0-9]+$', '') END"""),
     "load_status": (load_status, f"""WITH {ORDER_LAKE} SELECT project_id, count(*) FILTER (status = 'ok') AS analysed,
         count(*) FILTER (status = 'empty') AS empty, count(*) FILTER (status = 'error') AS failed, count(*) AS files,
         count(*) FILTER (status = 'ok') = 0 AS no_symbols FROM orows GROUP BY project_id"""),
@@ -174,7 +177,8 @@ QUERIES = {
     "read_edges": (read_edges, f"WITH {ORDER_LAKE} SELECT * FROM reads"),
     "line_owners": (line_owners, """WITH c AS (SELECT l_returnflag AS project_id, 's' || l_suppkey AS file_uri,
           l_orderkey || ':' || l_linenumber || ':' || l_partkey AS node_id, l_orderkey AS a, l_linenumber AS b, l_partkey AS p,
-          l_quantity::INT AS sl, l_quantity::INT + l_linenumber * 40 AS el FROM lineitem),
+          l_quantity::INT AS sl,
+          CASE WHEN l_orderkey % 500 = 0 THEN 2147483647 ELSE l_quantity::INT + l_linenumber * 40 END AS el FROM lineitem),
         pts AS (SELECT DISTINCT l_returnflag AS project_id, 's' || l_suppkey AS file_uri, (l_partkey % 400)::INT AS line FROM lineitem)
         SELECT p.project_id, p.file_uri, p.line, first(node_id ORDER BY a, b, c.p) AS node_id FROM pts p JOIN c
           ON c.project_id = p.project_id AND c.file_uri = p.file_uri AND c.sl <= p.line AND c.el >= p.line GROUP BY ALL"""),
@@ -190,8 +194,8 @@ QUERIES = {
         LEFT JOIN i ON i.project_id = b.project_id AND i.node_id = b.node_id LEFT JOIN o ON o.project_id = b.project_id AND o.node_id = b.node_id"""),
     "provenance_counts": (provenance_counts, f"""WITH {ORDER_LAKE} SELECT project_id, source_type, count(*) AS n_nodes FROM onode
         WHERE kind <> 'package_container' GROUP BY ALL"""),
-    "relevant_packages": (relevant_packages, f"""WITH {ORDER_LAKE} SELECT project_id, 'pkg_f' || folder AS name,
-        CASE WHEN folder % 2 = 0 THEN 'custom' ELSE 'third_party' END AS type FROM packs"""),
+    "relevant_packages": (relevant_packages, f"""WITH {MANIFEST} SELECT project_id, p.name AS name, type FROM typed
+        WHERE type IN ('third_party', 'custom') OR (type = 'flutter_official' AND p.name NOT IN ('flutter', 'flutter_test'))"""),
     "package_overview": (package_overview, f"""WITH {ORDER_LAKE} SELECT project_id, CASE WHEN folder % 2 = 0 THEN 'developed' ELSE 'consumed' END AS package_group,
         count(*) AS n_packages FROM packs GROUP BY ALL"""),
     "parent_links": (parent_links, f"WITH {_CONV} SELECT project_id, path, node_id, parent_node_id, symbol_uid, parent_uid FROM linked"),

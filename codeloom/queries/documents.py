@@ -8,7 +8,6 @@ from codeloom.functions import text as T
 from codeloom.functions.detectors import condition_count, switch_count
 from codeloom.operators import edges as E, enrich as R, graph as G, semantics as M, views as V
 from codeloom.plans import bindings as B
-from codeloom.session import spread
 from codeloom.sources.messages import builtin_messages, choose_language, with_template
 from codeloom.sources.sinks import sanitize_strings
 
@@ -16,7 +15,7 @@ SECTIONS = ["responsibilities", "decisions", "validations", "collaborations"]
 
 
 def escaped_text(spark, d):
-    return spread(B.table(spark, d, "documents").select("doc_id", "text")).select("doc_id", F.md5(T.escape_regex(F.col("text"))).alias("digest"))
+    return B.table(spark, d, "documents").select("doc_id", "text").select("doc_id", F.md5(T.escape_regex(F.col("text"))).alias("digest"))
 
 
 def cleaned_source(spark, d):
@@ -34,7 +33,7 @@ def _with_controls(c):
 
 def sanitized_text(spark, d):
     safe = T.sanitize_json(_with_controls(F.col("text")))
-    return spread(B.table(spark, d, "documents").select("doc_id", "text")).select("doc_id", F.md5(safe).alias("digest"), F.length(safe).alias("n_chars"))
+    return B.table(spark, d, "documents").select("doc_id", "text").select("doc_id", F.md5(safe).alias("digest"), F.length(safe).alias("n_chars"))
 
 
 def sanitized_turns(spark, d):
@@ -97,7 +96,7 @@ def page_links(spark, d):
 
 
 def page_calls(spark, d):
-    pages = spread(B.table(spark, d, "pages").select("page_id", "html")).select(
+    pages = B.table(spark, d, "pages").select("page_id", "html").select(
         F.lit("web").alias("project_id"), F.col("page_id").alias("source"), F.col("html").alias("body"))
     return E.mentions(pages).select(F.col("source").alias("page_id"), "name")
 
@@ -134,7 +133,7 @@ def event_messages(spark, d):
     key = F.when(F.col("event_type") == "click", "verb.calls").when(
         F.col("event_type") == "view", "decisions.businessCases").otherwise(F.concat(F.lit("event."), F.col("event_type")))
     rows = B.table(spark, d, "events").withColumn("message", key)
-    told = with_template(rows, builtin_messages(spark), "es", "message", "template")
+    told = with_template(rows, builtin_messages(), "es", "message", "template")
     return told.select("event_id", T.format_message(F.col("template"), F.col("user_id").cast("string")).alias("phrase"))
 
 

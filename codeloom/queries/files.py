@@ -63,8 +63,8 @@ _LISTING = """lst AS (SELECT page_id AS i, 'site' || ((page_id // 5) % 23) AS pr
       WHEN 6 THEN '.dart_tool/' || i || '.dart' WHEN 7 THEN 'packages/p' || i || '/lib/src/' || i || '.dart' WHEN 8 THEN 'features/' || lang || '/lib/' || i || '.dart'
       WHEN 9 THEN 'test/' || i || '.dart' WHEN 10 THEN 'web/' || i || '.dart' ELSE lang || '_x/.hid/' || i || '.dart' END AS rel_path FROM lst),
   rooted AS (SELECT DISTINCT project_id FROM listing WHERE i % 12 = 1),
-  custom AS (SELECT DISTINCT project_id, CASE WHEN i % 12 IN (2, 3) THEN lang WHEN i % 12 = 8 THEN 'features' END AS dir FROM listing
-    WHERE i % 12 IN (2, 3, 8)),
+  custom AS (SELECT DISTINCT project_id, CASE WHEN i % 12 IN (2, 3) THEN lang WHEN i % 12 = 4 THEN 'deep' || i WHEN i % 12 = 7 THEN 'packages'
+      WHEN i % 12 = 8 THEN 'features' END AS dir FROM listing WHERE i % 12 IN (2, 3, 4, 7, 8)),
   modular AS (SELECT DISTINCT project_id, CASE WHEN i % 12 = 7 THEN 'packages/p' || i ELSE 'features/' || lang END AS dir FROM listing WHERE i % 12 IN (7, 8)),
   extra AS (SELECT * FROM custom UNION SELECT * FROM modular),
   matched AS (
@@ -77,8 +77,8 @@ _LISTED = """raw AS (SELECT lower(p_type) AS project_id, p_brand AS package, p_p
     CASE WHEN p_partkey % 7 = 0 THEN 'a/b/c/d/' WHEN p_partkey % 5 = 0 THEN 'a/b/c/' WHEN p_partkey % 11 = 0 THEN '.hid/' ELSE '' END || 'v' || p_partkey || '/'
     || CASE WHEN p_partkey % 6 = 0 THEN p_brand WHEN p_partkey % 8 = 0 THEN 'main' ELSE 'part_' || p_partkey END || '.dart' AS lib_path FROM part),
   ranked AS (SELECT project_id, package, lib_path, row_number() OVER (PARTITION BY project_id, package ORDER BY lib_path)::INT AS rank FROM raw
-    WHERE k % 7 <> 0 AND k % 5 <> 0 AND k % 11 <> 0),
-  listed AS (SELECT * FROM ranked WHERE rank <= 20)"""
+    WHERE k % 7 = 0 OR k % 5 = 0 OR k % 11 <> 0),
+  listed AS (SELECT * FROM ranked)"""
 
 QUERIES = {
     "source_files": (source_files, f"WITH {_LISTING} SELECT DISTINCT project_id, rel_path FROM matched"),

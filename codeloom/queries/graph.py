@@ -19,11 +19,8 @@ def node_degrees(spark, d):
 
 
 def top_coupled(spark, d):
-    """The hundred most coupled nodes."""
-    return (
-        node_degrees(spark, d).withColumn("degree", F.col("in_degree") + F.col("out_degree"))
-        .orderBy(F.desc("degree"), "node_id").limit(100)
-    )
+    """All nodes with their coupling and its rank; equal degrees share a rank."""
+    return G.degree_ranks(node_degrees(spark, d))
 
 
 def edge_breakdown(spark, d):
@@ -77,16 +74,16 @@ def verb_groups(spark, d):
 
 def relation_summaries(spark, d):
     groups = R.verb_groups(R.focus_relations(_verbed(spark, d)))
-    return R.relation_summaries(groups, builtin_messages(spark), "en").select("project_id", "focus", "verb", "summary")
+    return R.relation_summaries(groups, builtin_messages(), "en").select("project_id", "focus", "verb", "summary")
 
 
 def narrative_sentences(spark, d):
-    told = R.narrate(_verbed(spark, d), builtin_messages(spark), "es", "source_label", "target_label", "verb", "sentence")
+    told = R.narrate(_verbed(spark, d), builtin_messages(), "es", "source_label", "target_label", "verb", "sentence")
     return told.select("project_id", "source", "target", "label_class", "sentence")
 
 
 def _path(traces):
-    return traces.select("project_id", "start", F.array_join("path", ">").alias("path"))
+    return traces.select("project_id", "start", F.array_join("path", ">").alias("path"), "complete")
 
 
 def flow_trace_events(spark, d):
@@ -173,7 +170,7 @@ _PLACED = f"""{TRADE}, placed AS (
 QUERIES = {
     "node_degrees": (node_degrees, f"WITH {_DEGREES} SELECT 'trade' AS project_id, node_id, in_degree, out_degree FROM deg"),
     "top_coupled": (top_coupled, f"""WITH {_DEGREES} SELECT 'trade' AS project_id, node_id, in_degree, out_degree,
-        in_degree + out_degree AS degree FROM deg ORDER BY degree DESC, node_id LIMIT 100"""),
+        in_degree + out_degree AS degree, rank() OVER (ORDER BY in_degree + out_degree DESC) AS rank FROM deg"""),
     "edge_breakdown": (edge_breakdown, f"WITH {TRADE} SELECT 'trade' AS project_id, label, count(*) AS n_edges FROM edges GROUP BY label"),
     "admitted_edges": (admitted_edges, f"""WITH {TRADE} SELECT DISTINCT 'trade' AS project_id, source, target, label FROM edges
         WHERE source <> target AND source IN (SELECT node_id FROM nodes) AND target IN (SELECT node_id FROM nodes)"""),

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from codeloom.operators import packages as P
 from codeloom.plans import bindings as B
-from codeloom.plans.sql import TRADE
+from codeloom.plans.sql import MANIFEST, TRADE
 from codeloom.sources import packages as S
 
 
@@ -74,17 +74,6 @@ def package_containers(spark, d):
         F.col("source.package_type").alias("package_type"))
 
 
-_MANIFEST = """man AS (
-    SELECT s_suppkey AS k, s_nationkey AS n, 's' || s_suppkey AS project_id, unnest([
-      {'o': 0, 'name': 'http_' || s_suppkey, 'uri': 'file:///pub/http_' || s_suppkey, 'path': '/pub/http_' || s_suppkey, 'v': '1.' || (s_suppkey % 9)},
-      {'o': 1, 'name': 'own_' || s_suppkey, 'uri': '../modules/./own_' || s_suppkey || '/', 'path': '/work/s' || s_suppkey || '/modules/own_' || s_suppkey, 'v': 'unknown'},
-      {'o': 2, 'name': 'flutter', 'uri': 'file:///sdk/flutter', 'path': '/sdk/flutter', 'v': '3'},
-      {'o': 4, 'name': 'dev_' || s_suppkey, 'uri': 'file:///pub/dev%20' || s_suppkey, 'path': '/pub/dev ' || s_suppkey, 'v': 'unknown'},
-      {'o': 6, 'name': 'core_' || s_suppkey, 'uri': 'file:///opt/dart-sdk/pkg/' || s_suppkey, 'path': '/opt/dart-sdk/pkg/' || s_suppkey, 'v': 'unknown'},
-      {'o': 7, 'name': 'path_' || s_suppkey, 'uri': 'file:///other/path_' || s_suppkey, 'path': '/other/path_' || s_suppkey, 'v': 'unknown'},
-      {'o': 8, 'name': 'flutter_' || s_nationkey, 'uri': 'file:///pub/fl', 'path': '/pub/fl', 'v': 'unknown'}]) AS p, s_name FROM supplier),
-  typed AS (SELECT *, CASE WHEN p.o IN (1, 7) OR (p.o = 4 AND k % 2 = 0) THEN 'custom' WHEN p.o IN (2, 8) THEN 'flutter_official' WHEN p.o = 6 THEN 'sdk' ELSE 'third_party' END AS type FROM man)"""
-
 _SOURCES = f"""{TRADE},
   f AS (SELECT node_id, label, parent, rel_path, starts_with(rel_path, 'lib/africa') AS sdk,
       CASE WHEN starts_with(rel_path, 'lib/africa') THEN '/opt/dart-sdk/' ELSE '/trade/' END || rel_path AS path,
@@ -97,16 +86,16 @@ _SOURCES = f"""{TRADE},
       CASE WHEN sdk THEN NULL WHEN b IS NULL THEN array_to_string(s[3:], '/') WHEN b % 4 = 0 THEN array_to_string(s[2:], '/') ELSE s[3] END AS relative_path FROM f)"""
 
 QUERIES = {
-    "package_manifest": (package_manifest, f"""WITH {_MANIFEST} SELECT project_id, p.o::INT AS pkg_ord, p.name AS name, p.uri AS root_uri, p.path AS path, p.v AS version FROM man"""),
-    "existing_packages": (existing_packages, f"WITH {_MANIFEST} SELECT project_id, p.name AS name, p.path AS path FROM man WHERE p.o IN (0, 1)"),
-    "package_descriptors": (package_descriptors, f"""WITH {_MANIFEST} SELECT project_id, p.name AS name, p.o = 0 AND k % 3 = 0 AS is_flutter,
+    "package_manifest": (package_manifest, f"""WITH {MANIFEST} SELECT project_id, p.o::INT AS pkg_ord, p.name AS name, p.uri AS root_uri, p.path AS path, p.v AS version FROM man"""),
+    "existing_packages": (existing_packages, f"WITH {MANIFEST} SELECT project_id, p.name AS name, p.path AS path FROM man WHERE p.o IN (0, 1)"),
+    "package_descriptors": (package_descriptors, f"""WITH {MANIFEST} SELECT project_id, p.name AS name, p.o = 0 AND k % 3 = 0 AS is_flutter,
         CASE WHEN p.o = 0 THEN 'Talks to ' || s_name ELSE '' END AS description FROM man"""),
-    "package_types": (package_types, f"WITH {_MANIFEST} SELECT project_id, p.name AS name, type FROM typed"),
+    "package_types": (package_types, f"WITH {MANIFEST} SELECT project_id, p.name AS name, type FROM typed"),
     "file_sources": (file_sources, f"""WITH {_SOURCES} SELECT 'trade' AS project_id, 'file://' || path AS file_uri, type, package_name, package_version, package_type, relative_path FROM g"""),
     "container_assignment": (container_assignment, f"""WITH {_SOURCES} SELECT 'trade' AS project_id, node_id,
         CASE type WHEN 'external_package' THEN chr(128279) || ' ' WHEN 'sdk' THEN chr(9881) || chr(65039) || ' ' ELSE '' END || label AS display_label,
         CASE WHEN type = 'external_package' THEN 'package_container:' || package_name ELSE parent END AS parent, type AS source_type FROM g"""),
-    "package_containers": (package_containers, f"""WITH {_MANIFEST} SELECT project_id, 'package_container:' || p.name AS node_id, p.name AS label, 'package_container' AS kind,
+    "package_containers": (package_containers, f"""WITH {MANIFEST} SELECT project_id, 'package_container:' || p.name AS node_id, p.name AS label, 'package_container' AS kind,
         type = 'sdk' AS is_sdk, 'utility' AS layer, length(p.name)::INT AS width, type AS package_type FROM typed
         UNION ALL SELECT 's' || s_suppkey, 'project_root', 'project_root', 'package_container', false, 'utility', 12, NULL FROM supplier"""),
 }

@@ -255,7 +255,7 @@ QUERIES = {
         CASE rtype WHEN 'void' THEN NULL WHEN 'static int' THEN 'int' ELSE rtype END AS return_type FROM ids WHERE kind IN (6, 12)"""),
     "parameters": (parameters, f"""WITH {PART_LAKE}, {SIGNATURE_PARAMS}
         SELECT i.project_id, i.node_id, p.pos, p.name, p.type, p.is_named, p.is_required, p.is_optional AS is_optional_positional
-        FROM ids i JOIN params p USING (shape) WHERE i.kind IN (6, 9, 12)"""),
+        FROM ids i JOIN params p USING (shape) WHERE i.kind = 9 OR (i.kind IN (6, 12) AND i.shape <> 11)"""),
     "own_field_params": (own_field_params, f"""WITH {PART_LAKE}, {SIGNATURE_PARAMS},
         firsts AS (SELECT project_id, parent_id, name AS field, first(ftype ORDER BY {_ORDER}) AS field_type FROM ids WHERE kind IN (7, 8) GROUP BY ALL)
         SELECT i.project_id, i.node_id, p.pos, p.name, CASE WHEN starts_with(p.type, 'self_field:') THEN coalesce(f.field_type, p.type) ELSE p.type END AS type

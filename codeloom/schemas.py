@@ -3,7 +3,6 @@
 from pyspark.sql import types as T
 
 # --- fixed values: symbol kind codes -------------------------------------------------
-KIND_NAMESPACE = 3
 KIND_CLASS = 5
 KIND_METHOD = 6
 KIND_PROPERTY = 7
@@ -25,13 +24,6 @@ KIND_PREFIXES = {
     9: "ctor", 10: "enum", 12: "func", 22: "typedef",
 }
 
-# fixed values: edge labels, layers
-EDGE_LABELS = [
-    "CALLS", "EXTENDS", "IMPLEMENTS", "INSTANCE_OF", "USES_AS_TYPE",
-    "READS_FROM", "WRITES_TO", "PASSES_AS_ARGUMENT",
-]
-LAYERS = ["view", "state", "service", "model", "utility", "member"]
-
 # fixed values: names left out of the external-symbol view
 EXCLUDED_METHOD_NAMES = [
     "toString", "hashCode", "operator", "runtimeType", "noSuchMethod", "now", "parse", "tryParse",
@@ -51,14 +43,9 @@ OFFICIAL_PACKAGES = [
     "flutter_localizations", "material", "cupertino",
 ]
 
-PACKAGE_FILE_LIMIT = 20
-PACKAGE_FILE_DEPTH = 3
-ROOT_SEARCH_LEVELS = 10
 FLOW_HOPS = 10
 
 # --- table schemas -------------------------------------------------------------------
-RANGE = T.StructType([T.StructField(n, T.IntegerType()) for n in ("sl", "sc", "el", "ec")])
-
 FILES = T.StructType([
     T.StructField("project_id", T.StringType()),
     T.StructField("file_uri", T.StringType()),
@@ -87,11 +74,6 @@ REFS = T.StructType([
     T.StructField("ref_line", T.IntegerType()),
     T.StructField("ref_char", T.IntegerType()),
 ])
-PUBSPECS = T.StructType([
-    T.StructField("project_id", T.StringType()),
-    T.StructField("dir", T.StringType()),
-    T.StructField("content", T.StringType()),
-])
 PACKAGE_CONFIG = T.StructType([
     T.StructField("packages", T.ArrayType(T.StructType([
         T.StructField("name", T.StringType()),
@@ -99,11 +81,3 @@ PACKAGE_CONFIG = T.StructType([
         T.StructField("version", T.StringType()),
     ]))),
 ])
-PARAM = T.StructType([
-    T.StructField("pos", T.IntegerType()),
-    T.StructField("name", T.StringType()),
-    T.StructField("type", T.StringType()),
-    T.StructField("is_named", T.BooleanType()),
-    T.StructField("is_required", T.BooleanType()),
-    T.StructField("is_optional_positional", T.BooleanType()),
-])

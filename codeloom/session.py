@@ -14,6 +14,9 @@ def configure(spark: SparkSession) -> SparkSession:
     # split a hot join key even where the split costs another exchange downstream
     spark.conf.set("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    # small tables, heavy rows: give a scan at least as many splits as there are cores
+    spark.conf.set("spark.sql.files.minPartitionNum", str(spark.sparkContext.defaultParallelism))
+    spark.conf.set("spark.sql.files.openCostInBytes", "65536")
     # Python tasks hold one batch of whole texts at a time
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
     # plans are built from many small expressions; keep the call-site capture of each one short
@@ -67,12 +70,3 @@ def written(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Hand a scan with fewer splits than cores to all cores, before work that is heavy per row.
-
-    A scan of many files already has splits enough and is returned as it is, without a shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -2,9 +2,7 @@
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from codeloom.schemas import (
-    MODULE_PARENTS, PACKAGE_FILE_DEPTH, PACKAGE_FILE_LIMIT, ROOT_SEARCH_LEVELS, STANDARD_DIRS,
-)
+from codeloom.schemas import MODULE_PARENTS, STANDARD_DIRS
 
 MODULE_DIR = rf"^((?:{'|'.join(MODULE_PARENTS)})/[^./][^/]*)/lib/"
 
@@ -33,34 +31,35 @@ def top_dir(rel_path: Column) -> Column:
     return F.substring_index(rel_path, "/", 1)
 
 
-def dir_name(path: Column) -> Column:
-    return F.regexp_replace(path, r"/?[^/]*\z", "")
-
-
 def _hidden(path: Column) -> Column:
     return path.rlike(r"(?:^|/)\.[^/]*/")
 
 
-def custom_dirs(listing: DataFrame) -> DataFrame:
-    """Top-level directories with Dart files at most three levels down, standard ones left out."""
+def _within(parts: Column, depth: int | None, above: int) -> Column:
+    return F.lit(True) if depth is None else parts <= depth + above
+
+
+def custom_dirs(listing: DataFrame, depth: int | None = None) -> DataFrame:
+    """Top-level directories with Dart files, at most `depth` levels down if given; standard ones left out."""
     rel = F.col("rel_path")
     parts = F.size(F.split(rel, "/"))
     top = top_dir(rel)
     return (
         listing
-        .filter(rel.endswith(".dart") & parts.between(2, 4) & ~_hidden(rel))
+        .filter(rel.endswith(".dart") & (parts >= 2) & _within(parts, depth, 1) & ~_hidden(rel))
         .filter(~top.startswith("_") & ~top.isin(STANDARD_DIRS))
         .select("project_id", top.alias("dir")).distinct()
     )
 
 
-def module_dirs(listing: DataFrame) -> DataFrame:
-    """Parents of <group>/*/lib that hold Dart files at most three levels below lib."""
+def module_dirs(listing: DataFrame, depth: int | None = None) -> DataFrame:
+    """Parents of <group>/*/lib that hold Dart files, at most `depth` levels below lib if given."""
     rel = F.col("rel_path")
+    parts = F.size(F.split(rel, "/"))
     found = F.regexp_extract(rel, MODULE_DIR, 1)
     return (
         listing
-        .filter(rel.endswith(".dart") & (found != "") & (F.size(F.split(rel, "/")) <= 6) & ~_hidden(rel))
+        .filter(rel.endswith(".dart") & (found != "") & _within(parts, depth, 3) & ~_hidden(rel))
         .select("project_id", found.alias("dir")).distinct()
     )
 
@@ -120,14 +119,13 @@ def ancestors(path: Column) -> Column:
     )
 
 
-def nearest_roots(paths: DataFrame, marker_dirs: DataFrame, levels: int = ROOT_SEARCH_LEVELS) -> DataFrame:
-    """For every start path its nearest ancestor that is a marker directory, null when none.
+def nearest_roots(paths: DataFrame, marker_dirs: DataFrame) -> DataFrame:
+    """For every start path its nearest ancestor that is a marker directory, however far up; null when none.
 
     paths(project_id, path), marker_dirs(project_id, dir). Only the distinct directories fan out.
     """
     starts = paths.select("project_id", "path").distinct()
-    chain = ancestors(F.col("path"))
-    up = starts.withColumn("dir", F.explode(F.slice(chain, F.greatest(F.size(chain) - levels + 1, F.lit(1)), levels)))
+    up = starts.withColumn("dir", F.explode(ancestors(F.col("path"))))
     found = (
         up.join(marker_dirs.select("project_id", "dir").distinct(), ["project_id", "dir"])
         .groupBy("project_id", "path").agg(F.max_by("dir", F.length("dir")).alias("root"))
@@ -135,18 +133,18 @@ def nearest_roots(paths: DataFrame, marker_dirs: DataFrame, levels: int = ROOT_S
     return starts.join(found, ["project_id", "path"], "left")
 
 
-def package_files(listing: DataFrame, limit: int = PACKAGE_FILE_LIMIT, depth: int = PACKAGE_FILE_DEPTH) -> DataFrame:
-    """First `limit` Dart files below the lib folder of each package, in path order.
+def package_files(listing: DataFrame, limit: int | None = None, depth: int | None = None) -> DataFrame:
+    """Dart files below the lib folder of each package with their rank in path order; all, unless cut on request.
 
     listing(project_id, package, lib_path): lib_path is relative to the lib folder.
     """
     rel = F.col("lib_path")
     w = Window.partitionBy("project_id", "package").orderBy("lib_path")
-    return (
-        listing
-        .filter(rel.endswith(".dart") & (F.size(F.split(rel, "/")) <= depth + 1) & ~_hidden(rel))
-        .withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit)
+    ranked = (
+        listing.filter(rel.endswith(".dart") & _within(F.size(F.split(rel, "/")), depth, 1) & ~_hidden(rel))
+        .withColumn("rank", F.row_number().over(w))
     )
+    return ranked if limit is None else ranked.filter(F.col("rank") <= limit)
 
 
 def main_files(listed: DataFrame) -> DataFrame:

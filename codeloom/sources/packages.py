@@ -2,7 +2,7 @@
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from codeloom.functions.text import strip
+from codeloom.functions.text import escape_regex, strip
 from codeloom.schemas import OFFICIAL_PACKAGES, PACKAGE_CONFIG
 
 
@@ -65,8 +65,9 @@ def describe(packages: DataFrame, pubspecs: DataFrame) -> DataFrame:
 def package_type(name: Column, path: Column, root: Column, root_spec: Column) -> Column:
     """Ordered rules; root and root_spec are the project's own folder and descriptor (may be null)."""
     inside = (path == root) | path.startswith(F.concat(root, F.lit("/")))
-    by_path = F.rlike(root_spec, F.concat(name, F.lit(r":\s*\n\s*path:\s*")))
-    by_dev = F.rlike(root_spec, F.concat(F.lit(r"dev_dependencies:[\s\S]*?"), name, F.lit(r":\s*")))
+    shown = escape_regex(name)  # a name is text, whatever signs it holds
+    by_path = F.rlike(root_spec, F.concat(shown, F.lit(r":\s*\n\s*path:\s*")))
+    by_dev = F.rlike(root_spec, F.concat(F.lit(r"dev_dependencies:[\s\S]*?"), shown, F.lit(r":\s*")))
     return (
         F.when(inside | by_path | by_dev, "custom")
         .when(name.isin(OFFICIAL_PACKAGES) | name.startswith("flutter_"), "flutter_official")

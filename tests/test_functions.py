@@ -123,14 +123,21 @@ def params(spark, detail):
     ("()", []),
     ("(covariant Base b,)", [("b", "Base", False, False, False)]),
     ("(int a, #bad, int c)", [("a", "int", False, False, False)]),
+    ("(Map<A, B<C, D<E, F<G, H>>>> m, int z)", [("m", "Map<A, B<C, D<E, F<G, H>>>>", False, False, False), ("z", "int", False, False, False)]),
+    ("({this.x = const [[1, 2], [3]], int y = 2})", [("x", "self_field:x", True, False, False), ("y", "int", True, False, False)]),
+    ("(void Function(int Function(String Function(A, B), int)) cb, int z)",
+     [("cb", "void Function(int Function(String Function(A, B), int))", False, False, False), ("z", "int", False, False, False)]),
 ])
 def test_parameters(spark, detail, expected):
     assert params(spark, detail) == expected
 
 
 def test_constructor_fallback(spark):
-    got = one(spark, sig.constructor_parameters, d="({this.a})")
-    assert [(p.name, p.type) for p in got] == [("a", "self_field:a")]
+    # the sign makes the first entry unreadable, so the list gives nothing and every `this.x` counts
+    assert params(spark, "({this.a #, this.b})") == []
+    got = one(spark, sig.constructor_parameters, d="({this.a #, this.b})")
+    assert [(p.name, p.type, p.is_named) for p in got] == [("a", "self_field:a", True), ("b", "self_field:b", True)]
+    assert one(spark, sig.constructor_parameters, d="({x #, this.b})") == []
 
 
 @pytest.mark.parametrize("detail, name, expected", [
@@ -155,6 +162,9 @@ def test_hover_types(spark):
     ("class A {\n  @override\n  final List<int> xs;", "xs", "List<int>"),
     ("}\n\n  String name = 'a';", "name", "String"),
     ("  int other;", "xs", None),
+    ("word " * 600 + "\nint xs;", "xs", "int"),
+    ("word " * 600 + "List<int> xs;", "xs", "List<int>"),
+    ("word " * 600 + ";\n  late int xs;", "xs", "late int"),
 ])
 def test_snippet_field_type(spark, snippet, name, expected):
     assert one(spark, sig.snippet_field_type, s=snippet, n=name) == expected
@@ -172,6 +182,9 @@ def test_snippet_return_type(spark, snippet, name, expected):
 def test_class_relations(spark):
     got = one(spark, sig.class_relations, d="class A<T extends X> extends B<T, Map<K, V>> with M, N<int> implements I<A, B>, J {")
     assert (got["extends"], got["with"], got["implements"]) == (["B<T, Map<K, V>>"], ["M", "N<int>"], ["I<A, B>", "J"])
+    deep = "class A<T extends B<C<D<E<F>>>>> extends G<H<I<J<K, L>>>> implements M<N<O<P<Q, R>>>>, S"
+    got = one(spark, sig.class_relations, d=deep)
+    assert (got["extends"], got["implements"]) == (["G<H<I<J<K, L>>>>"], ["M<N<O<P<Q, R>>>>", "S"])
     got = one(spark, sig.class_relations, d="class A")
     assert (got["extends"], got["with"], got["implements"]) == ([], [], [])
 
@@ -228,7 +241,8 @@ def test_package_types(spark):
     spec = "dependencies:\n  mine:\n    path: ../mine\ndev_dependencies:\n  lints: ^1\n"
     cases = [("app", "/w/app", "custom"), ("mine", "/x/mine", "custom"), ("lints", "/x/lints", "custom"),
              ("flutter_x", "/x/f", "flutter_official"), ("material", "/x/m", "flutter_official"),
-             ("core", "/opt/dart-sdk/c", "sdk"), ("http", "/w/app2", "third_party")]
+             ("core", "/opt/dart-sdk/c", "sdk"), ("http", "/w/app2", "third_party"),
+             ("c++(", "/x/cpp", "third_party"), ("l.nts", "/x/l", "third_party"), ("min+", "/x/m", "third_party")]
     df = spark.createDataFrame([(*c, "/w/app", spec) for c in cases], "n string, p string, want string, r string, s string")
     got = df.select("want", P.package_type(F.col("n"), F.col("p"), F.col("r"), F.col("s")).alias("t")).collect()
     assert [r.t for r in got] == [c[-1] for c in cases]

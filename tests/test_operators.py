@@ -43,6 +43,14 @@ def brute_flow(edges, start, hops=10):
     return path
 
 
+def _ended(edges, start, hops):
+    path = brute_flow(edges, start, hops)
+    back = path.index(start)
+    more_back = back == hops and any(t == path[0] and l == "WRITES_TO" and s not in path[:back + 1] for _, s, t, l in edges)
+    more_on = len(path) - 1 - back == hops and any(s == path[-1] and l == "READS_FROM" and t not in path for _, s, t, l in edges)
+    return not more_back and not more_on
+
+
 def test_flow_equals_brute_force(spark):
     rnd = random.Random(5)
     edges = [(i, f"n{rnd.randrange(30)}", f"n{rnd.randrange(30) if rnd.random() < .7 else 0}", rnd.choice(["READS_FROM", "WRITES_TO", "CALLS"]))
@@ -52,13 +60,19 @@ def test_flow_equals_brute_force(spark):
     asked = spark.createDataFrame([("p", s) for s in starts], "project_id string, start string")
     got = {r.start: r.path for r in G.trace_flow(df, asked).collect()}
     assert got == {s: brute_flow(edges, s) for s in starts}
+    for hops in (2, 10):
+        short = {r.start: (r.path, r.complete) for r in G.trace_flow(df, asked, hops=hops).collect()}
+        # a walk is complete when more hops lead to the same path
+        assert short == {s: (brute_flow(edges, s, hops), _ended(edges, s, hops)) for s in starts}
     assert max(len(p) for p in got.values()) <= 21 and all(len(set(p)) == len(p) for p in got.values())
 
 
 def test_line_owners_equal_brute_force(spark):
     rnd = random.Random(9)
     spans = [("p", f"f{rnd.randrange(3)}", f"n{i}", i, lo, lo + rnd.choice([0, 3, 70, 900])) for i in range(200) for lo in [rnd.randrange(400)]]
+    spans += [("p", "f9", "endless", 900, 3, 2**31 - 1), ("p", "f9", "one", 901, 2**31 - 1, 2**31 - 1)]
     points = [("p", f"f{rnd.randrange(4)}", rnd.randrange(1400)) for _ in range(500)]
+    points += [("p", "f9", line) for line in (0, 2, 3, 4, 10**9, 2**31 - 1)]
     got = E.line_owners(
         spark.createDataFrame(spans, "project_id string, file_uri string, node_id string, ord int, sl int, el int"),
         spark.createDataFrame(points, "project_id string, file_uri string, line int")).collect()
@@ -105,14 +119,14 @@ def test_file_sources(spark):
     assert (got["/mine/lib/m.dart"].type, got["/mine/lib/m.dart"].package_name) == ("project", "mine")
 
 
-def test_nearest_root_stops_after_ten_levels(spark):
+def test_nearest_root_at_any_depth(spark):
     deep = "/r/" + "/".join("abcdefghij")
     paths = spark.createDataFrame([("p", "/r/a/b"), ("p", deep), ("p", "/other")], "project_id string, path string")
     marks = spark.createDataFrame([("p", "/r"), ("p", "/r/a")], "project_id string, dir string")
     got = {r.path: r.root for r in S.nearest_roots(paths, marks).collect()}
     assert got == {"/r/a/b": "/r/a", deep: "/r/a", "/other": None}
     far = deep + "/k/l"
-    assert S.nearest_roots(spark.createDataFrame([("p", far)], paths.schema), marks).first().root is None
+    assert S.nearest_roots(spark.createDataFrame([("p", far)], paths.schema), marks).first().root == "/r/a"
 
 
 def test_scan_and_choose_sources(spark, tmp_path):
@@ -134,7 +148,10 @@ def test_messages_from_files(spark, tmp_path):
     rows = spark.createDataFrame([("a",), ("b",), ("c",)], "key string")
     got = M.with_template(rows, M.read_messages(spark, str(tmp_path)), "es", "key", "t").collect()
     assert {r.key: r.t for r in got} == {"a": "Á {0}", "b": "B", "c": "c"}
-    assert M.choose_language(M.builtin_messages(spark), "es").count() == M.choose_language(M.builtin_messages(spark), "en").count()
+    shipped = M.builtin_messages()
+    assert shipped["es"].keys() == shipped["en"].keys()
+    got = M.with_template(rows.limit(1).withColumn("key", F.lit("verb.calls")), shipped, "es", "key", "t").first()
+    assert got.t == shipped["es"]["verb.calls"]
 
 
 def _sym(name, kind, sl, el, children=(), detail=""):
@@ -187,8 +204,8 @@ def test_whole_graph_of_two_files(spark, tmp_path):
     symbols = {(r.name, r.kind): r for r in graph.symbols.collect()}
     assert symbols[("items", 8)].resolved_type == "final List<Item>"
     assert symbols[("load", 6)].return_type == "Future<int>"
-    # the first mention within the five lines above wins, here the call in `return refresh()`
-    assert symbols[("refresh", 6)].return_type == "return"
+    # its hover says void: settled, the source text isn't asked
+    assert symbols[("refresh", 6)].return_type is None
     assert [p.type for p in symbols[("Shop", 9)].params] == ["self_field:items"]
     nodes = {short(r.node_id): r for r in graph.nodes.collect()}
     assert nodes["Store"].display_label == "\U0001F517 Store" and nodes["Store"].parent == "package_container:base"
@@ -212,3 +229,26 @@ def test_imports_split_by_package_type(spark):
     got = {r.package: r.role for r in G.package_uses(imports, packages).collect()}
     assert got == {"http": "external_import", "mine": "own_import", "unknown": "external_import"}
     assert {r.package_group: r.n_packages for r in V.package_overview(packages).collect()} == {"consumed": 1, "developed": 1}
+
+
+def test_call_degrees_without_pairs(spark):
+    """2,000 callers of one name with 2,000 targets: 4,000,000 pairs, none of them built."""
+    n = 2000
+    callers = spark.range(n).select(F.lit("p").alias("project_id"), F.concat(F.lit("m"), F.col("id").cast("string")).alias("source"), F.lit("build").alias("name"))
+    noise = callers.withColumn("name", F.lit("if"))
+    named = spark.range(n).select(F.lit("p").alias("project_id"), F.concat(F.lit("m"), F.col("id").cast("string")).alias("node_id"), F.lit("build").alias("name"), F.lit("method").alias("kind"))
+    got = E.call_degrees(callers.unionByName(noise), named).collect()
+    assert len(got) == n and all(r.in_degree == n - 1 and r.out_degree == n - 1 for r in got)
+
+
+def test_call_degrees_equal_edges(spark):
+    rnd = random.Random(4)
+    names = ["a", "b", "c", "if"]
+    mentioned = {("p", f"m{rnd.randrange(40)}", rnd.choice(names)) for _ in range(150)}
+    symbols = [("p", f"m{i}", rnd.choice(names[:3]), rnd.choice(["method", "field"])) for i in range(40)]
+    m = spark.createDataFrame(sorted(mentioned), "project_id string, source string, name string")
+    s = spark.createDataFrame(symbols, "project_id string, node_id string, name string, kind string")
+    edges = E.call_edges(m, s).collect()
+    got = {r.node_id: (r.in_degree, r.out_degree) for r in E.call_degrees(m, s).collect()}
+    ends = {e.source for e in edges} | {e.target for e in edges}
+    assert got == {i: (sum(e.target == i for e in edges), sum(e.source == i for e in edges)) for i in ends}
