@@ -17,8 +17,12 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from codeloom.session import cut_lineage
+
 OTHER = "other"
 SWEEPS = 12
+#: sweeps in one plan
+CUT_EVERY = 8
 MAX_CELLS = 20_000
 BUDGET = 0.6
 SEED = "mix-1"
@@ -76,7 +80,9 @@ def calibrate(cells: DataFrame, targets: dict[str, dict[str, float]], budget: fl
         rows = rows.withColumn(f"t_{d}", _share(F.col(d), targets[d])).withColumn("_first", first)
         rows = rows.withColumn(f"t_{d}", F.col(f"t_{d}") / F.sum(F.when(F.col("_first"), F.col(f"t_{d}"))).over(every))
         rows = rows.drop("_first")
-    for _ in range(sweeps):
+    for k in range(sweeps):
+        if k and k % CUT_EVERY == 0:
+            rows = cut_lineage(rows).coalesce(1)
         for d in DIMENSIONS:
             held = F.sum("w").over(W.partitionBy(d))
             rows = rows.withColumn("w", F.when(held > 0, F.col("w") * F.col(f"t_{d}") / held).otherwise(0.0))
