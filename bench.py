@@ -15,7 +15,7 @@ HEADLINE = [
     "node_degrees", "edge_breakdown", "folder_rollup", "folder_edges", "verb_groups", "relation_summaries",
     "flow_trace_events", "flow_trace_trade", "layers", "parameters", "resolved_types", "line_owners",
     "symbol_bodies", "call_edges", "code_graph_edges", "semantic_profiles", "cleaned_source", "document_slices",
-    "page_calls", "file_sources",
+    "page_calls", "file_sources", "violations", "code_graph_nodes",
 ]
 
 

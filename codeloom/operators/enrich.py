@@ -1,6 +1,8 @@
 """Types, parameters and relations of symbols: header and detail first, then hover, then source text."""
 
-from pyspark.sql import DataFrame, functions as F
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, functions as F
 
 from codeloom.functions import signatures as sig
 from codeloom.functions.symbols import access, is_sdk_uri
@@ -8,31 +10,38 @@ from codeloom.functions.text import base_type_name, lines_of, slice_range, snipp
 from codeloom.schemas import KIND_CLASS, KIND_CONSTRUCTOR, KIND_ENUM, KIND_TYPEDEF
 
 FILE_KEYS = ["project_id", "file_uri"]
-ROWS_PER_COPY = 512
+ROWS_PER_CHUNK = 512
 
 
-def join_file_lines(rows: DataFrame, files: DataFrame, per_copy: int = ROWS_PER_COPY) -> DataFrame:
-    """Add `lines`, the lines of the row's file.
+def with_file_text(rows: DataFrame, files: DataFrame, read: Callable[[Column, Column], Column], out: str,
+                   per_chunk: int = ROWS_PER_CHUNK) -> DataFrame:
+    """Add read(lines, row) of each row's file, without the lines travelling with the rows.
 
-    A file's text is split once and shuffled once per `per_copy` rows that need it: a file holding
-    most of the symbols is served by many tasks, and text is never copied per symbol.
+    The rows of a file meet in chunks of about `per_chunk`; a chunk reads from one array of lines, and only what
+    was read leaves it. A file holding most of the symbols is served by many tasks. Rows of unknown files get
+    what `read` makes of null lines.
     """
-    copies = rows.groupBy(*FILE_KEYS).agg(F.ceil(F.count("*") / per_copy).alias("copies"))
+    chunks = rows.groupBy(*FILE_KEYS).agg(F.ceil(F.count("*") / per_chunk).alias("_chunks"))
     texts = (
-        files.join(copies, FILE_KEYS)
-        .select(*FILE_KEYS, lines_of(F.col("content")).alias("lines"), "copies")
-        .withColumn("copy", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("copies") - 1))).drop("copies")
+        files.join(chunks, FILE_KEYS)
+        .select(*FILE_KEYS, lines_of(F.col("content")).alias("_lines"),
+                F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_chunks") - 1)).alias("_chunk"))
     )
-    placed = rows.join(copies, FILE_KEYS, "left").withColumn(
-        "copy", F.pmod(F.xxhash64(*[c for c in rows.columns if c not in FILE_KEYS]), F.col("copies"))).drop("copies")
-    return placed.join(texts, [*FILE_KEYS, "copy"], "left").drop("copy")
+    rest = [c for c in rows.columns if c not in FILE_KEYS]
+    place = F.pmod(F.xxhash64(*rest), F.col("_chunks"))
+    # about per_chunk rows meet here, whatever the size of the file
+    gathered = rows.join(chunks, FILE_KEYS).select(*FILE_KEYS, place.alias("_chunk"), F.struct(*rest).alias("_row")).groupBy(
+        *FILE_KEYS, "_chunk").agg(F.collect_list("_row").alias("_rows"))
+    done = F.transform("_rows", lambda r: F.struct(r.alias("row"), read(F.col("_lines"), r).alias("text")))
+    return gathered.join(texts, [*FILE_KEYS, "_chunk"], "left").select(*FILE_KEYS, F.explode(done).alias("_d")).select(
+        *FILE_KEYS, "_d.row.*", F.col("_d.text").alias(out)).select(*rows.columns, out)
 
 
 def slice_bodies(symbols: DataFrame, files: DataFrame) -> DataFrame:
     """Add `body`, the text of each symbol's range (selection range when it has none)."""
-    rng = F.coalesce("rng", "sel_rng")
-    body = F.coalesce(slice_range(F.col("lines"), rng), F.lit(""))
-    return join_file_lines(symbols, files).withColumn("body", body).drop("lines")
+    def body(lines: Column, row: Column) -> Column:
+        return F.coalesce(slice_range(lines, F.coalesce(row["rng"], row["sel_rng"])), F.lit(""))
+    return with_file_text(symbols, files, body, "body")
 
 
 def with_basics(symbols: DataFrame) -> DataFrame:
@@ -105,19 +114,19 @@ def hover_evidence(symbols: DataFrame, hovers: DataFrame) -> DataFrame:
 
 
 def source_evidence(symbols: DataFrame, files: DataFrame) -> DataFrame:
-    """Add source_type and source_return for fields and callables still without a type."""
-    kind, name, snippet = F.col("kind"), F.col("name"), F.col("snippet")
+    """Add source_type and source_return for fields and callables still without a type; only these meet the text."""
+    kind, name, snippet = F.col("kind"), F.col("name"), F.col("_snippet")
     open_field = sig.is_field(kind) & F.coalesce("detail_type", "hover_type").isNull()
     open_call = sig.is_plain_callable(kind) & F.coalesce("detail_return", "hover_return").isNull()
-    return (
-        join_file_lines(symbols, files)
-        .withColumn("snippet", F.when(open_field | open_call, snippet_before(F.col("lines"), F.col("sel_rng.sl"))))
-        .withColumns({
-            "source_type": F.when(open_field, sig.snippet_field_type(snippet, name)),
-            "source_return": F.when(open_call, sig.snippet_return_type(snippet, name)),
-        })
-        .drop("lines", "snippet")
-    )
+    asked = F.coalesce(open_field | open_call, F.lit(False))
+    none = F.lit(None).cast("string")
+    wanted = symbols.filter(asked).select(*FILE_KEYS, "ord", "name", "kind", F.col("sel_rng.sl").alias("line"))
+    found = with_file_text(wanted.distinct(), files, lambda lines, row: snippet_before(lines, row["line"]), "_snippet")
+    found = found.select(*FILE_KEYS, "ord", F.when(sig.is_field(kind), sig.snippet_field_type(snippet, name)).alias("source_type"),
+                         F.when(~sig.is_field(kind), sig.snippet_return_type(snippet, name)).alias("source_return"))
+    told = symbols.filter(asked).join(found, [*FILE_KEYS, "ord"], "left")
+    settled = symbols.filter(~asked).withColumns({"source_type": none, "source_return": none})
+    return told.select(*settled.columns).unionByName(settled)
 
 
 def settle_evidence(symbols: DataFrame) -> DataFrame:

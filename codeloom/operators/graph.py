@@ -6,21 +6,29 @@ from codeloom.schemas import FLOW_HOPS
 from codeloom.session import cut_lineage
 
 
-def with_degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Add in_degree and out_degree; edge ends that are not nodes count for nobody.
+def degree_counts(edges: DataFrame) -> DataFrame:
+    """(project_id, node_id, in_degree, out_degree) of all edge ends.
 
     Both counts come from one pass over the edges and one aggregate, folded before the shuffle.
     """
     def end(side: str, coming: int):
         return F.struct(F.col(side).alias("node_id"), F.lit(coming).alias("coming"), F.lit(1 - coming).alias("leaving"))
-    counts = (
+    return (
         edges.select("project_id", F.explode(F.array(end("source", 0), end("target", 1))).alias("e"))
         .groupBy("project_id", "e.node_id").agg(
             F.sum("e.coming").alias("in_degree"), F.sum("e.leaving").alias("out_degree"))
     )
+
+
+def with_counts(nodes: DataFrame, counts: DataFrame) -> DataFrame:
     return nodes.join(counts, ["project_id", "node_id"], "left").fillna(0, ["in_degree", "out_degree"])
 
 
+def with_degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Add in_degree and out_degree; edge ends that are not nodes count for nobody."""
+    return with_counts(nodes, degree_counts(edges))
+
+
 def degree_ranks(counted: DataFrame) -> DataFrame:
     """Add degree and its rank within the project, equal degrees sharing one.
 

@@ -8,7 +8,7 @@ from codeloom.schemas import KIND_CLASS, KIND_ENUM, KIND_METHOD
 
 FEATURES = [
     "fields", "methods", "build_methods", "event_methods", "state_fields", "async_methods",
-    "static_methods", "business_methods",
+    "business_methods",
 ]
 NODE_COLS = [
     "project_id", "node_id", "ord", "label", "kind", "file_uri", "rng", "sel_rng", "access", "is_sdk",
@@ -26,7 +26,6 @@ def member_features(symbols: DataFrame) -> DataFrame:
     method = F.col("kind") == KIND_METHOD
     returns = F.coalesce(F.lower("return_type"), F.lit(""))
     slow = returns.contains("future") | returns.contains("stream") | F.lower(name).contains("async")
-    static = F.lower(F.coalesce("detail", F.lit(""))).contains("static")
     rules = {
         "fields": field,
         "methods": method,
@@ -34,7 +33,6 @@ def member_features(symbols: DataFrame) -> DataFrame:
         "event_methods": method & name.isin("add", "emit", "on"),
         "state_fields": field & name.isin("stream", "state"),
         "async_methods": method & slow,
-        "static_methods": method & static,
         "business_methods": method & ~F.lower(name).isin(PLAIN_METHODS),
     }
     return (
@@ -90,7 +88,12 @@ def first_class_by_label(nodes: DataFrame) -> DataFrame:
     )
 
 
+def index_entries(symbols: DataFrame) -> DataFrame:
+    """(project_id, name, node_id, first): every id that a name stands for, and its first place. Rows, not lists."""
+    return symbols.groupBy("project_id", "name", "node_id").agg(F.min("ord").alias("first"))
+
+
 def name_index(symbols: DataFrame) -> DataFrame:
-    """How many symbols carry a name, and the first of them; the full list is the symbol table itself."""
+    """How many symbols carry a name, and the first of them; `index_entries` has them all."""
     return symbols.groupBy("project_id", "name").agg(
         F.count("*").alias("n_symbols"), F.min_by("node_id", "ord").alias("first_id"))

@@ -6,20 +6,26 @@ from pyspark.sql import DataFrame, functions as F
 
 from codeloom.functions.signatures import is_field, lowered_relations, relation_rows
 from codeloom.functions.symbols import kind_name
-from codeloom.operators import edges as E, nodes as N, packages as P
-from codeloom.operators.enrich import enrich, slice_bodies
-from codeloom.operators.graph import with_degrees
+from codeloom.operators import checks, edges as E, enrich as R, graph as G, nodes as N, packages as P, semantics, views as V
 from codeloom.session import cut_lineage
 from codeloom.sources.packages import uri_path
 
 
 @dataclass
 class CodeGraph:
+    """`edges` pairs every caller with every target of a called name; all else is computed without these pairs."""
+
     symbols: DataFrame
     nodes: DataFrame
     edges: DataFrame
     bodies: DataFrame
     sources: DataFrame
+    types: DataFrame
+    params: DataFrame
+    returns: DataFrame
+    violations: DataFrame
+    profiles: DataFrame
+    imports: DataFrame
 
 
 def layered(symbols: DataFrame) -> DataFrame:
@@ -31,17 +37,30 @@ def layered(symbols: DataFrame) -> DataFrame:
     return N.with_layers(keyed).drop("key", "parent_key", "bases")
 
 
+def type_references(symbols: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Declared types with their definitions: of fields, of parameters, and of returned values."""
+    definitions = R.type_definitions(symbols)
+    keys = ["project_id", "symbol_uid", "node_id"]
+
+    def uses(rows: DataFrame, shown: str) -> DataFrame:
+        return R.resolve_types(rows.filter(F.col(shown).isNotNull()).select(*keys, F.col(shown).alias("type")), definitions, "type", "ref")
+
+    own = R.resolve_own_fields(R.param_rows(symbols), symbols)
+    return (uses(symbols.filter(is_field(F.col("kind"))), "resolved_type"), R.resolve_types(own, definitions, "type", "ref"),
+            uses(symbols, "return_type"))
+
+
 def build_graph(symbols: DataFrame, files: DataFrame, hovers: DataFrame, refs: DataFrame, packages: DataFrame) -> CodeGraph:
     """symbols come from `flatten_trees`; the other tables follow the schemas."""
-    # enriched symbols, nodes and edges between symbols are each read by several later steps,
-    # so each is computed once and kept in the checkpoint folder
-    known = layered(cut_lineage(enrich(symbols, files, hovers)))
+    # enriched symbols, nodes and mentions are each read by several later steps, so each is computed once
+    enriched = cut_lineage(R.enrich(symbols, files, hovers))
+    known = layered(enriched)
     # first symbol makes the node, last symbol is what edges are read from
     nodes = cut_lineage(N.first_wins(N.node_rows(known), ["project_id", "node_id"], "ord"))
     current = N.last_wins(
-        known.select("project_id", "node_id", "ord", "file_uri", "name", "kind", "rng", "sel_rng", "relations"),
+        enriched.select("project_id", "node_id", "ord", "file_uri", "name", "kind", "rng", "sel_rng", "relations"),
         ["project_id", "node_id"], "ord")
-    bodies = slice_bodies(
+    bodies = R.slice_bodies(
         E.executables(current).select("project_id", "file_uri", "node_id", "kind", "rng", "sel_rng"), files)
     # calls and reads both ask for the mentions; the bodies behind them are sliced and scanned once
     mentioned = cut_lineage(E.mentions(bodies.select("project_id", F.col("node_id").alias("source"), "body")))
@@ -58,16 +77,19 @@ def build_graph(symbols: DataFrame, files: DataFrame, hovers: DataFrame, refs: D
         F.col("sel_rng.sc").alias("target_char"), F.col("node_id").alias("target"), "name")
     sources = P.file_sources(
         files.select("project_id", "file_uri", uri_path(F.col("file_uri")).alias("path")), packages)
-    placed = P.assign_containers(nodes, sources)
-    every = placed.unionByName(P.container_nodes(packages), allowMissingColumns=True)
-    edges = cut_lineage(E.union_edges([
-        E.relation_edges(relations, nodes), E.call_edges(mentioned, named),
-        E.read_edges(refs, owners, passive, mentioned),
-    ]))
+    every = P.assign_containers(nodes, sources).unionByName(P.container_nodes(packages), allowMissingColumns=True)
+    # the edges that are no calls are few; they and the package edges of all calls are kept
+    plain = E.union_edges([E.relation_edges(relations, nodes), E.read_edges(refs, owners, passive, mentioned)])
     packaged = every.select("project_id", "node_id", F.col("source.package_name").alias("package"))
-    edges = E.union_edges([edges, P.package_edges(edges, packaged)])
-    return CodeGraph(known, with_degrees(every, edges), edges, bodies, sources)
-
-
-def field_rows(symbols: DataFrame) -> DataFrame:
-    return symbols.filter(is_field(F.col("kind")))
+    targets = E.callable_names(named)
+    between = P.package_edges(plain, packaged).unionByName(
+        P.call_package_edges(E.known_mentions(mentioned, targets), targets, packaged)).distinct()
+    few = cut_lineage(E.union_edges([plain, between]))
+    edges = few.unionByName(E.union_edges([E.call_edges(mentioned, named)]))
+    counts = G.degree_counts(few).unionByName(E.call_degrees(mentioned, named)).groupBy("project_id", "node_id").agg(
+        F.sum("in_degree").alias("in_degree"), F.sum("out_degree").alias("out_degree"))
+    types, params, returns = type_references(enriched)
+    return CodeGraph(
+        known, G.with_counts(every, counts), edges, bodies, sources, types, params, returns, checks.violations(enriched),
+        semantics.semantic_profile(bodies.withColumn("kind", kind_name(F.col("kind")))),
+        V.node_imports(nodes, V.file_imports(files)))

@@ -1,13 +1,16 @@
 """Queries over the order files: symbol trees, bodies, calls, reads, evidence, the whole graph."""
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from codeloom.functions.symbols import is_relevant_package, kind_name
-from codeloom.operators import checks, edges as E, enrich as R, nodes as N, views as V
+from codeloom.operators import checks, edges as E, enrich as R, graph as G, views as V
 from codeloom.plans import bindings as B
 from codeloom.plans.code_graph import build_graph
 from codeloom.plans.sql import MANIFEST, ORDER_LAKE
 from codeloom.sources.files import load_status as status_counts
+from codeloom.sources.sinks import as_json_rows
 from codeloom.sources.packages import classify, read_package_configs
 from codeloom.sources.symbols import flatten_trees, link_parents
 
@@ -109,6 +112,36 @@ def code_graph_nodes(spark, d):
         "project_id", "node_id", "kind", "layer", F.col("source.type").alias("source_type"), "in_degree", "out_degree")
 
 
+def graph_totals(spark, d):
+    """Totals of the analysed graph; its packages are containers."""
+    graph = _graph(spark, d)
+    return G.graph_totals(graph.nodes, graph.edges)
+
+
+def edge_export(spark, d):
+    """One JSON text per edge of the analysed graph."""
+    return as_json_rows(_graph(spark, d).edges.select("project_id", "source", "target", "label"), ["project_id"])
+
+
+def graph_types(spark, d):
+    """Declared types of the analysed graph: fields, parameters and returned values."""
+    graph = _graph(spark, d)
+
+    def rows(df, use):
+        return df.select("project_id", "node_id", F.lit(use).alias("use"), F.col("ref.name").alias("type"),
+                         F.col("ref.definition.file_uri").alias("defined_in"))
+    return rows(graph.types, "field").unionByName(rows(graph.params, "parameter")).unionByName(rows(graph.returns, "return"))
+
+
+def graph_findings(spark, d):
+    """What else the analysis yields, counted by project: violations, profiles and imports."""
+    graph = _graph(spark, d)
+    parts = [graph.violations.select("project_id", F.concat(F.lit("violation:"), "rule").alias("finding")),
+             graph.profiles.select("project_id", F.explode("profile.decisions").alias("finding")),
+             graph.imports.select("project_id", F.concat(F.lit("import:"), "package").alias("finding"))]
+    return reduce(lambda a, b: a.unionByName(b), parts).groupBy("project_id", "finding").agg(F.count("*").alias("n"))
+
+
 def provenance_counts(spark, d):
     return V.provenance_counts(_graph(spark, d).nodes)
 
@@ -192,6 +225,24 @@ QUERIES = {
         o AS (SELECT project_id, source AS node_id, count(*) AS n FROM alledges GROUP BY ALL)
         SELECT b.project_id, b.node_id, kind, layer, source_type, coalesce(i.n, 0) AS in_degree, coalesce(o.n, 0) AS out_degree FROM onode b
         LEFT JOIN i ON i.project_id = b.project_id AND i.node_id = b.node_id LEFT JOIN o ON o.project_id = b.project_id AND o.node_id = b.node_id"""),
+    "graph_totals": (graph_totals, f"""WITH {ORDER_LAKE}, n AS (SELECT project_id, count(*) AS n_nodes,
+          count(*) FILTER (kind = 'package_container') AS n_containers FROM (SELECT DISTINCT project_id, node_id, kind FROM onode) GROUP BY ALL),
+        e AS (SELECT project_id, count(*) AS n_edges FROM alledges GROUP BY ALL)
+        SELECT n.project_id, n_nodes, n_containers, coalesce(n_edges, 0) AS n_edges FROM n LEFT JOIN e USING (project_id)"""),
+    "edge_export": (edge_export, f"""WITH {ORDER_LAKE} SELECT project_id, replace('{{"source":"' || source || '","target":"' || target || '","label":"' || label || '"}}',
+        '<', '\u003c') AS json FROM alledges"""),
+    "graph_types": (graph_types, f"""WITH {ORDER_LAKE},
+        defs AS (SELECT project_id, name, first(file_uri ORDER BY file_uri) AS defined_in FROM oid WHERE kind = 5 GROUP BY ALL),
+        used AS (
+          SELECT project_id, node_id, 'field' AS use, 'final List<' || parent_name || '>' AS type, parent_name AS base FROM oid WHERE kind = 8
+          UNION ALL SELECT project_id, node_id, 'parameter', unnest(['int', 'String']), '' FROM oid WHERE path = '0.1'
+          UNION ALL SELECT project_id, node_id, 'return', 'Future<int>', 'int' FROM oid WHERE path = '0.1'
+          UNION ALL SELECT project_id, node_id, 'return', 'Future<Hub>', 'Hub' FROM oid WHERE path = '0.2' AND k % 2 = 0)
+        SELECT u.project_id, node_id, use, type, defined_in FROM used u LEFT JOIN defs d ON d.project_id = u.project_id AND d.name = u.base"""),
+    "graph_findings": (graph_findings, f"""WITH {ORDER_LAKE}, f AS (
+          SELECT project_id, 'decisions.conditionalDecisions' AS finding FROM oid WHERE path IN ('0.1', '0.1.0')
+          UNION ALL SELECT project_id, 'import:' || unnest(['box_' || (c % 7), 'kit_' || (k % 5)]) FROM oid)
+        SELECT project_id, finding, count(*) AS n FROM f GROUP BY ALL"""),
     "provenance_counts": (provenance_counts, f"""WITH {ORDER_LAKE} SELECT project_id, source_type, count(*) AS n_nodes FROM onode
         WHERE kind <> 'package_container' GROUP BY ALL"""),
     "relevant_packages": (relevant_packages, f"""WITH {MANIFEST} SELECT project_id, p.name AS name, type FROM typed

@@ -67,8 +67,8 @@ def document_slices(spark, d):
 
 def document_snippets(spark, d):
     rows = B.code_documents(spark, d).select("project_id", "file_uri", "doc_id", (F.col("doc_id") % 12).cast("int").alias("line"))
-    lines = R.join_file_lines(rows, _doc_files(spark, d))
-    return lines.select("doc_id", T.snippet_before(F.col("lines"), F.col("line")).alias("snippet"))
+    found = R.with_file_text(rows, _doc_files(spark, d), lambda lines, row: T.snippet_before(lines, row["line"]), "snippet")
+    return found.select("doc_id", "snippet")
 
 
 def document_imports(spark, d):

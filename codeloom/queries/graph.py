@@ -46,10 +46,6 @@ def edge_ordinals(spark, d):
         "project_id", "source", "target", "label", F.concat(F.lit("e"), F.col("ordinal").cast("string")).alias("edge_name"))
 
 
-def graph_totals(spark, d):
-    return G.graph_totals(B.trade_nodes(spark, d), B.trade_edges(spark, d))
-
-
 def _verbed(spark, d):
     return R.verbed_edges(B.trade_edges(spark, d), B.trade_nodes(spark, d))
 
@@ -176,8 +172,6 @@ QUERIES = {
         WHERE source <> target AND source IN (SELECT node_id FROM nodes) AND target IN (SELECT node_id FROM nodes)"""),
     "edge_ordinals": (edge_ordinals, f"""WITH {TRADE} SELECT 'trade' AS project_id, source, target, label,
         'e' || (row_number() OVER (ORDER BY edge_ord, source, target, label) - 1) AS edge_name FROM edges"""),
-    "graph_totals": (graph_totals, f"""WITH {TRADE} SELECT 'trade' AS project_id, (SELECT count(*) FROM nodes) AS n_nodes,
-        0::BIGINT AS n_containers, (SELECT count(*) FROM edges) AS n_edges"""),
     "smart_verbs": (smart_verbs, f"""WITH {TRADE}, {VERBS_SQL}
         SELECT 'trade' AS project_id, source, target, label_class, verb FROM verbed"""),
     "verb_categories": (verb_categories, f"""WITH {TRADE}, {VERBS_SQL}

@@ -24,6 +24,16 @@ def package_descriptors(spark, d):
         "project_id", "name", "is_flutter", "description")
 
 
+def package_contents(spark, d):
+    """Files below the packages of each supplier: the http ones hold a lib folder, the dev ones only tools."""
+    k = F.col("s_suppkey")
+    places = F.array(*[B.text(*p) for p in (
+        ("/pub/http_", k, "/lib/a.dart"), ("/pub/http_", k, "/lib/src/deep/b.dart"), ("/pub/http_", k, "/tool.dart"),
+        ("/pub/http_", k, "/README.md"), ("/pub/dev ", k, "/bin/x.dart"), ("/pub/dev ", k, "/libx/y.dart"))])
+    listing = B.table(spark, d, "supplier").select(B.text("s", k).alias("project_id"), F.explode(places).alias("path"))
+    return S.with_files(package_manifest(spark, d), listing).select("project_id", "name", "has_lib", "n_files")
+
+
 def package_types(spark, d):
     return S.classify(package_manifest(spark, d), B.supplier_projects(spark, d)).select("project_id", "name", "type")
 
@@ -90,6 +100,8 @@ QUERIES = {
     "existing_packages": (existing_packages, f"WITH {MANIFEST} SELECT project_id, p.name AS name, p.path AS path FROM man WHERE p.o IN (0, 1)"),
     "package_descriptors": (package_descriptors, f"""WITH {MANIFEST} SELECT project_id, p.name AS name, p.o = 0 AND k % 3 = 0 AS is_flutter,
         CASE WHEN p.o = 0 THEN 'Talks to ' || s_name ELSE '' END AS description FROM man"""),
+    "package_contents": (package_contents, f"""WITH {MANIFEST} SELECT project_id, p.name AS name, p.o = 0 AS has_lib,
+        CASE p.o WHEN 0 THEN 3 WHEN 4 THEN 2 ELSE 0 END::BIGINT AS n_files FROM man"""),
     "package_types": (package_types, f"WITH {MANIFEST} SELECT project_id, p.name AS name, type FROM typed"),
     "file_sources": (file_sources, f"""WITH {_SOURCES} SELECT 'trade' AS project_id, 'file://' || path AS file_uri, type, package_name, package_version, package_type, relative_path FROM g"""),
     "container_assignment": (container_assignment, f"""WITH {_SOURCES} SELECT 'trade' AS project_id, node_id,

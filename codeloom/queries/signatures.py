@@ -76,6 +76,10 @@ def name_index(spark, d):
     return N.name_index(_members(spark, d))
 
 
+def index_entries(spark, d):
+    return N.index_entries(_members(spark, d)).select("project_id", "name", "node_id", F.element_at("first.sym_path", 2).alias("first_order"))
+
+
 def _returns(spark, d):
     callables = _members(spark, d)
     plain = callables.filter(F.col("kind").isin(6, 12))
@@ -141,12 +145,29 @@ def inheritance_edges(spark, d):
 def resolved_types(spark, d):
     uses = _members(spark, d).filter(sig.is_field(F.col("kind"))).select(
         "project_id", "node_id", sig.field_type(F.col("detail")).alias("type"))
-    definitions = R.type_definitions(_classes(spark, d).withColumn("sel_rng", F.lit(None).cast("int")))
-    found = R.resolve_types(uses, definitions, "type", "ref")
+    found = R.resolve_types(uses, _definitions(spark, d), "type", "ref")
     return found.select("project_id", "node_id", "type", F.col("ref.definition.file_uri").alias("defined_in"),
                         F.col("ref.definition.kind").alias("defined_kind"))
 
 
+def _definitions(spark, d):
+    return R.type_definitions(_classes(spark, d).withColumn("sel_rng", F.lit(None).cast("int")))
+
+
+def resolved_params(spark, d):
+    """Parameter types with their definitions; own-field parameters keep only their name."""
+    known = R.detail_evidence(_members(spark, d)).withColumn("params", F.col("detail_params"))
+    uses = R.param_rows(known).select("project_id", "node_id", "pos", "type")
+    return R.resolve_types(uses, _definitions(spark, d), "type", "ref").select(
+        "project_id", "node_id", "pos", F.col("ref.name").alias("type"), F.col("ref.definition.file_uri").alias("defined_in"))
+
+
+def resolved_returns(spark, d):
+    uses = _returns(spark, d).select("project_id", "node_id", F.col("return_type").alias("type"))
+    return R.resolve_types(uses, _definitions(spark, d), "type", "ref").select(
+        "project_id", "node_id", F.col("ref.name").alias("type"), F.col("ref.definition.file_uri").alias("defined_in"))
+
+
 # fixed values: type texts wrapped around a key
 TYPE_SHAPES = ["int", " User{k}? ", "List<Item{k}>", "Map<String, Item{k}>", "Map<String, List<Item{k}>>", "p.Type<X>",
                "List<Set<lib.Item{k}?>?>", "final Item{k}", "", "Future <Deep<Deeper<D{k}>> >"]
@@ -170,7 +191,6 @@ _FEATURES = f"""{PART_LAKE},
       count(*) FILTER (m AND name IN ('add', 'emit', 'on')) AS event_methods,
       count(*) FILTER (f AND name IN ('stream', 'state')) AS state_fields,
       count(*) FILTER (m AND (contains(ret, 'future') OR contains(ret, 'stream') OR contains(lname, 'async'))) AS async_methods,
-      count(*) FILTER (m AND contains(det, 'static')) AS static_methods,
       count(*) FILTER (m AND lname NOT IN ('hashcode', 'operator==')) AS business_methods
     FROM flags GROUP BY project_id, parent_id)"""
 
@@ -248,6 +268,8 @@ QUERIES = {
         first(detail ORDER BY ok DESC, ln DESC, sk DESC, cents DESC) AS detail FROM ids GROUP BY project_id, node_id"""),
     "name_index": (name_index, f"""WITH {PART_LAKE} SELECT project_id, name, count(*) AS n_symbols,
         first(node_id ORDER BY file_uri, l_partkey, {_ORDER}) AS first_id FROM ids GROUP BY project_id, name"""),
+    "index_entries": (index_entries, f"""WITH {PART_LAKE} SELECT project_id, name, node_id, first(ok ORDER BY file_uri, l_partkey, {_ORDER}) AS first_order
+        FROM ids GROUP BY project_id, name, node_id"""),
     "member_features": (member_features, f"WITH {_FEATURES} SELECT * FROM features"),
     "layers": (layers, _LAYERS_SQL),
     "field_types": (field_types, f"WITH {PART_LAKE} SELECT project_id, symbol_uid, ftype AS resolved_type FROM ids WHERE kind IN (7, 8)"),
@@ -274,5 +296,17 @@ QUERIES = {
           AND d.name = CASE i.ftype WHEN 'int' THEN 'int' WHEN 'List<int>' THEN 'int' WHEN 'Map<String, Shape1>' THEN 'Shape1' WHEN 'Shape2?' THEN 'Shape2'
             WHEN 'Shape3' THEN 'Shape3' ELSE 'Shape0' END
         WHERE i.kind IN (7, 8)"""),
+    "resolved_params": (resolved_params, f"""WITH {PART_LAKE}, {SIGNATURE_PARAMS},
+        defs AS (SELECT project_id, name, first(file_uri ORDER BY file_uri, part) AS defined_in FROM classes GROUP BY ALL),
+        used AS (SELECT i.project_id, i.node_id, p.pos, p.type, CASE p.type WHEN 'List<int>' THEN 'int' WHEN 'Map<String, List<Shape1>>' THEN 'List<Shape1>'
+            WHEN 'Foo<Bar>' THEN 'Bar' WHEN 'final int' THEN 'int' ELSE p.type END AS base
+          FROM ids i JOIN params p USING (shape) WHERE i.kind = 9 OR (i.kind IN (6, 12) AND i.shape <> 11))
+        SELECT u.project_id, node_id, pos, type, defined_in FROM used u LEFT JOIN defs d ON d.project_id = u.project_id AND d.name = u.base"""),
+    "resolved_returns": (resolved_returns, f"""WITH {PART_LAKE},
+        defs AS (SELECT project_id, name, first(file_uri ORDER BY file_uri, part) AS defined_in FROM classes GROUP BY ALL),
+        used AS (SELECT project_id, node_id, CASE rtype WHEN 'void' THEN NULL WHEN 'static int' THEN 'int' ELSE rtype END AS type,
+            CASE rtype WHEN 'Stream<Shape1>' THEN 'Shape1' WHEN 'List<Shape3>' THEN 'Shape3' WHEN 'Future<int>' THEN 'int' WHEN 'static int' THEN 'int'
+              WHEN 'void' THEN NULL ELSE rtype END AS base FROM ids WHERE kind IN (6, 12))
+        SELECT u.project_id, node_id, type, defined_in FROM used u LEFT JOIN defs d ON d.project_id = u.project_id AND d.name = u.base"""),
     "base_type_names": (base_type_names, _type_case()),
 }

@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from codeloom.functions.text import escape_regex, strip
 from codeloom.schemas import OFFICIAL_PACKAGES, PACKAGE_CONFIG
+from codeloom.sources.files import ancestors
 
 
 def normalize_path(path: Column) -> Column:
@@ -62,6 +63,20 @@ def describe(packages: DataFrame, pubspecs: DataFrame) -> DataFrame:
     )
 
 
+def with_files(packages: DataFrame, listing: DataFrame) -> DataFrame:
+    """Add has_lib and n_files, the Dart files below the package's folder; listing(project_id, path).
+
+    A file counts for every package folder above it. Only distinct directories fan out to their ancestors.
+    """
+    folder = F.regexp_replace("path", r"/[^/]*\z", "")
+    dirs = listing.filter(F.col("path").endswith(".dart")).groupBy("project_id", folder.alias("dir")).agg(F.count("*").alias("_n"))
+    above = dirs.select("project_id", "dir", "_n", F.explode(ancestors(F.col("dir"))).alias("_root"))
+    in_lib = (F.col("dir") == F.concat("_root", F.lit("/lib"))) | F.col("dir").startswith(F.concat("_root", F.lit("/lib/")))
+    found = above.groupBy("project_id", "_root").agg(F.sum("_n").alias("n_files"), F.max(in_lib).alias("has_lib"))
+    return packages.withColumn("_root", F.regexp_replace("path", r"/\z", "")).join(found, ["project_id", "_root"], "left").drop(
+        "_root").fillna(0, ["n_files"]).fillna(False, ["has_lib"])
+
+
 def package_type(name: Column, path: Column, root: Column, root_spec: Column) -> Column:
     """Ordered rules; root and root_spec are the project's own folder and descriptor (may be null)."""
     inside = (path == root) | path.startswith(F.concat(root, F.lit("/")))

@@ -92,12 +92,17 @@ def test_ordinals_are_dense_per_group(spark):
         assert [n for _, n in mine] == list(range(len(mine)))
 
 
-def test_lines_reach_every_row_of_a_crowded_file(spark):
+def test_text_reaches_every_row_of_a_crowded_file(spark):
     files = spark.createDataFrame([("p", "f", None, "a\nb\nc"), ("p", "g", None, "x")], FILES)
     rows = spark.range(100).select(F.lit("p").alias("project_id"), F.when(F.col("id") < 95, "f").when(F.col("id") < 99, "g").otherwise("none").alias("file_uri"), "id")
-    got = R.join_file_lines(rows, files, per_copy=10).collect()
-    assert len(got) == 100
-    assert all(r.lines == {"f": ["a", "b", "c"], "g": ["x"], "none": None}[r.file_uri] for r in got)
+    found = R.with_file_text(rows, files, lambda lines, row: F.concat_ws("|", F.get(lines, (row["id"] % 3).cast("int")), row["id"].cast("string")), "t", per_chunk=10)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    got = found.collect()
+    assert len(got) == 100 and found.columns == ["project_id", "file_uri", "id", "t"]
+    for r in got:
+        line = {"f": "abc"[r.id % 3], "g": "x" if r.id % 3 == 0 else None, "none": None}[r.file_uri]
+        assert r.t == "|".join(x for x in (line, str(r.id)) if x is not None)
+    assert "Generate explode" in plan
 
 
 def test_first_and_last_win(spark):
