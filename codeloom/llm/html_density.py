@@ -45,11 +45,11 @@ HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 ROLES = set(_words("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar"))
 #: parts of class names and ids that mark what isn't the article
 MARKS = set(_words("ad ads adv advert adverts advertisement advertising adsense adslot adbox banner banners breadcrumb "
-                   "breadcrumbs byline comment comments commentary commentlist disqus cookie cookies consent gdpr "
-                   "copyright footer footnav legal login masthead menu menus modal nav navbar navigation newsletter "
-                   "notice notices alert notification overlay pager pagination paywall popup promo promos promotion "
+                   "breadcrumbs comment comments commentary commentlist disqus cookie cookies consent gdpr "
+                   "copyright footer footnav login masthead menu menus modal nav navbar navigation newsletter "
+                   "notice notices alert notification overlay pager pagination popup promo promos promotion "
                    "recommended related replies reply respond search share sharing sidebar sidebars signup skip social "
-                   "sponsor sponsored sponsors subscribe subscription tags toolbar topbar widget widgets"))
+                   "sponsor sponsored sponsors subscribe subscription toolbar topbar widget widgets"))
 #: these name outer elements too often to go by the name alone
 KEPT = {"html", "body", "article", "main"}
 #: elements nested deeper become children of the last one, as browsers have it
@@ -63,11 +63,12 @@ _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "dropped", "in_article", "chars", "tags", "link_chars", "link_tags",
+    __slots__ = ("tag", "parent", "children", "why", "dropped", "holds", "in_article", "chars", "tags", "link_chars", "link_tags",
                  "density", "total")
 
-    def __init__(self, tag: str, parent: "Node | None", dropped: bool):
-        self.tag, self.parent, self.children, self.dropped = tag, parent, [], dropped
+    def __init__(self, tag: str, parent: "Node | None", why: str = ""):
+        self.tag, self.parent, self.children, self.why = tag, parent, [], why
+        self.dropped = self.holds = False
         self.in_article = tag in ("article", "main") or (parent is not None and parent.in_article)
         self.chars = self.link_chars = self.link_tags = 0
         self.tags = 1
@@ -78,20 +79,21 @@ def _attributes(text: str) -> dict[str, str]:
     return {m[1].lower(): unescape(m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(text)}
 
 
-def _excluded(tag: str, attributes: str, parent: Node) -> bool:
-    if tag in DROPPED:
-        return True
-    if tag == "header" and not parent.in_article:
-        return True
+def _excluded(tag: str, attributes: str, parent: Node) -> str:
+    """Why an element isn't part of the article: by what it is, or only by its name; empty if neither."""
+    if tag in DROPPED or (tag == "header" and not parent.in_article):
+        return "kind"
     if not attributes.strip(" /\t\n\r"):
-        return False
+        return ""
     found = _attributes(attributes)
     style = found.get("style", "").replace(" ", "").lower()
     if "hidden" in found or "display:none" in style or "visibility:hidden" in style or found.get("aria-hidden") == "true":
-        return True
+        return "kind"
     if tag in KEPT:
-        return tag == "article" and bool(_marks(found) & {"comment", "comments", "reply", "replies", "disqus"})
-    return found.get("role", "").lower() in ROLES or bool(_marks(found) & MARKS)
+        return "kind" if tag == "article" and _marks(found) & {"comment", "comments", "reply", "replies", "disqus"} else ""
+    if found.get("role", "").lower() in ROLES:
+        return "kind"
+    return "name" if _marks(found) & MARKS else ""
 
 
 def _marks(attributes: dict[str, str]) -> set[str]:
@@ -101,7 +103,7 @@ def _marks(attributes: dict[str, str]) -> set[str]:
 
 def parse(html: str) -> list[Node]:
     """All elements in page order, the page itself first; texts stand among the children."""
-    root = Node("html", None, False)
+    root = Node("html", None)
     nodes, stack, at = [root], [root], 0
 
     def close(names: set[str], border: set[str]) -> None:
@@ -129,7 +131,7 @@ def parse(html: str) -> list[Node]:
         tag = tag.lower()
         if found[1]:
             if tag == "p" and all(n.tag != "p" for n in stack):
-                stack[-1].children.append(Node("p", stack[-1], False))
+                stack[-1].children.append(Node("p", stack[-1]))
                 nodes.append(stack[-1].children[-1])
             elif any(n.tag == tag for n in stack[1:]):
                 close_to = max(k for k in range(1, len(stack)) if stack[k].tag == tag)
@@ -143,7 +145,7 @@ def parse(html: str) -> list[Node]:
         if tag in IMPLIED:
             close(*IMPLIED[tag])
         parent = stack[-1]
-        node = Node(tag, parent, parent.dropped or _excluded(tag, found[3], parent))
+        node = Node(tag, parent, _excluded(tag, found[3], parent))
         parent.children.append(node)
         nodes.append(node)
         if tag in VOID:
@@ -164,6 +166,13 @@ def measure(nodes: list[Node]) -> Node:
     """Fill in densities and sums; the body, or the page where there is none."""
     body = next((n for n in nodes if n.tag == "body"), nodes[0])
     for node in reversed(nodes):  # children come after their parents
+        node.holds |= node.tag in ("article", "main") and not node.why
+        if node.holds and node.why != "kind" and node.parent is not None:
+            node.parent.holds = True
+    for node in nodes:  # a name alone, like `with-sidebar`, doesn't drop what the article is in
+        node.dropped = (node.parent is not None and node.parent.dropped) or node.why == "kind" or (
+            node.why == "name" and not node.holds)
+    for node in reversed(nodes):
         if node.dropped:
             node.tags = 0
             continue

@@ -69,9 +69,9 @@ def brute_near(rows):
     return {i: (len(sets[i]), root(i), root(i) == i) for i in sets}
 
 
-@pytest.mark.parametrize("anchors", [8, 2])
-def test_near_duplicates_equal_brute_force(spark, monkeypatch, anchors):
-    monkeypatch.setattr(cp, "ANCHORS", anchors)
+@pytest.mark.parametrize("limit", [8, 2])
+def test_near_duplicates_equal_brute_force(spark, monkeypatch, limit):
+    monkeypatch.setattr(cp, "LIMIT", limit)
     rnd = random.Random(3)
     rows = documents()
     chain = prose(rnd, 80).split()  # a chain of links whose ends are far apart

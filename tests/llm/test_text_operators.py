@@ -23,6 +23,8 @@ LONG = "<p>This is a long paragraph of the article with many words in it, and no
     ("<article><p>x</p></article><div id=cookie-notice><p>" + "we use " * 80 + "</p></div>", "x"),
     ("<article><p>a &lt;b&gt; &#233;&nbsp;c &amp;amp; d</p><style>p{}</style><!-- gone --></article>", "a <b> é c &amp; d"),
     ("<article><ul><li>a<li>b</ul><table><tr><td>1<td>2</table></article>", "a\nb\n1\n2"),
+    ("<div class='page with-sidebar'><main><p>kept</p></main><div class=sidebar>gone</div></div>", "kept"),
+    ("<div class='comments'><article class=comment><p>gone</p></article></div><article><p>kept</p></article>", "kept"),
     ("<div hidden><p>" + "no " * 50 + "</p></div><div><p>yes</p></div>", "yes"),
     ("<article><p>t < 5 and <a href='x>y'>l</a></p>", "t < 5 and l"),
     ("<style>p{} never closed", ""), ("<!-- never closed <p>x</p>", ""), ("<p>x</div></b></p>y", "x\ny"),
