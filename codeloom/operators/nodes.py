@@ -26,6 +26,7 @@ def member_features(symbols: DataFrame) -> DataFrame:
     method = F.col("kind") == KIND_METHOD
     returns = F.coalesce(F.lower("return_type"), F.lit(""))
     slow = returns.contains("future") | returns.contains("stream") | F.lower(name).contains("async")
+    # fixed values: the member names that the layer rules count
     rules = {
         "fields": field,
         "methods": method,

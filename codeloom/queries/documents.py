@@ -137,6 +137,7 @@ def event_messages(spark, d):
     return told.select("event_id", T.format_message(F.col("template"), F.col("user_id").cast("string")).alias("phrase"))
 
 
+# --- SQL twins: the same rules, said for the checking engine -------------------------
 def _q(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
