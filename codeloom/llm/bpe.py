@@ -22,17 +22,18 @@ import json
 import unicodedata
 from collections.abc import Iterator
 from functools import partial
-from itertools import chain, islice
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, functions as F
 
+from codeloom.llm.words import pieces
+
 VOCABULARY = "/opt/tokenizers/word_bpe_49k.json"
 #: words kept encoded by one task
-CACHE = 300_000
+CACHE = 120_000
 _NONE = np.iinfo(np.int64).max
 _WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 
@@ -169,19 +170,10 @@ class Encoder:
         return [int(i) for r in self.rows_of([text])[0] for i in self.ids[r]]
 
 
-def _few(batches: Iterator[pa.RecordBatch], most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
-    """The batches in pieces of about `most` characters; one text is never cut."""
-    for batch in batches:
-        sizes = pc.binary_length(batch.column(1)).fill_null(0).to_numpy(zero_copy_only=False)
-        block = np.cumsum(sizes) // most
-        cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), batch.num_rows]
-        yield from (batch.slice(a, b - a) for a, b in zip(cuts, islice(cuts, 1, None)) if b > a)
-
-
 def _digests(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     encoder = Encoder(path)
     sha = lambda text: hashlib.sha256(text.encode()).hexdigest()
-    for batch in _few(batches):
+    for batch in pieces(batches, 1):
         counts, ids, shown = [], [], []
         for rows in encoder.rows_of([t or "" for t in batch.column(1).to_pylist()]):
             counts.append(sum([len(encoder.ids[r]) for r in rows]))
@@ -194,7 +186,7 @@ def _digests(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.Record
 
 def _token_ids(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     encoder = Encoder(path)
-    for batch in _few(batches):
+    for batch in pieces(batches, 1):
         found = encoder.rows_of([t or "" for t in batch.column(1).to_pylist()])
         ids = [np.concatenate([encoder.ids[r] for r in rows]).astype(np.int32) if rows else np.zeros(0, np.int32)
                for rows in found]

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import BooleanType, DoubleType, LongType, StructField, StructType
 
-from codeloom.llm.words import buffers, mix, word_hashes, word_spans
+from codeloom.llm.words import buffers, mix, pieces, word_hashes, word_spans
 from codeloom.session import cut_lineage
 
 GOOD, BAD, NONE = 1, 0, 2
@@ -136,7 +136,7 @@ _FUNCTION_HASHES = word_hashes(pa.array(FUNCTION_WORDS))[0]
 
 
 def _patterns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in pieces(batches, 1):
         facts = Facts(batch.column(1))
         codes = np.where(facts.n_words > 0, facts.patterns(), -1)
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(codes)], names=["r", "pattern"])
@@ -166,7 +166,7 @@ def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = ROUNDS) ->
 
 
 def _rows_of_features(batches: Iterator[pa.RecordBatch], labels: dict[int, float]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in pieces(batches, 1):
         facts = Facts(batch.column(1))
         codes = facts.patterns()
         of_words, of_texts = facts.features()
@@ -218,8 +218,11 @@ def _fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _scored(batches: Iterator[pa.RecordBatch], weights: np.ndarray, labels: dict[int, float],
             threshold: float, at: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        facts = Facts(batch.column(0).flatten()[at].cast(pa.string()))
+    # the text beside the document, to cut by
+    with_text = (pa.RecordBatch.from_arrays([b.column(0), b.column(0).flatten()[at].cast(pa.string())],
+                                            names=["_doc", "text"]) for b in batches)
+    for batch in pieces(with_text, 1):
+        facts = Facts(batch.column(1))
         of_words, of_texts = facts.features()
         each = weights[of_words].sum(axis=1)
         sums = np.zeros(len(each) + 1)

@@ -5,8 +5,11 @@ its bytes modulo 2**64, read off running sums, so the work is a few passes over
 taken in windows of bounded size.
 """
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 WINDOW = 1 << 20
 _RNG = np.random.Generator(np.random.PCG64(20240607))
@@ -36,6 +39,15 @@ _POWERS = _powers(_BASE, WINDOW + 1)
 _INVERSE = _powers(_BASE_INVERSE, WINDOW + 1)
 
 
+def pieces(batches: Iterator[pa.RecordBatch], column: int, most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of about `most` bytes of the text column; one text is never cut."""
+    for batch in batches:
+        sizes = pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        block = np.cumsum(sizes) // most
+        cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), batch.num_rows]
+        yield from (batch.slice(a, b - a) for a, b in zip(cuts, cuts[1:]) if b > a)
+
+
 def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets of a string array; null is empty."""
     if isinstance(texts, pa.ChunkedArray):

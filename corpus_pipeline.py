@@ -1,6 +1,6 @@
 """Training-data pipeline over `documents`: reject, dedup, near-dedup, mix, encode.
 
-Each stage reads what its predecessor wrote, works on all of it, and writes the documents it keeps with the columns
+Each stage sets the session up (`configure`), reads what its predecessor wrote, works on all of it, and writes the documents it keeps with the columns
 they came with; the last gives token ids. What the single stages do with nulls, empty texts, ties, repeated rows
 and empty tables is told by the operators they call; extra columns travel along.
 """
@@ -14,31 +14,36 @@ from codeloom.llm.chosen_path import drop_near_duplicates
 from codeloom.llm.exact_dedup import drop_exact_duplicates
 from codeloom.llm.mixing import sampled
 from codeloom.llm.weak_labels import good_documents
-from codeloom.session import written
+from codeloom.session import configure, written
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier doesn't reject."""
+    configure(spark)
     return good_documents(docs)
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each set of equal texts."""
+    configure(spark)
     return drop_exact_duplicates(docs)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies."""
+    configure(spark)
     return drop_near_duplicates(docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents drawn so that sources, languages and topics meet their target weights."""
+    configure(spark)
     return sampled(docs)
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens and token_ids of every document that is left."""
+    configure(spark)
     return bpe.encode(docs)
 
 
