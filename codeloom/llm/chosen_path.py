@@ -3,14 +3,17 @@
 A document's set is its distinct 5-word shingles as 64-bit hashes. Equal sets collapse to one representative.
 Every representative starts in TREES independent trees; in a node it is branched by the value of minwise tokens
 at positions that a hash of the node selects, so only documents with equal tokens meet in a child. A node of at
-most `anchors` documents is compared exhaustively. In a larger node all documents are compared with `anchors`
-of them, and the node is branched again unless one component already holds all its documents: equal components
-need no further link. `anchors` doubles from level to level, so every node ends up compared exhaustively or
-homogeneous; no node is cut short and no group is ever gathered into one task.
+most `limit` documents is compared exhaustively. In a larger node all documents are compared with ANCHORS of
+them. It ends when one component holds all its documents, as equal components need no further link, or when so
+few are outside its largest component that these can be compared with all; else it is branched again.
+
+Below the roots a child takes STEP tokens, so that documents below the threshold part quickly while those above it
+keep about as many common places as they had. `limit` grows from level to level, so every node ends up compared or
+in one component; no node is cut short and no group is gathered in one task.
 
 Candidates whose lengths or tokens rule out the threshold go (tokens: a link is missed with probability below
-1e-6); all others are confirmed on the full sets. A pair at the threshold shares a child of the roots with
-probability 1 - 0.25**(TREES * BRANCHES), over 0.99999, which the tests hold against brute force.
+1e-5); all others are confirmed on the full sets. A pair at the threshold shares a child of the roots with
+probability 1 - 0.25**ROOTS, over 0.99999, which the tests hold against brute force.
 
 Defined cases: null and empty texts have no shingles and no links; null ids are never linked and keep
 component null; rows that repeat an id with equal words are one document; an empty table gives an empty one.
@@ -24,49 +27,62 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from codeloom.llm.components import components
-from codeloom.llm.words import mix, shingle_sets
+from codeloom.llm.words import mix, pieces, shingle_sets
 from codeloom.session import cut_lineage
 
 SHINGLE = 5
 PERCENT = 75
-TOKENS = 96
 TREES = 5
-BRANCHES = 2
-#: branches below level MANY, as a mean: 1 / similarity keeps the number of places of a document constant
-MANY = 3
-ANCHORS = 8
-#: of TOKENS equal tokens, a pair at the threshold has fewer with probability below 1e-6
-LEAST_EQUAL = 50
+#: children of a root, and tokens that choose them, one each
+ROOT_BRANCHES = 2
+ROOTS = TREES * ROOT_BRANCHES
+#: tokens for deeper nodes and estimates
+TOKENS = 128
+#: below the roots a node has so many children, each named by so many tokens
+BRANCHES = 3
+STEP = 3
+#: documents of a node that all others are compared with; nodes of at most LIMIT are compared exhaustively
+ANCHORS = 3
+LIMIT = 8
+#: the limit grows by this factor from level to level
+MORE = 3
+#: of TOKENS equal tokens, a pair at the threshold has fewer with probability below 1e-5
+LEAST_EQUAL = 74
 #: ids broadcast when the candidates' texts are read again; beyond, the same join shuffles
 BROADCAST_IDS = 2_000_000
 
-_SEEDS = np.random.Generator(np.random.PCG64(7)).integers(0, 2**63, TOKENS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_SIGNATURES = "doc_id long, n_shingles long, key1 long, key2 long, tokens array<int>"
+_SEEDS = np.random.Generator(np.random.PCG64(7)).integers(0, 2**63, ROOTS + TOKENS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_SIGNATURES = "doc_id long, n_shingles long, key1 long, key2 long, roots array<int>, tokens array<short>"
+
+
+def _lists(rows: np.ndarray) -> pa.ListArray:
+    ends = np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(rows.reshape(-1)))
 
 
 def signatures_of(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in pieces(batches, 1):
         n = batch.num_rows
         sizes, keys = np.zeros(n, np.int64), np.zeros((n, 2), np.uint64)
-        tokens = np.zeros((n, TOKENS), np.uint64)
+        low = np.zeros((n, len(_SEEDS)), np.uint64)
         for i, grams in enumerate(shingle_sets(batch.column(1), size)):
             if len(grams):
                 sizes[i] = len(grams)
                 keys[i] = grams.sum(dtype=np.uint64), mix(grams ^ _SEEDS[0]).sum(dtype=np.uint64)
                 for a in range(0, len(grams), 4096):  # bounded work space for long texts
-                    low = (grams[a:a + 4096, None] * _SEEDS).min(axis=0)
-                    tokens[i] = low if a == 0 else np.minimum(tokens[i], low)
-        short = (tokens >> np.uint64(32)).astype(np.uint32).view(np.int32)
-        lists = pa.ListArray.from_arrays(
-            pa.array(np.arange(n + 1, dtype=np.int32) * TOKENS), pa.array(short.reshape(-1)))
+                    least = (grams[a:a + 4096, None] * _SEEDS).min(axis=0)
+                    low[i] = least if a == 0 else np.minimum(low[i], least)
+        low = mix(low)
         signed = keys.view(np.int64)
         yield pa.RecordBatch.from_arrays(
             [batch.column(0).cast(pa.int64()), pa.array(sizes), pa.array(signed[:, 0].copy()),
-             pa.array(signed[:, 1].copy()), lists], names=["doc_id", "n_shingles", "key1", "key2", "tokens"])
+             pa.array(signed[:, 1].copy()), _lists(low[:, :ROOTS].astype(np.uint32).view(np.int32)),
+             _lists(low[:, ROOTS:].astype(np.uint16).view(np.int16))],
+            names=["doc_id", "n_shingles", "key1", "key2", "roots", "tokens"])
 
 
 def sets_of(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in pieces(batches, 1):
         grams = list(shingle_sets(batch.column(1), size))
         ends = np.concatenate([[0], np.cumsum([len(g) for g in grams])]).astype(np.int32)
         flat = np.concatenate([*grams, np.zeros(0, np.uint64)]).view(np.int64)
@@ -75,18 +91,20 @@ def sets_of(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordB
             names=["doc_id", "grams"])
 
 
-def _branch(places: DataFrame, level: int) -> DataFrame:
-    """Children of each (doc, node, n, tokens): where its tokens at the positions chosen by the node lead."""
-    last = TREES * BRANCHES - 1 if level == 0 else BRANCHES - 1
-    chosen = F.sequence(F.lit(0), F.lit(last))
-    if level > MANY:  # the second branch of a node is taken in 100 / PERCENT - 1 of the nodes
-        taken = F.pmod(F.xxhash64("node", F.lit("second")), F.lit(PERCENT)) < 100 - PERCENT
-        chosen = F.filter(chosen, lambda j: (j == 0) | taken)
-    def position(j: Column) -> Column:  # the roots select different tokens, deeper nodes any
-        return j if level == 0 else F.pmod(F.xxhash64("node", j), F.lit(TOKENS)).cast("int")
+def _roots(sets: DataFrame) -> DataFrame:
+    """(doc, node): the children of the roots; trees select different tokens."""
+    child = F.transform("roots", lambda token, j: F.xxhash64(j, token))
+    return sets.select("doc", F.explode(child).alias("node"))
+
 
-    child = F.transform(chosen, lambda j: F.xxhash64("node", j, F.col("tokens")[position(j)]))
-    return places.select("doc", F.explode(F.array_distinct(child)).alias("node"))
+def _branch(places: DataFrame) -> DataFrame:
+    """Children of each (doc, n, tokens, component, node): where the document's tokens at positions chosen by the node lead."""
+    def token(j: Column, k: int) -> Column:
+        return F.col("tokens")[F.pmod(F.xxhash64("node", j, F.lit(k)), F.lit(TOKENS)).cast("int")]
+
+    child = F.transform(F.sequence(F.lit(1), F.lit(BRANCHES)),
+                        lambda j: F.xxhash64("node", j, *[token(j, k) for k in range(STEP)]))
+    return places.select("doc", "n", "tokens", "component", F.explode(F.array_distinct(child)).alias("node"))
 
 
 def _equal_tokens(a: Column, b: Column) -> Column:
@@ -99,8 +117,7 @@ def _may_link(a: str, b: str) -> Column:
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, size: int) -> DataFrame:
-    """Pairs (u, v) whose full sets reach the threshold."""
-    pairs = cut_lineage(pairs)
+    """Those of the pairs (u, v) whose full sets reach the threshold."""
     ids = pairs.select(F.col("u").alias("doc_id")).unionByName(pairs.select(F.col("v").alias("doc_id"))).distinct()
     ids = F.broadcast(ids) if pairs.count() * 2 <= BROADCAST_IDS else ids
     sets = docs.join(ids, "doc_id", "left_semi").mapInArrow(partial(sets_of, size=size), "doc_id long, grams array<long>")
@@ -110,48 +127,69 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, size: int) -> DataFrame:
     both = F.size(F.array_intersect("a", "b"))
     met = pairs.join(left, "u").join(right, "v").select("u", "v", both.alias("both"), F.size("a").alias("na"),
                                                         F.size("b").alias("nb"))
-    return cut_lineage(met.filter(F.col("both") * 100 >= (F.col("na") + F.col("nb") - F.col("both")) * PERCENT)
-                       .select("u", "v").distinct())
+    return met.filter(F.col("both") * 100 >= (F.col("na") + F.col("nb") - F.col("both")) * PERCENT).select("u", "v")
+
+
+def _candidates(members: DataFrame, limit: int) -> DataFrame:
+    """Pairs (u, v) of different components to confirm.
+
+    In a node that ends here (`small`) those that `stand` are compared with all; in others ANCHORS documents are.
+    """
+    # the lowest hashes stand for a larger node, the same documents wherever they meet: an exact share of hash
+    # space, then a rank in what is left
+    code = F.pmod(F.xxhash64("doc", F.lit(limit)), F.lit(1 << 30))
+    share = members.withColumn("code", code).filter(
+        F.when(F.col("small"), F.col("stand")).otherwise(F.col("code") * F.col("size") < F.lit(8 * ANCHORS << 30)))
+    rank = F.row_number().over(Window.partitionBy("node").orderBy("code", "doc"))
+    a = share.withColumn("rank", rank).filter(F.col("small") | (F.col("rank") <= ANCHORS)).alias("a")
+    b = members.alias("b")
+    apart = (F.col("a.component") != F.col("b.component")) & (F.col("a.doc") != F.col("b.doc"))
+    once = ~(F.col("b.small") & F.col("b.stand")) | (F.col("a.doc") < F.col("b.doc"))
+    return a.join(b, (F.col("a.node") == F.col("b.node")) & apart & once & _may_link("a", "b")).select(
+        F.least("a.doc", "b.doc").alias("u"), F.greatest("a.doc", "b.doc").alias("v")).distinct()
+
+
+def _counted(spots: DataFrame, limit: int) -> DataFrame:
+    """Spots of nodes that several documents share; nodes of at most `limit` end here."""
+    crowded = spots.groupBy("node").agg(F.count("*").alias("size")).filter("size > 1")
+    return spots.join(crowded, "node").withColumns({"small": F.col("size") <= limit, "stand": F.lit(True)})
+
+
+def _mixed(members: DataFrame, limit: int) -> DataFrame:
+    """(node, size, small, top) of nodes whose documents aren't in one component.
+
+    `small`: pairs of different components are at most `limit` for each document, so the documents outside the
+    largest component, `top`, can be compared with all others.
+    """
+    parts = members.groupBy("node", "component").agg(F.count("*").alias("c"))
+    nodes = parts.groupBy("node").agg(F.sum("c").alias("size"), F.sum(F.col("c") * F.col("c")).alias("same"),
+                                      F.max_by("component", "c").alias("top"))
+    apart = F.col("size") * F.col("size") - F.col("same")
+    return nodes.filter(apart > 0).select("node", "size", (apart <= F.col("size") * limit).alias("small"), "top")
 
 
 def links(sets: DataFrame, docs: DataFrame, size: int) -> DataFrame:
-    """Confirmed components (node, component) of the representatives `sets` (doc, n, tokens)."""
-    places = sets.select("doc", F.lit(0).cast("long").alias("node"), "tokens")
-    found, level, anchors = None, 0, ANCHORS
+    """Components (node, component) of the representatives `sets` (doc, n, roots, tokens) that have a link."""
+    columns = ["doc", "n", "tokens", "component", "node", "size", "small", "stand"]
+    members = _counted(_roots(sets), LIMIT).join(sets.select("doc", "n", "tokens"), "doc").withColumn("component", F.col("doc"))
+    found, tested, limit = None, None, LIMIT
     while True:
-        spots = cut_lineage(_branch(places, level))
-        crowded = spots.groupBy("node").agg(F.count("*").alias("size")).filter("size > 1")
-        members = spots.join(crowded, "node")
-        members = members.join(sets, "doc")
-        if found is not None:
-            members = members.join(found.withColumnRenamed("node", "doc"), "doc", "left").withColumn(
-                "component", F.coalesce("component", "doc"))
-        else:
-            members = members.withColumn("component", F.col("doc"))
-        members = cut_lineage(members)
-        # in a crowded node the lowest hashes stand for it: an exact share of hash space, then a rank in what is left
-        code = F.pmod(F.xxhash64("node", "doc"), F.lit(1 << 30))
-        share = members.withColumn("code", code).filter(
-            (F.col("size") <= anchors) | (F.col("code") * F.col("size") < F.lit(4 * anchors << 30)))
-        rank = F.row_number().over(Window.partitionBy("node").orderBy("code", "doc"))
-        first = share.withColumn("rank", rank).filter(F.col("rank") <= anchors)
-        a, b = first.alias("a"), members.alias("b")
-        apart = (F.col("a.component") != F.col("b.component")) & (F.col("a.doc") != F.col("b.doc"))
-        once = (F.col("b.size") > anchors) | (F.col("a.doc") < F.col("b.doc"))
-        pairs = a.join(b, (F.col("a.node") == F.col("b.node")) & apart & once & _may_link("a", "b")).select(
-            F.least("a.doc", "b.doc").alias("u"), F.greatest("a.doc", "b.doc").alias("v")).distinct()
+        members = cut_lineage(members.select(*columns))
+        pairs = _candidates(members, limit)
+        pairs = cut_lineage(pairs if tested is None else pairs.join(tested, ["u", "v"], "left_anti"))
+        tested = pairs if tested is None else tested.unionByName(pairs)
         edges = _confirmed(pairs, docs, size)
         if found is not None:
             edges = edges.unionByName(found.select(F.col("node").alias("u"), F.col("component").alias("v")))
-        found = cut_lineage(components(edges))
-        now = members.filter(F.col("size") > anchors).drop("component").join(
-            found.withColumnRenamed("node", "doc"), "doc", "left").withColumn(
-            "component", F.coalesce("component", "doc"))
-        mixed = now.groupBy("node").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi")
-        places = cut_lineage(now.join(mixed, "node", "left_semi").select("doc", "node", "tokens"))
+        found = components(edges)
+        limit *= MORE
+        now = members.filter("NOT small").drop("component", "size", "small", "stand").join(
+            found.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+        places = cut_lineage(now.join(_mixed(now, limit), "node"))
         if places.isEmpty():
             return found
-        level, anchors = level + 1, anchors * 2
+        ending = places.filter("small").withColumn("stand", F.col("component") != F.col("top"))
+        members = _counted(_branch(places.filter("NOT small")), limit).select(*columns).unionByName(ending.select(*columns))
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE) -> DataFrame:
@@ -160,11 +198,12 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     rows = cut_lineage(docs.mapInArrow(partial(signatures_of, size=size), _SIGNATURES))
     own = ["key1", "key2", "n_shingles"]
     linked = rows.filter("n_shingles > 0 AND doc_id IS NOT NULL")
-    sets = cut_lineage(linked.groupBy(*own, "tokens").agg(F.min("doc_id").alias("doc")))
-    found = links(sets.select("doc", F.col("n_shingles").alias("n"), "tokens"), docs.filter("doc_id IS NOT NULL"), size)
+    sets = cut_lineage(linked.groupBy(*own, "roots", "tokens").agg(F.min("doc_id").alias("doc")))
+    found = links(sets.select("doc", F.col("n_shingles").alias("n"), "roots", "tokens"),
+                  docs.filter("doc_id IS NOT NULL"), size)
     named = sets.select(*own, "doc").join(found.withColumnRenamed("node", "doc"), "doc", "left").select(
         *own, F.coalesce("component", "doc").alias("component"))
-    out = rows.drop("tokens").join(named, own, "left")
+    out = rows.drop("roots", "tokens").join(named, own, "left")
     out = out.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")))
     return out.select("doc_id", "n_shingles", "component_id",
                       F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))

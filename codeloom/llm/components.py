@@ -12,8 +12,9 @@ def _toward_smallest(edges: DataFrame) -> DataFrame:
 
 
 def _round(edges: DataFrame) -> DataFrame:
+    """Canonical edges with the same components, nearer to stars around the smallest nodes."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    large = _toward_smallest(both).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    large = _toward_smallest(both).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     down = _toward_smallest(large)
     small = down.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return small.unionByName(down.select("u", F.col("m").alias("v"))).distinct()
