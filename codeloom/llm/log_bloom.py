@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, functions as F
 
-from codeloom.llm.words import mix, ngram_hashes, word_hashes
+from codeloom.llm.words import mix, ngram_hashes, pieces, word_hashes
 from codeloom.session import cut_lineage, written
 
 END = np.uint64(0x5DEECE66D1234567)
@@ -36,7 +36,7 @@ PROBES = 5
 HEAD = 4_000_000
 STRENGTH = 1000.0
 #: n-grams that a task gathers before it folds them
-FOLD = 4_000_000
+FOLD = 2_000_000
 _COUNTS = "n int, gram long, times long"
 _TEXTS = ("doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, "
           "rare array<long>, rare_times array<long>")
@@ -77,7 +77,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 grams.clear()
                 times.clear()
 
-    for batch in batches:
+    for batch in pieces(batches, 0):
         flat, first = tokens(batch.column(0))
         for n, grams in ((1, flat), (2, pairs(flat, first))):
             own, times = np.unique(grams, return_counts=True)
@@ -171,7 +171,7 @@ def _scored(batches: Iterator[pa.RecordBatch], model: Broadcast, head: Broadcast
             distinct: int) -> Iterator[pa.RecordBatch]:
     bloom, (head_words, head_times) = model.value, head.value
     base = total + ALPHA * (distinct + 1)
-    for batch in batches:
+    for batch in pieces(batches, 2):
         flat, first = tokens(batch.column(2))
         starts, n = first[:-1], np.diff(first)
         if not len(n):
