@@ -14,6 +14,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """Key columns dealt over the shuffle partitions before long texts are derived from them.
+
+    Only these narrow rows move. A table may be one row group, which one task would read and write out at length.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def text(*parts) -> Column:
     """Concatenate literals and columns; numbers are shown as text."""
     return F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
@@ -150,8 +158,8 @@ def part_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def part_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One member symbol per order line, below the class of its part."""
     ok, ln, sk = F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_suppkey")
-    lines = table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_linenumber", "l_suppkey", "l_partkey", "l_extendedprice")
+    lines = dealt(table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_suppkey", "l_partkey", "l_extendedprice"))
     owners = part_classes(spark, sf_dir).select(
         "project_id", "file_uri", "part", F.col("name").alias("parent_name"), F.col("kind").alias("parent_kind"))
     kind = (
@@ -215,7 +223,7 @@ def _order_cols() -> dict[str, Column]:
 
 
 def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    return dealt(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"))
 
 
 def order_files(spark: SparkSession, sf_dir: str) -> DataFrame:
