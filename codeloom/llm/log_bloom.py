@@ -2,15 +2,16 @@
 
 Words and word pairs of the training texts are counted over the whole corpus, folded in tasks before the shuffle.
 The filter holds, for an n-gram of quantised count q = 1 + floor(log2(count)), the items (n-gram, 1) to (n-gram, q). A
-lookup probes for 1, 2, ... until the first miss, so a wrong answer can only be too high. Bits lie in blocks that
-are built side by side, and all blocks together are broadcast; they hold at most FILTER_BYTES. The lowest level
-kept is the least at which the items fit, the same rule at every size, and pairs seen once are left to smoothing.
+lookup probes for 1, 2, ... until the first miss, so a wrong answer can only be too high. N-grams lie in BUCKETS by
+their hash, and the bits of a bucket grow with its items, BITS_PER_ITEM each: every n-gram of every count is in the
+filter, pairs seen once too. The filter is never gathered. Texts are dealt to chunks; the distinct n-grams of a chunk
+go, with their counts there, to the part that holds their buckets. A part is built from all it was sent, answers for
+it, and the levels come back to the chunk. Parts and chunks get more, not larger, as the corpus grows.
 
 A text's score sums log10 of (c(u, w) + STRENGTH * p(w)) / (c(u) + STRENGTH), with p(w) the add-0.1 share of w, all
 counts as the filter gives them; the context of the first word is the end of a text.
 
-The base score uses exact counts. Words with at least 1/HEAD of the training tokens, at most HEAD words, are
-broadcast; the rarer words of a text are joined with their counts.
+The base score uses exact counts, which the parts give for words besides the levels; no word list is broadcast.
 
 Defined cases: null and empty texts are one end token; texts without an id are held out; rows that repeat are
 scored each; without training texts all counts are 0; an empty table gives an empty one; other columns are not read.
@@ -21,25 +22,32 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
 from pyspark.sql import DataFrame, functions as F
 
 from codeloom.llm.words import mix, ngram_hashes, pieces, word_hashes
-from codeloom.session import cut_lineage, written
+from codeloom.session import written
 
 END = np.uint64(0x5DEECE66D1234567)
 ALPHA = 0.1
-FILTER_BYTES = 32 << 20
-BLOCK_BYTES = 1 << 16
+BUCKETS = 4096
+#: a power of two of buckets makes a part; so many training tokens a part, but at least PARTS parts
+PART_TOKENS = 1_000_000
+PARTS = 64
+#: bytes of text whose n-grams are asked for together
+CHUNK = 4_000_000
 BITS_PER_ITEM = 10
 PROBES = 5
-HEAD = 4_000_000
 STRENGTH = 1000.0
 #: n-grams that a task gathers before it folds them
 FOLD = 2_000_000
+#: n-grams looked up at a time
+SLICE = 1 << 18
 _COUNTS = "n int, gram long, times long"
-_TEXTS = ("doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, "
-          "rare array<long>, rare_times array<long>")
+_TEXTS = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+#: n-grams of a chunk that lie in one part, and how often they are there in training texts
+_ASKED = "chunk long, n int, part int, grams binary, times binary"
+#: the levels, and the exact counts of words
+_ANSWERS = "chunk long, n int, part int, levels binary, times binary"
 
 
 def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -63,9 +71,9 @@ def _folded(n: int, held: list[np.ndarray], times: list[np.ndarray]) -> pa.Recor
                                        pa.array(sums)], names=["n", "gram", "times"])
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (n, gram, times), folded over many texts."""
-    held: dict[int, tuple[list, list]] = {1: ([], []), 2: ([], [])}
+def _counted(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Rows (n, gram, times) of n-grams of at most `most` words, folded over many texts."""
+    held: dict[int, tuple[list, list]] = {n: ([], []) for n in range(1, most + 1)}
     size = 0
 
     def release() -> Iterator[pa.RecordBatch]:
@@ -79,7 +87,8 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in pieces(batches, 0):
         flat, first = tokens(batch.column(0))
-        for n, grams in ((1, flat), (2, pairs(flat, first))):
+        for n in held:
+            grams = flat if n == 1 else pairs(flat, first)
             own, times = np.unique(grams, return_counts=True)
             held[n][0].append(own)
             held[n][1].append(times)
@@ -90,151 +99,165 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from release()
 
 
-def _places(grams: np.ndarray, level: int, blocks: int) -> tuple[np.ndarray, np.ndarray]:
-    """Block of each n-gram, and its PROBES bits there for one level."""
-    item = mix(grams + np.uint64(level * 0x9E3779B97F4A7C15 % 2**64))
-    step = (item >> np.uint64(32)) | np.uint64(1)
-    bits = (item[:, None] + step[:, None] * np.arange(PROBES, dtype=np.uint64)) % np.uint64(BLOCK_BYTES * 8)
-    return (mix(grams) % np.uint64(blocks)).astype(np.int64), bits.astype(np.int64)
-
-
-def _blocks_of(grams: np.ndarray, blocks: int) -> np.ndarray:
-    return (mix(grams) % np.uint64(blocks)).astype(np.int32)
-
-
-def _dealt(batches: Iterator[pa.RecordBatch], blocks: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        grams = batch.column(0).to_numpy().view(np.uint64)
-        yield pa.RecordBatch.from_arrays([pa.array(_blocks_of(grams, blocks)), batch.column(0), batch.column(1)],
-                                         names=["block", "gram", "level"])
-
-
-def _built(batches: Iterator[pa.RecordBatch], blocks: int) -> Iterator[pa.RecordBatch]:
-    """The blocks of one task: at most all of the filter."""
-    held: dict[int, np.ndarray] = {}
-    for batch in batches:
-        block = batch.column(0).to_numpy()
-        grams = batch.column(1).to_numpy().view(np.uint64)
-        levels = batch.column(2).to_numpy()
-        for b in np.unique(block).tolist():
-            bits = held.setdefault(b, np.zeros(BLOCK_BYTES * 8, dtype=bool))
-            here = block == b
-            for level in range(1, int(levels[here].max()) + 1):
-                bits[_places(grams[here & (levels >= level)], level, blocks)[1].reshape(-1)] = True
-    for b, bits in held.items():
-        yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([np.packbits(bits).tobytes()])],
-                                         names=["block", "bits"])
+def _buckets(grams: np.ndarray) -> np.ndarray:
+    return (mix(grams) % np.uint64(BUCKETS)).astype(np.int64)
 
 
 class LogBloom:
-    """The filter as one byte array; `levels` answers for many n-grams at once."""
-
-    def __init__(self, bits: np.ndarray, blocks: int, most: int):
-        self.bits, self.blocks, self.most = bits, blocks, most
+    """The filter of n-grams with their counts, buckets side by side; `levels` answers for many n-grams at once."""
+
+    def __init__(self, grams: np.ndarray, times: np.ndarray):
+        level = np.frexp(times.astype(np.float64))[1].astype(np.int64)  # 1 + floor(log2), 0 for none
+        items = np.bincount(_buckets(grams), level, BUCKETS).astype(np.int64)
+        self.sizes = np.maximum(64, items * BITS_PER_ITEM) * (items > 0)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.most = int(level.max(initial=0))
+        bits = np.zeros(int(self.sizes.sum()), bool)
+        for a in range(0, len(grams), SLICE):
+            own, held = grams[a:a + SLICE], level[a:a + SLICE]
+            for k in range(1, int(held.max()) + 1):
+                bits[self._places(own[held >= k], k)] = True
+        self.bits = np.packbits(bits)
+
+    def _places(self, grams: np.ndarray, level: int) -> np.ndarray:
+        """PROBES bits of each n-gram for one level."""
+        bucket = _buckets(grams)
+        item = mix(grams + np.uint64(level * 0x9E3779B97F4A7C15 % 2**64))
+        step = mix(item) | np.uint64(1)
+        turns = (item[:, None] + step[:, None] * np.arange(PROBES, dtype=np.uint64)) >> np.uint64(32)
+        size = self.sizes[bucket].astype(np.uint64)
+        if self.sizes.max(initial=0) < 1 << 32:
+            at = (turns * size[:, None]) >> np.uint64(32)
+        else:
+            at = mix(turns) % size[:, None]
+        return self.starts[bucket][:, None] + at.astype(np.int64)
 
     def levels(self, grams: np.ndarray) -> np.ndarray:
-        found, open_ = np.zeros(len(grams), np.int64), np.arange(len(grams))
-        for level in range(1, self.most + 1):
-            block, at = _places(grams[open_], level, self.blocks)
-            held = (self.bits[block[:, None] * BLOCK_BYTES + (at >> 3)] >> (7 - (at & 7)).astype(np.uint8)) & 1
-            open_ = open_[held.all(axis=1)]
-            if not len(open_):
-                break
-            found[open_] = level
+        found = np.zeros(len(grams), np.int64)
+        for a in range(0, len(grams), SLICE):
+            own = grams[a:a + SLICE]
+            open_ = np.flatnonzero(self.sizes[_buckets(own)])
+            for level in range(1, self.most + 1):
+                bit = self._places(own[open_], level)
+                held = (self.bits[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8)) & 1
+                open_ = open_[held.all(axis=1)]
+                if not len(open_):
+                    break
+                found[a + open_] = level
         return found
 
     def counts(self, grams: np.ndarray) -> np.ndarray:
-        """The middle of the counts that share a level; 0 for a miss."""
         own, at = np.unique(grams, return_inverse=True)
-        level = self.levels(own)
-        return np.where(level > 0, 1.5 * 2.0 ** (level - 1) - 0.5, 0.0)[at]
-
-
-def build(counts: DataFrame, most_bytes: int = FILTER_BYTES) -> LogBloom:
-    """The filter of a table (n, gram, times)."""
-    level = (F.floor(F.log2("times")) + 1).cast("int")
-    rows = counts.select("gram", level.alias("level"))
-    found = {r[0]: r[1] for r in rows.groupBy("level").count().collect()}  # at most 63 rows
-    capacity = most_bytes * 8 // BITS_PER_ITEM
-    least = next((k for k in range(1, 64) if sum(q * c for q, c in found.items() if q >= k) <= capacity), 64)
-    items = sum(q * c for q, c in found.items() if q >= least)
-    blocks = max(1, min(most_bytes // BLOCK_BYTES, -(-items * BITS_PER_ITEM // (BLOCK_BYTES * 8))))
-    dealt = rows.filter(F.col("level") >= least).mapInArrow(partial(_dealt, blocks=blocks), "block int, gram long, level int")
-    made = dealt.repartition("block").mapInArrow(partial(_built, blocks=blocks), "block int, bits binary")
-    bits = np.zeros(blocks * BLOCK_BYTES, dtype=np.uint8)
-    for block, held in made.toLocalIterator():  # at most `most_bytes` in all
-        bits[block * BLOCK_BYTES:(block + 1) * BLOCK_BYTES] = np.frombuffer(held, np.uint8)
-    return LogBloom(bits, blocks, max(found, default=0))
-
-
-def _scored(batches: Iterator[pa.RecordBatch], model: Broadcast, head: Broadcast, total: int,
-            distinct: int) -> Iterator[pa.RecordBatch]:
-    bloom, (head_words, head_times) = model.value, head.value
+        return _middle(self.levels(own))[at]
+
+
+def _middle(level: np.ndarray) -> np.ndarray:
+    """The middle of the counts that share a level; 0 for a miss."""
+    return np.where(level > 0, 1.5 * 2.0 ** (level.astype(np.int64) - 1) - 0.5, 0.0)
+
+
+def build(counts: DataFrame, most_bytes: int | None = None) -> LogBloom:
+    """The filter of a small table (n, gram, times) in one place; refused where it has more than `most_bytes`."""
+    rows = counts.select("gram", "times").toPandas()
+    bloom = LogBloom(rows["gram"].to_numpy(np.int64).view(np.uint64), rows["times"].to_numpy(np.int64))
+    if most_bytes is not None and len(bloom.bits) > most_bytes:
+        raise ValueError(f"the filter has {len(bloom.bits)} bytes; at most {most_bytes} are asked for")
+    return bloom
+
+
+def _by_part(grams: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An order of the n-grams by part, the parts they have, and where each begins in it."""
+    part = _buckets(grams) % parts
+    order = np.argsort(part, kind="stable")
+    return order, *np.unique(part[order], return_index=True)
+
+
+def _grams(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, list]:
+    """Tokens of a chunk's texts and where each text begins; (distinct n-grams, where they stand) for n = 1, 2."""
+    flat, first = tokens(table["text"])
+    found = [np.unique(grams, return_inverse=True) for grams in (flat, pairs(flat, first))]
+    return flat, first, np.diff(first), found
+
+
+def _asked(table: pa.Table, parts: int) -> pa.Table:
+    """The n-grams of a chunk for the parts."""
+    _, _, n, found = _grams(table)
+    trained = np.repeat(~table["held_out"].to_numpy(), n).astype(np.float64)
+    columns: list[list] = [[], [], [], []]
+    for k, (grams, at) in enumerate(found, 1):
+        times = np.bincount(at, trained, len(grams)).astype(np.int64)
+        times = times.astype(np.min_scalar_type(int(times.max(initial=0))))
+        order, own, first = _by_part(grams, parts)
+        columns[0] += [k] * len(own)
+        columns[1] += own.tolist()
+        columns[2] += [x.tobytes() for x in np.split(grams[order], first[1:])]
+        columns[3] += [x.tobytes() for x in np.split(times[order], first[1:])]
+    kinds = pa.int32(), pa.int32(), pa.binary(), pa.binary()
+    return pa.table([pa.array([table["chunk"][0].as_py()] * len(columns[0]), pa.int64()),
+                     *[pa.array(c, kind) for c, kind in zip(columns, kinds)]], names=["chunk", "n", "part", "grams", "times"])
+
+
+def _answered(table: pa.Table) -> pa.Table:
+    """Levels for all that was asked of a part, from a filter of all that its n-grams count."""
+    asked = [np.frombuffer(x, np.uint64) for x in table["grams"].to_pylist()]
+    times = [np.frombuffer(x, f"u{len(x) // len(g)}") for x, g in zip(table["times"].to_pylist(), asked)]
+    grams, at = np.unique(np.concatenate(asked), return_inverse=True)
+    times = np.bincount(at, np.concatenate(times), len(grams)).astype(np.int64)
+    bloom = LogBloom(grams, times)
+    ends = np.cumsum([len(g) for g in asked])[:-1]
+    found = np.split(bloom.levels(grams).astype(np.uint8)[at], ends)
+    exact = [x.tobytes() if n == 1 else b"" for n, x in zip(table["n"].to_pylist(), np.split(times[at], ends))]
+    return pa.table([table["chunk"], table["n"], table["part"], pa.array([x.tobytes() for x in found], pa.binary()),
+                     pa.array(exact, pa.binary())], names=["chunk", "n", "part", "levels", "times"])
+
+
+def _scored(table: pa.Table, answers: pa.Table, total: int, distinct: int, parts: int) -> pa.Table:
+    """The texts of a chunk with their scores."""
     base = total + ALPHA * (distinct + 1)
-    for batch in pieces(batches, 2):
-        flat, first = tokens(batch.column(2))
-        starts, n = first[:-1], np.diff(first)
-        if not len(n):
-            continue
-        own, at = np.unique(flat, return_inverse=True)
-        place = np.minimum(np.searchsorted(head_words, own), max(len(head_words) - 1, 0))
-        known = head_words[place] == own if len(head_words) else np.zeros(len(own), bool)
-        exact = np.where(known, head_times[place], 0) if len(head_words) else np.zeros(len(own))
-        part = np.where(known, np.log10((exact + ALPHA) / base), 0.0)[at]
-        rare = ~known[at]
-        times = bloom.counts(flat)
-        before = np.empty_like(times)
-        before[1:] = times[:-1]
-        before[starts] = bloom.counts(np.array([END]))[0]
-        together = np.minimum(bloom.counts(pairs(flat, first)), np.minimum(times, before))
-        share = (times + ALPHA) / base
-        score = np.add.reduceat(np.log10((together + STRENGTH * share) / (before + STRENGTH)), starts)
-        words, counts = [], []
-        for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
-            found, often = np.unique(flat[a:b][rare[a:b]], return_counts=True)
-            words.append(found.view(np.int64))
-            counts.append(often.astype(np.int64))
-        ends = pa.array(np.concatenate([[0], np.cumsum([len(w) for w in words])]).astype(np.int32))
-        yield pa.RecordBatch.from_arrays([
-            batch.column(0), batch.column(1), pa.array(n), pa.array(np.add.reduceat((~rare).astype(np.int64), starts)),
-            pa.array(np.add.reduceat(part, starts)), pa.array(score),
-            pa.ListArray.from_arrays(ends, pa.array(np.concatenate(words))),
-            pa.ListArray.from_arrays(ends, pa.array(np.concatenate(counts))),
-        ], names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "rare", "rare_times"])
-
-
-def count_ngrams(texts: DataFrame) -> DataFrame:
-    """(n, gram, times) of all words, and of all pairs seen more than once, of a one-column table of texts."""
-    rows = texts.mapInArrow(_counted, _COUNTS).groupBy("n", "gram").agg(F.sum("times").alias("times"))
-    return written(rows.filter("n = 1 OR times > 1"))
-
-
-def scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *, head: int = HEAD,
-           filter_bytes: int = FILTER_BYTES) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every text."""
-    sc = docs.sparkSession.sparkContext
+    flat, first, n, found = _grams(table)
+    starts, ends = first[:-1], first[1:]
+    told = sorted(zip(*[answers[c].to_pylist() for c in ("n", "part", "levels", "times")]))
+    own, at = found[0]
+    exact = np.empty(len(own), np.int64)
+    exact[_by_part(own, parts)[0]] = np.frombuffer(b"".join(x for *_, x in told), np.int64)
+    part, known = np.log10((exact + ALPHA) / base)[at], (exact > 0).astype(np.int64)[at]
+    counts = []
+    for k, (grams, where) in enumerate(found, 1):  # answers come by part, n-grams in order within
+        level = np.empty(len(grams), np.uint8)
+        level[_by_part(grams, parts)[0]] = np.frombuffer(b"".join(x for m, _, x, _ in told if m == k), np.uint8)
+        counts.append(_middle(level)[where])
+    times, together = counts
+    before = np.empty_like(times)
+    before[1:] = times[:-1]
+    before[starts] = times[ends - 1]  # every text has its end as a token
+    together = np.minimum(together, np.minimum(times, before))
+    share = (times + ALPHA) / base
+    score = np.add.reduceat(np.log10((together + STRENGTH * share) / (before + STRENGTH)), starts)
+    return pa.table([
+        table["doc_id"], table["held_out"], pa.array(n), pa.array(np.add.reduceat(known, starts)),
+        pa.array(np.add.reduceat(part, starts)), pa.array(score)], names=[c.split()[0] for c in _TEXTS.split(", ")])
+
+
+def count_ngrams(texts: DataFrame, most: int = 2) -> DataFrame:
+    """(n, gram, times) of all words, and of all pairs if `most` is 2, of a one-column table of texts."""
+    rows = texts.mapInArrow(partial(_counted, most=most), _COUNTS)
+    return written(rows.groupBy("n", "gram").agg(F.sum("times").alias("times")))
+
+
+def scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *, head: int | None = None) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every text; `head` makes no difference."""
     rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"),
                        (F.crc32(F.coalesce(F.col(f"`{doc_id}`").cast("string"), F.lit(""))) % 10 == 0).alias("held_out"),
                        F.col(f"`{text}`").cast("string").alias("text"))
-    counts = count_ngrams(rows.filter("NOT held_out").select("text"))
-    words = counts.filter("n = 1").select("gram", "times")
+    words = count_ngrams(rows.filter("NOT held_out").select("text"), 1).select("gram", "times")
     total, distinct = words.agg(F.coalesce(F.sum("times"), F.lit(0)), F.count("*")).first()
-    model = sc.broadcast(build(counts, filter_bytes))
-    frequent = F.col("times") * head >= total
-    top = words.filter(frequent).toPandas()  # at most `head` rows, as they share `total` tokens
-    grams, times = top["gram"].to_numpy().view(np.uint64), top["times"].to_numpy()
-    order = np.argsort(grams)
-    shared = sc.broadcast((grams[order], times[order]))
-    done = rows.mapInArrow(partial(_scored, model=model, head=shared, total=total, distinct=distinct), _TEXTS)
-    done = cut_lineage(done.withColumn("row", F.monotonically_increasing_id()))
-    rare = done.select("row", F.explode(F.arrays_zip("rare", "rare_times")).alias("r")).select(
-        "row", F.col("r.rare").alias("gram"), F.col("r.rare_times").alias("often"))
-    exact = F.coalesce(F.col("times"), F.lit(0))
-    value = F.log10((exact + F.lit(ALPHA)) / F.lit(total + ALPHA * (distinct + 1)))
-    more = rare.join(words.filter(~frequent), "gram", "left").groupBy("row").agg(
-        F.sum(F.col("often") * value).alias("more"), F.sum(F.when(exact > 0, F.col("often")).otherwise(0)).alias("known"))
-    out = done.drop("rare", "rare_times").join(more, "row", "left")
-    return out.select(
-        "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"),
-        F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("base_score") + F.coalesce("more", F.lit(0.0))).alias("base_score"), "score")
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    parts = min(BUCKETS, max(PARTS, 1 << (total // PART_TOKENS).bit_length()))
+    chunk = F.pmod(F.xxhash64("doc_id", "text"), F.lit(size // CHUNK + 1))
+    texts = rows.select(chunk.alias("chunk"), "*").repartition("chunk")  # both readers share this exchange
+    asked = texts.groupBy("chunk").applyInArrow(lambda rows: _asked(rows, parts), _ASKED)
+    answers = asked.groupBy("part").applyInArrow(_answered, _ANSWERS)
+    done = texts.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(
+        lambda rows, levels: _scored(rows, levels, total, distinct, parts), _TEXTS)
+    return done.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"),
+                       "base_score", "score")

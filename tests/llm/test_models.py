@@ -113,6 +113,33 @@ def test_filter_answers_counts_and_stays_within_its_bytes(spark):
     assert (small.levels(strangers) > 0).mean() < 0.05
 
 
+def test_filter_grows_with_its_items(spark):
+    """Every count level keeps its n-grams however many there are, pairs seen once too."""
+    n = 1_500_000
+    rows = spark.range(n).selectExpr("2 AS n", "xxhash64(id) AS gram", "IF(id % 3 = 0, 1L, 6L) AS times")
+    bloom = log_bloom.build(rows)
+    assert len(bloom.bits) * 8 >= 10 * (n // 3 + 3 * (n - n // 3))
+    some = rows.limit(5000).collect()
+    found = bloom.levels(np.array([r.gram for r in some], np.int64).view(np.uint64))
+    level = np.array([r.times.bit_length() for r in some])
+    assert (found >= level).all() and (found == level).mean() > 0.97
+    with pytest.raises(ValueError):  # refused, not thinned out
+        log_bloom.build(rows, 1 << 20)
+    once = spark.createDataFrame([("only once here",)], "text string")
+    assert log_bloom.count_ngrams(once).filter("n = 2").count() == 4
+
+
+def test_scores_do_not_depend_on_parts_and_chunks(spark, monkeypatch):
+    df = frame(spark, documents()).repartition(3)
+    got = []
+    for parts, chunk in ((1, 4_000_000), (64, 2000)):
+        monkeypatch.setattr(log_bloom, "PARTS", parts)
+        monkeypatch.setattr(log_bloom, "CHUNK", chunk)
+        rows = log_bloom.scores(df).collect()
+        got.append(sorted(((r.doc_id, r.n_tokens, r.n_known, round(r.score, 6)) for r in rows), key=str))
+    assert got[0] == got[1]
+
+
 def test_scores_follow_the_model(spark):
     """The score is the smoothed sum over the filter's own answers, and held-out text scores above the base."""
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
