@@ -1,9 +1,9 @@
 """Main text of web pages by composite text density.
 
 Every element gets its link-adjusted characters per tag; an element's density sum adds up the densities of its
-children, and the element with the largest sum is the core of the article. The density of the body is the
-threshold: next to the core, elements of the same kind that reach it belong to the article, and headings before it
-do. A core inside an `article` or `main` element stands for that element. Elements that are menus, footers, forms,
+children, and the element with the largest sum is the core of the article. The least density on the path from the
+core to the body is the threshold: of all that stands beside this path, block elements that reach it belong to the
+article, whatever their tag or size, and so do the headings next to the core that come before it. A core inside an `article` or `main` element stands for that element. Elements that are menus, footers, forms,
 adverts, notices, reader comments or hidden by tag, role, class or id are taken out before densities are computed.
 
 Blocks are the runs of text between block-level tags. Defined cases: null or empty html, and pages without text,
@@ -223,10 +223,20 @@ def article(nodes: list[Node]) -> list[Node]:
         return [above]
     if core is body or core.parent is None:
         return [core]
-    around = [n for n in core.parent.children if isinstance(n, Node) and not n.dropped and n.chars]
-    where = around.index(core)
-    return [n for k, n in enumerate(around) if n is core or (n.tag in HEADINGS and k < where)
-            or (n.tag == core.tag and n.density >= body.density and n.total * 4 >= core.total)]
+    path = [core]
+    while path[-1] is not body:
+        path.append(path[-1].parent)
+    threshold, spine = min(n.density for n in path), set(map(id, path))
+    found, todo = [], [body]
+    where = next(k for k, n in enumerate(core.parent.children) if n is core)
+    titles = {id(n) for n in core.parent.children[:where] if isinstance(n, Node) and n.tag in HEADINGS}
+    while todo:  # in page order
+        node = todo.pop()
+        if node is core or id(node) in titles or (id(node) not in spine and node.tag in BLOCKS and node.density >= threshold):
+            found.append(node)
+        else:
+            todo.extend(n for n in reversed(node.children) if isinstance(n, Node) and not n.dropped and n.chars)
+    return found
 
 
 def main_text(html: str) -> str:

@@ -40,6 +40,16 @@ def test_densest_part_is_the_article():
     assert main_text(page) == "\n".join(["Title"] + [line] * 7)
 
 
+def test_what_stands_beside_the_core_is_kept():
+    """Lead and closing paragraphs, and content divs of uneven length, outside article and main."""
+    line, menu = main_text(LONG), "<div><a href=a>one</a> <a href=b>two</a> <a href=c>three</a></div>"
+    lead = "A lead without child elements that tells at some length what the five paragraphs below are about."
+    page = (f"<body>{menu}<div class=post><p class=lead>{lead}</p><div class=body>{LONG * 5}</div><p>{lead} End.</p></div>{menu}</body>")
+    assert main_text(page) == "\n".join([lead, *[line] * 5, f"{lead} End."])
+    uneven = f"<body>{menu}<div class=post><div>{LONG * 9}</div><div>{LONG}</div></div><section>{LONG * 2}</section>{menu}</body>"
+    assert main_text(uneven) == "\n".join([line] * 12)
+
+
 def test_pages_keep_their_rows(spark):
     rows = [(1, "u", None, "x"), (2, None, "", "x"), (2, None, "", "x"), (None, "u", "<p>a</p>", "x"), (3, "u", "<div>" * 50_000 + "deep", "x")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
