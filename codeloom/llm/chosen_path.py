@@ -7,13 +7,14 @@ most `limit` documents is compared exhaustively. In a larger node all documents
 them. It ends when one component holds all its documents, as equal components need no further link, or when so
 few are outside its largest component that these can be compared with all; else it is branched again.
 
-Below the roots a child takes STEP tokens, so that documents below the threshold part quickly while those above it
-keep about as many common places as they had. `limit` grows from level to level, so every node ends up compared or
+Below the roots a node has BRANCHES children of STEP tokens: a pair at the threshold expects 4 * 0.75**2 = 2.25 common
+children in a common node, so its common places grow from level to level, and documents with less in common part. `limit` grows from level to level, so every node ends up compared or
 in one component; no node is cut short and no group is gathered in one task.
 
 Candidates whose lengths or tokens rule out the threshold go (tokens: a link is missed with probability below
-1e-5); all others are confirmed on the full sets. A pair at the threshold shares a child of the roots with
-probability 1 - 0.25**ROOTS, over 0.99999, which the tests hold against brute force.
+1e-5); all others are confirmed on the full sets. A pair at the threshold that no other document
+links has no common place left with a probability of 0.25**ROOTS = 1e-6 at the roots, and, computed over its number of
+equal tokens, 3.5e-6, 5.1e-6, 6.0e-6 and 6.4e-6 after 1 to 4 levels of nodes too large to be compared, 6.8e-6 after 8.
 
 Defined cases: null and empty texts have no shingles and no links; null ids are never linked and keep
 component null; rows that repeat an id with equal words are one document; an empty table gives an empty one.
@@ -39,8 +40,8 @@ ROOTS = TREES * ROOT_BRANCHES
 #: tokens for deeper nodes and estimates
 TOKENS = 128
 #: below the roots a node has so many children, each named by so many tokens
-BRANCHES = 3
-STEP = 3
+BRANCHES = 4
+STEP = 2
 #: documents of a node that all others are compared with; nodes of at most LIMIT are compared exhaustively
 ANCHORS = 3
 LIMIT = 8

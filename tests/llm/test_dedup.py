@@ -134,3 +134,20 @@ def test_word_hashes_follow_the_word_rule(monkeypatch):
 def test_nothing_is_collected_or_crossed(spark):
     plan = ed.exact_duplicates(frame(spark, documents()))._jdf.queryExecution().toString()
     assert "Python" not in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_trees_keep_a_pair_at_the_threshold_in_crowded_nodes():
+    """Computed miss of an isolated pair whose common nodes are all branched, over its number of equal tokens."""
+    from math import comb
+
+    def missed(same, levels):
+        whole = 0.0
+        for t in range(cp.LEAST_EQUAL, cp.TOKENS + 1):
+            p, none = t / cp.TOKENS, 0.0
+            for _ in range(levels):  # no common place below a common node
+                none = (1 - p**cp.STEP + p**cp.STEP * none) ** cp.BRANCHES
+            whole += comb(cp.TOKENS, t) * same**t * (1 - same) ** (cp.TOKENS - t) * (1 - same + same * none) ** cp.ROOTS
+        return whole
+
+    for levels in range(12):
+        assert missed(0.75, levels) < 1e-5 and missed(0.80, levels) < 1e-6
