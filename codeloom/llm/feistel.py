@@ -7,7 +7,8 @@ again. The map is one-to-one and depends on key and format only, so equal values
 without any shared table, and the holder of the key can go back.
 
 Defined cases: null texts stay null, empty ones empty; text outside validated values is untouched; a value that
-only looks like one (a failed check digit, an octet over 255, a 30th of February) is left alone; rows that repeat
+only looks like one (a failed check digit, an octet over 255, a 30th of February) is left alone; where more groups
+follow, cards, bank and international phone numbers are tried at each end of a group; rows that repeat
 give repeated results; an empty table gives an empty one; other columns are kept as they are.
 """
 
@@ -26,6 +27,22 @@ KEY = "codeloom-pseudonyms-1"
 ROUNDS = 8
 #: dates are permuted among the days of these years
 FIRST_DAY, LAST_DAY = date(1900, 1, 1), date(2099, 12, 31)
+#: digits of a bank number by country, as registered; numbers of other countries are tried at every length
+BANK_LENGTHS = {country: int(n) for n, countries in {
+    15: "NO", 16: "BE", 18: "DK FI FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV",
+    29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU"}.items() for country in countries.split()}
+TWO_DIGIT_CODES = set("20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 "
+                      "82 84 86 90 91 92 93 94 95 98".split())
+#: least and most digits behind the calling code; others have 6 to 12
+NATIONAL = {
+    "7": (10, 10), "20": (8, 10), "27": (9, 9), "30": (10, 10), "31": (9, 9), "32": (8, 9), "33": (9, 9), "34": (9, 9),
+    "36": (8, 9), "39": (6, 11), "40": (9, 9), "41": (9, 9), "43": (6, 13), "44": (9, 10), "45": (8, 8), "46": (7, 10),
+    "47": (8, 8), "48": (9, 9), "49": (6, 11), "52": (10, 10), "54": (10, 11), "55": (10, 11), "56": (9, 9), "58": (10, 10),
+    "61": (9, 9), "65": (8, 8), "66": (8, 9), "81": (9, 10), "82": (8, 10), "84": (9, 10), "86": (9, 11), "90": (10, 10),
+    "91": (10, 10), "94": (9, 9), "98": (10, 10), "351": (9, 9), "353": (7, 9), "380": (9, 9), "420": (9, 9), "852": (8, 8),
+    "971": (8, 9), "972": (8, 9)}
 _LOWER, _UPPER, _DIGIT = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 
 
@@ -82,6 +99,10 @@ def luhn_digit(payload: str) -> str:
     return str(-total % 10)
 
 
+def _shorter_cards(digits: str) -> list[bool]:
+    return [luhn_digit(digits[:n - 1]) == digits[n - 1] and len(set(digits[:n])) > 1 for n in range(13, len(digits))]
+
+
 def card(text: str, key: bytes, back: bool = False) -> str | None:
     digits = re.sub(r"\D", "", text)
     if not 13 <= len(digits) <= 19 or luhn_digit(digits[:-1]) != digits[-1] or len(set(digits)) == 1:
@@ -89,8 +110,12 @@ def card(text: str, key: bytes, back: bool = False) -> str | None:
     size = 9 * 10 ** (len(digits) - 2)  # no leading zero
     if digits[0] == "0":
         return None
-    body = permute(int(digits[:-1]) - size // 9, size, key + b"card", back) + size // 9
-    image = f"{body}{luhn_digit(str(body))}"
+    image, like = digits, _shorter_cards(digits)
+    while True:  # an image has valid shorter readings where its value has them, so it's read at the same length
+        body = permute(int(image[:-1]) - size // 9, size, key + b"card", back) + size // 9
+        image = f"{body}{luhn_digit(str(body))}"
+        if len(set(image)) > 1 and _shorter_cards(image) == like:
+            break
     places = iter(image)
     return re.sub(r"\d", lambda _: next(places), text)
 
@@ -109,6 +134,28 @@ def phone(text: str, key: bytes, back: bool = False) -> str | None:
     return re.sub(r"\d", lambda _: next(places), text)
 
 
+def international(text: str, key: bytes, back: bool = False) -> str | None:
+    """Numbers with a plus sign: calling code, length and a leading zero stay; North American ones are as `phone` has them."""
+    digits = re.sub(r"\D", "", text)
+    code = calling_code(digits)
+    if code == "1":
+        return phone(text, key, back)
+    least, most = NATIONAL.get(code, (6, 12))
+    national = digits[len(code):]
+    if not least <= len(national) <= most or len(digits) > 15:
+        return None
+    kept = "0" if national[0] == "0" else ""
+    n = len(national) - len(kept)
+    lowest = 0 if kept else 10 ** (n - 1)
+    number = permute(int(national) - lowest, 10**n - lowest, key + b"phone" + code.encode(), back) + lowest
+    places = iter(f"{code}{kept}{number:0{n}d}")
+    return re.sub(r"\d", lambda _: next(places), text)
+
+
+def calling_code(digits: str) -> str:
+    return digits[:1] if digits[0] in "17" else digits[:2] if digits[:2] in TWO_DIGIT_CODES else digits[:3]
+
+
 def address(text: str, key: bytes, back: bool = False) -> str | None:
     parts = text.split(".")
     if any(int(p) > 255 or str(int(p)) != p for p in parts):
@@ -180,9 +227,19 @@ def bank(text: str, key: bytes, back: bool = False) -> str | None:
     number = lambda s: int("".join(str(int(c, 36)) for c in s))
     if not 11 <= len(body) <= 30 or number(body + country + check) % 97 != 1:
         return None
-    body = shaped(body, key + b"bank", back)
-    places = iter(f"{country}{98 - number(body + country + '00') % 97:02d}{body}")
-    return re.sub(r"\S", lambda _: next(places), text)
+    shorter = [n for n in _borders(text, " ") if n < len(text)]
+    while True:
+        body = shaped(body, key + b"bank", back)
+        places = iter(f"{country}{98 - number(body + country + '00') % 97:02d}{body}")
+        image = re.sub(r"\S", lambda _: next(places), text)
+        # a shorter reading comes first where the length isn't the country's own
+        if len(plain) == BANK_LENGTHS.get(country) or not any(_valid_bank(image[:n]) for n in shorter):
+            return image
+
+
+def _valid_bank(text: str) -> bool:
+    plain = text.replace(" ", "")
+    return 15 <= len(plain) <= 34 and int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1
 
 
 def mail(text: str, key: bytes, back: bool = False) -> str | None:
@@ -224,30 +281,59 @@ KINDS: list[tuple[str, str, Callable]] = [
     ("mail", r"(?<![\w.+-])[A-Za-z0-9][A-Za-z0-9._+-]{0,63}@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}", mail),
     ("access", r"(?<![A-Za-z0-9])A(?:KI|SI)A[A-Z0-9]{16}(?![A-Za-z0-9])", access_key),
     ("secret", r"(?<!\w)(?:password|passwd|pwd|token|secret|api_key|apikey)(?:\s?[=:]\s?)[\"']?[A-Za-z0-9_\-]{8,}", secret),
-    ("bank", r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", bank),
+    ("bank", r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?", bank),
     ("address", r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d)", address),
     ("date", r"(?<![\d./-])(?:\d{4}-\d\d-\d\d|\d\d[/.]\d\d[/.]\d{4})(?![./-]?\d)", calendar_date),
     ("social", r"(?<![\d-])\d{3}-\d\d-\d{4}(?![\d-])", social),
+    ("international", r"(?<![\w.+-])\+[1-9](?:[ .-]?\(?\d\)?){6,}", international),
     ("phone", r"(?<![\w.-])(?:\+?1[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?![\w-]|\.\d)", phone),
-    ("card", r"(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w-]|\.\d)", card),
+    ("card", r"(?<![\w.-])\d(?:[ -]?\d){12,19}", card),
 ]
 _ALL = re.compile("|".join(f"(?P<{kind}>{pattern})" for kind, pattern, _ in KINDS))
 _MAPS = {kind: f for kind, _, f in KINDS}
 _HINT = re.compile(r"[0-9@]|AKIA|ASIA|password|passwd|pwd|token|secret|api_?key")
 
 
+#: what may not follow a value of these kinds; a sign and a digit begin another group
+_GOES_ON = {"bank": re.compile(r"[A-Za-z0-9]"), "international": re.compile(r"\w|[.-](?!\d)(?=\w)"),
+            "card": re.compile(r"\w|-(?!\d)|\.\d")}
+_SIGNS = {"bank": " ", "international": " .-", "card": " -"}
+
+
+def _borders(text: str, signs: str) -> list[int]:
+    """Where the groups of a text end, the last one included."""
+    return [k for k in range(1, len(text)) if text[k] in signs] + [len(text)]
+
+
+def _readings(kind: str, text: str, start: int, end: int) -> list[int]:
+    """Where a value that begins at `start` may end, the preferred end first."""
+    if kind not in _SIGNS:
+        return [end]
+    ends = [start + k for k in _borders(text[start:end], _SIGNS[kind])]
+    ends = [k for k in ends if not _GOES_ON[kind].match(text, k)]
+    if kind == "international":
+        return ends[::-1]
+    if kind == "bank":
+        own = BANK_LENGTHS.get(text[start:start + 2])
+        ends.sort(key=lambda k: k - start - text.count(" ", start, k) != own)
+    return ends
+
+
 def pseudonymise(text: str, key: bytes, back: bool = False) -> tuple[str, int]:
     """The text with every validated value mapped, and how many there were."""
     if not _HINT.search(text):
         return text, 0
     out, at, n, start = [], 0, 0, 0
     while m := _ALL.search(text, start):
-        image = _MAPS[m.lastgroup](m[0], key, back)
-        if image is None:  # not valid: look for another kind a little further on
+        for end in _readings(m.lastgroup, text, m.start(), m.end()):
+            image = _MAPS[m.lastgroup](text[m.start():end], key, back)
+            if image is not None:
+                break
+        else:  # not valid: look for another kind a little further on
             start = m.start() + 1
             continue
         out += [text[at:m.start()], image]
-        at = start = m.end()
+        at = start = end
         n += 1
     return "".join([*out, text[at:]]), n
 

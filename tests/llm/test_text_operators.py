@@ -179,6 +179,30 @@ def test_other_numbers_stay(value):
     assert feistel.pseudonymise(f"see {value} .", KEY) == (f"see {value} .", 0)
 
 
+@pytest.mark.parametrize("value, after", [
+    ("4111 1111 1111 1111", " 12/25"), ("4111 1111 1111 1111", " 123 456"), ("4111-1111-1111-1111", "-2025"),
+    ("ES91 2100 0418 4502 0005 1332", " EUR"), ("ES91 2100 0418 4502 0005 1332", " 2024 PAID"), ("DE89370400440532013000", " BIC X"),
+    ("GB82 WEST 1234 5698 7654 32", " A1"), ("+14155552671", " 12"), ("+44 20 7946 0958", " 12/25"), ("+44 20 7946 0958", " EXT 5"),
+    ("+442079460958", ", 7"), ("+1 415 555 2671", " 99")])
+def test_values_before_digits_and_capitals(value, after):
+    image, n = feistel.pseudonymise(f"see {value}{after}", KEY)
+    alone, m = feistel.pseudonymise(f"see {value}", KEY)
+    assert n == m == 1 and image == alone + after and value not in image
+    assert feistel.pseudonymise(image, KEY, back=True) == (f"see {value}{after}", 1)
+
+
+def test_long_cards_come_back_and_numbers_stay_linked():
+    rnd = random.Random(4)
+    for _ in range(300):
+        body = str(rnd.randrange(10**17, 10**18))
+        digits = body + feistel.luhn_digit(body)
+        shown = " ".join(digits[k:k + 4] for k in range(0, 19, 4))
+        image, _ = feistel.pseudonymise(shown, KEY)
+        assert feistel.pseudonymise(image, KEY, back=True)[0] == shown
+    a, b = (feistel.pseudonymise(x, KEY)[0] for x in ("+14155552671", "(415) 555-2671"))
+    assert "".join(c for c in a if c.isdigit())[1:] == "".join(c for c in b if c.isdigit())
+
+
 @pytest.mark.parametrize("size", [2, 3, 10, 97, 1000, 4096])
 def test_permutation_of_small_sets(size):
     images = [feistel.permute(v, size, KEY) for v in range(size)]
