@@ -291,3 +291,19 @@ def test_mixture_sql_is_plain_duckdb():
     con = duckdb.connect()
     con.execute("CREATE TABLE documents(doc_id BIGINT, text VARCHAR, lang VARCHAR, source VARCHAR)")
     assert con.execute(mixture_sql()).fetchall() == []
+
+
+def test_raking_meets_the_marginals(spark):
+    """What is left to the targets after the last sweep, on given documents with all targets present."""
+    targets = {"source": mixing.SOURCES, "lang": mixing.LANGS, "topic": mixing.TOPICS}
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    cells = mixing.tagged(docs, targets, "text", None).groupBy(*mixing.DIMENSIONS).agg(F.sum("n_tokens").alias("tokens"))
+    rows = mixing.calibrate(cells, targets, mixing.BUDGET, mixing.SWEEPS).collect()
+    for d in mixing.DIMENSIONS:
+        held = defaultdict(float)
+        for r in rows:
+            held[r[d]] += r.weight
+        present = sum(targets[d].get(v, 0.0) for v in held)
+        left = max(abs(w - targets[d].get(v, 0.0) / present) for v, w in held.items())
+        print(f"residual of {d}: {left:.2e}")
+        assert left < 1e-3
