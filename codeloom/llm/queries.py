@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from codeloom.llm import bpe, chat, sql
+from codeloom.llm import bpe, chat, fim, period_tiles, sql
 from codeloom.llm.ball_tree import top_k
 from codeloom.llm.chosen_path import near_duplicates
 from codeloom.llm.exact_dedup import exact_duplicates
@@ -62,6 +62,14 @@ def op10_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonyms(_table(spark, sf_dir, "documents").select("doc_id", "text"), count="n_values")
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return period_tiles.digests(period_tiles.periodic_runs(period_tiles.planted(_table(spark, sf_dir, "documents"))))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.digests(fim.fill_in_middle(_table(spark, sf_dir, "documents")))
+
+
 QUERIES = {
     "op1_html_density": (op1_html_density, None),
     "op2_near_duplicates": (op2_near_duplicates, None),
@@ -73,4 +81,6 @@ QUERIES = {
     "op8_quality": (op8_quality, None),
     "op9_exact_duplicates": (op9_exact_duplicates, sql.EXACT_DUPLICATES),
     "op10_pseudonyms": (op10_pseudonyms, None),
+    "op12_periodic_runs": (op12_periodic_runs, None),
+    "op13_fill_in_middle": (op13_fill_in_middle, sql.FILL_IN_MIDDLE),
 }

@@ -78,3 +78,27 @@ SELECT doc_id, source, lang, topic, n_tokens, coalesce(probability, 0.0)::DOUBLE
       < coalesce(probability, 0.0) AS sampled
 FROM docs LEFT JOIN found USING ({key})""")
     return "WITH " + ",\n".join(steps)
+
+FILL_IN_MIDDLE = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h,
+         regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u
+  FROM documents
+), k AS (
+  SELECT *, len(u) AS n, ('0x' || h[1:8])::UBIGINT AS h1, ('0x' || h[9:16])::UBIGINT AS h2,
+         ('0x' || h[17:24])::UBIGINT AS h3, ('0x' || h[25:32])::UBIGINT AS h4 FROM d
+), c AS (
+  SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+         CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 90
+              THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM k
+), p AS (
+  SELECT doc_id, n, form, text, array_to_string(u[1:a], '') AS x, array_to_string(u[a + 1:b], '') AS y,
+         array_to_string(u[b + 1:n], '') AS z FROM c
+)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(x) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN length(y) END AS middle_chars,
+       sha256(CASE form WHEN 'psm' THEN '<P>' || x || '<S>' || z || '<M>' || y
+                        WHEN 'spm' THEN '<S>' || z || '<P>' || x || '<M>' || y ELSE text END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM p
+"""
