@@ -1,8 +1,10 @@
 """Registered queries of this subpackage: name -> (Spark query, SQL that gives the same rows or None)."""
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from codeloom.llm import bpe, chat, fim, period_tiles, sql
+from codeloom.llm import bpe, chat, fim, period_tiles, sql, warc
 from codeloom.llm.ball_tree import top_k
 from codeloom.llm.chosen_path import near_duplicates
 from codeloom.llm.exact_dedup import exact_duplicates
@@ -11,6 +13,7 @@ from codeloom.llm.html_density import extract
 from codeloom.llm.log_bloom import scores
 from codeloom.llm.mixing import DIMENSIONS, mixture
 from codeloom.llm.weak_labels import quality
+from codeloom.session import shared_folder
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,6 +65,12 @@ def op10_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonyms(_table(spark, sf_dir, "documents").select("doc_id", "text"), count="n_values")
 
 
+def op11_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{shared_folder(spark).rstrip('/')}/warc/{uuid.uuid4().hex}"
+    warc.archive(_table(spark, sf_dir, "pages"), folder)
+    return warc.page_rows(warc.read_archive(spark, folder, payload=False))
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return period_tiles.digests(period_tiles.periodic_runs(period_tiles.planted(_table(spark, sf_dir, "documents"))))
 
@@ -81,6 +90,7 @@ QUERIES = {
     "op8_quality": (op8_quality, None),
     "op9_exact_duplicates": (op9_exact_duplicates, sql.EXACT_DUPLICATES),
     "op10_pseudonyms": (op10_pseudonyms, None),
+    "op11_warc_archive": (op11_warc_archive, sql.WARC_RECORDS),
     "op12_periodic_runs": (op12_periodic_runs, None),
     "op13_fill_in_middle": (op13_fill_in_middle, sql.FILL_IN_MIDDLE),
 }

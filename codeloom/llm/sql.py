@@ -102,3 +102,18 @@ SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(x) EN
        sha256(text) AS restored_sha256
 FROM p
 """
+
+WARC_RECORDS = r"""
+WITH p AS (
+  SELECT page_id, sha1(coalesce(html, '')) AS h, strlen(coalesce(html, '')) AS n FROM pages
+), k AS (
+  SELECT *, max(page_id) OVER (PARTITION BY h, n) AS keeper FROM p
+)
+SELECT page_id, n::BIGINT AS payload_bytes,
+       array_to_string(flatten(list_transform(range(8), lambda i: list_transform([15, 10, 5, 0], lambda s:
+         substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(h, (5 * i + 1)::BIGINT, 5))::BIGINT >> s) & 31) + 1, 1)))), '')
+         AS payload_digest,
+       CASE WHEN page_id IS NOT DISTINCT FROM keeper THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id IS DISTINCT FROM keeper THEN keeper END AS refers_to
+FROM k
+"""
