@@ -38,6 +38,8 @@ from pyspark.sql.datasource import (
     InputPartition, IsNotNull, IsNull, LessThan, LessThanOrEqual, Not, StringContains, StringEndsWith, StringStartsWith,
     WriterCommitMessage)
 
+from codeloom.session import written
+
 VERSION = "WARC/1.1"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 FILE_BYTES, PARTITION_BYTES, BATCH_BYTES = 256 << 20, 128 << 20, 4 << 20
@@ -368,7 +370,8 @@ def page_records(pages: DataFrame, least: int = 0, page_id: str = "page_id", url
     """Records of the pages, as the writer takes them.
 
     Only (digest, id) of each page meets others, folded before the shuffle; what comes back is one row per payload that
-    occurs more than once. The pages themselves are shuffled only where these rows are too many to broadcast.
+    occurs more than once. These rows are written, so that the planner knows their size before it deals with the pages:
+    the pages themselves are shuffled only where the rows are too many to broadcast.
     """
     payload = F.coalesce(F.col(f"`{html}`").cast("string"), F.lit("")).cast("binary")
     rows = pages.select(F.col(f"`{page_id}`").cast("long").alias("page"), F.col(f"`{url}`").cast("string").alias("target_uri"),
@@ -376,8 +379,8 @@ def page_records(pages: DataFrame, least: int = 0, page_id: str = "page_id", url
     # two hashes and the length: payloads made to share a SHA-1 still differ
     keys = ["_sha1", "_hash", "_bytes"]
     rows = rows.withColumns({"_sha1": F.sha1("payload"), "_hash": F.xxhash64("payload"), "_bytes": F.octet_length("payload")})
-    repeated = rows.filter(F.col("_bytes") >= least).groupBy(*keys).agg(
-        F.max("page").alias("_keeper"), F.count("*").alias("_n")).filter("_n > 1")
+    repeated = written(rows.filter(F.col("_bytes") >= least).groupBy(*keys).agg(
+        F.max("page").alias("_keeper"), F.count("*").alias("_n")).filter("_n > 1"))
     placed = rows.join(repeated, keys, "left")
     revisit = F.col("_n").isNotNull() & ~F.col("page").eqNullSafe(F.col("_keeper"))
 
