@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import EqualTo, In, Not
 
 from codeloom.llm import warc
-from codeloom.session import shared_folder
 
 SCHEMA = "page_id long, url string, html string, record_type string, payload string, headers int, `_n` int"
 BASE = [
@@ -194,6 +193,6 @@ def test_empty_table(spark, folder):
     warc.archive(pages(spark, []), folder)
     assert warc.page_rows(warc.read_archive(spark, folder)).collect() == []
     renamed = pages(spark, BASE).select(F.col("page_id").alias("payload"), F.col("url").alias("_sha1"), F.col("html").alias("page"))
-    other = shared_folder(spark) + "/warc/" + Path(folder).parent.name
+    other = folder + "-renamed"
     warc.archive(renamed, other, page_id="payload", url="_sha1", html="page")
     assert warc.page_rows(warc.read_archive(spark, other)).count() == len(BASE)
