@@ -36,14 +36,29 @@ SNIPPET_FIELD_TAIL = r"\s*(?:;|=)"
 SNIPPET_RETURN = (r"(?:get\s+)?", r"\s*\(")
 
 # --- comma lists ---------------------------------------------------------------------
-# what is inside brackets is masked one character by one, from the innermost pairs outwards
-_NO_BRACKET = r"[^()<>\[\]{}]"
+# brackets masked in the pass that is under way still count as brackets until it ends
+_NO_BRACKET = "[^()<>\\[\\]{}\ue010-\ue017]"
 _PAIRS = [(r"\(", r"\)", "\ue000", "\ue001"), ("<", ">", "\ue002", "\ue003"), (r"\[", r"\]", "\ue004", "\ue005"),
           (r"\{", r"\}", "\ue006", "\ue007")]
 _OPENED = "(?:" + "|".join(rf"{o}(?={_NO_BRACKET}*{c})" for o, c, _, _ in _PAIRS) + ")"
 _INNER_COMMA = rf"({_OPENED}|\G(?!\A))([^,()<>\[\]{{}}]*),"
 _INNER_EXTENDS = rf"({_OPENED}|\G(?!\A))({_NO_BRACKET}*?)(?<!\w)extends(?!\w)"
 _COMMA, _EXTENDS = "\ue008", "\ue009"
+_INNERMOST = "|".join(rf"{o}{_NO_BRACKET}*+{c}" for o, c, _, _ in _PAIRS)
+
+
+def _paired(plain: str, depth: int) -> str:
+    """Pattern of one or more `plain` characters or bracket pairs that nest at most `depth` deep; never backs off."""
+    inside = _NO_BRACKET + "*+"
+    for _ in range(depth):
+        pairs = "|".join(f"{o}{inside}{c}" for o, c, _, _ in _PAIRS)
+        whole, inside = rf"(?:{plain}++|{pairs})++", rf"(?:{_NO_BRACKET}++|{pairs})*+"
+    return whole
+
+
+#: an entry of a list whose brackets are all paired, and a text that is such a list
+_ENTRY = _paired(r"[^,()<>\[\]{}]", 3)
+_PLAIN_LIST = rf"\A,*+(?:{_ENTRY},*+)*+\z"
 
 
 def _let(value: Column, body) -> Column:
@@ -58,14 +73,34 @@ def _extract(text: Column, pattern: Column | str, group: int) -> Column:
 
 
 def _masked(text: Column, pattern: str, mark: str) -> Column:
-    """Brackets in pairs, and what `pattern` finds inside them, replaced by marks; any depth."""
-    def step(t: Column, _) -> Column:
-        t = F.regexp_replace(t, pattern, "$1$2" + mark)
-        for opening, closing, left, right in _PAIRS:
-            t = F.regexp_replace(t, f"{opening}({_NO_BRACKET}*){closing}", left + "$1" + right)
-        return t
-    deepest = F.length(text) - F.length(F.translate(text, "(<[{", ""))
-    return F.when(deepest > 0, F.aggregate(F.sequence(F.lit(1), F.greatest(deepest, F.lit(1))), text, step)).otherwise(text)
+    """Brackets in pairs, and what `pattern` finds inside them, replaced by marks; any depth.
+
+    One pass over the text masks all innermost pairs, so there are as many passes as the pairs nest deep; a running
+    count over the bracket characters alone bounds them. Once no pair is left the text is handed on as it is.
+    """
+    def step(held: Column, _) -> Column:
+        def more(t: Column) -> Column:
+            t = F.regexp_replace(t, pattern, "$1$2" + mark)
+            for opening, closing, left, right in _PAIRS:
+                t = F.regexp_replace(t, f"{opening}({_NO_BRACKET}*+){closing}", chr(ord(left) + 16) + "$1" + chr(ord(right) + 16))
+            return F.translate(t, "".join(map(chr, range(0xE010, 0xE018))), "".join(map(chr, range(0xE000, 0xE008))))
+        return F.when(held["open"] & held["text"].rlike(_INNERMOST), F.struct(more(held["text"]).alias("text"), F.lit(True).alias("open"))) \
+            .otherwise(F.struct(held["text"].alias("text"), F.lit(False).alias("open")))
+    start = F.struct(text.alias("text"), F.lit(True).alias("open"))
+    done = F.aggregate(F.sequence(F.lit(1), F.greatest(_deepest(text), F.lit(1))), start, step, lambda held: held["text"])
+    return F.when(text.rlike(r"[(<\[{]"), done).otherwise(text)
+
+
+def _deepest(text: Column) -> Column:
+    """At least how deep pairs can nest: the highest count of open brackets, closing ones without an opening left out."""
+    signs = F.split(F.regexp_replace(text, f"{_NO_BRACKET}++", ""), "")
+    count = F.aggregate(
+        signs, F.struct(F.lit(0).alias("open"), F.lit(0).alias("most")),
+        lambda held, sign: _let(
+            F.when(sign.isin("(", "<", "[", "{"), held["open"] + 1).otherwise(F.greatest(held["open"] - 1, F.lit(0))),
+            lambda now: F.struct(now.alias("open"), F.greatest(held["most"], now).alias("most"))),
+        lambda held: held["most"])
+    return count
 
 
 def _unmasked(text: Column) -> Column:
@@ -74,16 +109,24 @@ def _unmasked(text: Column) -> Column:
 
 
 def split_list(text: Column) -> Column:
-    """Top-level comma split, entries trimmed, empty ones dropped. Unpaired brackets are plain characters."""
-    parts = F.transform(F.split(_masked(text, _INNER_COMMA, _COMMA), ","), lambda p: strip(_unmasked(p)))
+    """Top-level comma split, entries trimmed, empty ones dropped. Unpaired brackets are plain characters.
+
+    Where all brackets are paired and nest at most three deep, one match reads all entries; other texts are masked first.
+    """
+    masked = F.transform(F.split(_masked(text, _INNER_COMMA, _COMMA), ","), lambda p: strip(_unmasked(p)))
+    plain = F.transform(F.regexp_extract_all(text, F.lit(_ENTRY), 0), strip)
+    parts = F.when(text == "", F.array().cast("array<string>")).when(text.rlike(_PLAIN_LIST), plain).otherwise(masked)
     return F.filter(parts, lambda p: p != "")
 
 
 # --- class headers -------------------------------------------------------------------
+_BOUNDED = r"(?s)[(<\[{].*?(?<!\w)extends(?!\w)"
+
+
 def class_relations(detail: Column) -> Column:
     """Struct of three name arrays read from a class header."""
     # an `extends` between brackets bounds a type parameter and starts no clause
-    header = _masked(detail, _INNER_EXTENDS, _EXTENDS)
+    header = F.when(detail.rlike(_BOUNDED), _masked(detail, _INNER_EXTENDS, _EXTENDS)).otherwise(detail)
 
     def clause(keyword: str) -> Column:
         pattern = rf"(?s)(?<!\w){keyword}\s+(.+?)\s*(?=(?<!\w)(?:extends|with|implements)\s|[{{\ue006]|\z)"
@@ -154,6 +197,11 @@ def parameter_blocks(detail: Column) -> Column:
     return _let(strip(F.regexp_extract(detail, r"(?s)\((.*)\)", 1)), split)
 
 
+def _groups(text: Column, pattern: str) -> Column:
+    """The three groups of a pattern that takes in the whole text, from one match; a single item where it doesn't."""
+    return F.split(F.regexp_replace(text, pattern, "$1\ue000$2\ue000$3"), "\ue000")
+
+
 def _one_param(piece: Column, named: bool, optional: bool) -> Column:
     no_text = F.lit(None).cast("string")
 
@@ -167,22 +215,20 @@ def _one_param(piece: Column, named: bool, optional: bool) -> Column:
     def own(name: Column) -> Column:
         return param(name, F.concat(F.lit("self_field:"), name), F.regexp_extract(piece, PARAM_THIS, 1) != "", False)
 
-    def typed(pattern: str) -> Column:
-        required = F.regexp_extract(piece, pattern, 1) == "required"
-        return param(F.regexp_extract(piece, pattern, 3), F.regexp_extract(piece, pattern, 2), required, optional)
-
     def bare(text: Column) -> Column:
         marked = piece.startswith("required ")
         shown_as_type = F.lit(named or optional) | text.rlike(BARE_IS_TYPE)
         return F.when(text != "", F.when(shown_as_type, param(no_text, text, marked, optional)).otherwise(
             param(text, F.lit("dynamic"), marked, optional)))
 
-    return (
-        F.when(piece.rlike(PARAM_THIS), _let(F.regexp_extract(piece, PARAM_THIS, 2), own))
-        .when(piece.rlike(PARAM_FUNCTION), typed(PARAM_FUNCTION))
-        .when(piece.rlike(PARAM_TYPED), typed(PARAM_TYPED))
-        .otherwise(_let(F.regexp_extract(piece, PARAM_BARE, 1), bare))
-    )
+    def typed(parts: Column) -> Column:
+        found = param(parts[2], parts[1], parts[0] == "required", optional)
+        return F.when(F.size(parts) == 3, found).otherwise(_let(F.regexp_extract(piece, PARAM_BARE, 1), bare))
+
+    # the longer patterns are only asked where the word they need is there
+    function = F.when(piece.contains("Function"), _groups(piece, PARAM_FUNCTION))
+    plain = _let(F.coalesce(F.when(F.size(function) == 3, function), _groups(piece, PARAM_TYPED)), typed)
+    return F.when(piece.contains("this.") & piece.rlike(PARAM_THIS), _let(F.regexp_extract(piece, PARAM_THIS, 2), own)).otherwise(plain)
 
 
 def _until_unreadable(read: Column) -> Column:

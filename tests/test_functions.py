@@ -1,5 +1,8 @@
 """Column builders on hand-written cases."""
 
+import random
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -262,3 +265,60 @@ def test_detectors(spark):
     assert row.r == ["responsibilities.createsObjects", "responsibilities.managesState", "responsibilities.validatesInput"]
     assert len(row.d) == 4 and len(row.v) == 4
     assert row.c == ["collaborations.intensiveCollaboration", "collaborations.coordinatesAsync"]
+
+
+def split_by_stack(text):
+    """Commas outside all pairs cut. A pair holds only whole pairs; a closing sign of another kind pairs nothing before it."""
+    pairs, stack, match = {")": "(", ">": "<", "]": "[", "}": "{"}, [], {}
+    for i, c in enumerate(text):
+        if c in pairs.values():
+            stack.append(i)
+        elif c in pairs:
+            if stack and text[stack[-1]] == pairs[c]:
+                match[stack.pop()] = i
+            else:
+                stack.clear()
+    out, part, i = [], "", 0
+    while i < len(text):
+        if i in match:
+            part += text[i:match[i] + 1]
+            i = match[i] + 1
+            continue
+        if text[i] == ",":
+            out.append(part)
+            part = ""
+        else:
+            part += text[i]
+        i += 1
+    return [p.strip() for p in [*out, part] if p.strip()]
+
+
+def test_lists_split_like_a_stack(spark):
+    rnd = random.Random(11)
+    texts = ["", ",", ",,a", "a<b,c", "a>b,(c,d)", "(a,b", "a,b)", "<(>,)", "((((((a,b),c),d),e),f),g),h", "{[(<a,b>),c],d},e", "=> x, (a, b)"]
+    texts += ["".join(rnd.choice("ab,,()<>[]{} ") for _ in range(rnd.randrange(1, 24))) for _ in range(1500)]
+    for _ in range(300):  # whole pairs, nested at random
+        t = "a,b"
+        for _ in range(rnd.randrange(9)):
+            o, c = rnd.choice(["()", "<>", "[]", "{}"])
+            t = rnd.choice(["", "x,", "y"]) + o + t + c + rnd.choice(["", ",z", " w"])
+        texts.append(t)
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for row in df.select("t", sig.split_list(F.col("t")).alias("x")).collect():
+        assert row.x == split_by_stack(row.t), row.t
+
+
+def test_long_parameter_lists_take_linear_time(spark):
+    def seconds(n, build):
+        detail = "f(" + ", ".join(build(i) for i in range(n)) + ")"
+        df = spark.createDataFrame([(detail,)], "d string").select(F.size(sig.parameters(F.col("d"))).alias("n"))
+        assert df.first()["n"] == n
+        times = []
+        for _ in range(2):
+            start = time.perf_counter()
+            df.first()
+            times.append(time.perf_counter() - start)
+        return min(times)
+    shapes = [lambda i: f"Map<String, List<int>> p{i}", lambda i: f"Map<A, B<C, D<E, F<G, H{i}>>>> p{i}", lambda i: f"int p{i}"]
+    for shape in shapes:
+        assert seconds(1600, shape) < seconds(1, shape) + 1.0
