@@ -2,7 +2,7 @@
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from codeloom.functions.symbols import is_executable
 from codeloom.functions.text import call_tokens, strip_comments_and_strings
@@ -89,34 +89,35 @@ def call_fanout(mentioned: DataFrame, symbols: DataFrame) -> DataFrame:
     )
 
 
-def _dyadic(lo: Column, hi: Column) -> Column:
-    """[lo, hi] as aligned blocks of 2**level lines: an array of (level, block), at most two per level."""
-    def pieces(k: Column) -> Column:
-        size = F.call_function("shiftleft", F.lit(1).cast("bigint"), k)
-        left, right = F.floor((lo + size - 1) / size), F.floor((hi + 1) / size)  # whole blocks inside, right one excluded
-        def piece(at: Column) -> Column:
-            return F.struct(k.alias("level"), at.alias("block"))
-        return F.array(
-            F.when((left < right) & (left % 2 == 1), piece(left)),
-            F.when((right % 2 == 1) & (left + left % 2 < right), piece(right - 1)))
-    every = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(LEVELS)), pieces))
-    return F.filter(every, lambda x: x.isNotNull())
+def _blocks(ranges: DataFrame) -> DataFrame:
+    """Ranges (lo, hi) as aligned blocks of 2**level lines, at most two per level: columns level and block replace them.
+
+    A range has no block larger than itself, so its levels end at its own bit length.
+    """
+    rest = [c for c in ranges.columns if c not in ("lo", "hi")]
+    longest = F.length(F.bin(F.col("hi") - F.col("lo") + 1)) - 1
+    size = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("level"))
+    # whole blocks inside the range, the right one excluded
+    inside = ranges.withColumn("level", F.explode(F.sequence(F.lit(0), longest))).withColumns({
+        "left": F.call_function("shiftright", F.col("lo") + size - 1, F.col("level")),
+        "right": F.call_function("shiftright", F.col("hi") + 1, F.col("level"))})
+    left, right = F.col("left"), F.col("right")
+    # a block that is half of a larger one inside the range is left to that one
+    ends = F.array(F.when((left < right) & (left % 2 == 1), left), F.when((right % 2 == 1) & (left + left % 2 < right), right - 1))
+    return inside.select(*rest, "level", F.explode(ends).alias("block")).filter(F.col("block").isNotNull())
 
 
 def line_owners(callables: DataFrame, points: DataFrame) -> DataFrame:
     """First callable, in order, whose lines contain a point.
 
     callables(project_id, file_uri, node_id, ord, sl, el), points(project_id, file_uri, line).
-    A range becomes at most two aligned blocks per power of two, whatever its length, and equal blocks keep
+    A range becomes at most two aligned blocks per power of two up to its own length, and equal blocks keep
     their first owner; a point asks once for each block size that its file has.
     """
     sl, el = F.col("sl").cast("bigint"), F.col("el").cast("bigint")
     keys = ["project_id", "file_uri"]
-    pieces = (
-        callables.filter((sl >= 0) & (sl <= el))
-        .select(*keys, "ord", "node_id", F.explode(_dyadic(sl, el)).alias("p"))
-        .groupBy(*keys, "p.level", "p.block").agg(F.min(F.struct("ord", "node_id")).alias("owner"))
-    )
+    ranges = callables.filter((sl >= 0) & (sl <= el)).select(*keys, F.struct("ord", "node_id").alias("owner"), sl.alias("lo"), el.alias("hi"))
+    pieces = _blocks(ranges).groupBy(*keys, "level", "block").agg(F.min("owner").alias("owner"))
     levels = pieces.groupBy(*keys).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), "level")).alias("levels"))
     used = F.filter(F.sequence(F.lit(0), F.lit(LEVELS)),
                     lambda k: F.call_function("shiftright", F.col("levels"), k).bitwiseAND(1) == 1)

@@ -10,37 +10,21 @@ from codeloom.functions.text import base_type_name, lines_of, slice_range, snipp
 from codeloom.schemas import KIND_CLASS, KIND_CONSTRUCTOR, KIND_ENUM, KIND_TYPEDEF
 
 FILE_KEYS = ["project_id", "file_uri"]
-ROWS_PER_CHUNK = 512
+def with_file_text(rows: DataFrame, files: DataFrame, read: Callable[[Column], Column], out: str) -> DataFrame:
+    """Add read(lines) of each row's file; `read` may use the row's own columns. Rows of unknown files see null lines.
 
-
-def with_file_text(rows: DataFrame, files: DataFrame, read: Callable[[Column, Column], Column], out: str,
-                   per_chunk: int = ROWS_PER_CHUNK) -> DataFrame:
-    """Add read(lines, row) of each row's file, without the lines travelling with the rows.
-
-    The rows of a file meet in chunks of about `per_chunk`; a chunk reads from one array of lines, and only what
-    was read leaves it. A file holding most of the symbols is served by many tasks. Rows of unknown files get
-    what `read` makes of null lines.
+    The lines of a file are split once and meet its rows in one equi-join, so a file travels once to a task however
+    many rows ask for it; a file with most of the rows is split over tasks by the adaptive skew join. `read` is made of
+    expressions that compile into the join's own stage, so that a row gets what it reads and never a copy of the lines.
     """
-    chunks = rows.groupBy(*FILE_KEYS).agg(F.ceil(F.count("*") / per_chunk).alias("_chunks"))
-    texts = (
-        files.join(chunks, FILE_KEYS)
-        .select(*FILE_KEYS, lines_of(F.col("content")).alias("_lines"),
-                F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_chunks") - 1)).alias("_chunk"))
-    )
-    rest = [c for c in rows.columns if c not in FILE_KEYS]
-    place = F.pmod(F.xxhash64(*rest), F.col("_chunks"))
-    # about per_chunk rows meet here, whatever the size of the file
-    gathered = rows.join(chunks, FILE_KEYS).select(*FILE_KEYS, place.alias("_chunk"), F.struct(*rest).alias("_row")).groupBy(
-        *FILE_KEYS, "_chunk").agg(F.collect_list("_row").alias("_rows"))
-    done = F.transform("_rows", lambda r: F.struct(r.alias("row"), read(F.col("_lines"), r).alias("text")))
-    return gathered.join(texts, [*FILE_KEYS, "_chunk"], "left").select(*FILE_KEYS, F.explode(done).alias("_d")).select(
-        *FILE_KEYS, "_d.row.*", F.col("_d.text").alias(out)).select(*rows.columns, out)
+    texts = files.select(*FILE_KEYS, lines_of(F.col("content")).alias("_lines"))
+    return rows.join(texts, FILE_KEYS, "left").select(*rows.columns, read(F.col("_lines")).alias(out))
 
 
 def slice_bodies(symbols: DataFrame, files: DataFrame) -> DataFrame:
     """Add `body`, the text of each symbol's range (selection range when it has none)."""
-    def body(lines: Column, row: Column) -> Column:
-        return F.coalesce(slice_range(lines, F.coalesce(row["rng"], row["sel_rng"])), F.lit(""))
+    def body(lines: Column) -> Column:
+        return F.coalesce(slice_range(lines, F.coalesce("rng", "sel_rng")), F.lit(""))
     return with_file_text(symbols, files, body, "body")
 
 
@@ -121,7 +105,7 @@ def source_evidence(symbols: DataFrame, files: DataFrame) -> DataFrame:
     asked = F.coalesce(open_field | open_call, F.lit(False))
     none = F.lit(None).cast("string")
     wanted = symbols.filter(asked).select(*FILE_KEYS, "ord", "name", "kind", F.col("sel_rng.sl").alias("line"))
-    found = with_file_text(wanted.distinct(), files, lambda lines, row: snippet_before(lines, row["line"]), "_snippet")
+    found = with_file_text(wanted.distinct(), files, lambda lines: snippet_before(lines, F.col("line")), "_snippet")
     found = found.select(*FILE_KEYS, "ord", F.when(sig.is_field(kind), sig.snippet_field_type(snippet, name)).alias("source_type"),
                          F.when(~sig.is_field(kind), sig.snippet_return_type(snippet, name)).alias("source_return"))
     told = symbols.filter(asked).join(found, [*FILE_KEYS, "ord"], "left")

@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from codeloom.schemas import FLOW_HOPS
-from codeloom.session import cut_lineage
+from codeloom.session import written
 
 
 def degree_counts(edges: DataFrame) -> DataFrame:
@@ -52,65 +52,64 @@ def graph_totals(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return n.join(e, "project_id", "left").fillna(0, ["n_edges"])
 
 
-def flow_links(edges: DataFrame, label: str, at: str, to: str, hops: int = FLOW_HOPS) -> DataFrame:
-    """Ordered neighbours of every node, as many as a trace can ever look at.
+def flow_links(edges: DataFrame, hops: int = FLOW_HOPS) -> DataFrame:
+    """(project_id, back, at, links): ordered neighbours of every node, as many as a trace can ever look at.
 
-    A trace holds at most 2 * hops + 1 nodes, its end among them, so its first unseen neighbour is
-    among the first 2 * hops + 2 distinct ones; nothing beyond them can be chosen.
+    Backwards a trace goes from the target of a WRITES_TO edge to its source, otherwise from the source of a READS_FROM
+    edge to its target; both come from one pass over the edges. A trace holds at most 2 * hops + 1 nodes, its end among
+    them, so its first unseen neighbour is among the first 2 * hops + 2 distinct ones; nothing beyond them can be chosen.
     """
-    first = (
-        edges.filter(F.col("label") == label)
-        .groupBy("project_id", F.col(at).alias("at"), F.col(to).alias("to")).agg(F.min("edge_ord").alias("ord"))
-    )
-    w = Window.partitionBy("project_id", "at").orderBy("ord", "to")
+    back = F.col("label") == "WRITES_TO"
+    ends = edges.filter(F.col("label").isin("WRITES_TO", "READS_FROM")).select(
+        "project_id", back.alias("back"), F.when(back, F.col("target")).otherwise(F.col("source")).alias("at"),
+        F.when(back, F.col("source")).otherwise(F.col("target")).alias("to"), "edge_ord")
+    first = ends.groupBy("project_id", "back", "at", "to").agg(F.min("edge_ord").alias("ord"))
+    w = Window.partitionBy("project_id", "back", "at").orderBy("ord", "to")
     return (
         first.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= 2 * hops + 2)
-        .groupBy("project_id", "at").agg(
+        .groupBy("project_id", "back", "at").agg(
             F.transform(F.array_sort(F.collect_list(F.struct("rank", "to"))), lambda x: x["to"]).alias("links"))
     )
 
 
-def trace_flow(edges: DataFrame, starts: DataFrame, hops: int = FLOW_HOPS, cut_every: int = 5) -> DataFrame:
+def trace_flow(edges: DataFrame, starts: DataFrame, hops: int = FLOW_HOPS) -> DataFrame:
     """Greedy trace of every start at once: writers backwards, then readers forwards.
 
     edges(project_id, edge_ord, source, target, label), starts(project_id, start) ->
-    (project_id, start, path, complete); `complete` is false where `hops` ended a walk that could go on. Each hop is one equi-join of the open traces with the link table;
-    finished traces leave at each checkpoint.
+    (project_id, start, path, complete); `complete` is false where `hops` ended a walk that could go on.
     """
-    open_ = starts.select("project_id", "start", F.array("start").alias("path"), F.lit(True).alias("complete"))
-    open_ = _walk(open_, flow_links(edges, "WRITES_TO", "target", "source", hops), hops, cut_every,
-                  lambda path, nxt: F.concat(F.array(nxt), path))
-    return _walk(open_, flow_links(edges, "READS_FROM", "source", "target", hops), hops, cut_every,
-                 lambda path, nxt: F.concat(path, F.array(nxt)))
+    links = written(flow_links(edges, hops))
+    traces = starts.select("project_id", "start", F.array("start").alias("path"), F.lit(True).alias("complete"))
+    traces = _walk(traces, links.filter("back").drop("back"), hops, lambda path, nxt: F.concat(F.array(nxt), path))
+    return _walk(traces, links.filter("NOT back").drop("back"), hops, lambda path, nxt: F.concat(path, F.array(nxt)))
+
 
+def _walk(traces: DataFrame, links: DataFrame, hops: int, grow) -> DataFrame:
+    """One direction. Traces whose start has no link, most of them in a code graph, take no part in the hops.
 
-def _walk(traces: DataFrame, links: DataFrame, hops: int, cut_every: int, grow) -> DataFrame:
+    Each hop is one equi-join of the moving traces with the link table. The whole direction is one plan, so all its
+    joins share one exchange of the links, and a crowded node is split over tasks by the adaptive skew join.
+    """
     cols = ["project_id", "start", "path", "complete"]
+    state = written(traces.select(*cols))
+    able = links.select("project_id", F.col("at").alias("start"))
+    resting = state.join(able, ["project_id", "start"], "left_anti")
     # a finished trace asks for a node that cannot exist, different for each, so none pile up
     nowhere = F.concat(F.lit("\u0000"), F.col("start"))
-    links = cut_lineage(links)
-    state = traces.select(*cols, F.col("start").alias("at"))
-    done = None
-    for hop in range(1, hops + 1):
-        unseen: Column = F.get(F.filter("links", lambda n: ~F.array_contains(F.col("path"), n)), F.lit(0))
-        state = (
-            state.join(links, ["project_id", "at"], "left").withColumn("nxt", unseen)
+    moving = state.join(able, ["project_id", "start"], "left_semi").withColumn("at", F.col("start"))
+    unseen: Column = F.get(F.filter("links", lambda n: ~F.array_contains(F.col("path"), n)), F.lit(0))
+    for _ in range(hops):
+        moving = (
+            moving.join(links, ["project_id", "at"], "left").withColumn("nxt", unseen)
             .select("project_id", "start",
                     F.when(F.col("nxt").isNull(), F.col("path")).otherwise(grow(F.col("path"), F.col("nxt"))).alias("path"),
                     "complete", F.coalesce("nxt", nowhere).alias("at"))
         )
-        if hop % cut_every == 0 or hop == hops:
-            state = cut_lineage(state)
-            ended = state.filter(F.col("at") == nowhere).select(*cols)
-            done = ended if done is None else done.unionByName(ended)
-            state = state.filter(F.col("at") != nowhere)
-            if hop == hops or state.isEmpty():
-                break
     # walks that are still open look once more: is there anywhere left to go?
     more = F.exists("links", lambda n: ~F.array_contains(F.col("path"), n))
-    left = state.join(links, ["project_id", "at"], "left").withColumn(
+    ended = moving.join(links, ["project_id", "at"], "left").withColumn(
         "complete", F.col("complete") & ~F.coalesce(more, F.lit(False)))
-    return done.unionByName(left.select(*cols))
+    return resting.unionByName(ended.select(*cols))
 
 
 def neighbourhood(nodes: DataFrame, edges: DataFrame, focus: DataFrame) -> DataFrame:

@@ -67,7 +67,7 @@ def document_slices(spark, d):
 
 def document_snippets(spark, d):
     rows = B.code_documents(spark, d).select("project_id", "file_uri", "doc_id", (F.col("doc_id") % 12).cast("int").alias("line"))
-    found = R.with_file_text(rows, _doc_files(spark, d), lambda lines, row: T.snippet_before(lines, row["line"]), "snippet")
+    found = R.with_file_text(rows, _doc_files(spark, d), lambda lines: T.snippet_before(lines, F.col("line")), "snippet")
     return found.select("doc_id", "snippet")
 
 

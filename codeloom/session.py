@@ -1,5 +1,6 @@
 """Session settings and lineage cutting."""
 
+import atexit
 import re
 import tempfile
 import uuid
@@ -56,17 +57,52 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+#: folders of written tables and checkpoints, by application
+_own_folders: dict[str, list[str]] = {}
+
+
+def _own_folder(spark: SparkSession, folder: str) -> None:
+    """Note a folder that only this application reads, to be removed when it ends."""
+    app = spark.sparkContext.applicationId
+    if app not in _own_folders:
+        _own_folders[app] = []
+        atexit.register(_remove, app, spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration())
+    if folder not in _own_folders[app]:
+        _own_folders[app].append(folder)
+
+
+def _remove(app: str, jvm, conf) -> None:
+    for folder in _own_folders.pop(app, []):
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(conf).delete(path, True)
+
+
+def remove_tables(spark: SparkSession) -> None:
+    """Remove what `written` and `cut_lineage` have left; for long sessions, once no earlier result is read any more.
+
+    At the end of the application this happens by itself.
+    """
+    sc = spark.sparkContext
+    _remove(sc.applicationId, sc._jvm, sc._jsc.hadoopConfiguration())
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the shared folder."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(shared_folder(df.sparkSession))
+    _own_folder(df.sparkSession, sc.getCheckpointDir())
     return df.checkpoint(eager=True)
 
 
 def written(df: DataFrame) -> DataFrame:
-    """The rows as a Parquet table of their own in the shared folder; compact where a checkpoint would be bulky."""
+    """The rows as a Parquet table of their own in the shared folder: later readers take the columns they need.
+
+    The folder is the application's own and goes when it ends.
+    """
     spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
+    own = f"{shared_folder(spark).rstrip('/')}/tables/{spark.sparkContext.applicationId}"
+    _own_folder(spark, own)
+    path = f"{own}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -2,7 +2,7 @@
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from codeloom.functions.text import escape_regex, strip
+from codeloom.functions.text import strip
 from codeloom.schemas import OFFICIAL_PACKAGES, PACKAGE_CONFIG
 from codeloom.sources.files import ancestors
 
@@ -77,14 +77,37 @@ def with_files(packages: DataFrame, listing: DataFrame) -> DataFrame:
         "_root").fillna(0, ["n_files"]).fillna(False, ["has_lib"])
 
 
-def package_type(name: Column, path: Column, root: Column, root_spec: Column) -> Column:
-    """Ordered rules; root and root_spec are the project's own folder and descriptor (may be null)."""
+def descriptor_entries(projects: DataFrame) -> DataFrame:
+    """projects(project_id, root_spec) -> (project_id, section, key, has_path): the entries of a descriptor's sections.
+
+    A section is an unindented key; its entries are the keys at the indentation of its first line. An entry has a path
+    if the line below it is a `path`. The text is read here once; only these short rows go on.
+    """
+    text = F.regexp_replace(F.regexp_replace("root_spec", r"\r\n?", "\n"), r"(?m)^[ \t]*(?:#.*)?(?:\n|\z)", "")
+    sections = F.regexp_extract_all(text, F.lit(r"(?m)^[^\s:][^:\n]*:.*(?:\n[ \t].*)*"), 0)
+    rows = projects.filter(F.col("root_spec").isNotNull()).select("project_id", F.explode(sections).alias("part")).select(
+        "project_id", _key("part").alias("section"), F.split(F.regexp_replace("part", r"\A.*\n?", ""), "\n").alias("lines"))
+    lines = rows.select("project_id", "section", _indent(F.col("lines")[0]).alias("depth"), F.posexplode("lines").alias("i", "line"),
+                        F.col("lines").alias("all")).select(
+        "project_id", "section", "depth", "line", F.get("all", F.col("i") + 1).alias("below"))
+    entries = lines.filter((_indent(F.col("line")) == F.col("depth")) & F.col("line").contains(":"))
+    below = F.col("below").rlike(r"^\s+path:") & (_indent(F.col("below")) > F.col("depth")) & F.col("line").rlike(r":\s*\z")
+    return entries.select("project_id", "section", _key("line").alias("key"), F.coalesce(below, F.lit(False)).alias("has_path"))
+
+
+def _key(line: str) -> Column:
+    return F.regexp_replace(strip(F.regexp_extract(line, r"^\s*([^:\n]+):", 1)), "['\"]", "")
+
+
+def _indent(line: Column) -> Column:
+    return F.length(F.regexp_extract(line, r"^[ \t]*", 0))
+
+
+def package_type(name: Column, path: Column, root: Column, declared: Column) -> Column:
+    """Ordered rules; root is the project's own folder, declared whether it takes the package by path or for development."""
     inside = (path == root) | path.startswith(F.concat(root, F.lit("/")))
-    shown = escape_regex(name)  # a name is text, whatever signs it holds
-    by_path = F.rlike(root_spec, F.concat(shown, F.lit(r":\s*\n\s*path:\s*")))
-    by_dev = F.rlike(root_spec, F.concat(F.lit(r"dev_dependencies:[\s\S]*?"), shown, F.lit(r":\s*")))
     return (
-        F.when(inside | by_path | by_dev, "custom")
+        F.when(inside | declared, "custom")
         .when(name.isin(OFFICIAL_PACKAGES) | name.startswith("flutter_"), "flutter_official")
         .when(path.contains("dart-sdk"), "sdk")
         .otherwise("third_party")
@@ -92,9 +115,12 @@ def package_type(name: Column, path: Column, root: Column, root_spec: Column) ->
 
 
 def classify(packages: DataFrame, projects: DataFrame) -> DataFrame:
-    """projects(project_id, root, root_spec) -> packages with their type."""
+    """projects(project_id, root, root_spec) -> packages with their type, by an equi-join with the descriptor's entries."""
+    own = descriptor_entries(projects).filter(F.col("has_path") | (F.col("section") == "dev_dependencies")).select(
+        "project_id", F.col("key").alias("name"), F.lit(True).alias("_declared")).distinct()
     return (
-        packages.join(projects, "project_id", "left")
-        .withColumn("type", package_type(F.col("name"), F.col("path"), F.col("root"), F.col("root_spec")))
-        .drop("root", "root_spec")
+        packages.join(projects.select("project_id", "root"), "project_id", "left")
+        .join(own, ["project_id", "name"], "left")
+        .withColumn("type", package_type(F.col("name"), F.col("path"), F.col("root"), F.col("_declared")))
+        .select(*packages.columns, "type")
     )

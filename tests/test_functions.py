@@ -240,15 +240,62 @@ def test_smart_verbs(spark):
     assert [r.v for r in sorted(got)] == [c[-1] for c in cases]
 
 
+SPEC = """name: app
+# mine: in a comment
+dependencies:
+  mine:
+    path: ../mine
+  "quoted":
+
+    # between
+    path: ../q
+  far:
+    git:
+      path: sub
+  inline: {path: ../x}
+  both: ^1
+    path: no
+dev_dependencies:\r
+  lints: ^1\r
+  deep:\r
+    hosted: u\r
+dependency_overrides:
+    wide:
+        path: ../wide
+flutter:
+  uses-material-design: true
+"""
+
+
 def test_package_types(spark):
-    spec = "dependencies:\n  mine:\n    path: ../mine\ndev_dependencies:\n  lints: ^1\n"
-    cases = [("app", "/w/app", "custom"), ("mine", "/x/mine", "custom"), ("lints", "/x/lints", "custom"),
-             ("flutter_x", "/x/f", "flutter_official"), ("material", "/x/m", "flutter_official"),
+    cases = [("app", "/w/app", "custom"), ("sub", "/w/app/sub", "custom"), ("mine", "/x/mine", "custom"), ("quoted", "/x", "custom"),
+             ("lints", "/x/lints", "custom"), ("deep", "/x", "custom"), ("wide", "/x", "custom"),
+             ("hosted", "/x", "third_party"), ("far", "/x", "third_party"), ("git", "/x", "third_party"), ("inline", "/x", "third_party"),
+             ("both", "/x", "third_party"), ("ine", "/x", "third_party"), ("ints", "/x", "third_party"),
+             ("flutter", "/x/f", "flutter_official"), ("flutter_x", "/x/f", "flutter_official"), ("material", "/x/m", "flutter_official"),
              ("core", "/opt/dart-sdk/c", "sdk"), ("http", "/w/app2", "third_party"),
              ("c++(", "/x/cpp", "third_party"), ("l.nts", "/x/l", "third_party"), ("min+", "/x/m", "third_party")]
-    df = spark.createDataFrame([(*c, "/w/app", spec) for c in cases], "n string, p string, want string, r string, s string")
-    got = df.select("want", P.package_type(F.col("n"), F.col("p"), F.col("r"), F.col("s")).alias("t")).collect()
-    assert [r.t for r in got] == [c[-1] for c in cases]
+    packages = spark.createDataFrame([("p", *c) for c in cases] + [("other", "mine", "/x", "third_party"), ("none", "mine", "/x", "third_party")],
+                                     "project_id string, name string, path string, want string")
+    projects = spark.createDataFrame([("p", "/w/app", SPEC), ("other", "/w/o", None), ("last", "/w", "a:\n  b:\n    path: x")],
+                                     "project_id string, root string, root_spec string")
+    got = P.classify(packages, projects)
+    assert got.columns == [*packages.columns, "type"]
+    rows = got.collect()
+    assert len(rows) == len(cases) + 2 and {r.name for r in rows if r.type != r.want} == set()
+    entries = {(r.section, r.key, r.has_path) for r in P.descriptor_entries(projects.filter("project_id = 'last'")).collect()}
+    assert entries == {("a", "b", True)}
+
+
+def test_no_descriptor_text_after_the_parse(spark):
+    packages = spark.createDataFrame([("p", "a", "/a")], "project_id string, name string, path string")
+    projects = spark.createDataFrame([("p", "/w", SPEC)], "project_id string, root string, root_spec string")
+    plan = P.classify(packages, projects)._jdf.queryExecution().optimizedPlan().toString()
+    above, below = plan.split("regexp_extract_all", 1)
+    # a join carries neither the descriptor nor its lines
+    for line in plan.split("\n"):
+        assert "Join" not in line or "root_spec" not in line
+    assert "Aggregate" in above
 
 
 def test_paths(spark):

@@ -2,6 +2,8 @@
 
 import json
 import random
+import re
+from contextlib import contextmanager
 
 from pyspark.sql import functions as F
 
@@ -95,14 +97,55 @@ def test_ordinals_are_dense_per_group(spark):
 def test_text_reaches_every_row_of_a_crowded_file(spark):
     files = spark.createDataFrame([("p", "f", None, "a\nb\nc"), ("p", "g", None, "x")], FILES)
     rows = spark.range(100).select(F.lit("p").alias("project_id"), F.when(F.col("id") < 95, "f").when(F.col("id") < 99, "g").otherwise("none").alias("file_uri"), "id")
-    found = R.with_file_text(rows, files, lambda lines, row: F.concat_ws("|", F.get(lines, (row["id"] % 3).cast("int")), row["id"].cast("string")), "t", per_chunk=10)
-    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    found = R.with_file_text(rows, files, lambda lines: F.concat_ws("|", F.get(lines, (F.col("id") % 3).cast("int")), F.col("id").cast("string")), "t")
     got = found.collect()
     assert len(got) == 100 and found.columns == ["project_id", "file_uri", "id", "t"]
     for r in got:
         line = {"f": "abc"[r.id % 3], "g": "x" if r.id % 3 == 0 else None, "none": None}[r.file_uri]
         assert r.t == "|".join(x for x in (line, str(r.id)) if x is not None)
-    assert "Generate explode" in plan
+
+
+@contextmanager
+def settings(spark, **values):
+    """Settings for one test; names with __ for dots."""
+    old = {k.replace("__", "."): spark.conf.get(k.replace("__", "."), None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k.replace("__", "."), v)
+    try:
+        yield
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def executed_plan(df):
+    """The final plan of a run, and the rows."""
+    rows = df.collect()
+    return df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0], rows
+
+
+def test_a_large_file_with_many_symbols_travels_once(spark):
+    """200 KB and 20,000 symbols: the file is shuffled once, the slices are read in the stage of the join."""
+    content = "\n".join(f"line {i} " + "x" * 90 for i in range(2000))
+    files = spark.createDataFrame([("p", "f", None, content)], FILES).repartition(2)
+    rng = F.struct((F.col("id") % 2000).cast("int").alias("sl"), F.lit(5).alias("sc"), (F.col("id") % 2000 + F.col("id") % 2).cast("int").alias("el"), F.lit(9).alias("ec"))
+    rows = spark.range(20_010).select(F.lit("p").alias("project_id"), F.when(F.col("id") < 20_000, "f").otherwise("g").alias("file_uri"),
+                                      "id", rng.alias("rng"), rng.alias("sel_rng"))
+    with settings(spark, spark__sql__autoBroadcastJoinThreshold="-1", spark__sql__adaptive__autoBroadcastJoinThreshold="-1"):
+        found = R.slice_bodies(rows, files)
+        plan, got = executed_plan(found)
+    text = content.split("\n")
+    for r in got:
+        a, b = r.id % 2000, r.id % 2000 + r.id % 2
+        assert r.file_uri == "f" or r.body == ""
+        assert r.file_uri == "g" or r.body == (text[a][5:9] if a == b else "" if b == 2000 else text[a][5:] + "\n" + text[b][:9])
+    joins = [line for line in plan.split("\n") if "SortMergeJoin" in line]
+    reads = [line for line in plan.split("\n") if "Project" in line and "coalesce(CASE WHEN" in line]
+    assert len(joins) == 1 and len(reads) == 1
+    # a star and the same stage number: the slices are read where the join runs
+    stage = re.compile(r"\*\((\d+)\)")
+    assert stage.search(joins[0])[1] == stage.search(reads[0])[1]
+    assert plan.count("Exchange hashpartitioning(") == 2
 
 
 def test_first_and_last_win(spark):
@@ -257,3 +300,17 @@ def test_call_degrees_equal_edges(spark):
     got = {r.node_id: (r.in_degree, r.out_degree) for r in E.call_degrees(m, s).collect()}
     ends = {e.source for e in edges} | {e.target for e in edges}
     assert got == {i: (sum(e.target == i for e in edges), sum(e.source == i for e in edges)) for i in ends}
+
+
+def test_links_are_exchanged_once_per_direction(spark):
+    """Too large to broadcast, the link table is dealt out once for all hops of a direction."""
+    rnd = random.Random(2)
+    edges = spark.createDataFrame([("p" if i % 2 else "q", i, f"n{rnd.randrange(200)}", f"n{rnd.randrange(200)}", rnd.choice(["READS_FROM", "WRITES_TO"]))
+                                   for i in range(3000)], EDGE)
+    starts = spark.createDataFrame([("p" if i % 2 else "q", f"n{i}") for i in range(300)], "project_id string, start string")
+    plain = sorted(map(str, G.trace_flow(edges, starts).collect()))
+    with settings(spark, spark__sql__autoBroadcastJoinThreshold="-1", spark__sql__adaptive__autoBroadcastJoinThreshold="-1"):
+        plan, rows = executed_plan(G.trace_flow(edges, starts))
+    assert sorted(map(str, rows)) == plain
+    scans = [line for line in plan.split("\n") if "Scan parquet" in line and "links#" in line]
+    assert plan.count("ReusedExchange") >= 9 and len(scans) == 1
