@@ -1,4 +1,4 @@
-"""Edge producers: inheritance, contracts, calls, reads, and the admission of edges."""
+"""Edge producers: inheritance, contracts, mentions of names, reads, and the admission of edges. Calls: `calls`."""
 
 from functools import reduce
 
@@ -34,20 +34,6 @@ def mentions(bodies: DataFrame) -> DataFrame:
     return bodies.filter(F.col("body") != "").select("project_id", "source", F.explode(tokens).alias("name"))
 
 
-def call_edges(mentioned: DataFrame, symbols: DataFrame) -> DataFrame:
-    """CALLS edges: every mentioned name to every method or function of that name.
-
-    An equi-join on (project, name); only ids travel. symbols(project_id, node_id, name, kind name).
-    Both sides are distinct and an id holds one name, so no pair can come twice.
-    """
-    targets = callable_names(symbols)
-    return (
-        known_mentions(mentioned, targets).join(targets, ["project_id", "name"])
-        .filter(F.col("source") != F.col("target"))
-        .select("project_id", "source", "target", F.lit("CALLS").alias("label"))
-    )
-
-
 def callable_names(symbols: DataFrame) -> DataFrame:
     """(project_id, name, target) of every method and function."""
     return symbols.filter(F.col("kind").isin("method", "function")).select(
@@ -59,26 +45,6 @@ def known_mentions(mentioned: DataFrame, targets: DataFrame) -> DataFrame:
     return mentioned.join(targets.select("project_id", "name").distinct(), ["project_id", "name"], "left_semi")
 
 
-def call_degrees(mentioned: DataFrame, symbols: DataFrame) -> DataFrame:
-    """(project_id, node_id, in_degree, out_degree) of the CALLS edges, from counts per name, without the pairs.
-
-    An id holds one name, so no pair of (caller, target) comes twice; a call of a symbol to itself is none.
-    """
-    targets = callable_names(symbols)
-    known = known_mentions(mentioned, targets)
-    names = ["project_id", "name"]
-    callers = known.groupBy(*names).agg(F.count("*").alias("n_callers"))
-    homonyms = targets.groupBy(*names).agg(F.count("*").alias("n_targets"))
-    own = known.join(targets.withColumnRenamed("target", "source"), [*names, "source"], "left_semi").select(
-        "project_id", F.col("source").alias("node_id"), F.lit(1).alias("own"))
-    coming = targets.join(callers, names).select("project_id", F.col("target").alias("node_id"), F.col("n_callers").alias("coming"))
-    leaving = known.join(homonyms, names).select("project_id", F.col("source").alias("node_id"), F.col("n_targets").alias("leaving"))
-    both = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [coming, leaving, own])
-    return both.fillna(0, ["coming", "leaving", "own"]).groupBy("project_id", "node_id").agg(
-        (F.sum("coming") - F.sum("own")).alias("in_degree"), (F.sum("leaving") - F.sum("own")).alias("out_degree")).filter(
-        "in_degree > 0 OR out_degree > 0")
-
-
 def call_fanout(mentioned: DataFrame, symbols: DataFrame) -> DataFrame:
     """Callers and targets per name without building the pairs: what `call_edges` will cost."""
     targets = symbols.filter(F.col("kind").isin("method", "function")).groupBy("project_id", "name").agg(

@@ -2,6 +2,7 @@
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from codeloom.operators import calls as C
 from codeloom.schemas import FLOW_HOPS
 from codeloom.session import written
 
@@ -45,10 +46,19 @@ def edge_breakdown(edges: DataFrame) -> DataFrame:
     return edges.groupBy("project_id", "label").agg(F.count("*").alias("n_edges"))
 
 
+def edge_counts(edges: DataFrame) -> DataFrame:
+    return edges.groupBy("project_id").agg(F.count("*").alias("n_edges"))
+
+
 def graph_totals(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    return sized(nodes, edge_counts(edges))
+
+
+def sized(nodes: DataFrame, counts: DataFrame) -> DataFrame:
+    """Nodes, containers and edges per project; counts(project_id, n_edges) may hold several rows of a project."""
     n = nodes.groupBy("project_id").agg(
         F.count("*").alias("n_nodes"), F.count_if(F.col("kind") == "package_container").alias("n_containers"))
-    e = edges.groupBy("project_id").agg(F.count("*").alias("n_edges"))
+    e = counts.groupBy("project_id").agg(F.sum("n_edges").alias("n_edges"))
     return n.join(e, "project_id", "left").fillna(0, ["n_edges"])
 
 
@@ -112,8 +122,11 @@ def _walk(traces: DataFrame, links: DataFrame, hops: int, grow) -> DataFrame:
     return resting.unionByName(ended.select(*cols))
 
 
-def neighbourhood(nodes: DataFrame, edges: DataFrame, focus: DataFrame) -> DataFrame:
-    """Members, predecessors and successors of every focus(project_id, node_id), one row each."""
+def neighbourhood(nodes: DataFrame, edges: DataFrame, focus: DataFrame, calls: C.Calls | None = None) -> DataFrame:
+    """Members, predecessors and successors of every focus(project_id, node_id), one row each.
+
+    `calls` adds the calls by their halves, where `edges` leaves them out.
+    """
     f = focus.select("project_id", F.col("node_id").alias("focus")).distinct()
     members = nodes.select("project_id", F.col("parent").alias("focus"), F.lit("member").alias("role"),
                            F.col("node_id").alias("other"))
@@ -123,7 +136,8 @@ def neighbourhood(nodes: DataFrame, edges: DataFrame, focus: DataFrame) -> DataF
     around = edges.select("project_id", F.explode(F.array(
         seen("target", "predecessor", "source"), seen("source", "successor", "target"))).alias("e")).select("project_id", "e.*")
     every = members.unionByName(around)
-    return every.join(f, ["project_id", "focus"], "left_semi").select("project_id", "focus", "role", "other").distinct()
+    near = every.join(f, ["project_id", "focus"], "left_semi").select("project_id", "focus", "role", "other")
+    return (near if calls is None else near.unionByName(C.around(calls, f))).distinct()
 
 
 def package_uses(imports: DataFrame, packages: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from codeloom.functions.text import format_message
 from codeloom.functions.verbs import label_class, narrative_key, smart_verb
+from codeloom.operators import calls as C
 from codeloom.sources.messages import with_template
 
 
@@ -47,6 +48,20 @@ def verb_groups(relations: DataFrame) -> DataFrame:
         F.min_by("partner_label", rank).alias("first_partner"))
 
 
+def graph_verb_groups(edges: DataFrame, calls: C.Calls, nodes: DataFrame) -> DataFrame:
+    """`verb_groups` of an analysed graph: its few other edges one by one, its calls folded by name.
+
+    edges(project_id, source, target, label) without the calls. Their order is that of (label, partner).
+    """
+    few = focus_relations(verbed_edges(edges.withColumn("edge_ord", F.col("label")), nodes))
+    first = F.struct(F.col("edge_ord").alias("label"), "partner", "partner_label")
+    rows = few.select("project_id", "focus", "focus_label", "verb", "label_class", F.lit(1).cast("bigint").alias("n_partners"), first.alias("first"))
+    every = rows.unionByName(C.relation_groups(calls, nodes))
+    return every.groupBy("project_id", "focus", "focus_label", "verb").agg(
+        F.min_by("label_class", "first").alias("label_class"), F.sum("n_partners").alias("n_partners"),
+        F.min("first").getField("partner_label").alias("first_partner"))
+
+
 def narrate(rows: DataFrame, messages: DataFrame | dict, lang: str, source: str, target: str, verb: str, out: str) -> DataFrame:
     """Sentence about one relation."""
     def bold(c: str):

@@ -32,23 +32,38 @@ def folder_rollup(nodes: DataFrame) -> DataFrame:
         F.count("*").alias("n_nodes"), F.grouping_id().cast("int").alias("level"))
 
 
-def lifted_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Edges between different folders and different features, with their numbers."""
+def folder_pairs(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(project_id, source_at, target_at, n): edges between places; nodes(project_id, node_id, at)."""
     def end(side: str) -> DataFrame:
-        return nodes.select("project_id", F.col("node_id").alias(side),
-                            F.struct(F.col("feature"), F.col("folder")).alias(f"{side}_at"))
+        return nodes.select("project_id", F.col("node_id").alias(side), F.col("at").alias(f"{side}_at"))
     joined = edges.select("project_id", "source", "target") \
         .join(end("source"), ["project_id", "source"]).join(end("target"), ["project_id", "target"])
-    # folded to folder pairs first: the other level is a second, much smaller fold
-    folders = joined.groupBy("project_id", "source_at", "target_at").agg(F.count("*").alias("n"))
-    lifted = folders.select("project_id", "n", F.explode(F.array(
+    return joined.groupBy("project_id", "source_at", "target_at").agg(F.count("*").alias("n"))
+
+
+def places(nodes: DataFrame) -> DataFrame:
+    """(project_id, node_id, at): the feature and folder of every node."""
+    return nodes.select("project_id", "node_id", F.struct(F.col("feature"), F.col("folder")).alias("at"))
+
+
+def lifted(pairs: DataFrame) -> DataFrame:
+    """Folder pairs as edges between different folders and different features, with their numbers."""
+    rows = pairs.select("project_id", "n", F.explode(F.array(
         F.struct(F.lit("folder").alias("level"), F.col("source_at.folder").alias("source"), F.col("target_at.folder").alias("target")),
         F.struct(F.lit("feature").alias("level"), F.col("source_at.feature").alias("source"), F.col("target_at.feature").alias("target")),
     )).alias("e")).select("project_id", "n", "e.*")
-    return lifted.filter(F.col("source") != F.col("target")).groupBy("project_id", "level", "source", "target").agg(
+    return rows.filter(F.col("source") != F.col("target")).groupBy("project_id", "level", "source", "target").agg(
         F.sum("n").alias("n_edges"))
 
 
+def lifted_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Edges between different folders and different features, with their numbers.
+
+    Folded to folder pairs first: the other level is a second, much smaller fold.
+    """
+    return lifted(folder_pairs(edges, places(nodes)))
+
+
 def members_per_component(nodes: DataFrame) -> DataFrame:
     return nodes.filter(F.col("parent").isNotNull()).groupBy("project_id", F.col("parent").alias("node_id")).agg(
         F.count("*").alias("n_members"))

@@ -6,18 +6,23 @@ from pyspark.sql import DataFrame, functions as F
 
 from codeloom.functions.signatures import is_field, lowered_relations, relation_rows
 from codeloom.functions.symbols import kind_name
-from codeloom.operators import checks, edges as E, enrich as R, graph as G, nodes as N, packages as P, semantics, views as V
-from codeloom.session import cut_lineage
+from codeloom.operators import (
+    calls as C, checks, edges as E, enrich as R, graph as G, nodes as N, packages as P, relations, semantics, views as V)
+from codeloom.session import written
 from codeloom.sources.packages import uri_path
 
 
 @dataclass
 class CodeGraph:
-    """`edges` pairs every caller with every target of a called name; all else is computed without these pairs."""
+    """`few` are the edges that are no calls, `calls` the calls in two halves; views read these.
+
+    Only `edges` pairs every caller with every target of a called name.
+    """
 
     symbols: DataFrame
     nodes: DataFrame
-    edges: DataFrame
+    few: DataFrame
+    calls: C.Calls
     bodies: DataFrame
     sources: DataFrame
     types: DataFrame
@@ -26,6 +31,37 @@ class CodeGraph:
     violations: DataFrame
     profiles: DataFrame
     imports: DataFrame
+    files: DataFrame
+
+    @property
+    def edges(self) -> DataFrame:
+        return self.few.unionByName(E.union_edges([C.pairs(self.calls)]))
+
+    def breakdown(self) -> DataFrame:
+        """Edges per project and label."""
+        calls = C.totals(self.calls).select("project_id", F.lit(C.LABEL).alias("label"), "n_edges")
+        return G.edge_breakdown(self.few).unionByName(calls)
+
+    def totals(self) -> DataFrame:
+        """Nodes, containers and edges per project."""
+        return G.sized(self.nodes, G.edge_counts(self.few).unionByName(C.totals(self.calls)))
+
+    def folder_edges(self) -> DataFrame:
+        """Edges between folders and between features; nodes of no file of the project have neither."""
+        rel = F.coalesce("rel_path", F.lit(""))
+        placed = self.nodes.select("project_id", "file_uri", "node_id").join(
+            self.files.select("project_id", "file_uri", "rel_path"), ["project_id", "file_uri"], "left").select(
+            "project_id", "node_id", V.feature_of(rel).alias("feature"), V.folder_of(rel).alias("folder"))
+        at = written(V.places(placed))
+        return V.lifted(V.folder_pairs(self.few, at).unionByName(C.folder_pairs(self.calls, at)))
+
+    def neighbourhood(self, focus: DataFrame) -> DataFrame:
+        """Members, predecessors and successors of focus(project_id, node_id)."""
+        return G.neighbourhood(self.nodes, self.few, focus, self.calls)
+
+    def verb_groups(self) -> DataFrame:
+        """Per node and verb: label class, number of partners, first partner."""
+        return relations.graph_verb_groups(self.few, self.calls, self.nodes)
 
 
 def layered(symbols: DataFrame) -> DataFrame:
@@ -52,19 +88,19 @@ def type_references(symbols: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame
 
 def build_graph(symbols: DataFrame, files: DataFrame, hovers: DataFrame, refs: DataFrame, packages: DataFrame) -> CodeGraph:
     """symbols come from `flatten_trees`; the other tables follow the schemas."""
-    # enriched symbols, nodes and mentions are each read by several later steps, so each is computed once
-    enriched = cut_lineage(R.enrich(symbols, files, hovers))
+    # enriched symbols, nodes and mentions are each read by several later steps, so each is written once and read by columns
+    enriched = written(R.enrich(symbols, files, hovers))
     known = layered(enriched)
     # first symbol makes the node, last symbol is what edges are read from
-    nodes = cut_lineage(N.first_wins(N.node_rows(known), ["project_id", "node_id"], "ord"))
-    current = N.last_wins(
+    nodes = written(N.first_wins(N.node_rows(known), ["project_id", "node_id"], "ord"))
+    current = written(N.last_wins(
         enriched.select("project_id", "node_id", "ord", "file_uri", "name", "kind", "rng", "sel_rng", "relations"),
-        ["project_id", "node_id"], "ord")
+        ["project_id", "node_id"], "ord"))
     bodies = R.slice_bodies(
         E.executables(current).select("project_id", "file_uri", "node_id", "kind", "rng", "sel_rng"), files)
     # calls and reads both ask for the mentions; the bodies behind them are sliced and scanned once
-    mentioned = cut_lineage(E.mentions(bodies.select("project_id", F.col("node_id").alias("source"), "body")))
-    relations = current.select(
+    mentioned = written(E.mentions(bodies.select("project_id", F.col("node_id").alias("source"), "body")))
+    declared = current.select(
         "project_id", F.col("node_id").alias("source"), F.explode(relation_rows(F.col("relations"))).alias("r"),
     ).select("project_id", "source", "r.*")
     named = current.select("project_id", "node_id", "name", kind_name(F.col("kind")).alias("kind"))
@@ -79,17 +115,16 @@ def build_graph(symbols: DataFrame, files: DataFrame, hovers: DataFrame, refs: D
         files.select("project_id", "file_uri", uri_path(F.col("file_uri")).alias("path")), packages)
     every = P.assign_containers(nodes, sources).unionByName(P.container_nodes(packages), allowMissingColumns=True)
     # the edges that are no calls are few; they and the package edges of all calls are kept
-    plain = E.union_edges([E.relation_edges(relations, nodes), E.read_edges(refs, owners, passive, mentioned)])
+    plain = E.union_edges([E.relation_edges(declared, nodes), E.read_edges(refs, owners, passive, mentioned)])
     packaged = every.select("project_id", "node_id", F.col("source.package_name").alias("package"))
-    targets = E.callable_names(named)
-    between = P.package_edges(plain, packaged).unionByName(
-        P.call_package_edges(E.known_mentions(mentioned, targets), targets, packaged)).distinct()
-    few = cut_lineage(E.union_edges([plain, between]))
-    edges = few.unionByName(E.union_edges([E.call_edges(mentioned, named)]))
-    counts = G.degree_counts(few).unionByName(E.call_degrees(mentioned, named)).groupBy("project_id", "node_id").agg(
+    calls = C.halves(mentioned, named)
+    calls = C.Calls(written(calls.callers), written(calls.targets))
+    between = P.package_edges(plain, packaged).unionByName(C.package_edges(calls, packaged)).distinct()
+    few = written(E.union_edges([plain, between]))
+    counts = G.degree_counts(few).unionByName(C.degrees(calls)).groupBy("project_id", "node_id").agg(
         F.sum("in_degree").alias("in_degree"), F.sum("out_degree").alias("out_degree"))
     types, params, returns = type_references(enriched)
     return CodeGraph(
-        known, G.with_counts(every, counts), edges, bodies, sources, types, params, returns, checks.violations(enriched),
+        known, G.with_counts(every, counts), few, calls, bodies, sources, types, params, returns, checks.violations(enriched),
         semantics.semantic_profile(bodies.withColumn("kind", kind_name(F.col("kind")))),
-        V.node_imports(nodes, V.file_imports(files)))
+        V.node_imports(nodes, V.file_imports(files)), files)

@@ -1,16 +1,18 @@
 """Queries over the order files: symbol trees, bodies, calls, reads, evidence, the whole graph."""
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import functions as F
 
 from codeloom.functions.symbols import is_relevant_package, kind_name
-from codeloom.operators import checks, edges as E, enrich as R, graph as G, views as V
+from codeloom.operators import calls as C, checks, edges as E, enrich as R, views as V
 from codeloom.plans import bindings as B
 from codeloom.plans.code_graph import build_graph
 from codeloom.plans.sql import MANIFEST, ORDER_LAKE
 from codeloom.sources.files import load_status as status_counts
-from codeloom.sources.sinks import as_json_rows
+from codeloom.session import shared_folder
+from codeloom.sources.sinks import as_json_rows, read_graph, write_graph
 from codeloom.sources.packages import classify, read_package_configs
 from codeloom.sources.symbols import flatten_trees, link_parents
 
@@ -54,7 +56,7 @@ def code_mentions(spark, d):
 
 def call_edges(spark, d):
     flat = _flat(spark, d)
-    return E.call_edges(_mentions(spark, d, flat), _named(flat))
+    return C.pairs(C.halves(_mentions(spark, d, flat), _named(flat)))
 
 
 def call_fanout(spark, d):
@@ -114,8 +116,42 @@ def code_graph_nodes(spark, d):
 
 def graph_totals(spark, d):
     """Totals of the analysed graph; its packages are containers."""
+    return _graph(spark, d).totals()
+
+
+def graph_breakdown(spark, d):
+    return _graph(spark, d).breakdown()
+
+
+def graph_folder_edges(spark, d):
+    return _graph(spark, d).folder_edges()
+
+
+def graph_neighbourhood(spark, d):
+    """Around every class and every load method of the analysed graph."""
     graph = _graph(spark, d)
-    return G.graph_totals(graph.nodes, graph.edges)
+    focus = graph.nodes.filter((F.col("kind") == "class") | F.col("label").startswith("load_")).select("project_id", "node_id")
+    return graph.neighbourhood(focus)
+
+
+def graph_verb_groups(spark, d):
+    return _graph(spark, d).verb_groups()
+
+
+def republished_graph(spark, d):
+    """Every project is written, then some once more with other nodes and edges: which nodes and edges are read back."""
+    flat = _flat(spark, d)
+    nodes = flat.select("project_id", "node_id", kind_name(F.col("kind")).alias("kind"))
+    edges = flat.filter(F.col("parent_node_id").isNotNull()).select(
+        "project_id", F.col("node_id").alias("source"), F.col("parent_node_id").alias("target"), F.lit("MEMBER").alias("label"))
+    folder = f"{shared_folder(spark).rstrip('/')}/graphs/{uuid.uuid4().hex}"
+    write_graph(nodes, edges, folder)
+    # the second analysis of p1 finds classes alone, that of p2 finds methods of one file in two
+    again = nodes.filter("project_id = 'p1' AND kind = 'class'").unionByName(nodes.filter("project_id = 'p2'"))
+    write_graph(again, edges.filter("project_id = 'p2' AND source LIKE '%load%'").withColumn("label", F.lit("AGAIN")), folder)
+    nodes, edges = read_graph(spark, folder)
+    rows = nodes.select("project_id", F.col("kind").alias("what")).unionByName(edges.select("project_id", F.col("label").alias("what")))
+    return rows.groupBy("project_id", "what").agg(F.count("*").alias("n"))
 
 
 def edge_export(spark, d):
@@ -229,6 +265,37 @@ QUERIES = {
           count(*) FILTER (kind = 'package_container') AS n_containers FROM (SELECT DISTINCT project_id, node_id, kind FROM onode) GROUP BY ALL),
         e AS (SELECT project_id, count(*) AS n_edges FROM alledges GROUP BY ALL)
         SELECT n.project_id, n_nodes, n_containers, coalesce(n_edges, 0) AS n_edges FROM n LEFT JOIN e USING (project_id)"""),
+    "graph_breakdown": (graph_breakdown, f"WITH {ORDER_LAKE} SELECT project_id, label, count(*) AS n_edges FROM alledges GROUP BY ALL"),
+    "graph_folder_edges": (graph_folder_edges, f"""WITH {ORDER_LAKE},
+        spot AS (SELECT project_id, node_id, 'lib/f' || (k % 10) AS folder, 'f' || (k % 10) AS feature FROM oid
+          UNION ALL SELECT project_id, node_id, '', '' FROM onode WHERE kind = 'package_container'),
+        j AS (SELECT e.project_id, s.folder AS sf, t.folder AS tf, s.feature AS se, t.feature AS te FROM alledges e
+          JOIN spot s ON s.project_id = e.project_id AND s.node_id = e.source JOIN spot t ON t.project_id = e.project_id AND t.node_id = e.target)
+        SELECT project_id, 'folder' AS level, sf AS source, tf AS target, count(*) AS n_edges FROM j WHERE sf <> tf GROUP BY ALL
+        UNION ALL SELECT project_id, 'feature', se, te, count(*) FROM j WHERE se <> te GROUP BY ALL"""),
+    "graph_neighbourhood": (graph_neighbourhood, f"""WITH {ORDER_LAKE}, f AS (SELECT project_id, node_id FROM oid WHERE kind = 5 OR starts_with(name, 'load_'))
+        SELECT o.project_id, u.node_id AS focus, 'member' AS role, o.node_id AS other FROM oid o
+          JOIN oid u ON u.file_uri = o.file_uri AND u.path = regexp_replace(o.path, '[.][0-9]+$', '')
+          JOIN f ON f.node_id = u.node_id WHERE o.depth > 1 AND o.k % 10 IN (0, 2, 4, 6, 8, 9)
+        UNION SELECT e.project_id, target, 'predecessor', source FROM alledges e JOIN f ON f.node_id = e.target
+        UNION SELECT e.project_id, source, 'successor', target FROM alledges e JOIN f ON f.node_id = e.source"""),
+    "graph_verb_groups": (graph_verb_groups, f"""WITH {ORDER_LAKE},
+        named AS (SELECT project_id, node_id, name FROM oid
+          UNION ALL SELECT project_id, node_id, coalesce(package, 'project_root') FROM onode WHERE kind = 'package_container'),
+        e AS (SELECT a.project_id, a.source, a.target, s.name AS sl, t.name AS tl, a.label FROM alledges a
+          JOIN named s ON s.project_id = a.project_id AND s.node_id = a.source JOIN named t ON t.project_id = a.project_id AND t.node_id = a.target),
+        rel AS (SELECT project_id, source AS focus, sl AS focus_label, target AS partner, tl AS partner_label, label FROM e
+          UNION ALL SELECT project_id, target, tl, source, sl, label FROM e)
+        SELECT project_id, focus, focus_label, CASE label WHEN 'CALLS' THEN 'verb.calls' WHEN 'READS_FROM' THEN 'verb.readsFrom'
+            WHEN 'EXTENDS' THEN 'verb.extends' WHEN 'USES_AS_TYPE' THEN 'verb.usesAsType' END AS verb,
+          first(replace(lower(label), '_', '-') ORDER BY label, partner) AS label_class, count(*) AS n_partners,
+          first(partner_label ORDER BY label, partner) AS first_partner
+        FROM rel WHERE focus_label <> partner_label GROUP BY project_id, focus, focus_label, verb"""),
+    "republished_graph": (republished_graph, f"""WITH {ORDER_LAKE},
+        n AS (SELECT project_id, CASE prefix WHEN 'func' THEN 'function' ELSE prefix END AS what FROM oid WHERE project_id <> 'p1' OR kind = 5
+          UNION ALL SELECT project_id, CASE WHEN project_id = 'p2' THEN 'AGAIN' ELSE 'MEMBER' END FROM oid
+            WHERE depth > 1 AND (project_id NOT IN ('p1', 'p2') OR (project_id = 'p2' AND node_id LIKE '%load%')))
+        SELECT project_id, what, count(*) AS n FROM n GROUP BY ALL"""),
     "edge_export": (edge_export, f"""WITH {ORDER_LAKE} SELECT project_id, replace('{{"source":"' || source || '","target":"' || target || '","label":"' || label || '"}}',
         '<', '\u003c') AS json FROM alledges"""),
     "graph_types": (graph_types, f"""WITH {ORDER_LAKE},

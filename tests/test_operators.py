@@ -7,11 +7,11 @@ from contextlib import contextmanager
 
 from pyspark.sql import functions as F
 
-from codeloom.operators import edges as E, enrich as R, graph as G, nodes as N, packages as P, views as V
+from codeloom.operators import calls as C, edges as E, enrich as R, graph as G, nodes as N, packages as P, relations as L, views as V
 from codeloom.plans.code_graph import build_graph
 from codeloom.schemas import FILES, HOVERS, REFS, SYMBOL_TREES
 from codeloom.sources import files as S, messages as M
-from codeloom.sources.sinks import with_ordinals, write_graph
+from codeloom.sources.sinks import published, read_graph, with_ordinals, write_graph
 from codeloom.sources.symbols import flatten_trees
 
 EDGE = "project_id string, edge_ord bigint, source string, target string, label string"
@@ -261,7 +261,9 @@ def test_whole_graph_of_two_files(spark, tmp_path):
     own = R.resolve_own_fields(R.param_rows(graph.symbols), graph.symbols).first()
     assert own.type == "final List<Item>"
     write_graph(graph.nodes.drop("ord"), graph.edges, str(tmp_path / "out"))
-    assert spark.read.parquet(str(tmp_path / "out" / "edges")).count() == len(edges)
+    read = read_graph(spark, str(tmp_path / "out"))
+    assert read[1].count() == len(edges) and read[0].count() == len(nodes)
+    assert read[0].columns == graph.nodes.drop("ord").columns
 
 
 def test_edges_are_unique_and_known(spark):
@@ -279,27 +281,107 @@ def test_imports_split_by_package_type(spark):
     assert {r.package_group: r.n_packages for r in V.package_overview(packages).collect()} == {"consumed": 1, "developed": 1}
 
 
-def test_call_degrees_without_pairs(spark):
-    """2,000 callers of one name with 2,000 targets: 4,000,000 pairs, none of them built."""
+def crowd(spark, n, name="build"):
+    """n methods of one name, each calling it, and n more names that nobody has."""
+    source = F.concat(F.lit("m"), F.col("id").cast("string"))
+    callers = spark.range(n).select(F.lit("p").alias("project_id"), source.alias("source"), F.lit(name).alias("name"))
+    named = spark.range(n).select(F.lit("p").alias("project_id"), source.alias("node_id"), F.lit(name).alias("name"), F.lit("method").alias("kind"))
+    return C.halves(callers.unionByName(callers.withColumn("name", F.lit("if"))), named)
+
+
+def test_views_of_calls_without_pairs(spark):
+    """2,000 callers of one name with 2,000 targets: 3,998,000 calls, none of them built by any view."""
     n = 2000
-    callers = spark.range(n).select(F.lit("p").alias("project_id"), F.concat(F.lit("m"), F.col("id").cast("string")).alias("source"), F.lit("build").alias("name"))
-    noise = callers.withColumn("name", F.lit("if"))
-    named = spark.range(n).select(F.lit("p").alias("project_id"), F.concat(F.lit("m"), F.col("id").cast("string")).alias("node_id"), F.lit("build").alias("name"), F.lit("method").alias("kind"))
-    got = E.call_degrees(callers.unionByName(noise), named).collect()
-    assert len(got) == n and all(r.in_degree == n - 1 and r.out_degree == n - 1 for r in got)
-
-
-def test_call_degrees_equal_edges(spark):
-    rnd = random.Random(4)
-    names = ["a", "b", "c", "if"]
-    mentioned = {("p", f"m{rnd.randrange(40)}", rnd.choice(names)) for _ in range(150)}
-    symbols = [("p", f"m{i}", rnd.choice(names[:3]), rnd.choice(["method", "field"])) for i in range(40)]
-    m = spark.createDataFrame(sorted(mentioned), "project_id string, source string, name string")
+    calls = crowd(spark, n)
+    nodes = spark.range(n).select(
+        F.lit("p").alias("project_id"), F.concat(F.lit("m"), F.col("id").cast("string")).alias("node_id"),
+        F.struct((F.col("id") % 2).cast("string").alias("feature"), (F.col("id") % 4).cast("string").alias("folder")).alias("at"))
+    got = {r.node_id: (r.in_degree, r.out_degree) for r in C.degrees(calls).collect()}
+    assert len(got) == n and set(got.values()) == {(n - 1, n - 1)}
+    assert [tuple(r) for r in C.totals(calls).collect()] == [("p", n * (n - 1))]
+    quarter, half = (n // 4) ** 2, (n // 2) ** 2
+    lifted = {(r.level, r.source, r.target): r.n_edges for r in V.lifted(C.folder_pairs(calls, nodes)).collect()}
+    assert lifted == {**{("folder", str(a), str(b)): quarter for a in range(4) for b in range(4) if a != b},
+                      ("feature", "0", "1"): half, ("feature", "1", "0"): half}
+    focus = spark.createDataFrame([("p", "m7")], "project_id string, focus string")
+    near = C.around(calls, focus)
+    assert near.count() == 2 * (n - 1)
+    # no operator of these plans puts out more than a few rows per symbol
+    for df in (C.degrees(calls), C.totals(calls), C.folder_pairs(calls, nodes), near):
+        assert most_rows(df) <= 4 * n
+
+
+def most_rows(df):
+    """The most rows that any operator of a run has put out."""
+    with settings(df.sparkSession, spark__sql__adaptive__enabled="false"):
+        df = df.select("*")
+        df.collect()
+        found, todo = 0, [df._jdf.queryExecution().executedPlan()]
+        while todo:
+            plan = todo.pop()
+            metric = plan.metrics().get("numOutputRows")
+            found = max(found, metric.get().value()) if metric.isDefined() else found
+            todo += [plan.children().apply(i) for i in range(plan.children().size())]
+    return found
+
+
+def random_calls(seed):
+    rnd = random.Random(seed)
+    names = ["a", "b", "analytics", "openDialog", "if"]
+    mentioned = {(rnd.choice("pq"), f"m{rnd.randrange(40)}", rnd.choice(names)) for _ in range(200)}
+    symbols = [(p, f"m{i}", rnd.choice(names[:4]), rnd.choice(["method", "method", "function", "field", "class"])) for p in "pq" for i in range(40)]
+    return sorted(mentioned), symbols
+
+
+def test_views_of_calls_equal_those_of_the_edges(spark):
+    mentioned, symbols = random_calls(4)
+    rnd = random.Random(6)
+    m = spark.createDataFrame(mentioned, "project_id string, source string, name string")
     s = spark.createDataFrame(symbols, "project_id string, node_id string, name string, kind string")
-    edges = E.call_edges(m, s).collect()
-    got = {r.node_id: (r.in_degree, r.out_degree) for r in E.call_degrees(m, s).collect()}
-    ends = {e.source for e in edges} | {e.target for e in edges}
-    assert got == {i: (sum(e.target == i for e in edges), sum(e.source == i for e in edges)) for i in ends}
+    nodes = spark.createDataFrame(
+        [(p, i, n, k, rnd.choice(["view", "state", "service", "model", "member"]), f"m{rnd.randrange(40)}", rnd.choice("xy"), rnd.choice("uvw"))
+         for p, i, n, k in symbols],
+        "project_id string, node_id string, label string, kind string, layer string, parent string, feature string, folder string")
+    few = spark.createDataFrame([("p", "m1", "m2", "EXTENDS"), ("p", "m3", "m1", "READS_FROM"), ("q", "m5", "m9", "READS_FROM"), ("r", "m1", "m2", "EXTENDS")],
+                                "project_id string, source string, target string, label string")
+    calls = C.halves(m, s)
+    edges = few.unionByName(C.pairs(calls))
+    brute = {(p, a, i) for p, a, n in mentioned for q, i, n2, k in symbols if p == q and n == n2 and k in ("method", "function") and a != i}
+    assert sorted((r.project_id, r.source, r.target) for r in C.pairs(calls).collect()) == sorted(brute)
+
+    def same(a, b):
+        assert sorted(map(str, a.select(*sorted(a.columns)).collect())) == sorted(map(str, b.select(*sorted(b.columns)).collect())) != []
+    pairs_only = C.pairs(calls)
+    same(C.degrees(calls), G.degree_counts(pairs_only))
+    same(C.totals(calls), G.edge_counts(pairs_only))
+    at = V.places(nodes)
+    same(V.lifted(V.folder_pairs(few, at).unionByName(C.folder_pairs(calls, at))), V.lifted_edges(edges, nodes))
+    focus = nodes.filter("node_id < 'm25'").select("project_id", "node_id")
+    same(G.neighbourhood(nodes, few, focus, calls), G.neighbourhood(nodes, edges, focus))
+    by_pairs = L.verb_groups(L.focus_relations(L.verbed_edges(edges.withColumn("edge_ord", F.col("label")), nodes)))
+    same(L.graph_verb_groups(few, calls, nodes), by_pairs)
+
+
+def test_projects_are_published_one_by_one(spark, tmp_path):
+    folder = str(tmp_path / "graphs")
+    N2, E2 = "project_id string, node_id string, n int", "project_id string, source string, target string"
+
+    def write(nodes, edges):
+        write_graph(spark.createDataFrame(nodes, N2), spark.createDataFrame(edges, E2), folder)
+
+    def read():
+        nodes, edges = read_graph(spark, folder)
+        assert nodes.columns == ["project_id", "node_id", "n"] and edges.columns == ["project_id", "source", "target"]
+        return sorted(map(tuple, nodes.collect())), sorted(map(tuple, edges.collect()))
+    write([("p1", "a", 1), ("p1", "b", 1)], [("p1", "a", "b")])
+    write([("p2", "x", 1), ("007", "k", 1)], [("p2", "x", "x")])
+    assert read() == ([("007", "k", 1), ("p1", "a", 1), ("p1", "b", 1), ("p2", "x", 1)], [("p1", "a", "b"), ("p2", "x", "x")])
+    write([("p1", "a", 2)], [])  # the new analysis has one node and no edge
+    assert read() == ([("007", "k", 1), ("p1", "a", 2), ("p2", "x", 1)], [("p2", "x", "x")])
+    # a job that dies before it publishes changes nothing
+    spark.createDataFrame([("p2", "lost", 9)], N2).write.partitionBy("project_id").parquet(f"{folder}/nodes/version=9-dead")
+    assert read() == ([("007", "k", 1), ("p1", "a", 2), ("p2", "x", 1)], [("p2", "x", "x")])
+    assert published(spark, folder).count() == 3
 
 
 def test_links_are_exchanged_once_per_direction(spark):
