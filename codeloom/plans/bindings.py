@@ -256,6 +256,8 @@ def order_trees(spark: SparkSession, sf_dir: str, failing: bool = False) -> Data
         F.to_json(sym(x["load"], x["load_decl"], 6, _rng(5, 2, 9, 3), _rng(5, 14, 5, 20),
                       F.filter(F.array(inner), lambda _: k % 4 == 0))),
         F.to_json(sym(x["send"], F.lit(""), 6, _rng(10, 2, 10, send_end), _rng(10, 7, 10, 12))),
+        # a constructor that the source does not write out
+        F.to_json(sym(x["name"], F.lit(""), 9, _rng(2, 0, 2, 0), _rng(2, 0, 2, 1))),
     )
     whole = F.concat(
         F.lit("[{\"name\":\""), x["name"], F.lit("\",\"detail\":\""), x["header"],
@@ -269,13 +271,20 @@ def order_trees(spark: SparkSession, sf_dir: str, failing: bool = False) -> Data
 
 
 def order_hovers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hover answers for the `send` methods; those of odd files are empty."""
+    """Hover answers for the `send` methods and constructors, those of odd files empty, and for every third field."""
     k, x = F.col("o_orderkey"), _order_cols()
-    answer = F.array(F.concat(F.lit("```dart\nFuture<Hub> "), x["send"], F.lit("()\n```")), F.lit("docs"))
+
+    def answer(line: int, char: int, when: Column, *shown) -> Column:
+        said = F.array(F.concat(F.lit("```dart\n"), *shown, F.lit("\n```")), F.lit("docs"))
+        return F.struct(F.lit(line).alias("line"), F.lit(char).alias("character"),
+                        F.when(when, said).otherwise(F.array().cast("array<string>")).alias("contents"))
+    answers = F.array(
+        answer(10, 7, k % 2 == 0, F.lit("Future<Hub> "), x["send"], F.lit("()")),
+        answer(2, 0, k % 2 == 0, x["name"], F.lit("({this."), x["item"], F.lit("})")),
+        answer(3, 8, k % 3 == 0, F.lit("final Set<"), x["name"], F.lit("> "), x["item"]))
     return _orders(spark, sf_dir).select(
-        order_project(k).alias("project_id"), order_uri(k).alias("file_uri"),
-        F.lit(10).alias("line"), F.lit(7).alias("character"),
-        F.when(k % 2 == 0, answer).otherwise(F.array().cast("array<string>")).alias("contents"))
+        order_project(k).alias("project_id"), order_uri(k).alias("file_uri"), F.explode(answers).alias("h")).select(
+        "project_id", "file_uri", "h.*")
 
 
 def order_refs(spark: SparkSession, sf_dir: str) -> DataFrame:

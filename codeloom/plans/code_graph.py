@@ -115,12 +115,12 @@ def build_graph(symbols: DataFrame, files: DataFrame, hovers: DataFrame, refs: D
         files.select("project_id", "file_uri", uri_path(F.col("file_uri")).alias("path")), packages)
     every = P.assign_containers(nodes, sources).unionByName(P.container_nodes(packages), allowMissingColumns=True)
     # the edges that are no calls are few; they and the package edges of all calls are kept
-    plain = E.union_edges([E.relation_edges(declared, nodes), E.read_edges(refs, owners, passive, mentioned)])
+    plain = written(E.union_edges([E.relation_edges(declared, nodes), E.read_edges(refs, owners, passive, mentioned)]))
     packaged = every.select("project_id", "node_id", F.col("source.package_name").alias("package"))
     calls = C.halves(mentioned, named)
     calls = C.Calls(written(calls.callers), written(calls.targets))
     between = P.package_edges(plain, packaged).unionByName(C.package_edges(calls, packaged)).distinct()
-    few = written(E.union_edges([plain, between]))
+    few = plain.unionByName(written(E.union_edges([between])))
     counts = G.degree_counts(few).unionByName(C.degrees(calls)).groupBy("project_id", "node_id").agg(
         F.sum("in_degree").alias("in_degree"), F.sum("out_degree").alias("out_degree"))
     types, params, returns = type_references(enriched)

@@ -165,8 +165,11 @@ ORDER_LAKE = """orows AS (SELECT o_orderkey AS k, o_custkey AS c, 'p' || ((o_ord
     UNION ALL SELECT project_id, file_uri, k, c, '0.1.0', 3, 'inner_' || (k % 3), 12, '', '6:4-6:39', '6:4-6:6', 'load_' || third, 'func',
       'if (a.isEmpty) { return new Box(a);' FROM okrows WHERE k % 4 = 0
     UNION ALL SELECT project_id, file_uri, k, c, '0.2', 2, 'send_' || k, 6, '', '10:2-10:' || (length(send_line) + 1), '10:7-10:12', cname, 'method',
-      substring(send_line, 3) FROM okrows),
-  oid AS (SELECT *, file_uri || CASE WHEN parent_name IS NULL THEN '' ELSE '#parent:' || parent_name END || '#kind:' || prefix || '#name:' || name AS node_id FROM osym),
+      substring(send_line, 3) FROM okrows
+    UNION ALL SELECT project_id, file_uri, k, c, '0.3', 2, cname, 9, '', '2:0-2:0', '2:0-2:1', cname, 'ctor', '' FROM okrows),
+  oid AS (SELECT *, file_uri || CASE WHEN parent_name IS NULL THEN '' ELSE '#parent:' || parent_name END || '#kind:' || prefix || '#name:'
+      || CASE kind WHEN 9 THEN '_default_' ELSE name END AS node_id,
+      CASE WHEN k % 3 = 0 THEN 'Set<' ELSE 'final List<' END || parent_name || '>' AS item_type FROM osym),
   mention AS (
     SELECT project_id, node_id AS source, unnest(['load_' || (k // 3), 'if', 'Box', 'emit', 'load_' || (k // 2 // 3), 'track', 'item_' || (c % 10)]) AS name
       FROM oid WHERE path = '0.1'
@@ -183,7 +186,7 @@ ORDER_LAKE = """orows AS (SELECT o_orderkey AS k, o_custkey AS c, 'p' || ((o_ord
     JOIN heads h ON h.project_id = o.project_id AND h.name = 'Base' || ((o.c + 1) % 9) WHERE o.kind = 5 AND o.node_id <> h.node_id),
   core AS (SELECT * FROM calls UNION ALL SELECT * FROM reads UNION ALL SELECT * FROM inherits),
   packs AS (SELECT DISTINCT project_id, folder FROM orows WHERE folder < 9),
-  onode AS (SELECT project_id, node_id, CASE prefix WHEN 'func' THEN 'function' ELSE prefix END AS kind,
+  onode AS (SELECT project_id, node_id, CASE prefix WHEN 'func' THEN 'function' WHEN 'ctor' THEN 'constructor' ELSE prefix END AS kind,
       CASE WHEN kind = 5 THEN 'service' ELSE 'member' END AS layer, CASE WHEN k % 10 < 9 THEN 'pkg_f' || (k % 10) END AS package,
       CASE WHEN k % 10 = 9 OR k % 10 % 2 = 0 THEN 'project' ELSE 'external_package' END AS source_type FROM oid
     UNION ALL SELECT project_id, 'package_container:pkg_f' || folder, 'package_container', 'utility', 'pkg_f' || folder, 'external_package' FROM packs

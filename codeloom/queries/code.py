@@ -97,7 +97,9 @@ def _enriched(spark, d):
 
 
 def type_evidence(spark, d):
-    return _enriched(spark, d).select("project_id", "node_id", "resolved_type", "return_type", "access", "is_sdk")
+    """Types and parameters by the evidence that tells them: detail, hover, source text."""
+    return _enriched(spark, d).select("project_id", "node_id", "resolved_type", "return_type",
+                                      F.array_join("params.name", ",").alias("param_names"), "access", "is_sdk")
 
 
 def _graph(spark, d):
@@ -229,11 +231,30 @@ _CONV = """conv AS (SELECT 'room' || (conv_id % 10) AS project_id, 'chat:' || co
       file_uri || '#' || name || '#' || s.kind AS symbol_uid, file_uri || '#' || pname || '#' || pkind AS parent_uid
     FROM sym s JOIN pre a ON a.kind = s.kind LEFT JOIN pre b ON b.kind = s.pkind)"""
 
+# every symbol row from its order, without a join
+_FLAT = """WITH o AS (
+    SELECT o_orderkey AS k, 'p' || ((o_orderkey // 60) % 20) AS project_id,
+      'file:///lake/p' || ((o_orderkey // 60) % 20) || '/lib/f' || (o_orderkey % 10) || '/order_' || o_orderkey || '.dart' AS u,
+      CASE WHEN o_orderkey % 11 = 0 THEN 'Base' || (o_custkey % 9) ELSE 'Order' || o_orderkey END AS cls,
+      'load_' || (o_orderkey // 3) AS load, 'item_' || (o_custkey % 10) AS item, 'send_' || o_orderkey AS send,
+      ' extends Base' || ((o_custkey + 1) % 9) || ' implements Port' || (o_orderkey % 4) || '<int>' AS tail,
+      66 + length(o_orderkey || '' || (o_orderkey // 3) || (o_orderkey // 2)) AS send_end FROM orders),
+  m AS (
+    SELECT project_id, u, cls, load, '0' AS path, 1 AS depth, cls AS name, 5 AS kind, 'class ' || cls || tail AS detail, '2:0-11:1' AS rng, '2:6-2:10' AS sel,
+      'class' AS prefix, cls AS shown FROM o
+    UNION ALL SELECT project_id, u, cls, load, '0.0', 2, item, 8, '', '3:2-3:40', '3:8-3:20', 'field', item FROM o
+    UNION ALL SELECT project_id, u, cls, load, '0.1', 2, load, 6, 'Future<int> ' || load || '(int a, {required String b})', '5:2-9:3', '5:14-5:20', 'method', load FROM o
+    UNION ALL SELECT project_id, u, cls, load, '0.1.0', 3, 'inner_' || (k % 3), 12, '', '6:4-6:39', '6:4-6:6', 'func', 'inner_' || (k % 3) FROM o WHERE k % 4 = 0
+    UNION ALL SELECT project_id, u, cls, load, '0.2', 2, send, 6, '', '10:2-10:' || send_end, '10:7-10:12', 'method', send FROM o
+    UNION ALL SELECT project_id, u, cls, load, '0.3', 2, cls, 9, '', '2:0-2:0', '2:0-2:1', 'ctor', '_default_' FROM o)
+  SELECT project_id, path, depth, name, kind, detail, rng, sel,
+    u || CASE depth WHEN 1 THEN '' WHEN 2 THEN '#parent:' || cls ELSE '#parent:' || load END || '#kind:' || prefix || '#name:' || shown AS node_id,
+    CASE depth WHEN 2 THEN u || '#' || cls || '#5' WHEN 3 THEN u || '#' || load || '#6' END AS parent_uid,
+    CASE depth WHEN 2 THEN u || '#kind:class#name:' || cls WHEN 3 THEN u || '#parent:' || cls || '#kind:method#name:' || load END AS parent_node_id
+  FROM m"""
+
 QUERIES = {
-    "flat_symbols": (flat_symbols, f"""WITH {ORDER_LAKE}, up AS (SELECT file_uri, path, node_id, name, kind FROM oid)
-        SELECT o.project_id, o.node_id, o.path, o.depth, o.name, o.kind, o.detail, o.rng, o.sel,
-          CASE WHEN u.name IS NOT NULL THEN o.file_uri || '#' || u.name || '#' || u.kind END AS parent_uid, u.node_id AS parent_node_id
-        FROM oid o LEFT JOIN up u ON u.file_uri = o.file_uri AND u.path = CASE WHEN o.depth > 1 THEN regexp_replace(o.path, '\\.[0-9]+$', '') END"""),
+    "flat_symbols": (flat_symbols, _FLAT),
     "load_status": (load_status, f"""WITH {ORDER_LAKE} SELECT project_id, count(*) FILTER (status = 'ok') AS analysed,
         count(*) FILTER (status = 'empty') AS empty, count(*) FILTER (status = 'error') AS failed, count(*) AS files,
         count(*) FILTER (status = 'ok') = 0 AS no_symbols FROM orows GROUP BY project_id"""),
@@ -252,7 +273,8 @@ QUERIES = {
         SELECT p.project_id, p.file_uri, p.line, first(node_id ORDER BY a, b, c.p) AS node_id FROM pts p JOIN c
           ON c.project_id = p.project_id AND c.file_uri = p.file_uri AND c.sl <= p.line AND c.el >= p.line GROUP BY ALL"""),
     "type_evidence": (type_evidence, f"""WITH {ORDER_LAKE} SELECT project_id, node_id,
-        CASE WHEN kind = 8 THEN 'final List<' || parent_name || '>' END AS resolved_type,
+        CASE WHEN kind = 8 THEN item_type END AS resolved_type,
+        CASE WHEN path = '0.1' THEN 'a,b' WHEN path = '0.3' AND k % 2 = 0 THEN 'item_' || (c % 10) END AS param_names,
         CASE WHEN path = '0.1' THEN 'Future<int>' WHEN path = '0.2' AND k % 2 = 0 THEN 'Future<Hub>' END AS return_type,
         'public' AS access, false AS is_sdk FROM oid"""),
     "code_graph_edges": (code_graph_edges, f"WITH {ORDER_LAKE} SELECT * FROM alledges"),
@@ -292,7 +314,7 @@ QUERIES = {
           first(partner_label ORDER BY label, partner) AS first_partner
         FROM rel WHERE focus_label <> partner_label GROUP BY project_id, focus, focus_label, verb"""),
     "republished_graph": (republished_graph, f"""WITH {ORDER_LAKE},
-        n AS (SELECT project_id, CASE prefix WHEN 'func' THEN 'function' ELSE prefix END AS what FROM oid WHERE project_id <> 'p1' OR kind = 5
+        n AS (SELECT project_id, CASE prefix WHEN 'func' THEN 'function' WHEN 'ctor' THEN 'constructor' ELSE prefix END AS what FROM oid WHERE project_id <> 'p1' OR kind = 5
           UNION ALL SELECT project_id, CASE WHEN project_id = 'p2' THEN 'AGAIN' ELSE 'MEMBER' END FROM oid
             WHERE depth > 1 AND (project_id NOT IN ('p1', 'p2') OR (project_id = 'p2' AND node_id LIKE '%load%')))
         SELECT project_id, what, count(*) AS n FROM n GROUP BY ALL"""),
@@ -301,7 +323,8 @@ QUERIES = {
     "graph_types": (graph_types, f"""WITH {ORDER_LAKE},
         defs AS (SELECT project_id, name, first(file_uri ORDER BY file_uri) AS defined_in FROM oid WHERE kind = 5 GROUP BY ALL),
         used AS (
-          SELECT project_id, node_id, 'field' AS use, 'final List<' || parent_name || '>' AS type, parent_name AS base FROM oid WHERE kind = 8
+          SELECT project_id, node_id, 'field' AS use, item_type AS type, parent_name AS base FROM oid WHERE kind = 8
+          UNION ALL SELECT project_id, node_id, 'parameter', item_type, parent_name FROM oid WHERE path = '0.3' AND k % 2 = 0
           UNION ALL SELECT project_id, node_id, 'parameter', unnest(['int', 'String']), '' FROM oid WHERE path = '0.1'
           UNION ALL SELECT project_id, node_id, 'return', 'Future<int>', 'int' FROM oid WHERE path = '0.1'
           UNION ALL SELECT project_id, node_id, 'return', 'Future<Hub>', 'Hub' FROM oid WHERE path = '0.2' AND k % 2 = 0)

@@ -1,15 +1,19 @@
 """Operators on small graphs and against brute force."""
 
 import json
+import os
 import random
 import re
 from contextlib import contextmanager
 
+import pytest
 from pyspark.sql import functions as F
 
 from codeloom.operators import calls as C, edges as E, enrich as R, graph as G, nodes as N, packages as P, relations as L, views as V
 from codeloom.plans.code_graph import build_graph
+from codeloom.queries.code import type_evidence
 from codeloom.schemas import FILES, HOVERS, REFS, SYMBOL_TREES
+from codeloom.session import written
 from codeloom.sources import files as S, messages as M
 from codeloom.sources.sinks import published, read_graph, with_ordinals, write_graph
 from codeloom.sources.symbols import flatten_trees
@@ -190,6 +194,54 @@ def test_scan_and_choose_sources(spark, tmp_path):
     assert found.filter("rel_path = 'lib/x.dart'").first().content == "// a/lib/x.dart\nclass X {}\n"
 
 
+def test_second_scan_reads_changed_files_only(spark, tmp_path):
+    """Ten files; then one changes, one comes, one goes: the second scan opens two."""
+    lake = tmp_path / "lake"
+    for i in range(10):
+        path = lake / f"p{i % 2}" / "lib" / f"f{i}.dart"
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_text(f"class A{i} {{}}")
+        os.utime(path, (1_700_000_000 + i, 1_700_000_000 + i))
+    (lake / "p0" / "notes.txt").write_text("no source")
+    first = written(S.list_sources(spark, str(lake)))
+    assert first.count() == 10 and {r.rel_path for r in first.collect()} == {f"lib/f{i}.dart" for i in range(10)}
+    everything = S.scan_changed(spark, str(lake), first, first.limit(0))
+    assert sorted(map(str, everything.collect())) == sorted(map(str, S.scan_sources(spark, str(lake)).collect()))
+
+    (lake / "p1" / "lib" / "f3.dart").write_text("class B {}")
+    (lake / "p0" / "lib" / "new.dart").write_text("class N {}")
+    (lake / "p0" / "lib" / "f4.dart").unlink()
+    second = written(S.list_sources(spark, str(lake)))
+    changes = {(r.file_uri.rsplit("/", 1)[1], r.change) for r in S.compare_manifests(second, first).collect()}
+    assert changes == {("f3.dart", "changed"), ("new.dart", "added"), ("f4.dart", "removed")}
+    with settings(spark, spark__sql__adaptive__enabled="false"):
+        found = S.scan_changed(spark, str(lake), second, first)
+        assert sorted(r.content for r in found.collect()) == ["class B {}", "class N {}"]
+        leaves = found._jdf.queryExecution().executedPlan().collectLeaves()
+        scans = [leaves.apply(i) for i in range(leaves.size())]
+        texts = [s for s in scans if "text" in s.nodeName().lower()]
+        assert [s.metrics().get("numFiles").get().value() for s in texts] == [2]
+    assert S.scan_changed(spark, str(lake), second, second).collect() == []
+    # a file that comes with an old date is found too
+    old = lake / "p0" / "lib" / "old.dart"
+    old.write_text("class O {}")
+    os.utime(old, (1_600_000_000, 1_600_000_000))
+    third = S.list_sources(spark, str(lake))
+    assert [r.content for r in S.scan_changed(spark, str(lake), third, second).collect()] == ["class O {}"]
+
+
+@pytest.mark.parametrize("rule, column", [("hover_field_type", "resolved_type"), ("own_field_params", "param_names"), ("hover_return_type", "return_type")])
+def test_each_hover_rule_counts(spark, monkeypatch, rule, column):
+    """Without a rule, what it alone tells is missing from `type_evidence`."""
+    whole = type_evidence(spark, "/root/testdata/sf0.001")
+    values = whole.select(column).filter(F.col(column).isNotNull()).distinct().count()
+    kind = "array<struct<pos:int,name:string,type:string,is_named:boolean,is_required:boolean,is_optional_positional:boolean>>" \
+        if rule == "own_field_params" else "string"
+    monkeypatch.setattr(R.sig, rule, lambda *_, **__: F.lit(None).cast(kind))
+    without = type_evidence(spark, "/root/testdata/sf0.001")
+    assert without.select(column).filter(F.col(column).isNotNull()).distinct().count() < values
+
+
 def test_messages_from_files(spark, tmp_path):
     (tmp_path / "en.json").write_text(json.dumps({"a": "A {0}", "b": "B"}))
     (tmp_path / "es.json").write_text(json.dumps({"a": "Á {0}"}))
