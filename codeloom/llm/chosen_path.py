@@ -7,14 +7,17 @@ most `limit` documents is compared exhaustively. In a larger node all documents
 them. It ends when one component holds all its documents, as equal components need no further link, or when so
 few are outside its largest component that these can be compared with all; else it is branched again.
 
-Below the roots a node has BRANCHES children of STEP tokens: a pair at the threshold expects 4 * 0.75**2 = 2.25 common
-children in a common node, so its common places grow from level to level, and documents with less in common part. `limit` grows from level to level, so every node ends up compared or
-in one component; no node is cut short and no group is gathered in one task.
-
-Candidates whose lengths or tokens rule out the threshold go (tokens: a link is missed with probability below
-1e-5); all others are confirmed on the full sets. A pair at the threshold that no other document
-links has no common place left with a probability of 0.25**ROOTS = 1e-6 at the roots, and, computed over its number of
-equal tokens, 3.5e-6, 5.1e-6, 6.0e-6 and 6.4e-6 after 1 to 4 levels of nodes too large to be compared, 6.8e-6 after 8.
+Below the roots a node has BRANCHES children of STEP tokens: a pair at the threshold expects 3 * 0.75**2 = 1.69 common
+children in a common node, so its common places grow from level to level, and documents with less in common part.
+`limit` grows from level to level, so every node ends up compared or in one component; no node is cut short and no
+group is gathered in one task.
+
+Places are short rows; a document's tokens join them only where they are compared or branched. Candidates whose
+lengths or tokens rule out the threshold go (tokens: a link is missed with probability below 1e-5); all others are
+confirmed on the full sets. For that, documents of one root token form blocks of about BLOCK, and a pair of blocks is
+sent each set that it asks for once, however many pairs ask. A pair at the threshold that no other document links has
+no common place left with a probability of 0.25**ROOTS = 4e-9 at the roots, and, computed over its number of equal
+tokens, with less than 1e-5 after any number of levels of nodes too large to be compared (tested).
 
 Defined cases: null and empty texts have no shingles and no links; null ids are never linked and keep
 component null; rows that repeat an id with equal words are one document; an empty table gives an empty one.
@@ -29,18 +32,18 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from codeloom.llm.components import components
 from codeloom.llm.words import mix, pieces, shingle_sets
-from codeloom.session import cut_lineage
+from codeloom.session import written
 
 SHINGLE = 5
 PERCENT = 75
-TREES = 5
+TREES = 7
 #: children of a root, and tokens that choose them, one each
 ROOT_BRANCHES = 2
 ROOTS = TREES * ROOT_BRANCHES
-#: tokens for deeper nodes and estimates
-TOKENS = 128
+#: tokens of one byte for deeper nodes and estimates; two that differ look alike in one of 256 cases
+TOKENS = 256
 #: below the roots a node has so many children, each named by so many tokens
-BRANCHES = 4
+BRANCHES = 3
 STEP = 2
 #: documents of a node that all others are compared with; nodes of at most LIMIT are compared exhaustively
 ANCHORS = 3
@@ -48,12 +51,12 @@ LIMIT = 8
 #: the limit grows by this factor from level to level
 MORE = 3
 #: of TOKENS equal tokens, a pair at the threshold has fewer with probability below 1e-5
-LEAST_EQUAL = 74
-#: ids broadcast when the candidates' texts are read again; beyond, the same join shuffles
-BROADCAST_IDS = 2_000_000
+LEAST_EQUAL = 161
+#: documents in a block whose sets travel together
+BLOCK = 256
 
 _SEEDS = np.random.Generator(np.random.PCG64(7)).integers(0, 2**63, ROOTS + TOKENS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_SIGNATURES = "doc_id long, n_shingles long, key1 long, key2 long, roots array<int>, tokens array<short>"
+_SIGNATURES = "doc_id long, n_shingles long, key1 long, key2 long, roots array<int>, tokens array<tinyint>"
 
 
 def _lists(rows: np.ndarray) -> pa.ListArray:
@@ -78,7 +81,7 @@ def signatures_of(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.R
         yield pa.RecordBatch.from_arrays(
             [batch.column(0).cast(pa.int64()), pa.array(sizes), pa.array(signed[:, 0].copy()),
              pa.array(signed[:, 1].copy()), _lists(low[:, :ROOTS].astype(np.uint32).view(np.int32)),
-             _lists(low[:, ROOTS:].astype(np.uint16).view(np.int16))],
+             _lists(low[:, ROOTS:].astype(np.uint8).view(np.int8))],
             names=["doc_id", "n_shingles", "key1", "key2", "roots", "tokens"])
 
 
@@ -98,14 +101,20 @@ def _roots(sets: DataFrame) -> DataFrame:
     return sets.select("doc", F.explode(child).alias("node"))
 
 
-def _branch(places: DataFrame) -> DataFrame:
-    """Children of each (doc, n, tokens, component, node): where the document's tokens at positions chosen by the node lead."""
+def _with_facts(places: DataFrame, facts: DataFrame) -> DataFrame:
+    """Add n and tokens of each document; only those of the documents asked for are dealt out."""
+    return places.join(facts.join(places.select("doc").distinct(), "doc", "left_semi"), "doc")
+
+
+def _branch(places: DataFrame, facts: DataFrame) -> DataFrame:
+    """Children of each (doc, component, node): where the document's tokens at positions chosen by the node lead."""
     def token(j: Column, k: int) -> Column:
         return F.col("tokens")[F.pmod(F.xxhash64("node", j, F.lit(k)), F.lit(TOKENS)).cast("int")]
 
     child = F.transform(F.sequence(F.lit(1), F.lit(BRANCHES)),
                         lambda j: F.xxhash64("node", j, *[token(j, k) for k in range(STEP)]))
-    return places.select("doc", "n", "tokens", "component", F.explode(F.array_distinct(child)).alias("node"))
+    return _with_facts(places.select("doc", "component", "node"), facts).select(
+        "doc", "component", F.explode(F.array_distinct(child)).alias("node"))
 
 
 def _equal_tokens(a: Column, b: Column) -> Column:
@@ -117,21 +126,41 @@ def _may_link(a: str, b: str) -> Column:
     return sizes & (_equal_tokens(F.col(f"{a}.tokens"), F.col(f"{b}.tokens")) >= LEAST_EQUAL)
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, size: int) -> DataFrame:
-    """Those of the pairs (u, v) whose full sets reach the threshold."""
-    ids = pairs.select(F.col("u").alias("doc_id")).unionByName(pairs.select(F.col("v").alias("doc_id"))).distinct()
-    ids = F.broadcast(ids) if pairs.count() * 2 <= BROADCAST_IDS else ids
-    sets = docs.join(ids, "doc_id", "left_semi").mapInArrow(partial(sets_of, size=size), "doc_id long, grams array<long>")
-    sets = cut_lineage(sets.filter(F.size("grams") > 0))
-    left = sets.select(F.col("doc_id").alias("u"), F.col("grams").alias("a"))
-    right = sets.select(F.col("doc_id").alias("v"), F.col("grams").alias("b"))
-    both = F.size(F.array_intersect("a", "b"))
-    met = pairs.join(left, "u").join(right, "v").select("u", "v", both.alias("both"), F.size("a").alias("na"),
-                                                        F.size("b").alias("nb"))
-    return met.filter(F.col("both") * 100 >= (F.col("na") + F.col("nb") - F.col("both")) * PERCENT).select("u", "v")
-
-
-def _candidates(members: DataFrame, limit: int) -> DataFrame:
+def _linked(pairs: pa.Table, sets: pa.Table) -> pa.Table:
+    """Those of the pairs (u, v) of two blocks whose sets (doc, grams) reach the threshold."""
+    held: dict[int, list[np.ndarray]] = {}
+    column = sets.column("grams").combine_chunks()
+    for doc, grams in zip(sets.column("doc").to_pylist(), column):
+        held.setdefault(doc, []).append(grams.values.to_numpy().view(np.uint64))  # sorted
+    kept = []
+    for u, v in zip(pairs.column("u").to_pylist(), pairs.column("v").to_pylist()):
+        for a in held.get(u, []):
+            for b in held.get(v, []):
+                small, large = (a, b) if len(a) <= len(b) else (b, a)
+                at = np.minimum(np.searchsorted(large, small), len(large) - 1)
+                both = int(np.count_nonzero(large[at] == small))
+                if both * 100 >= (len(a) + len(b) - both) * PERCENT:
+                    kept.append((u, v))
+    return pa.table({"u": pa.array([u for u, _ in kept], pa.int64()), "v": pa.array([v for _, v in kept], pa.int64())})
+
+
+def _confirmed(pairs: DataFrame, docs: DataFrame, families: DataFrame, size: int) -> DataFrame:
+    """Those of the pairs (u, v) whose full sets reach the threshold; families(doc, family) says who shares blocks."""
+    ids = written(pairs.select(F.col("u").alias("doc")).unionByName(pairs.select(F.col("v").alias("doc"))).distinct())
+    placed = ids.join(families, "doc")
+    parts = placed.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).alias("k"))
+    blocks = placed.join(parts, "family").select("doc", F.xxhash64("family", F.pmod(F.xxhash64("doc"), F.col("k"))).alias("block"))
+    keyed = written(
+        pairs.join(blocks.select(F.col("doc").alias("u"), F.col("block").alias("a")), "u")
+        .join(blocks.select(F.col("doc").alias("v"), F.col("block").alias("b")), "v").select(F.xxhash64("a", "b").alias("key"), "u", "v"))
+    wanted = keyed.select("key", F.col("u").alias("doc")).unionByName(keyed.select("key", F.col("v").alias("doc"))).distinct()
+    sets = docs.join(ids.withColumnRenamed("doc", "doc_id"), "doc_id", "left_semi").mapInArrow(
+        partial(sets_of, size=size), "doc_id long, grams array<long>").filter(F.size("grams") > 0)
+    sent = wanted.join(sets.withColumnRenamed("doc_id", "doc"), "doc").select(F.col("key").alias("part"), "doc", "grams")
+    return keyed.groupBy("key").cogroup(sent.groupBy("part")).applyInArrow(_linked, "u long, v long").distinct()
+
+
+def _candidates(members: DataFrame, facts: DataFrame, limit: int) -> DataFrame:
     """Pairs (u, v) of different components to confirm.
 
     In a node that ends here (`small`) those that `stand` are compared with all; in others ANCHORS documents are.
@@ -142,8 +171,8 @@ def _candidates(members: DataFrame, limit: int) -> DataFrame:
     share = members.withColumn("code", code).filter(
         F.when(F.col("small"), F.col("stand")).otherwise(F.col("code") * F.col("size") < F.lit(8 * ANCHORS << 30)))
     rank = F.row_number().over(Window.partitionBy("node").orderBy("code", "doc"))
-    a = share.withColumn("rank", rank).filter(F.col("small") | (F.col("rank") <= ANCHORS)).alias("a")
-    b = members.alias("b")
+    chosen = share.withColumn("rank", rank).filter(F.col("small") | (F.col("rank") <= ANCHORS))
+    a, b = _with_facts(chosen, facts).alias("a"), _with_facts(members, facts).alias("b")
     apart = (F.col("a.component") != F.col("b.component")) & (F.col("a.doc") != F.col("b.doc"))
     once = ~(F.col("b.small") & F.col("b.stand")) | (F.col("a.doc") < F.col("b.doc"))
     return a.join(b, (F.col("a.node") == F.col("b.node")) & apart & once & _may_link("a", "b")).select(
@@ -171,35 +200,36 @@ def _mixed(members: DataFrame, limit: int) -> DataFrame:
 
 def links(sets: DataFrame, docs: DataFrame, size: int) -> DataFrame:
     """Components (node, component) of the representatives `sets` (doc, n, roots, tokens) that have a link."""
-    columns = ["doc", "n", "tokens", "component", "node", "size", "small", "stand"]
-    members = _counted(_roots(sets), LIMIT).join(sets.select("doc", "n", "tokens"), "doc").withColumn("component", F.col("doc"))
+    columns = ["doc", "component", "node", "size", "small", "stand"]
+    facts, families = sets.select("doc", "n", "tokens"), sets.select("doc", F.col("roots")[0].alias("family"))
+    members = _counted(_roots(sets), LIMIT).withColumn("component", F.col("doc"))
     found, tested, limit = None, None, LIMIT
     while True:
-        members = cut_lineage(members.select(*columns))
-        pairs = _candidates(members, limit)
-        pairs = cut_lineage(pairs if tested is None else pairs.join(tested, ["u", "v"], "left_anti"))
+        members = written(members.select(*columns))
+        pairs = _candidates(members, facts, limit)
+        pairs = written(pairs if tested is None else pairs.join(tested, ["u", "v"], "left_anti"))
         tested = pairs if tested is None else tested.unionByName(pairs)
-        edges = _confirmed(pairs, docs, size)
+        edges = _confirmed(pairs, docs, families, size)
         if found is not None:
             edges = edges.unionByName(found.select(F.col("node").alias("u"), F.col("component").alias("v")))
         found = components(edges)
         limit *= MORE
-        now = members.filter("NOT small").drop("component", "size", "small", "stand").join(
+        now = members.filter("NOT small").select("doc", "node").join(
             found.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-        places = cut_lineage(now.join(_mixed(now, limit), "node"))
+        places = written(now.join(_mixed(now, limit), "node"))
         if places.isEmpty():
             return found
         ending = places.filter("small").withColumn("stand", F.col("component") != F.col("top"))
-        members = _counted(_branch(places.filter("NOT small")), limit).select(*columns).unionByName(ending.select(*columns))
+        members = _counted(_branch(places.filter("NOT small"), facts), limit).select(*columns).unionByName(ending.select(*columns))
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id (the smallest linked id), kept."""
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    rows = cut_lineage(docs.mapInArrow(partial(signatures_of, size=size), _SIGNATURES))
+    rows = written(docs.mapInArrow(partial(signatures_of, size=size), _SIGNATURES))
     own = ["key1", "key2", "n_shingles"]
     linked = rows.filter("n_shingles > 0 AND doc_id IS NOT NULL")
-    sets = cut_lineage(linked.groupBy(*own, "roots", "tokens").agg(F.min("doc_id").alias("doc")))
+    sets = written(linked.groupBy(*own, "roots", "tokens").agg(F.min("doc_id").alias("doc")))
     found = links(sets.select("doc", F.col("n_shingles").alias("n"), "roots", "tokens"),
                   docs.filter("doc_id IS NOT NULL"), size)
     named = sets.select(*own, "doc").join(found.withColumnRenamed("node", "doc"), "doc", "left").select(
@@ -212,5 +242,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents that stay, one of each group, with the columns they came with."""
-    gone = near_duplicates(docs, doc_id, text).filter("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col(doc_id).cast("long") == F.col("_gone"), "left_anti")
+    name = "_gone"
+    while name.lower() in map(str.lower, docs.columns):
+        name += "_"
+    gone = near_duplicates(docs, doc_id, text).filter("NOT kept").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone, F.col(f"`{doc_id}`").cast("long") == F.col(name), "left_anti")

@@ -106,6 +106,48 @@ def test_near_duplicates_of_nothing(spark):
     assert cp.drop_near_duplicates(frame(spark, [])).collect() == []
 
 
+def test_any_column_name_may_be_there_already(spark):
+    df = frame(spark, documents()).withColumnRenamed("_x", "_gone").withColumnRenamed("row", "_GONE_")
+    kept = cp.drop_near_duplicates(df)
+    assert kept.columns == df.columns and 0 < kept.count() < df.count()
+
+
+@pytest.mark.parametrize("block", [256, 2])
+def test_links_do_not_depend_on_blocks(spark, monkeypatch, block):
+    monkeypatch.setattr(cp, "BLOCK", block)
+    rows = documents(5, 40)
+    got = cp.near_duplicates(frame(spark, rows)).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got if r.doc_id is not None} == brute_near(rows)
+
+
+def family(rnd, n, size, changed):
+    """n texts of one base, each with its own words at `changed` places of `size`."""
+    base = [f"b{i}" for i in range(size)]
+    for k in range(n):
+        words = list(base)
+        for at in rnd.sample(range(size), changed):
+            words[at] = f"x{k}_{at}"
+        yield " ".join(words)
+
+
+def test_recall_on_a_crowded_set_of_isolated_pairs(spark):
+    """300 texts of one base, no two of them linked, and to forty of them a partner at 0.75 to 0.80: all are found."""
+    rnd = random.Random(12)
+    rows = list(enumerate(family(rnd, 300, 160, 6)))
+    pairs = 0
+    for i in range(40):
+        words = rows[i][1].split()
+        for at in rnd.sample(range(0, 160, 8), 3):
+            words[at] = f"y{i}_{at}"
+        rows.append((1000 + i, " ".join(words)))
+    rows = [(i, t, "en", "s", 1, "d", 1, 2, "k", 3, 4) for i, t in rows]
+    want = brute_near(rows)
+    pairs = sum(want[1000 + i][1] != 1000 + i for i in range(40))
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in cp.near_duplicates(frame(spark, rows)).collect()}
+    assert pairs > 20 and len({v[1] for v in want.values()}) > 200
+    assert got == want
+
+
 def test_components_of_chains_and_hubs(spark):
     edges = [(i, i + 1) for i in range(100, 160)] + [(1, k) for k in range(200, 260)] + [(5, 5), (9, 8), (8, 9)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
