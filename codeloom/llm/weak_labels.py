@@ -4,11 +4,12 @@ Nine overlapping heuristic labellers vote good, bad or nothing on every document
 pattern of votes, at most 3**9 patterns whatever the corpus holds, and expectation-maximisation over these counts
 estimates how often each labeller says what of good and of bad documents. The posterior of a pattern is the label
 of its documents. A linear scorer over hashed features (words, word shapes, repeats, coarse ratios) learns these
-labels on a bounded sample of SAMPLE documents, fixed by a hash of their ids, and scores every document.
+labels on a bounded sample of about SAMPLE documents, fixed by a hash of their ids and texts, equal rows counted once,
+and scores every document. Features are made where the documents are; only those of the sample meet in one task.
 
 Defined cases: documents without words (null and empty texts) are rejected with score 0; a short text that no
 labeller votes on has the prior as its label and is kept unless its features speak against it; rows that repeat an
-id or a text are scored alike; an empty table gives an empty one; other columns are kept as they are.
+id or a text are scored alike, and rows without ids like all others; an empty table gives an empty one; other columns are kept as they are.
 """
 
 from collections.abc import Iterator
@@ -166,6 +167,7 @@ def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = ROUNDS) ->
 
 
 def _rows_of_features(batches: Iterator[pa.RecordBatch], labels: dict[int, float]) -> Iterator[pa.RecordBatch]:
+    """(r, text) -> r, label, buckets, shares."""
     for batch in pieces(batches, 1):
         facts = Facts(batch.column(1))
         codes = facts.patterns()
@@ -177,10 +179,10 @@ def _rows_of_features(batches: Iterator[pa.RecordBatch], labels: dict[int, float
             shares.append(np.concatenate([times / max(b - a, 1), np.full(of_texts.shape[1], 0.3)]).astype(np.float32))
         ends = np.concatenate([[0], np.cumsum([len(x) for x in buckets])]).astype(np.int32)
         yield pa.RecordBatch.from_arrays([
-            pa.array([labels[int(c)] for c in codes], pa.float64()),
+            batch.column(0), pa.array([labels[int(c)] for c in codes], pa.float64()),
             pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*buckets, np.zeros(0, np.int32)]))),
             pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*shares, np.zeros(0, np.float32)]))),
-        ], names=["label", "buckets", "shares"])
+        ], names=["r", "label", "buckets", "shares"])
 
 
 def fit(labels: np.ndarray, buckets: list[np.ndarray], shares: list[np.ndarray]) -> np.ndarray:
@@ -208,8 +210,8 @@ def _fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row of weights from all rows of the sample."""
     labels, buckets, shares = [], [], []
     for batch in batches:
-        labels += batch.column(0).to_pylist()
-        for found, column in ((buckets, batch.column(1)), (shares, batch.column(2))):
+        labels += batch.column(1).to_pylist()
+        for found, column in ((buckets, batch.column(2)), (shares, batch.column(3))):
             found += [x.values.to_numpy() for x in column]
     if labels:
         weights = fit(np.array(labels), buckets, shares)
@@ -240,20 +242,28 @@ def _body(docs: DataFrame, text: str) -> Column:
     return F.col(f"`{text}`").cast("string")
 
 
+def sampled_features(rows: DataFrame, labels: dict[int, float], sample: int, n: int) -> DataFrame:
+    """rows(r, t), n of them with words -> r, label, buckets, shares of those whose hash r falls into the sample's share.
+
+    Equal rows have one hash and count once, so a row that a third of the table repeats doesn't swell the sample.
+    """
+    share = int(min(sample / max(n, 1), 1) * (1 << 60)) + 1
+    chosen = rows.filter((F.pmod("r", F.lit(1 << 60)) < share) & F.col("t").rlike(r"[^\x20\x09-\x0D]"))
+    return chosen.distinct().mapInArrow(
+        partial(_rows_of_features, labels=labels), "r long, label double, buckets array<int>, shares array<float>")
+
+
 def quality(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *, sample: int = SAMPLE,
             threshold: float = THRESHOLD) -> DataFrame:
     """Every document as `_doc` with n_words, label (posterior of good), score, and whether it is kept."""
-    fixed = F.xxhash64(F.col(f"`{doc_id}`").cast("string"), F.lit("sample"))
+    fixed = F.xxhash64(F.col(f"`{doc_id}`").cast("string"), _body(docs, text), F.lit("sample"))
     rows = cut_lineage(docs.select(fixed.alias("r"), _body(docs, text)).mapInArrow(_patterns, "r long, pattern long"))
     counted = rows.filter("pattern >= 0").groupBy("pattern").count().toPandas()  # at most 3**9 rows
     patterns, counts = counted["pattern"].to_numpy(), counted["count"].to_numpy()
     labels = dict(zip(patterns.tolist(), estimate(patterns, counts)[2].tolist()))
-    share = sample / max(int(counts.sum()), 1)
-    chosen = docs.filter(F.pmod(fixed, F.lit(1_000_000)) < int(min(share, 1) * 1_000_000) + 1).select(
-        F.lit(0), _body(docs, text).alias("t")).filter(F.col("t").rlike(r"[^\x20\x09-\x0D]"))
-    learned = chosen.mapInArrow(
-        partial(_rows_of_features, labels=labels), "label double, buckets array<int>, shares array<float>")
-    fitted = learned.coalesce(1).mapInArrow(_fitted, "weights array<double>").collect()  # one row, or none
+    learned = sampled_features(docs.select(fixed.alias("r"), _body(docs, text).alias("t")), labels, sample, int(counts.sum()))
+    # one order, so that a repeated task fits the same weights; one row, or none
+    fitted = learned.repartition(1).sortWithinPartitions("r").mapInArrow(_fitted, "weights array<double>").collect()
     weights = np.array(fitted[0]["weights"]) if fitted else np.zeros(BUCKETS + 1)
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"))
     schema = StructType([*whole.schema.fields, StructField("n_words", LongType()), StructField("label", DoubleType()),

@@ -269,6 +269,26 @@ def test_classifier_agrees_with_labels_it_never_saw(spark):
     assert n.get((0, True), 0) <= 0.03 * n[(0, False)]  # junk goes
 
 
+def test_rows_without_ids_are_learned_from_and_scored_apart(spark):
+    """80,000 rows without an id: the sample is drawn from their texts, and a row that repeats counts once in it."""
+    real = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").filter("length(text) < 3000").limit(400)
+    rows = real.crossJoin(spark.range(200)).select(F.lit(None).cast("long").alias("doc_id"), F.concat_ws(" ", "text", F.col("id") % 100).alias("text"))
+    assert rows.count() == 80_000
+    spread = weak_labels.quality(rows).agg(F.countDistinct("score"), F.count_if("kept"), F.count("*")).first()
+    assert spread[0] > 200 and 0 < spread[1] < spread[2] == 80_000
+
+
+def test_only_the_sample_meets_in_one_task(spark):
+    rows = spark.range(5000).select(F.xxhash64("id").alias("r"), F.concat(F.lit("some words "), F.col("id").cast("string")).alias("t"))
+    every = rows.unionByName(rows).unionByName(spark.range(9000).select(F.lit(1 << 40).alias("r"), F.lit("one row").alias("t")))
+    found = weak_labels.sampled_features(every, {k: 0.5 for k in range(3**9)}, 500, 19_000)
+    n = found.count()
+    assert 60 < n < 300 and found.select("r").distinct().count() == n
+    # the scan and the features stand below the exchange that brings the sample into one task
+    plan = found.repartition(1)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Repartition 1") < plan.index("MapInArrow") < plan.index("Filter") and "Repartition" not in plan[plan.index("MapInArrow"):]
+
+
 def test_quality_keeps_rows_and_columns(spark):
     rows = documents()
     df = frame(spark, rows)
