@@ -3,8 +3,14 @@
 Every element gets its link-adjusted characters per tag; an element's density sum adds up the densities of its
 children, and the element with the largest sum is the core of the article. The least density on the path from the
 core to the body is the threshold: of all that stands beside this path, block elements that reach it belong to the
-article, whatever their tag or size, and so do the headings next to the core that come before it. A core inside an `article` or `main` element stands for that element. Elements that are menus, footers, forms,
-adverts, notices, reader comments or hidden by tag, role, class or id are taken out before densities are computed.
+article, whatever their tag or size, and so do the headings next to the core that come before it. A core inside an
+`article` or `main` element stands for that element, and other articles beside it that reach the threshold stay, too.
+
+What is a menu, footer, form, advert, notice, reader comment or hidden by its tag, role or style is taken out before
+densities are computed. A class or id only speaks of blocks, never of headings, paragraphs or words inside them, and
+not of a block that the article is in. A name made of such words alone (`ad`, `cookie-notice`, `related-posts`) takes
+its block out; one that holds other words, too (`related-work`, `search-algorithms`), and an id of a section only where
+the block looks the part: a third of its characters are links, or it has fewer characters per tag than the page.
 
 Blocks are the runs of text between block-level tags. Defined cases: null or empty html, and pages without text,
 give an empty text; markup that never closes ends with the page; rows that repeat give repeated results; an empty
@@ -23,7 +29,7 @@ _words = str.split
 VOID = set(_words("area base br col embed hr img input link meta param source track wbr"))
 #: elements whose whole content is no article text
 DROPPED = set(_words("script style noscript template head title nav footer aside form button select textarea input "
-                     "iframe object embed svg math canvas audio video dialog menu label fieldset datalist"))
+                     "iframe object embed svg math canvas audio video dialog menu fieldset datalist"))
 BLOCKS = set(_words("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption "
                     "figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol optgroup "
                     "option p pre search section summary table tbody td tfoot th thead tr ul caption"))
@@ -50,6 +56,12 @@ MARKS = set(_words("ad ads adv advert adverts advertisement advertising adsense
                    "notice notices alert notification overlay pager pagination popup promo promos promotion "
                    "recommended related replies reply respond search share sharing sidebar sidebars signup skip social "
                    "sponsor sponsored sponsors subscribe subscription toolbar topbar widget widgets"))
+#: words that add nothing to a mark in a name
+PLAIN = set(_words("area bar block body bottom box button buttons card column container content element feed foot form global group "
+                   "header holder icons in inner item items left link links list main module my outer page panel post posts primary "
+                   "right row secondary section side site stories text the title top unit up wrap wrapper zone"))
+#: blocks whose name says nothing against their text
+TEXTUAL = HEADINGS | set(_words("p pre blockquote figure figcaption caption dt dd td th"))
 #: these name outer elements too often to go by the name alone
 KEPT = {"html", "body", "article", "main"}
 #: elements nested deeper become children of the last one, as browsers have it
@@ -93,7 +105,22 @@ def _excluded(tag: str, attributes: str, parent: Node) -> str:
         return "kind" if tag == "article" and _marks(found) & {"comment", "comments", "reply", "replies", "disqus"} else ""
     if found.get("role", "").lower() in ROLES:
         return "kind"
-    return "name" if _marks(found) & MARKS else ""
+    if tag not in BLOCKS or tag in TEXTUAL:
+        return ""
+    by_class, by_id = (_strength(found.get(name, "")) for name in ("class", "id"))
+    if by_class == 2 or (by_id == 2 and tag != "section"):
+        return "name"
+    return "hint" if by_class or by_id else ""
+
+
+def _strength(names: str) -> int:
+    """2 if one of the names is made of marks alone, 1 if one holds a mark, else 0."""
+    best = 0
+    for name in _CAMEL.sub("-", names).lower().split():
+        parts = set(_NAME_PART.findall(name))
+        if parts & MARKS:
+            best = max(best, 2 if all(p in MARKS or p in PLAIN or p.isdigit() for p in parts) else 1)
+    return best
 
 
 def _marks(attributes: dict[str, str]) -> set[str]:
@@ -162,19 +189,13 @@ def parse(html: str) -> list[Node]:
     return nodes
 
 
-def measure(nodes: list[Node]) -> Node:
-    """Fill in densities and sums; the body, or the page where there is none."""
-    body = next((n for n in nodes if n.tag == "body"), nodes[0])
+def _count(nodes: list[Node]) -> None:
+    """Characters and tags of every element that isn't dropped, and those of its links."""
+    for node in nodes:
+        node.chars = node.link_chars = node.link_tags = 0
+        node.tags = 0 if node.dropped else 1
     for node in reversed(nodes):  # children come after their parents
-        node.holds |= node.tag in ("article", "main") and not node.why
-        if node.holds and node.why != "kind" and node.parent is not None:
-            node.parent.holds = True
-    for node in nodes:  # a name alone, like `with-sidebar`, doesn't drop what the article is in
-        node.dropped = (node.parent is not None and node.parent.dropped) or node.why == "kind" or (
-            node.why == "name" and not node.holds)
-    for node in reversed(nodes):
         if node.dropped:
-            node.tags = 0
             continue
         for child in node.children:
             if isinstance(child, str):
@@ -186,6 +207,31 @@ def measure(nodes: list[Node]) -> Node:
                 node.link_tags += child.link_tags
         if node.tag == "a":
             node.link_chars, node.link_tags = node.chars, node.link_tags + 1
+
+
+def _drop(nodes: list[Node]) -> None:
+    """Take out elements with all they hold; for a name, like `sidebar`, not those that the article is in."""
+    for node in nodes:
+        node.dropped = (node.parent is not None and node.parent.dropped) or node.why == "kind" or (
+            node.why == "name" and not node.holds)
+
+
+def measure(nodes: list[Node]) -> Node:
+    """Fill in densities and sums; the body, or the page where there is none."""
+    body = next((n for n in nodes if n.tag == "body"), nodes[0])
+    for node in reversed(nodes):
+        node.holds |= node.tag in ("article", "main") and not node.why
+        if node.holds and node.why != "kind" and node.parent is not None:
+            node.parent.holds = True
+    _drop(nodes)
+    _count(nodes)
+    hints = [n for n in nodes if n.why == "hint" and not n.dropped]
+    if hints:
+        for node in hints:  # a hint counts where the block looks the part
+            if node.link_chars * 3 >= node.chars or node.chars * body.tags < body.chars * node.tags:
+                node.why = "name"
+        _drop(nodes)
+        _count(nodes)
     share = body.link_chars / max(body.chars, 1)
     for node in reversed(nodes):
         if node.dropped or not node.chars:
@@ -220,7 +266,7 @@ def article(nodes: list[Node]) -> list[Node]:
     while above is not None and above.tag not in ("article", "main"):
         above = above.parent
     if above is not None:
-        return [above]
+        return _articles(above, body)
     if core is body or core.parent is None:
         return [core]
     path = [core]
@@ -239,6 +285,26 @@ def article(nodes: list[Node]) -> list[Node]:
     return found
 
 
+def _articles(found: Node, body: Node) -> list[Node]:
+    """An `article` or `main` element, and the articles beside it that are as dense as its path up to the body."""
+    around = found.parent
+    while around is not None and around.tag != "main" and around is not body:
+        around = around.parent
+    if found.tag == "main" or around is None:
+        return [found]
+    least, node, kept, todo = found.density, found, [], [around]
+    while node is not body and node.parent is not None:
+        node = node.parent
+        least = min(least, node.density)
+    while todo:  # in page order; an article inside another belongs to it
+        node = todo.pop()
+        if node is found or (node.tag == "article" and node.density >= least):
+            kept.append(node)
+        else:
+            todo.extend(n for n in reversed(node.children) if isinstance(n, Node) and not n.dropped and n.chars)
+    return kept if any(n is found for n in kept) else [found]
+
+
 def main_text(html: str) -> str:
     """The article's blocks, joined by line breaks."""
     blocks: list[str] = []
