@@ -25,19 +25,25 @@ from functools import partial
 from itertools import chain
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
 from codeloom.llm.words import pieces
 
-VOCABULARY = "/opt/tokenizers/word_bpe_49k.json"
+VOCABULARY = "word_bpe_49k.json"
 #: words kept encoded by one task
 CACHE = 120_000
 _NONE = np.iinfo(np.int64).max
 _WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 
 
+def vocabulary(name: str = VOCABULARY) -> str:
+    """Place of an installed vocabulary file."""
+    return public_tokenizers.path(name)
+
+
 def byte_characters() -> list[str]:
     """The character that stands for each byte: printable ones themselves, the others from 256 on."""
     shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
@@ -209,18 +215,18 @@ def _keyed(docs: DataFrame, doc_id: str, column: str, kind: str) -> DataFrame:
     return docs.select(F.col(f"`{doc_id}`").cast("long").alias("k"), F.col(f"`{column}`").cast(kind).alias("v"))
 
 
-def encode(docs: DataFrame, path: str = VOCABULARY, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def encode(docs: DataFrame, path: str | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_tokens, token_ids of every whole text."""
     return _keyed(docs, doc_id, text, "string").mapInArrow(
-        partial(_token_ids, path=path), "doc_id long, n_tokens long, token_ids array<int>")
+        partial(_token_ids, path=path or vocabulary()), "doc_id long, n_tokens long, token_ids array<int>")
 
 
-def decode(encoded: DataFrame, path: str = VOCABULARY, doc_id: str = "doc_id", ids: str = "token_ids") -> DataFrame:
+def decode(encoded: DataFrame, path: str | None = None, doc_id: str = "doc_id", ids: str = "token_ids") -> DataFrame:
     """doc_id and the text that the ids stand for; null ids give an empty text."""
-    return _keyed(encoded, doc_id, ids, "array<int>").mapInArrow(partial(_texts, path=path), "doc_id long, text string")
+    return _keyed(encoded, doc_id, ids, "array<int>").mapInArrow(partial(_texts, path=path or vocabulary()), "doc_id long, text string")
 
 
-def digests(docs: DataFrame, path: str = VOCABULARY, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def digests(docs: DataFrame, path: str | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_tokens, and digests of the ids and of the text they decode to."""
     return _keyed(docs, doc_id, text, "string").mapInArrow(
-        partial(_digests, path=path), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+        partial(_digests, path=path or vocabulary()), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

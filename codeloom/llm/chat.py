@@ -149,5 +149,6 @@ def examples(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn", rol
 
 
 def digests(formatted: DataFrame) -> DataFrame:
-    """What is read back from the output of `examples`, in whose order its rows must still be."""
-    return formatted.mapInArrow(_digests, DIGESTS)
+    """What is read back from the output of `examples`, whatever the order its rows have come in."""
+    rows = formatted.select("conv_id", "example", "text", "loss_start", "loss_end").repartition("conv_id").sortWithinPartitions("conv_id", "example")
+    return rows.mapInArrow(_digests, DIGESTS)

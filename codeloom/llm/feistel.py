@@ -23,7 +23,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-KEY = "codeloom-pseudonyms-1"
 ROUNDS = 8
 #: dates are permuted among the days of these years
 FIRST_DAY, LAST_DAY = date(1900, 1, 1), date(2099, 12, 31)
@@ -346,9 +345,12 @@ def _mapped(batches: Iterator[pa.RecordBatch], key: bytes, back: bool) -> Iterat
              *batch.columns[1:]], names=["text", "n", *batch.schema.names[1:]])
 
 
-def pseudonyms(docs: DataFrame, text: str = "text", key: str = KEY, count: str | None = None,
+def pseudonyms(docs: DataFrame, key: str, text: str = "text", count: str | None = None,
                back: bool = False) -> DataFrame:
-    """The rows with every validated value of `text` mapped; `count` names a column for how many there were."""
+    """The rows with every validated value of `text` mapped; `count` names a column for how many there were.
+
+    Whoever knows the key can go back (`back`), so there is none by default.
+    """
     others = [c for c in docs.columns if c != text]
     rows = docs.select(F.col(f"`{text}`").cast("string"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(others)])
     schema = StructType([StructField("text", StringType()), StructField("n", LongType()), *rows.schema.fields[1:]])

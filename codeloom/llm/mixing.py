@@ -73,7 +73,7 @@ def calibrate(cells: DataFrame, targets: dict[str, dict[str, float]], budget: fl
     if bound > MAX_CELLS:
         raise ValueError(f"{bound} cells; at most {MAX_CELLS} are raked in one partition")
     every = W.partitionBy()
-    rows = cells.filter("tokens > 0").coalesce(1)
+    rows = cells.filter("tokens > 0").repartition(1)
     rows = rows.withColumn("total", F.sum("tokens").over(every)).withColumn("w", F.col("tokens") / F.col("total"))
     for d in DIMENSIONS:  # a target without tokens can't be met; the others share its part
         first = F.row_number().over(W.partitionBy(d).orderBy(*DIMENSIONS)) == 1

@@ -16,6 +16,10 @@ from codeloom.llm.weak_labels import quality
 from codeloom.session import shared_folder
 
 
+#: these documents are made up, so their key may be known
+TEST_KEY = "codeloom-pseudonyms-1"
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -62,7 +66,7 @@ def op9_exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudonyms(_table(spark, sf_dir, "documents").select("doc_id", "text"), count="n_values")
+    return pseudonyms(_table(spark, sf_dir, "documents").select("doc_id", "text"), TEST_KEY, count="n_values")
 
 
 def op11_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -69,7 +69,7 @@ def test_pipeline_equals_its_stages_in_plain_python(spark, tmp_path):
     assert p
     drawn = {r._doc.doc_id for r in mixing.mixture(spark.createDataFrame(apart, ", ".join(
         f"{n} {'long' if n in ('doc_id', 'n_chars') else 'string'}" for n in names))).filter("sampled").collect()}
-    library = Tokenizer.from_file(bpe.VOCABULARY)
+    library = Tokenizer.from_file(bpe.vocabulary())
     want = {i: library.encode(unique[i][1], add_special_tokens=False).ids for i in drawn}
     got = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r.doc_id: r.token_ids for r in got} == want and len(got) == len(want)
