@@ -20,6 +20,8 @@ def configure(spark: SparkSession) -> SparkSession:
     spark.conf.set("spark.sql.files.openCostInBytes", "65536")
     # Python tasks hold one batch of whole texts at a time
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
+    # plans of iterative operators are long and described anew at each adaptive step; the driver keeps those texts
+    spark.conf.set("spark.sql.maxPlanStringLength", "50000")
     # plans are built from many small expressions; keep the call-site capture of each one short
     spark.conf.set("spark.sql.stackTracesInDataFrameContext", "1")
     return spark
