@@ -146,7 +146,7 @@ def _linked(pairs: pa.Table, sets: pa.Table) -> pa.Table:
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, families: DataFrame, size: int) -> DataFrame:
     """Those of the pairs (u, v) whose full sets reach the threshold; families(doc, family) says who shares blocks."""
-    ids = written(pairs.select(F.col("u").alias("doc")).unionByName(pairs.select(F.col("v").alias("doc"))).distinct())
+    ids = pairs.select(F.explode(F.array("u", "v")).alias("doc")).distinct()
     placed = ids.join(families, "doc")
     parts = placed.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).alias("k"))
     blocks = placed.join(parts, "family").select("doc", F.xxhash64("family", F.pmod(F.xxhash64("doc"), F.col("k"))).alias("block"))
