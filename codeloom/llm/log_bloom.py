@@ -2,11 +2,12 @@
 
 Words and word pairs of the training texts are counted over the whole corpus, folded in tasks before the shuffle.
 The filter holds, for an n-gram of quantised count q = 1 + floor(log2(count)), the items (n-gram, 1) to (n-gram, q). A
-lookup probes for 1, 2, ... until the first miss, so a wrong answer can only be too high. N-grams lie in BUCKETS by
+lookup probes for 1, 2, ... until the first miss, so a wrong answer can only be too high. N-grams lie in buckets by
 their hash, and the bits of a bucket grow with its items, BITS_PER_ITEM each: every n-gram of every count is in the
-filter, pairs seen once too. The filter is never gathered. Texts are dealt to chunks; the distinct n-grams of a chunk
-go, with their counts there, to the part that holds their buckets. A part is built from all it was sent, answers for
-it, and the levels come back to the chunk. Parts and chunks get more, not larger, as the corpus grows.
+filter, pairs seen once too. The filter grows with the corpus, so it is never gathered or sent whole. Texts are dealt
+to chunks; the distinct n-grams of a chunk go, with their counts there, to the part that holds their buckets. A part is
+built from all it was sent, answers for it, and the levels come back to the chunk. Parts, chunks and, from BUCKETS
+parts on, buckets get more, not larger, as the corpus grows.
 
 A text's score sums log10 of (c(u, w) + STRENGTH * p(w)) / (c(u) + STRENGTH), with p(w) the add-0.1 share of w, all
 counts as the filter gives them; the context of the first word is the end of a text.
@@ -29,8 +30,9 @@ from codeloom.session import written
 
 END = np.uint64(0x5DEECE66D1234567)
 ALPHA = 0.1
+#: at least so many buckets; a part holds one or more
 BUCKETS = 4096
-#: a power of two of buckets makes a part; so many training tokens a part, but at least PARTS parts
+#: so many training tokens a part, but at least PARTS parts; a power of two of them
 PART_TOKENS = 1_000_000
 PARTS = 64
 #: bytes of text whose n-grams are asked for together
@@ -99,16 +101,17 @@ def _counted(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Record
     yield from release()
 
 
-def _buckets(grams: np.ndarray) -> np.ndarray:
-    return (mix(grams) % np.uint64(BUCKETS)).astype(np.int64)
+def _buckets(grams: np.ndarray, buckets: int) -> np.ndarray:
+    return (mix(grams) % np.uint64(buckets)).astype(np.int64)
 
 
 class LogBloom:
     """The filter of n-grams with their counts, buckets side by side; `levels` answers for many n-grams at once."""
 
-    def __init__(self, grams: np.ndarray, times: np.ndarray):
+    def __init__(self, grams: np.ndarray, times: np.ndarray, buckets: int = BUCKETS):
+        self.buckets = buckets
         level = np.frexp(times.astype(np.float64))[1].astype(np.int64)  # 1 + floor(log2), 0 for none
-        items = np.bincount(_buckets(grams), level, BUCKETS).astype(np.int64)
+        items = np.bincount(_buckets(grams, buckets), level, buckets).astype(np.int64)
         self.sizes = np.maximum(64, items * BITS_PER_ITEM) * (items > 0)
         self.starts = np.cumsum(self.sizes) - self.sizes
         self.most = int(level.max(initial=0))
@@ -121,7 +124,7 @@ class LogBloom:
 
     def _places(self, grams: np.ndarray, level: int) -> np.ndarray:
         """PROBES bits of each n-gram for one level."""
-        bucket = _buckets(grams)
+        bucket = _buckets(grams, self.buckets)
         item = mix(grams + np.uint64(level * 0x9E3779B97F4A7C15 % 2**64))
         step = mix(item) | np.uint64(1)
         turns = (item[:, None] + step[:, None] * np.arange(PROBES, dtype=np.uint64)) >> np.uint64(32)
@@ -136,7 +139,7 @@ class LogBloom:
         found = np.zeros(len(grams), np.int64)
         for a in range(0, len(grams), SLICE):
             own = grams[a:a + SLICE]
-            open_ = np.flatnonzero(self.sizes[_buckets(own)])
+            open_ = np.flatnonzero(self.sizes[_buckets(own, self.buckets)])
             for level in range(1, self.most + 1):
                 bit = self._places(own[open_], level)
                 held = (self.bits[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8)) & 1
@@ -156,18 +159,9 @@ def _middle(level: np.ndarray) -> np.ndarray:
     return np.where(level > 0, 1.5 * 2.0 ** (level.astype(np.int64) - 1) - 0.5, 0.0)
 
 
-def build(counts: DataFrame, most_bytes: int | None = None) -> LogBloom:
-    """The filter of a small table (n, gram, times) in one place; refused where it has more than `most_bytes`."""
-    rows = counts.select("gram", "times").toPandas()
-    bloom = LogBloom(rows["gram"].to_numpy(np.int64).view(np.uint64), rows["times"].to_numpy(np.int64))
-    if most_bytes is not None and len(bloom.bits) > most_bytes:
-        raise ValueError(f"the filter has {len(bloom.bits)} bytes; at most {most_bytes} are asked for")
-    return bloom
-
-
-def _by_part(grams: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _by_part(grams: np.ndarray, parts: int, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """An order of the n-grams by part, the parts they have, and where each begins in it."""
-    part = _buckets(grams) % parts
+    part = _buckets(grams, buckets) % parts
     order = np.argsort(part, kind="stable")
     return order, *np.unique(part[order], return_index=True)
 
@@ -179,7 +173,7 @@ def _grams(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, list]:
     return flat, first, np.diff(first), found
 
 
-def _asked(table: pa.Table, parts: int) -> pa.Table:
+def _asked(table: pa.Table, parts: int, buckets: int) -> pa.Table:
     """The n-grams of a chunk for the parts."""
     _, _, n, found = _grams(table)
     trained = np.repeat(~table["held_out"].to_numpy(), n).astype(np.float64)
@@ -187,7 +181,7 @@ def _asked(table: pa.Table, parts: int) -> pa.Table:
     for k, (grams, at) in enumerate(found, 1):
         times = np.bincount(at, trained, len(grams)).astype(np.int64)
         times = times.astype(np.min_scalar_type(int(times.max(initial=0))))
-        order, own, first = _by_part(grams, parts)
+        order, own, first = _by_part(grams, parts, buckets)
         columns[0] += [k] * len(own)
         columns[1] += own.tolist()
         columns[2] += [x.tobytes() for x in np.split(grams[order], first[1:])]
@@ -197,13 +191,13 @@ def _asked(table: pa.Table, parts: int) -> pa.Table:
                      *[pa.array(c, kind) for c, kind in zip(columns, kinds)]], names=["chunk", "n", "part", "grams", "times"])
 
 
-def _answered(table: pa.Table) -> pa.Table:
+def _answered(table: pa.Table, buckets: int) -> pa.Table:
     """Levels for all that was asked of a part, from a filter of all that its n-grams count."""
     asked = [np.frombuffer(x, np.uint64) for x in table["grams"].to_pylist()]
     times = [np.frombuffer(x, f"u{len(x) // len(g)}") for x, g in zip(table["times"].to_pylist(), asked)]
     grams, at = np.unique(np.concatenate(asked), return_inverse=True)
     times = np.bincount(at, np.concatenate(times), len(grams)).astype(np.int64)
-    bloom = LogBloom(grams, times)
+    bloom = LogBloom(grams, times, buckets)
     ends = np.cumsum([len(g) for g in asked])[:-1]
     found = np.split(bloom.levels(grams).astype(np.uint8)[at], ends)
     exact = [x.tobytes() if n == 1 else b"" for n, x in zip(table["n"].to_pylist(), np.split(times[at], ends))]
@@ -211,7 +205,7 @@ def _answered(table: pa.Table) -> pa.Table:
                      pa.array(exact, pa.binary())], names=["chunk", "n", "part", "levels", "times"])
 
 
-def _scored(table: pa.Table, answers: pa.Table, total: int, distinct: int, parts: int) -> pa.Table:
+def _scored(table: pa.Table, answers: pa.Table, total: int, distinct: int, parts: int, buckets: int) -> pa.Table:
     """The texts of a chunk with their scores."""
     base = total + ALPHA * (distinct + 1)
     flat, first, n, found = _grams(table)
@@ -219,12 +213,12 @@ def _scored(table: pa.Table, answers: pa.Table, total: int, distinct: int, parts
     told = sorted(zip(*[answers[c].to_pylist() for c in ("n", "part", "levels", "times")]))
     own, at = found[0]
     exact = np.empty(len(own), np.int64)
-    exact[_by_part(own, parts)[0]] = np.frombuffer(b"".join(x for *_, x in told), np.int64)
+    exact[_by_part(own, parts, buckets)[0]] = np.frombuffer(b"".join(x for *_, x in told), np.int64)
     part, known = np.log10((exact + ALPHA) / base)[at], (exact > 0).astype(np.int64)[at]
     counts = []
     for k, (grams, where) in enumerate(found, 1):  # answers come by part, n-grams in order within
         level = np.empty(len(grams), np.uint8)
-        level[_by_part(grams, parts)[0]] = np.frombuffer(b"".join(x for m, _, x, _ in told if m == k), np.uint8)
+        level[_by_part(grams, parts, buckets)[0]] = np.frombuffer(b"".join(x for m, _, x, _ in told if m == k), np.uint8)
         counts.append(_middle(level)[where])
     times, together = counts
     before = np.empty_like(times)
@@ -244,20 +238,21 @@ def count_ngrams(texts: DataFrame, most: int = 2) -> DataFrame:
     return written(rows.groupBy("n", "gram").agg(F.sum("times").alias("times")))
 
 
-def scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *, head: int | None = None) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every text; `head` makes no difference."""
+def scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every text."""
     rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"),
                        (F.crc32(F.coalesce(F.col(f"`{doc_id}`").cast("string"), F.lit(""))) % 10 == 0).alias("held_out"),
                        F.col(f"`{text}`").cast("string").alias("text"))
     words = count_ngrams(rows.filter("NOT held_out").select("text"), 1).select("gram", "times")
     total, distinct = words.agg(F.coalesce(F.sum("times"), F.lit(0)), F.count("*")).first()
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    parts = min(BUCKETS, max(PARTS, 1 << (total // PART_TOKENS).bit_length()))
+    parts = max(PARTS, 1 << (total // PART_TOKENS).bit_length())
+    buckets = max(BUCKETS, parts)
     chunk = F.pmod(F.xxhash64("doc_id", "text"), F.lit(size // CHUNK + 1))
     texts = rows.select(chunk.alias("chunk"), "*").repartition("chunk")  # both readers share this exchange
-    asked = texts.groupBy("chunk").applyInArrow(lambda rows: _asked(rows, parts), _ASKED)
-    answers = asked.groupBy("part").applyInArrow(_answered, _ANSWERS)
+    asked = texts.groupBy("chunk").applyInArrow(lambda rows: _asked(rows, parts, buckets), _ASKED)
+    answers = asked.groupBy("part").applyInArrow(lambda rows: _answered(rows, buckets), _ANSWERS)
     done = texts.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(
-        lambda rows, levels: _scored(rows, levels, total, distinct, parts), _TEXTS)
+        lambda rows, levels: _scored(rows, levels, total, distinct, parts, buckets), _TEXTS)
     return done.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"),
                        "base_score", "score")

@@ -89,42 +89,39 @@ def test_base_scores_are_exact(spark):
         tokens = words(t) + [None]
         score = sum(math.log10((counts[w] + 0.1) / (total + 0.1 * (distinct + 1))) for w in tokens)
         want.append((i, out, len(tokens), sum(counts[w] > 0 for w in tokens), total, round(score, 6)))
-    for head in (4_000_000, 50):  # rare words come by the join
-        got = [(*r[:5], round(r.base_score, 6)) for r in log_bloom.scores(df, head=head).collect()]
-        assert sorted(got, key=str) == sorted(want, key=str)
+    got = [(*r[:5], round(r.base_score, 6)) for r in log_bloom.scores(df).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
     assert log_bloom.scores(df.limit(0)).collect() == []
 
 
-def test_filter_answers_counts_and_stays_within_its_bytes(spark):
+def build(counts):
+    """The filter of a small table (n, gram, times) in one place."""
+    rows = counts.select("gram", "times").toPandas()
+    return log_bloom.LogBloom(rows["gram"].to_numpy(np.int64).view(np.uint64), rows["times"].to_numpy(np.int64))
+
+
+def test_filter_answers_counts(spark):
     rnd = random.Random(6)
     rows = [(1 + i % 2, rnd.getrandbits(63), rnd.choice([1, 2, 3, 9, 70, 5000])) for i in range(6000)]
-    counts = spark.createDataFrame(rows, "n int, gram long, times long")
-    bloom = log_bloom.build(counts, 1 << 20)
+    bloom = build(spark.createDataFrame(rows, "n int, gram long, times long"))
     grams = np.array([g for _, g, _ in rows], np.uint64)
     level = np.floor(np.log2([t for *_, t in rows])).astype(int) + 1
     found = bloom.levels(grams)
     assert (found >= level).all() and (found == level).mean() > 0.97  # an answer can only be too high
     strangers = np.array([rnd.getrandbits(63) for _ in range(20_000)], np.uint64)
     assert (bloom.levels(strangers) > 0).mean() < 0.03
-    small = log_bloom.build(counts, 1 << 16)  # the rarest n-grams make room; the frequent ones stay right
-    assert len(small.bits) <= 1 << 16
-    often = level >= 7
-    assert (small.levels(grams)[often] >= level[often]).all()
-    assert (small.levels(strangers) > 0).mean() < 0.05
 
 
 def test_filter_grows_with_its_items(spark):
     """Every count level keeps its n-grams however many there are, pairs seen once too."""
     n = 1_500_000
     rows = spark.range(n).selectExpr("2 AS n", "xxhash64(id) AS gram", "IF(id % 3 = 0, 1L, 6L) AS times")
-    bloom = log_bloom.build(rows)
+    bloom = build(rows)
     assert len(bloom.bits) * 8 >= 10 * (n // 3 + 3 * (n - n // 3))
     some = rows.limit(5000).collect()
     found = bloom.levels(np.array([r.gram for r in some], np.int64).view(np.uint64))
     level = np.array([r.times.bit_length() for r in some])
     assert (found >= level).all() and (found == level).mean() > 0.97
-    with pytest.raises(ValueError):  # refused, not thinned out
-        log_bloom.build(rows, 1 << 20)
     once = spark.createDataFrame([("only once here",)], "text string")
     assert log_bloom.count_ngrams(once).filter("n = 2").count() == 4
 
@@ -132,12 +129,24 @@ def test_filter_grows_with_its_items(spark):
 def test_scores_do_not_depend_on_parts_and_chunks(spark, monkeypatch):
     df = frame(spark, documents()).repartition(3)
     got = []
-    for parts, chunk in ((1, 4_000_000), (64, 2000)):
+    for parts, chunk in ((1, 4_000_000), (64, 2000), (4096, 2000)):
         monkeypatch.setattr(log_bloom, "PARTS", parts)
         monkeypatch.setattr(log_bloom, "CHUNK", chunk)
         rows = log_bloom.scores(df).collect()
         got.append(sorted(((r.doc_id, r.n_tokens, r.n_known, round(r.score, 6)) for r in rows), key=str))
-    assert got[0] == got[1]
+    assert got[0] == got[1] == got[2]
+
+
+def test_parts_grow_with_the_corpus(spark, monkeypatch):
+    """Beyond BUCKETS parts a bucket is a part: a part holds the n-grams of a bounded number of training tokens."""
+    df = frame(spark, documents()).repartition(3)
+    plain = {(r.doc_id, r.n_tokens, r.n_known, round(r.base_score, 6)) for r in log_bloom.scores(df).collect()}
+    monkeypatch.setattr(log_bloom, "BUCKETS", 64)
+    monkeypatch.setattr(log_bloom, "PARTS", 1)
+    monkeypatch.setattr(log_bloom, "PART_TOKENS", 40)
+    assert {(r.doc_id, r.n_tokens, r.n_known, round(r.base_score, 6)) for r in log_bloom.scores(df).collect()} == plain
+    total = log_bloom.scores(df).first().train_tokens
+    assert total // 40 > 64  # more parts than there were buckets
 
 
 def test_scores_follow_the_model(spark):
@@ -148,7 +157,7 @@ def test_scores_follow_the_model(spark):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
     train = docs.filter(F.crc32(F.col("doc_id").cast("string")) % 10 != 0).select("text")
     counts = log_bloom.count_ngrams(train)
-    bloom = log_bloom.build(counts)
+    bloom = build(counts)
     total, distinct = counts.filter("n = 1").agg(F.sum("times"), F.count("*")).first()
     import pyarrow as pa
 
