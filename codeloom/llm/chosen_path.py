@@ -46,7 +46,7 @@ TOKENS = 256
 BRANCHES = 3
 STEP = 2
 #: documents of a node that all others are compared with; nodes of at most LIMIT are compared exhaustively
-ANCHORS = 3
+ANCHORS = 2
 LIMIT = 8
 #: the limit grows by this factor from level to level
 MORE = 3
