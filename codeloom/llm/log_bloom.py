@@ -114,7 +114,6 @@ class LogBloom:
         items = np.bincount(_buckets(grams, buckets), level, buckets).astype(np.int64)
         self.sizes = np.maximum(64, items * BITS_PER_ITEM) * (items > 0)
         self.starts = np.cumsum(self.sizes) - self.sizes
-        self.most = int(level.max(initial=0))
         bits = np.zeros(int(self.sizes.sum()), bool)
         for a in range(0, len(grams), SLICE):
             own, held = grams[a:a + SLICE], level[a:a + SLICE]
@@ -140,7 +139,7 @@ class LogBloom:
         for a in range(0, len(grams), SLICE):
             own = grams[a:a + SLICE]
             open_ = np.flatnonzero(self.sizes[_buckets(own, self.buckets)])
-            for level in range(1, self.most + 1):
+            for level in range(1, 65):  # up to the first miss, whatever levels the other n-grams have
                 bit = self._places(own[open_], level)
                 held = (self.bits[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8)) & 1
                 open_ = open_[held.all(axis=1)]
