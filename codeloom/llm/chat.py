@@ -121,11 +121,13 @@ def _folded(rows: Iterator[tuple]) -> Iterator[tuple]:
         yield (now, len(turns), hashlib.sha256(shown.encode()).hexdigest(), chars, loss.hexdigest(), formatted, n)
 
     now, last, loss, chars, formatted, n = None, None, None, 0, 0, 0
-    for conv, _, text, start, end in rows:
+    for conv, example, text, start, end in rows:
         if last is None or conv != now:
             if last is not None:
                 yield from close()
             now, loss, chars, formatted, n = conv, hashlib.sha256(), 0, 0, 0
+        if example != n:
+            raise ValueError("the rows are not in the order of `examples`; read them with ordered=False")
         if start is not None:
             reply = unescape(text[start:end])
             loss.update(reply.encode())
@@ -148,7 +150,13 @@ def examples(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn", rol
     return rows.select("c", "r", "t").mapInArrow(_examples, EXAMPLES)
 
 
-def digests(formatted: DataFrame) -> DataFrame:
-    """What is read back from the output of `examples`, whatever the order its rows have come in."""
-    rows = formatted.select("conv_id", "example", "text", "loss_start", "loss_end").repartition("conv_id").sortWithinPartitions("conv_id", "example")
+def digests(formatted: DataFrame, ordered: bool = True) -> DataFrame:
+    """What is read back from the output of `examples`.
+
+    Its rows come in order and need no shuffle; rows that have been written or dealt anew are sorted with
+    `ordered=False`, and refused without it.
+    """
+    rows = formatted.select("conv_id", "example", "text", "loss_start", "loss_end")
+    if not ordered:
+        rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", "example")
     return rows.mapInArrow(_digests, DIGESTS)

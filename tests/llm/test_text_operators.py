@@ -177,8 +177,10 @@ def test_values_are_mapped_one_to_one(value):
 def test_what_is_read_back_does_not_depend_on_row_order(spark):
     turns = [(c, k, "assistant" if k % 2 else "user", f"{c} says {k} </s>") for c in range(30) for k in range(6)]
     shown = chat.examples(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"))
-    mixed = chat.digests(shown.repartition(7, "text"))
-    assert sorted(map(tuple, mixed.collect())) == sorted(map(tuple, chat.digests(shown).collect()))
+    dealt = shown.repartition(7, "text")
+    assert sorted(map(tuple, chat.digests(dealt, ordered=False).collect())) == sorted(map(tuple, chat.digests(shown).collect()))
+    with pytest.raises(Exception, match="not in the order"):
+        chat.digests(dealt).collect()
 
 
 @pytest.mark.parametrize("value", INVALID)
