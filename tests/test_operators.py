@@ -448,3 +448,29 @@ def test_links_are_exchanged_once_per_direction(spark):
     assert sorted(map(str, rows)) == plain
     scans = [line for line in plan.split("\n") if "Scan parquet" in line and "links#" in line]
     assert plan.count("ReusedExchange") >= 9 and len(scans) == 1
+
+
+def test_admission_has_no_exchange_of_its_own(spark):
+    """Both joins exchange the edges; folding the repeats doesn't do it again."""
+    edges = spark.createDataFrame([("p", s, t, "L") for s, t in [("a", "b"), ("a", "b"), ("a", "a"), ("a", "x"), ("", "b"), ("x", "b"), ("b", "a"), (None, "b")]],
+                                  "project_id string, source string, target string, label string")
+    nodes = spark.createDataFrame([("p", "a"), ("p", "b"), ("p", "b")], "project_id string, node_id string")
+    got = E.admit(edges, nodes.hint("merge"))
+    assert sorted(tuple(r) for r in got.collect()) == [("p", "a", "b", "L"), ("p", "b", "a", "L")]
+    plan = got._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    assert plan.count("Exchange hashpartitioning") == 4
+
+
+def test_trade_edges_are_folded_by_numbers(spark, tmp_path):
+    """Repeats fold before names are made; a null key gives an end without a name, as one edge."""
+    from codeloom.plans import bindings as B
+    spark.createDataFrame(
+        [(1, 1, 7, 5, "A"), (1, 2, 7, 5, "A"), (1, 3, 7, 5, "N"), (2, 1, 8, 5, None), (2, 2, None, 5, "R"), (3, 1, 7, 5, "A")],
+        "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_returnflag string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(1, 4), (2, 4)], "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    edges = B.trade_edges(spark, str(tmp_path))
+    assert {(r.source, r.target, r.label): r.edge_ord for r in edges.collect()} == {
+        ("customer:4", "part:7", "CALLS"): 9, ("customer:4", "part:7", "INSTANCE_OF"): 11, ("customer:4", "part:8", "USES_AS_TYPE"): 17,
+        ("customer:4", None, "USES_AS_TYPE"): 18, ("part:7", "supplier:5", "READS_FROM"): 9, ("part:8", "supplier:5", "READS_FROM"): 17,
+        (None, "supplier:5", "READS_FROM"): 18, ("supplier:5", "customer:4", "WRITES_TO"): 9}
+    assert "hashpartitioning(kind" in edges._jdf.queryExecution().executedPlan().toString()
