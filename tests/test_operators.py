@@ -450,6 +450,28 @@ def test_links_are_exchanged_once_per_direction(spark):
     assert plan.count("ReusedExchange") >= 9 and len(scans) == 1
 
 
+def test_trees_of_any_depth_are_written_once_per_pass_without_their_ids(spark, monkeypatch):
+    """Nine levels make three tables of a few columns, not nine checkpoints of whole rows."""
+    from codeloom.sources import symbols
+
+    def tree(depth: int) -> dict:
+        below = [tree(depth + 1), {"name": "leaf", "kind": 8}] if depth < 9 else []
+        return {"name": f"s{depth}", "kind": 5 if depth == 1 else 12, "detail": "d", "children": below}
+    tables = []
+    monkeypatch.setattr(symbols, "written", lambda df: tables.append(df.columns) or written(df))
+    rows = spark.createDataFrame([("p", "u", json.dumps([tree(1)])), ("p", "v", "[]"), ("p", "w", None)], "project_id string, file_uri string, tree string")
+    got = {tuple(r.sym_path): r for r in symbols.flatten_trees(rows).collect()}
+    assert len(got) == 17 and {len(p) for p in got} == set(range(1, 10))
+    for depth in range(1, 10):
+        r = got[(0,) * depth]
+        up = None if depth == 1 else f"s{depth - 1}"
+        assert (r.name, r.depth, r.parent_name, r.n_children) == (f"s{depth}", depth, up, 2 if depth < 9 else 0)
+        over = None if depth == 1 else got[(0,) * (depth - 1)]
+        assert (r.parent_uid, r.parent_node_id) == (over and over.symbol_uid, over and over.node_id)
+    assert [got[(0,) * d + (1,)].parent_node_id for d in range(1, 9)] == [got[(0,) * d].node_id for d in range(1, 9)]
+    assert len(tables) == 3 and not {"node_id", "symbol_uid", "parent_node_id"} & set(tables[0])
+
+
 def test_admission_has_no_exchange_of_its_own(spark):
     """Both joins exchange the edges; folding the repeats doesn't do it again."""
     edges = spark.createDataFrame([("p", s, t, "L") for s, t in [("a", "b"), ("a", "b"), ("a", "a"), ("a", "x"), ("", "b"), ("x", "b"), ("b", "a"), (None, "b")]],
