@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from codeloom.operators import calls as C, edges as E, enrich as R, graph as G, nodes as N, packages as P, relations as L, views as V
+from codeloom.plans import bindings
 from codeloom.plans.code_graph import build_graph
 from codeloom.queries.code import type_evidence
 from codeloom.schemas import FILES, HOVERS, REFS, SYMBOL_TREES
@@ -17,8 +18,10 @@ from codeloom.session import written
 from codeloom.sources import files as S, messages as M
 from codeloom.sources.sinks import published, read_graph, with_ordinals, write_graph
 from codeloom.sources.symbols import flatten_trees
+from tests.conftest import SF_DIR
 
 EDGE = "project_id string, edge_ord bigint, source string, target string, label string"
+EDGE_COLS = ["project_id", "edge_ord", "source", "target", "label"]
 PKG = "project_id string, pkg_ord int, name string, path string, version string, type string"
 
 
@@ -496,3 +499,16 @@ def test_trade_edges_are_folded_by_numbers(spark, tmp_path):
         ("customer:4", None, "USES_AS_TYPE"): 18, ("part:7", "supplier:5", "READS_FROM"): 9, ("part:8", "supplier:5", "READS_FROM"): 17,
         (None, "supplier:5", "READS_FROM"): 18, ("supplier:5", "customer:4", "WRITES_TO"): 9}
     assert "hashpartitioning(kind" in edges._jdf.queryExecution().executedPlan().toString()
+
+
+def test_exchange_files_go_with_their_query(spark):
+    def files():
+        found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().iterator()
+        names = []
+        while found.hasNext():
+            names.append(found.next().getName())
+        return {n for n in names if n.startswith("shuffle_")}
+    before = files()
+    rows = written(spark.range(1000).repartition(4, "id").groupBy((F.col("id") % 7).alias("k")).agg(F.count("*").alias("n")))
+    assert files() <= before
+    assert rows.agg(F.sum("n")).first()[0] == 1000
