@@ -47,7 +47,7 @@ def edge_ordinals(spark, d):
 
 
 def _verbed(spark, d):
-    return R.verbed_edges(B.trade_edges(spark, d), B.trade_nodes(spark, d))
+    return R.verbed_edges(B.trade_edges(spark, d, by_source=True), B.trade_nodes(spark, d))
 
 
 def smart_verbs(spark, d):
@@ -96,7 +96,7 @@ def flow_trace_trade(spark, d):
 def focus_neighbourhood(spark, d):
     nodes = B.trade_nodes(spark, d)
     focus = nodes.filter(F.col("kind").isin("class", "folder")).select("project_id", "node_id")
-    return G.neighbourhood(nodes, B.trade_edges(spark, d), focus)
+    return G.neighbourhood(nodes, B.trade_edges(spark, d, by_source=True), focus)
 
 
 def layer_overview(spark, d):

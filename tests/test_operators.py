@@ -512,3 +512,29 @@ def test_exchange_files_go_with_their_query(spark):
     rows = written(spark.range(1000).repartition(4, "id").groupBy((F.col("id") % 7).alias("k")).agg(F.count("*").alias("n")))
     assert files() <= before
     assert rows.agg(F.sum("n")).first()[0] == 1000
+
+
+def test_trade_edges_by_source_need_no_exchange_for_it(spark):
+    plain, dealt = (bindings.trade_edges(spark, SF_DIR, by_source=b).select(*EDGE_COLS) for b in (False, True))
+    assert plain.exceptAll(dealt).isEmpty() and dealt.exceptAll(plain).isEmpty()
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        told = L.verbed_edges(bindings.trade_edges(spark, SF_DIR, by_source=True), bindings.trade_nodes(spark, SF_DIR))
+        plan = told._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    # the one exchange by a column of this name is that of the nodes
+    assert len(re.findall(r"Exchange hashpartitioning\(source#", plan)) == 1
+
+
+def test_neighbourhood_of_repeats_and_open_ends(spark):
+    nodes = spark.createDataFrame([("p", "A", None), ("p", "B", "A"), ("p", "B", "A"), ("q", "A", None)], "project_id string, node_id string, parent string")
+    edges = spark.createDataFrame([
+        ("p", "A", "B"), ("p", "A", "B"), ("p", "A", "A"), ("p", "A", None), ("p", None, "A"), ("p", None, None), ("q", "C", "A")],
+        "project_id string, source string, target string")
+    got = [tuple(r) for r in G.neighbourhood(nodes, edges, nodes.filter("parent is null").select("project_id", "node_id")).collect()]
+    assert len(got) == len(set(got))
+    assert set(got) == {
+        ("p", "A", "member", "B"), ("p", "A", "successor", "B"), ("p", "A", "successor", "A"), ("p", "A", "predecessor", "A"),
+        ("p", "A", "successor", None), ("p", "A", "predecessor", None), ("q", "A", "predecessor", "C")}
