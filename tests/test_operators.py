@@ -538,3 +538,24 @@ def test_neighbourhood_of_repeats_and_open_ends(spark):
     assert set(got) == {
         ("p", "A", "member", "B"), ("p", "A", "successor", "B"), ("p", "A", "successor", "A"), ("p", "A", "predecessor", "A"),
         ("p", "A", "successor", None), ("p", "A", "predecessor", None), ("q", "A", "predecessor", "C")}
+
+
+def test_a_range_is_two_rows_whatever_its_length(spark):
+    ranges = spark.createDataFrame([(0, 0), (7, 7), (0, 2147483647), (3, 2147483646), (5, 300), (1, 2)], "lo bigint, hi bigint")
+    got = sorted((r.n, r.lo, r.hi) for r in E._halves(ranges.withColumns({"l": F.col("lo"), "h": F.col("hi")})).groupBy("l", "h").agg(
+        F.count("*").alias("n")).select("n", F.col("l").alias("lo"), F.col("h").alias("hi")).collect())
+    assert got == [(1, 0, 0), (1, 7, 7), (2, 0, 2147483647), (2, 1, 2), (2, 3, 2147483646), (2, 5, 300)]
+
+
+def test_line_owners_at_every_end(spark):
+    rng = random.Random(5)
+    far = 2147483647
+    spans = [(lo, rng.choice([lo, lo + 1, lo + rng.randrange(70), far])) for lo in (rng.randrange(90) for _ in range(60))]
+    spans += [(-1, 5), (9, 8), (far, far), (0, far)][:3]
+    calls = spark.createDataFrame([("p", "f", f"n{i}", i, lo, hi) for i, (lo, hi) in enumerate(spans)],
+                                  "project_id string, file_uri string, node_id string, ord int, sl int, el int")
+    lines = [-1, *range(0, 170), far - 1, far]
+    points = spark.createDataFrame([("p", "f", n) for n in lines + lines], "project_id string, file_uri string, line int")
+    got = {r.line: r.node_id for r in E.line_owners(calls, points).collect()}
+    want = {n: next((f"n{i}" for i, (lo, hi) in enumerate(spans) if 0 <= lo <= n <= hi), None) for n in lines}
+    assert got == {n: w for n, w in want.items() if w}
