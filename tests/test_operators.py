@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from codeloom.operators import calls as C, edges as E, enrich as R, graph as G, nodes as N, packages as P, relations as L, views as V
 from codeloom.plans import bindings
 from codeloom.plans.code_graph import build_graph
+from codeloom.functions.symbols import id_tail, id_whole
+from codeloom.queries import code
 from codeloom.queries.code import type_evidence
 from codeloom.schemas import FILES, HOVERS, REFS, SYMBOL_TREES
 from codeloom.session import written
@@ -528,6 +530,76 @@ def test_trade_edges_by_source_need_no_exchange_for_it(spark):
     assert len(re.findall(r"Exchange hashpartitioning\(source#", plan)) == 1
 
 
+def test_the_graph_keeps_one_table_of_symbols_without_their_ids(spark, monkeypatch):
+    tables = []
+
+    def kept(df):
+        tables.append(written(df))
+        return tables[-1]
+    monkeypatch.setattr("codeloom.plans.code_graph.written", kept)
+    flat = code._flat(spark, SF_DIR)
+    graph = build_graph(flat, bindings.order_files(spark, SF_DIR), bindings.order_hovers(spark, SF_DIR),
+                        bindings.order_refs(spark, SF_DIR), bindings.order_packages(spark, SF_DIR), keep_symbols=False)
+    wide = [t for t in tables if {"sym_path", "rng"} & set(t.columns)]
+    assert not any({"node_id", "parent_node_id", "symbol_uid", "parent_uid", "ord"} & set(t.columns) for t in wide)
+
+    def files(df):
+        return [f for f in df.inputFiles() if os.path.exists(f.removeprefix("file://"))]
+    assert not files(flat) and sum(bool(files(t)) for t in wide) == 1
+    assert graph.nodes.count() and graph.symbols.count() and graph.edges.count()
+
+
+def test_marked_symbols_are_the_winners(spark):
+    cols = "project_id string, node_id string, ord int, kind int, name string"
+    rows = spark.createDataFrame([
+        ("p", "a", 1, 5, "a1"), ("p", "a", 3, 6, "a3"), ("p", "a", 2, 5, "a2"), ("p", "b", 1, 5, "b"), ("q", "a", 9, 5, "q"),
+        ("p", "c", 4, 5, "c"), ("p", "c", 4, 5, "c"), ("p", None, 1, None, "n1"), ("p", None, 2, 5, "n2"), ("p", None, 3, None, "n3"),
+        ("q", None, 1, None, "alone")], cols)
+    got = N.marked(rows)
+    keys = ["project_id", "node_id"]
+
+    def same(flag, expected):
+        mine = got.filter(flag).select(*rows.columns)
+        assert sorted(map(str, mine.collect())) == sorted(map(str, expected.select(*rows.columns).collect()))
+    same("own", rows)
+    same("first", N.first_wins(rows.filter("kind IS NOT NULL"), keys, "ord"))
+    same("last", N.last_wins(rows, keys, "ord"))
+
+
+@pytest.mark.parametrize("uri, whole", [("f", "f#x"), ("", "unknown_uri#x"), ("f", "g#x"), ("f", "f"), ("f", "=f"), ("f", "+")])
+def test_an_id_moves_without_its_uri(spark, uri, whole):
+    row = spark.createDataFrame([(uri, whole)], "uri string, id string").withColumn("tail", id_tail(F.col("id"), F.col("uri")))
+    row = row.select("tail", id_whole(F.col("tail"), F.col("uri")).alias("back")).first()
+    assert row.back == whole and (uri == "" or not row.tail.startswith("+" + uri))
+
+
+def test_reads_of_bodies_equal_those_of_their_mentions(spark):
+    refs = spark.createDataFrame([("p", "t", 3, 8, "r", 1, 0), ("p", "t", 3, 8, "r", 2, 0), ("p", "t", 4, 8, "r", 2, 0)], REFS)
+    owners = spark.createDataFrame([("p", "r", 1, "r#f"), ("p", "r", 2, "r#g")], "project_id string, file_uri string, line int, node_id string")
+    targets = spark.createDataFrame([("p", "t", 3, 8, "t#x", "x"), ("p", "t", 4, 8, "odd", "y")],
+                                    "project_id string, target_uri string, target_line int, target_char int, target string, name string")
+    spoken = spark.createDataFrame([("p", "r#f", ["x", "z"]), ("p", "r#g", ["y", "x"]), ("p", "s", ["x"])], "project_id string, source string, names array<string>")
+    told = spoken.select("project_id", "source", F.explode("names").alias("name"))
+    read = [{(r.source, r.target) for r in E.read_edges(refs, owners, targets, m).collect()} for m in (spoken, told)]
+    assert read[0] == read[1] == {("r#f", "t#x"), ("r#g", "t#x"), ("r#g", "odd")}
+
+
+def test_settled_symbols_meet_neither_hovers_nor_texts(spark):
+    # the detail tells all of a class and of a typed method: no exchange holds their rows
+    cols = "project_id string, file_uri string, sym_path array<int>, name string, kind int, detail string, sel_rng struct<sl:int,sc:int,el:int,ec:int>, ord int"
+    at = (0, 0, 0, 1)
+    rows = written(spark.createDataFrame([("p", "f", [i], f"load{i}", 6, f"Future<int> load{i}()", at, i) for i in range(40)], cols))
+    files = written(spark.createDataFrame([("p", "f", "f", "int x;")], FILES))
+    hovers = written(spark.createDataFrame([("p", "f", 0, 0, ["int x"])], HOVERS))
+    with settings(spark, spark__sql__autoBroadcastJoinThreshold="-1", spark__sql__adaptive__enabled="false", spark__sql__maxPlanStringLength="100000000"):
+        got = R.enrich(rows, files, hovers)
+        plan = got._jdf.queryExecution().executedPlan()
+        moved = plan.toString().count("Exchange hashpartitioning")
+        assert {r.return_type for r in got.collect()} == {"Future<int>"}
+    # classes and their relations; asked symbols, folded hovers and texts, in the two branches that a hover opens
+    assert moved <= 8
+
+
 def test_neighbourhood_of_repeats_and_open_ends(spark):
     nodes = spark.createDataFrame([("p", "A", None), ("p", "B", "A"), ("p", "B", "A"), ("q", "A", None)], "project_id string, node_id string, parent string")
     edges = spark.createDataFrame([
