@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from codeloom.llm.components import components
 from codeloom.llm.words import mix, pieces, shingle_sets
-from codeloom.session import written
+from codeloom.session import tidy, written
 
 SHINGLE = 5
 PERCENT = 75
@@ -208,6 +208,7 @@ def links(sets: DataFrame, docs: DataFrame, size: int) -> DataFrame:
         members = written(members.select(*columns))
         pairs = _candidates(members, facts, limit)
         pairs = written(pairs if tested is None else pairs.join(tested, ["u", "v"], "left_anti"))
+        tidy(pairs.sparkSession)
         tested = pairs if tested is None else tested.unionByName(pairs)
         edges = _confirmed(pairs, docs, families, size)
         if found is not None:

@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, functions as F
 
-from codeloom.session import cut_lineage
+from codeloom.session import cut_lineage, tidy
 
 
 def _toward_smallest(edges: DataFrame) -> DataFrame:
@@ -33,5 +33,6 @@ def components(edges: DataFrame) -> DataFrame:
         if now == seen:
             break
         seen, edges = now, cut_lineage(_round(edges))
+        tidy(edges.sparkSession)
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
         edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

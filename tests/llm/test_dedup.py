@@ -148,6 +148,13 @@ def test_recall_on_a_crowded_set_of_isolated_pairs(spark):
     assert got == want
 
 
+def test_rounds_free_what_the_driver_holds(spark, monkeypatch):
+    freed = []
+    monkeypatch.setattr("codeloom.llm.components.tidy", freed.append)
+    components(spark.createDataFrame([(i, i + 1) for i in range(20)], "u long, v long"))
+    assert len(freed) > 1
+
+
 def test_components_of_chains_and_hubs(spark):
     edges = [(i, i + 1) for i in range(100, 160)] + [(1, k) for k in range(200, 260)] + [(5, 5), (9, 8), (8, 9)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
