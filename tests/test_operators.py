@@ -584,6 +584,24 @@ def test_reads_of_bodies_equal_those_of_their_mentions(spark):
     assert read[0] == read[1] == {("r#f", "t#x"), ("r#g", "t#x"), ("r#g", "odd")}
 
 
+def test_verb_groups_leave_only_their_rows(spark, monkeypatch):
+    tables = []
+
+    def kept(df):
+        tables.append(written(df))
+        return tables[-1]
+    monkeypatch.setattr("codeloom.operators.relations.written", kept)
+    ids = [f"n{i}" for i in range(4)]
+    nodes = spark.createDataFrame([("p", i, i, "view") for i in ids], "project_id string, node_id string, label string, layer string")
+    few = spark.createDataFrame([("p", "n0", "n1", "READS_FROM")], "project_id string, source string, target string, label string")
+    calls = C.Calls(spark.createDataFrame([("p", "n3", "n2")], "project_id string, name string, source string"),
+                    spark.createDataFrame([("p", "n3", "n3")], "project_id string, name string, target string"))
+    got = {(r.focus, r.first_partner, r.n_partners) for r in L.graph_verb_groups(few, calls, nodes).collect()}
+    assert got == {("n0", "n1", 1), ("n1", "n0", 1), ("n2", "n3", 1), ("n3", "n2", 1)}
+    left = [t for t in tables if any(os.path.exists(f.removeprefix("file://")) for f in t.inputFiles())]
+    assert len(tables) == 3 and [t.columns for t in left] == [t.columns for t in tables[1:]]
+
+
 def test_settled_symbols_meet_neither_hovers_nor_texts(spark):
     # the detail tells all of a class and of a typed method: no exchange holds their rows
     cols = "project_id string, file_uri string, sym_path array<int>, name string, kind int, detail string, sel_rng struct<sl:int,sc:int,el:int,ec:int>, ord int"
