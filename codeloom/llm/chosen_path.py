@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from codeloom.llm.components import components
 from codeloom.llm.words import mix, pieces, shingle_sets
-from codeloom.session import tidy, written
+from codeloom.session import spared_driver, tidy, written
 
 SHINGLE = 5
 PERCENT = 75
@@ -153,6 +153,7 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, families: DataFrame, size: int
     keyed = written(
         pairs.join(blocks.select(F.col("doc").alias("u"), F.col("block").alias("a")), "u")
         .join(blocks.select(F.col("doc").alias("v"), F.col("block").alias("b")), "v").select(F.xxhash64("a", "b").alias("key"), "u", "v"))
+    tidy(keyed.sparkSession)
     wanted = keyed.select("key", F.col("u").alias("doc")).unionByName(keyed.select("key", F.col("v").alias("doc"))).distinct()
     sets = docs.join(ids.withColumnRenamed("doc", "doc_id"), "doc_id", "left_semi").mapInArrow(
         partial(sets_of, size=size), "doc_id long, grams array<long>").filter(F.size("grams") > 0)
@@ -206,6 +207,7 @@ def links(sets: DataFrame, docs: DataFrame, size: int) -> DataFrame:
     found, tested, limit = None, None, LIMIT
     while True:
         members = written(members.select(*columns))
+        tidy(members.sparkSession)
         pairs = _candidates(members, facts, limit)
         pairs = written(pairs if tested is None else pairs.join(tested, ["u", "v"], "left_anti"))
         tidy(pairs.sparkSession)
@@ -231,8 +233,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     own = ["key1", "key2", "n_shingles"]
     linked = rows.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     sets = written(linked.groupBy(*own, "roots", "tokens").agg(F.min("doc_id").alias("doc")))
-    found = links(sets.select("doc", F.col("n_shingles").alias("n"), "roots", "tokens"),
-                  docs.filter("doc_id IS NOT NULL"), size)
+    with spared_driver(docs.sparkSession):
+        found = links(sets.select("doc", F.col("n_shingles").alias("n"), "roots", "tokens"),
+                      docs.filter("doc_id IS NOT NULL"), size)
     named = sets.select(*own, "doc").join(found.withColumnRenamed("node", "doc"), "doc", "left").select(
         *own, F.coalesce("component", "doc").alias("component"))
     out = rows.drop("roots", "tokens").join(named, own, "left")

@@ -8,8 +8,9 @@ from itertools import combinations
 import pytest
 
 from codeloom.llm import chosen_path as cp, exact_dedup as ed
-from codeloom.llm.components import components
+from codeloom.llm.components import _round, components
 from codeloom.llm.words import word_hashes
+from codeloom.session import spared_driver
 from tests.llm.samples import WHITE, documents, frame, prose, words
 
 
@@ -155,6 +156,35 @@ def test_rounds_free_what_the_driver_holds(spark, monkeypatch):
     assert len(freed) > 1
 
 
+def test_components_end_without_a_round_that_changes_nothing(spark, monkeypatch):
+    rounds = []
+    monkeypatch.setattr("codeloom.llm.components._round", lambda edges, f=_round: rounds.append(1) or f(edges))
+    stars = [(k, 1) for k in range(2, 40)] + [(51, 50)]
+    got = {r.node: r.component for r in components(spark.createDataFrame(stars, "u long, v long")).collect()}
+    assert got == {k: 1 for k in range(1, 40)} | {50: 50, 51: 50} and not rounds
+    path = spark.createDataFrame([(1, 2), (2, 3), (4, 3)], "u long, v long")
+    assert {r.node: r.component for r in components(path).collect()} == {1: 1, 2: 1, 3: 1, 4: 1}
+    assert rounds
+    assert components(spark.createDataFrame([], "u long, v long")).collect() == []
+
+
+def test_rounds_send_no_finished_exchange_through_the_driver(spark, monkeypatch):
+    """Joins of two exchanges stay joins of two exchanges while links are found; the settings are the user's again after."""
+    keys = ["spark.sql.adaptive.autoBroadcastJoinThreshold", "spark.sql.ui.explainMode"]
+    seen = []
+    monkeypatch.setattr(cp, "components", lambda edges: seen.append([spark.conf.get(k) for k in keys]) or components(edges))
+    spark.conf.set(keys[0], "1m")
+    try:
+        cp.near_duplicates(frame(spark, documents())).collect()
+        assert seen and all(x == ["-1", "simple"] for x in seen)
+        assert spark.conf.get(keys[0]) == "1m"
+    finally:
+        spark.conf.unset(keys[0])
+    with pytest.raises(ValueError), spared_driver(spark):
+        raise ValueError
+    assert spark.conf.get(keys[0], None) is None
+
+
 def test_components_of_chains_and_hubs(spark):
     edges = [(i, i + 1) for i in range(100, 160)] + [(1, k) for k in range(200, 260)] + [(5, 5), (9, 8), (8, 9)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
