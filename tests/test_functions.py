@@ -95,6 +95,20 @@ def test_call_tokens(spark, code, names):
     assert set(one(spark, T.call_tokens, t=code)) == names
 
 
+def test_call_tokens_equal_one_scan_of_the_whole_text(spark):
+    """The words in front of parentheses tell as much as all characters do, in the same order."""
+    rng = random.Random(5)
+    bits = [*"ab_9$. \t\n()[]=+-ü\U0001F600'", "operator ", "operator", "foo(", " (", "((", "operator ==(", "\r\n", "\u00a0"]
+    texts = ["".join(rng.choices(bits, k=rng.randrange(30))) for _ in range(3000)] + [None, "", "(", "xoperator ==(", "operator operator("]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    whole = F.array_distinct(F.regexp_extract_all("t", F.lit(T.CALL_TOKEN), 1))
+    assert df.select(whole.alias("a"), T.call_tokens(F.col("t")).alias("b")).filter("NOT (a <=> b)").count() == 0
+
+
+def test_line_ends(spark):
+    assert one(spark, T.lines_of, t="a\r\r\nb\n\nc\rd\r\n") == ["a\r", "b", "", "c\rd", ""]
+
+
 def test_format_message(spark):
     def build(t, a, b):
         return T.format_message(t, a, b)

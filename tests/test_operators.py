@@ -649,3 +649,12 @@ def test_line_owners_at_every_end(spark):
     got = {r.line: r.node_id for r in E.line_owners(calls, points).collect()}
     want = {n: next((f"n{i}" for i, (lo, hi) in enumerate(spans) if 0 <= lo <= n <= hi), None) for n in lines}
     assert got == {n: w for n, w in want.items() if w}
+
+
+def test_bodies_are_sliced_and_scanned_once(spark, monkeypatch):
+    """Filters on bodies and on their names don't compute them anew."""
+    plans = []
+    monkeypatch.setattr(E, "mentions", lambda bodies, of=E.mentions: plans.append(of(bodies)) or plans[-1])
+    found = code.code_mentions(spark, SF_DIR).count()
+    plan = plans[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert found > 0 and plan.count("(?=((?<!") == 1 and plan.count("[\\x{10000}") <= 8
