@@ -196,6 +196,29 @@ def test_snippet_return_type(spark, snippet, name, expected):
     assert one(spark, sig.snippet_return_type, s=snippet, n=name) == expected
 
 
+def test_snippet_is_searched_once(spark):
+    df = spark.createDataFrame([("  @override\n  final int x;", "x")], "s string, n string")
+    plan = df.select(sig.snippet_field_type(F.col("s"), F.col("n")).alias("t"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(r"(?s)^(.*?\S)\s+") == 1
+
+
+def test_class_header_is_searched_once(spark):
+    """Whether a header bounds its type parameters is asked once, not by every clause and every step of its list."""
+    df = spark.createDataFrame([("class A<T extends B> extends C<D, E> implements F",)], "d string")
+    found = df.select(sig.class_relations(F.col("d")).alias("r"))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(sig._BOUNDED) == 1 and plan.count(r"(?<!\w)extends\s+(.+?)") == 1
+    assert found.select("r.*").first() == (["C<D, E>"], [], ["F"])
+
+
+@pytest.mark.parametrize("above, expected", [
+    ("  @A(1)", "int"), ("  @A(\n 1 )  ", "int"), ("  foo() {}", "final int"), ("  word\t\x0b", "int"), ("  };", "final int"),
+    ("", "final int"), ("  A(1)", "final int"), ("  @A((1))", "final int"),
+])
+def test_line_goes_on_after(spark, above, expected):
+    assert one(spark, sig.snippet_field_type, s=f"{above}\n  final int x;", n="x") == expected
+
+
 def test_class_relations(spark):
     got = one(spark, sig.class_relations, d="class A<T extends X> extends B<T, Map<K, V>> with M, N<int> implements I<A, B>, J {")
     assert (got["extends"], got["with"], got["implements"]) == (["B<T, Map<K, V>>"], ["M", "N<int>"], ["I<A, B>", "J"])
