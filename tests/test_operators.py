@@ -658,3 +658,21 @@ def test_bodies_are_sliced_and_scanned_once(spark, monkeypatch):
     found = code.code_mentions(spark, SF_DIR).count()
     plan = plans[0]._jdf.queryExecution().optimizedPlan().toString()
     assert found > 0 and plan.count("(?=((?<!") == 1 and plan.count("[\\x{10000}") <= 8
+
+
+def test_a_symbol_is_read_once(spark, monkeypatch):
+    """One look per tree level takes all values of a symbol; values of odd types become what single looks make of them."""
+    from codeloom.sources import symbols
+    plans = []
+    monkeypatch.setattr(symbols, "written", lambda df, of=symbols.written: plans.append(df) or of(df))
+    odd = [{"name": 5, "kind": "6", "detail": None, "range": {"start": {"line": "3", "character": 1.7}, "end": 5}},
+           {"name": {"a": 1}, "kind": True, "range": 7, "selectionRange": [1], "children": {}},
+           {"name": "x", "kind": 99999999999, "detail": True, "range": {"start": {"line": None, "character": 2}}}, 3, None]
+    tree = [{"name": "Top", "kind": 5, "range": {"start": {"line": 1, "character": 2}, "end": {"line": 3, "character": 4}}, "children": odd}]
+    trees = spark.createDataFrame([("p", "u", json.dumps(tree))], "project_id string, file_uri string, tree string")
+    rows = flatten_trees(trees).orderBy("sym_path").collect()
+    assert [(r.name, r.kind, r.detail, r.rng and tuple(r.rng), r.sel_rng, r.n_children) for r in rows] == [
+        ("Top", 5, "", (1, 2, 3, 4), None, 5), ("5", 6, "", (3, 1, None, None), None, 0), ('{"a":1}', 1, "", None, None, 0),
+        ("x", None, "true", None, None, 0), (None, None, "", None, None, 0), (None, None, "", None, None, 0)]
+    plan = plans[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("variant_get(") == symbols.LEVELS
